@@ -134,12 +134,12 @@ def describe(df: DataFrame, value_cols: Sequence[str], by: Keys | None = None, a
                 F.min(v).alias("min"), _quantile(v, 0.25, approx).alias("p25"),
                 _quantile(v, 0.5, approx).alias("p50"), _quantile(v, 0.75, approx).alias("p75"),
                 F.max(v).alias("max"),
-            ).withColumn("column", F.lit(c))
+            ).withColumn("column_name", F.lit(c))
         )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*k, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return out.select(*k, "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def median(df: DataFrame, value_col: str, by: Keys | None = None, out: str = "median") -> DataFrame:
@@ -180,9 +180,9 @@ def null_profile(df: DataFrame, cols: Sequence[str], by: Keys | None = None) ->
     k = _k(by)
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(c).alias(f"_nn_{c}") for c in cols]
     wide = df.groupBy(*k).agg(*aggs)
-    long = wide.unpivot([*k, "_rows"], [f"_nn_{c}" for c in cols], "column", "non_null")
+    long = wide.unpivot([*k, "_rows"], [f"_nn_{c}" for c in cols], "_col", "non_null")
     return long.select(
-        *k, F.regexp_replace("column", "^_nn_", "").alias("column"), F.col("_rows").alias("rows"),
+        *k, F.regexp_replace("_col", "^_nn_", "").alias("column_name"), F.col("_rows").alias("n_rows"),
         (F.col("_rows") - F.col("non_null")).alias("null_count"),
         safe_ratio(F.col("_rows") - F.col("non_null"), "_rows").alias("null_share"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date
-from ..plans.physical import attach
+from ..plans.physical import attach, small_side
 
 Keys = Sequence[str]
 
@@ -207,13 +207,10 @@ def neighbourhood(events: DataFrame, series: DataFrame, keys: Keys, event_date:
     few (flagged spikes); above the broadcast bound the join shuffles on the key.
     """
     k = _k(keys)
-    ev = events.select(*k, as_date(event_date).alias("event_date"))
-    s = series.withColumn("_d", as_date(date_col))
-    cond = [s[c] == ev[c] for c in k] + [
-        s["_d"] >= F.date_sub(ev["event_date"], half_width_days),
-        s["_d"] <= F.date_add(ev["event_date"], half_width_days),
+    ev = small_side(events.select(*[F.col(c).alias(f"_e_{c}") for c in k], as_date(event_date).alias("event_date")))
+    cond = [F.col(c) == F.col(f"_e_{c}") for c in k] + [
+        F.col("_d") >= F.date_sub(F.col("event_date"), half_width_days),
+        F.col("_d") <= F.date_add(F.col("event_date"), half_width_days),
     ]
-    from ..plans.physical import small_side
-
-    j = s.join(small_side(ev), cond, "inner")
-    return j.select(*[s[c] for c in s.columns if c != "_d"], ev["event_date"])
+    j = series.withColumn("_d", as_date(date_col)).join(ev, cond, "inner")
+    return j.drop("_d", *[f"_e_{c}" for c in k])

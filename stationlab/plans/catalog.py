@@ -58,3 +58,101 @@ def annual_sum_sparse(spark, sf_dir):
 def implausible_years(spark, sf_dir):
     """A9 with thresholds scaled to the panel (count >= 60 days, total < 400)."""
     return C.implausible_years(supplier_panel(spark, sf_dir), ["key"], "day", "precip", min_count=60, max_sum=400.0)
+
+
+SENTINELS = {"l_quantity": 50.0, "l_tax": 0.08, "l_discount": 0.1}
+
+
+@register("sentinel_null_profile")
+def sentinel_null_profile(spark, sf_dir):
+    """P2 (markers chosen to hit real values) + A19 null profile by return flag."""
+    x = C.clean_sentinels(table(spark, sf_dir, "lineitem"), SENTINELS)
+    return A.null_profile(x, list(SENTINELS), by=["l_returnflag"])
+
+
+@register("sentinel_maxima")
+def sentinel_maxima(spark, sf_dir):
+    """P2 + P3 ({10: 0} on a short code column) + A20 column maxima."""
+    li = table(spark, sf_dir, "lineitem").withColumn("qty_code", F.col("l_quantity").cast("short"))
+    x = C.recode(C.clean_sentinels(li, SENTINELS), ["qty_code"], {10: 0})
+    return A.column_maxima(x, ["l_quantity", "l_tax", "l_discount", "qty_code"]).crossJoin(
+        x.agg(F.count_if(F.col("qty_code") == 0).alias("n_recoded")))
+
+
+def exclusion_points(spark, sf_dir):
+    """S4 stand-in: (supplier, day) of large returned lines; repeats on purpose."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).select(
+        F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("day"))
+
+
+def exclusion_years(spark, sf_dir):
+    """S5 stand-in: (supplier, year) in which the supplier shipped a size-1 part."""
+    li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").where(F.col("p_size") == 1).select("p_partkey")
+    return li.join(part, li.l_partkey == part.p_partkey, "left_semi").select(
+        F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("year")).distinct()
+
+
+@register("null_points_years")
+def null_points_years(spark, sf_dir):
+    """J7 + J8: NULL the panel's precipitation at listed points and in listed years."""
+    p = supplier_panel(spark, sf_dir).select("key", "day", "precip", "temp_mean")
+    p = C.null_at_points(p, exclusion_points(spark, sf_dir), ["key"], "day", "precip")
+    return C.null_at_years(p, exclusion_years(spark, sf_dir), ["key"], "day", "precip")
+
+
+@register("gap_keys")
+def gap_keys(spark, sf_dir):
+    """A10 on the customer panel: customers with orders in 1995-2000 but in fewer than 6 of those years."""
+    return C.gap_keys(customer_panel(spark, sf_dir), ["key"], "day", 1995, 2000)
+
+
+@register("gap_filter")
+def gap_filter(spark, sf_dir):
+    """Those customers lose their rows before 1998-01-01."""
+    p = customer_panel(spark, sf_dir).select("key", "day", "value")
+    return C.remove_before_if_gap(p, ["key"], "day", "1998-01-01", 1995, 2000)
+
+
+@register("anomaly_zscore")
+def anomaly_zscore(spark, sf_dir):
+    """1995 Jan-May total against later Jan-May totals, >= 20 rows in the span."""
+    return C.anomaly_zscore(supplier_panel(spark, sf_dir), ["key"], "day", "precip", 1995, 5, min_rows=20)
+
+
+@register("remove_anomalous_span")
+def remove_anomalous_span(spark, sf_dir):
+    """Drop the 1995 Jan-May rows of suppliers with z > 1."""
+    p = supplier_panel(spark, sf_dir).select("key", "day", "precip")
+    return C.remove_anomalous_span(p, ["key"], "day", "precip", 1995, 5, threshold=1.0, min_rows=20)
+
+
+@register("ratio_flags")
+def ratio_flags(spark, sf_dir):
+    """Order-day value over the customer's mean non-zero value (1995 left out) above 2."""
+    p = customer_panel(spark, sf_dir).select("key", "day", "value")
+    return C.ratio_flags(p, ["key"], "day", "value", threshold=2.0, exclude_year=1995)
+
+
+@register("extreme_neighbourhood")
+def extreme_neighbourhood(spark, sf_dir):
+    """A15 -> J10: rows within +-183 days of each flagged day (ratio above 2.5), same customer."""
+    p = customer_panel(spark, sf_dir).select("key", "day", "value")
+    flags = C.ratio_flags(p, ["key"], "day", "value", threshold=2.5, exclude_year=1995)
+    from ..operators.timeseries import neighbourhood
+
+    return neighbourhood(flags.select("key", "day"), p, ["key"], "day", "day", 183)
+
+
+@register("clean_pipeline")
+def clean_pipeline(spark, sf_dir):
+    """L4 + L5 on the supplier panel: exclusions (points, years, implausible years judged on the
+    input) -> anomalous span removal on the nulled values -> drop listed suppliers -> gap rule."""
+    p = supplier_panel(spark, sf_dir).select("key", "day", "precip", "temp_mean")
+    x = C.null_excluded(p, ["key"], "day", "precip", points=exclusion_points(spark, sf_dir),
+                        years=exclusion_years(spark, sf_dir), min_count=60, max_sum=400.0)
+    x = C.remove_anomalous_span(x, ["key"], "day", "precip", 1995, 5, threshold=1.0, min_rows=20)
+    dropped = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("key"))
+    x = C.drop_keys(x, dropped, ["key"])
+    return C.remove_before_if_gap(x, ["key"], "day", "1997-01-01", 1995, 2001)

@@ -77,3 +77,131 @@ WITH panel AS ({SUPPLIER_PANEL}),
 a AS (SELECT key, year(day) AS year, coalesce(sum(precip), 0.0) AS s, count(precip) AS n FROM panel GROUP BY 1, 2)
 SELECT key, CAST(year AS BIGINT) AS year FROM a WHERE n >= 60 AND s < 400.0
 """
+
+
+def _sent(c: str, s: float) -> str:
+    return f"CASE WHEN abs({c} - {s!r}) <= {1e-8 + 1e-5 * abs(s)!r} THEN NULL ELSE {c} END"
+
+
+_SENT = {"l_quantity": 50.0, "l_tax": 0.08, "l_discount": 0.1}
+_sent_sel = ", ".join(f"{_sent(c, s)} AS {c}" for c, s in _SENT.items())
+SQL["sentinel_null_profile"] = f"""
+WITH x AS (SELECT l_returnflag, {_sent_sel} FROM lineitem),
+w AS (SELECT l_returnflag, count(*) AS n, {", ".join(f"count({c}) AS nn_{c}" for c in _SENT)} FROM x GROUP BY 1)
+""" + "\nUNION ALL\n".join(
+    f"SELECT l_returnflag, '{c}' AS column_name, n AS n_rows, n - nn_{c} AS null_count, "
+    f"round(CAST(n - nn_{c} AS DOUBLE) / n, 4) AS null_share FROM w" for c in _SENT)
+
+SQL["sentinel_maxima"] = f"""
+WITH x AS (SELECT {_sent_sel},
+           CASE WHEN CAST(l_quantity AS SMALLINT) = 10 THEN 0 ELSE CAST(l_quantity AS SMALLINT) END AS qty_code
+           FROM lineitem)
+SELECT round(max(l_quantity), 4) AS max_l_quantity, round(max(l_tax), 4) AS max_l_tax,
+       round(max(l_discount), 4) AS max_l_discount, CAST(max(qty_code) AS BIGINT) AS max_qty_code,
+       CAST(count(*) FILTER (WHERE qty_code = 0) AS BIGINT) AS n_recoded
+FROM x
+"""
+
+EXCL_POINTS = """
+  SELECT DISTINCT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day FROM lineitem
+  WHERE l_returnflag = 'R' AND l_quantity >= 45
+"""
+EXCL_YEARS = """
+  SELECT DISTINCT l_suppkey AS key, year(l_shipdate) AS yr FROM lineitem
+  WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)
+"""
+
+SQL["null_points_years"] = f"""
+WITH panel AS ({SUPPLIER_PANEL}), pts AS ({EXCL_POINTS}), yrs AS ({EXCL_YEARS})
+SELECT p.key, CAST(p.day AS VARCHAR) AS day,
+       round(CASE WHEN pts.key IS NULL AND yrs.key IS NULL THEN p.precip END, 4) AS precip,
+       round(p.temp_mean, 4) AS temp_mean
+FROM panel p LEFT JOIN pts ON p.key = pts.key AND p.day = pts.day
+LEFT JOIN yrs ON p.key = yrs.key AND year(p.day) = yrs.yr
+"""
+
+_GAP_KEYS = f"""
+  SELECT key, count(DISTINCT year(day)) AS years_present FROM ({CUSTOMER_PANEL})
+  WHERE year(day) BETWEEN 1995 AND 2000 GROUP BY key HAVING count(DISTINCT year(day)) < 6
+"""
+SQL["gap_keys"] = f"SELECT key, CAST(years_present AS BIGINT) AS years_present FROM ({_GAP_KEYS})"
+
+SQL["gap_filter"] = f"""
+WITH panel AS ({CUSTOMER_PANEL}), g AS ({_GAP_KEYS})
+SELECT p.key, CAST(p.day AS VARCHAR) AS day, round(p.value, 4) AS value
+FROM panel p LEFT JOIN g ON p.key = g.key
+WHERE g.key IS NULL OR p.day >= DATE '1998-01-01'
+"""
+
+
+def _zscore_sql(panel_sql: str, year: int, last_month: int, min_rows: int) -> str:
+    return f"""
+  WITH zp AS ({panel_sql}),
+  py AS (SELECT key, year(day) AS yr, coalesce(sum(precip), 0.0) AS s, count(*) AS n FROM zp
+         WHERE month(day) <= {last_month} AND year(day) >= {year} GROUP BY 1, 2),
+  span AS (SELECT key, n AS span_rows, s AS span_sum FROM py WHERE yr = {year}),
+  later AS (SELECT * FROM py WHERE yr > {year}),
+  b AS (SELECT key, min(yr) AS lo, max(yr) AS hi FROM later GROUP BY key),
+  sp AS (SELECT key, unnest(generate_series(lo, hi)) AS yr FROM b),
+  dense AS (SELECT sp.key, coalesce(later.s, 0.0) AS s FROM sp LEFT JOIN later ON sp.key = later.key AND sp.yr = later.yr),
+  st AS (SELECT key, avg(s) AS m, stddev_samp(s) AS sd FROM dense GROUP BY key),
+  ks AS (SELECT DISTINCT key FROM zp)
+  SELECT ks.key, coalesce(span.span_rows, 0) AS span_rows, span.span_sum, st.m AS later_mean, st.sd AS later_std,
+         CASE WHEN coalesce(span.span_rows, 0) >= {min_rows} AND st.sd IS NOT NULL AND st.sd <> 0
+              THEN (span.span_sum - st.m) / st.sd END AS zscore
+  FROM ks LEFT JOIN span ON ks.key = span.key LEFT JOIN st ON ks.key = st.key
+"""
+
+
+SQL["anomaly_zscore"] = f"""
+SELECT key, CAST(span_rows AS BIGINT) AS span_rows, round(span_sum, 4) AS span_sum, round(later_mean, 4) AS later_mean,
+       round(later_std, 4) AS later_std, round(zscore, 4) AS zscore
+FROM ({_zscore_sql(SUPPLIER_PANEL, 1995, 5, 20)})
+"""
+
+SQL["remove_anomalous_span"] = f"""
+WITH panel AS ({SUPPLIER_PANEL}), z AS ({_zscore_sql(SUPPLIER_PANEL, 1995, 5, 20)})
+SELECT p.key, CAST(p.day AS VARCHAR) AS day, round(p.precip, 4) AS precip
+FROM panel p LEFT JOIN (SELECT key FROM z WHERE zscore > 1.0) bad ON p.key = bad.key
+WHERE NOT (bad.key IS NOT NULL AND p.day BETWEEN DATE '1995-01-01' AND DATE '1995-05-31')
+"""
+
+_RATIO = f"""
+  WITH rp AS ({CUSTOMER_PANEL}),
+  src AS (SELECT key, day, value FROM rp WHERE year(day) <> 1995),
+  m AS (SELECT key, avg(nullif(value, 0.0)) AS key_mean FROM src GROUP BY key)
+  SELECT src.key, src.day, src.value, m.key_mean, nullif(src.value, 0.0) / m.key_mean AS ratio
+  FROM src JOIN m ON src.key = m.key
+"""
+SQL["ratio_flags"] = f"""
+SELECT key, CAST(day AS VARCHAR) AS day, round(value, 4) AS value, round(key_mean, 4) AS key_mean, round(ratio, 4) AS ratio
+FROM ({_RATIO}) WHERE ratio > 2.0
+"""
+
+SQL["extreme_neighbourhood"] = f"""
+WITH panel AS ({CUSTOMER_PANEL}), ev AS (SELECT key, day AS event_date FROM ({_RATIO}) WHERE ratio > 2.5)
+SELECT p.key, CAST(p.day AS VARCHAR) AS day, round(p.value, 4) AS value, CAST(ev.event_date AS VARCHAR) AS event_date
+FROM panel p JOIN ev ON p.key = ev.key AND p.day BETWEEN ev.event_date - INTERVAL 183 DAY AND ev.event_date + INTERVAL 183 DAY
+"""
+
+SQL["clean_pipeline"] = f"""
+WITH panel AS (SELECT key, day, precip, temp_mean FROM ({SUPPLIER_PANEL})),
+pts AS ({EXCL_POINTS}), yrs AS ({EXCL_YEARS}),
+imp AS (SELECT key, year(day) AS yr FROM panel GROUP BY 1, 2
+        HAVING count(precip) >= 60 AND coalesce(sum(precip), 0.0) < 400.0),
+nulled AS (
+  SELECT p.key, p.day, p.temp_mean,
+         CASE WHEN pts.key IS NULL AND yrs.key IS NULL AND imp.key IS NULL THEN p.precip END AS precip
+  FROM panel p LEFT JOIN pts ON p.key = pts.key AND p.day = pts.day
+  LEFT JOIN yrs ON p.key = yrs.key AND year(p.day) = yrs.yr
+  LEFT JOIN imp ON p.key = imp.key AND year(p.day) = imp.yr),
+z AS ({_zscore_sql("SELECT * FROM nulled", 1995, 5, 20)}),
+despiked AS (
+  SELECT n.* FROM nulled n LEFT JOIN (SELECT key FROM z WHERE zscore > 1.0) bad ON n.key = bad.key
+  WHERE NOT (bad.key IS NOT NULL AND n.day BETWEEN DATE '1995-01-01' AND DATE '1995-05-31')),
+kept AS (SELECT * FROM despiked WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)),
+gap AS (SELECT key FROM kept WHERE year(day) BETWEEN 1995 AND 2001 GROUP BY key HAVING count(DISTINCT year(day)) < 7)
+SELECT k.key, CAST(k.day AS VARCHAR) AS day, round(k.precip, 4) AS precip, round(k.temp_mean, 4) AS temp_mean
+FROM kept k LEFT JOIN gap ON k.key = gap.key
+WHERE gap.key IS NULL OR k.day >= DATE '1997-01-01'
+"""
