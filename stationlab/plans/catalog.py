@@ -156,3 +156,161 @@ def clean_pipeline(spark, sf_dir):
     dropped = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("key"))
     x = C.drop_keys(x, dropped, ["key"])
     return C.remove_before_if_gap(x, ["key"], "day", "1997-01-01", 1995, 2001)
+
+
+# --- stations and cities ------------------------------------------------------------------------
+from ..operators import stations as ST  # noqa: E402
+from ..operators import timeseries as TS  # noqa: E402
+from .driver import city_coords, station_coords  # noqa: E402
+
+
+def supplier_stations(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_name", "s_acctbal")
+    return station_coords(s, "key")
+
+
+def cities(spark, sf_dir):
+    return city_coords(table(spark, sf_dir, "nation"))
+
+
+@register("distance_pairs")
+def distance_pairs(spark, sf_dir):
+    """Every supplier x every nation-city, haversine km."""
+    return ST.distance_pairs(supplier_stations(spark, sf_dir).select("key", "latitude", "longitude"),
+                             cities(spark, sf_dir)).select("key", "city", "distance_km")
+
+
+@register("nearest_city")
+def nearest_city(spark, sf_dir):
+    """Nearest nation-city per supplier (ties by name)."""
+    return ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir)) \
+        .select("key", "nearest_city", "distance_km")
+
+
+@register("near_and_long")
+def near_and_long(spark, sf_dir):
+    """J2 + A1 + A5 + P6: suppliers within 300 km of a city whose series spans >= 6.5 years."""
+    st = ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir))
+    ext = A.extent(supplier_panel(spark, sf_dir), ["key"], "day")
+    x = st.join(ext, "key").withColumn("duration_years", A.duration_years("first_date", "last_date"))
+    return ST.near_and_long(x, 300.0, 6.5).select("key", "nearest_city", "distance_km", "duration_years")
+
+
+@register("city_members")
+def city_members(spark, sf_dir):
+    """(city, supplier) for every supplier within 400 km of a city."""
+    return ST.city_members(supplier_stations(spark, sf_dir), cities(spark, sf_dir), ["key"], 400.0)
+
+
+@register("active_count")
+def active_count(spark, sf_dir):
+    """Customers active (first..last order) at each month start."""
+    ext = A.extent(customer_panel(spark, sf_dir), ["key"], "day")
+    return ST.active_count(ext, "first_date", "last_date")
+
+
+# --- bins and grids -----------------------------------------------------------------------------
+@register("bins_12m_anchored")
+def bins_12m_anchored(spark, sf_dir):
+    """12-month bins from each customer's first order month; non-null values per bin (>0)."""
+    p = customer_panel(spark, sf_dir)
+    b = TS.anchored_month_bins(p, ["key"], "day", 12)
+    return b.groupBy("key", "period_start", "period_end").agg(F.count("value").alias("count_days")) \
+        .where(F.col("count_days") > 0)
+
+
+@register("bins_7d_anchored")
+def bins_7d_anchored(spark, sf_dir):
+    """T4: 7-day bins from each user's first event day; max value per bin."""
+    ev = table(spark, sf_dir, "events")
+    b = TS.anchored_day_bins(ev, ["user_id"], "ts", 7)
+    return b.groupBy("user_id", "period_start").agg(F.max("value").alias("max_value"))
+
+
+@register("bins_365d_end")
+def bins_365d_end(spark, sf_dir):
+    """T5: 365-day bins counted back from each supplier's last day; mean per bin, empty bins kept."""
+    p = supplier_panel(spark, sf_dir)
+    b = TS.end_anchored_bins(p, ["key"], "day", 365)
+    means = b.groupBy("key", "bin").agg(F.avg("temp_mean").alias("mean_temp"))
+    bounds = means.groupBy("key").agg(F.max("bin").alias("_hi")).withColumn("_lo", F.lit(0))
+    return TS.bin_spine(bounds, ["key"], "_lo", "_hi").join(means, ["key", "bin"], "left")
+
+
+@register("daily_grid")
+def daily_grid(spark, sf_dir):
+    """Per-user daily grid over the user's span; 1 where the day has no value."""
+    return TS.daily_grid(table(spark, sf_dir, "events"), ["user_id"], "ts", "value")
+
+
+@register("all_keys_grid")
+def all_keys_grid(spark, sf_dir):
+    """Every user x every day of the table's span, the user's daily total where present."""
+    ev = table(spark, sf_dir, "events")
+    daily = ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(F.round(F.col("value") * 100)).alias("total"))
+    return TS.all_keys_grid(daily, ["user_id"], "day", ["total"])
+
+
+@register("daily_sum_filled")
+def daily_sum_filled(spark, sf_dir):
+    """Daily sum of each user's event values (in cents), empty days 0."""
+    ev = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100))
+    return TS.daily_sum_filled(ev, ["user_id"], "ts", "cents")
+
+
+@register("annual_median")
+def annual_median(spark, sf_dir):
+    """T9 + P17: annual median of a letter code mapped to a number (A..I -> 0..8), dense years."""
+    o = table(spark, sf_dir, "orders").withColumn(
+        "code", F.substring(F.regexp_replace("o_orderpriority", "[^A-Z]", ""), 1, 1))
+    from ..functions.columns import letter_rank
+
+    return TS.annual_median(o, ["o_orderstatus"], "o_orderdate", letter_rank("code"), "median_code")
+
+
+# --- keys and sets ------------------------------------------------------------------------------
+@register("semi_keep")
+def semi_keep(spark, sf_dir):
+    """Orders of listed customers (segment BUILDING)."""
+    keys = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING") \
+        .select(F.col("c_custkey").alias("o_custkey"))
+    return C.keep_keys(table(spark, sf_dir, "orders"), keys, ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@register("anti_drop")
+def anti_drop(spark, sf_dir):
+    """Customer panel without customers whose balance is negative."""
+    keys = table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("key"))
+    return C.drop_keys(customer_panel(spark, sf_dir), keys, ["key"]).select("key", "day", "value")
+
+
+@register("union_filter")
+def union_filter(spark, sf_dir):
+    """One OR filter for two populations (listed nations of one segment, or another
+    segment inside numeric bounds) instead of a union of two scans."""
+    c = table(spark, sf_dir, "customer").withColumn("c_nation", F.col("c_nationkey").cast("string"))
+    cond = C.in_region("c_mktsegment", "c_nation", "c_acctbal", "c_nationkey", ["1", "2", "3"], "MACHINERY",
+                       0.0, 10.0, us_country="BUILDING")
+    return c.where(cond).select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
+@register("distinct_keys")
+def distinct_keys(spark, sf_dir):
+    """Customers ordering in 1995 stacked with those ordering in 2001, duplicates dropped."""
+    o = table(spark, sf_dir, "orders")
+    a = o.where(F.year("o_orderdate") == 1995).select(F.col("o_custkey").alias("key"))
+    b = o.where(F.year("o_orderdate") == 2001).select(F.col("o_custkey").alias("key"))
+    return a.unionByName(b).distinct()
+
+
+@register("prefix_match")
+def prefix_match(spark, sf_dir):
+    """Parts whose trimmed name starts with a listed prefix, each part once."""
+    prefixes = spark.createDataFrame([("small",), ("red w",), ("blue",), ("hot r",)], "prefix string")
+    return ST.prefix_match(table(spark, sf_dir, "part"), "p_name", prefixes).select("p_partkey", "p_name")
+
+
+@register("contains_text")
+def contains_text(spark, sf_dir):
+    """Parts whose name contains 'RING' in any case."""
+    return table(spark, sf_dir, "part").where(ST.contains_ci("p_name", "RING")).select("p_partkey", "p_name")

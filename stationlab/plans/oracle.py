@@ -205,3 +205,149 @@ SELECT k.key, CAST(k.day AS VARCHAR) AS day, round(k.precip, 4) AS precip, round
 FROM kept k LEFT JOIN gap ON k.key = gap.key
 WHERE gap.key IS NULL OR k.day >= DATE '1997-01-01'
 """
+
+
+SUPPLIER_STATIONS = """
+  SELECT s_suppkey AS key, s_name, s_acctbal,
+         30.0 + CAST((s_suppkey * 7) % 200 AS DOUBLE) / 10.0 AS latitude,
+         -125.0 + CAST((s_suppkey * 13) % 200 AS DOUBLE) / 10.0 AS longitude
+  FROM supplier
+"""
+CITIES = """
+  SELECT n_name AS city,
+         30.0 + CAST((n_nationkey * 17) % 193 AS DOUBLE) / 10.0 AS latitude,
+         -125.0 + CAST((n_nationkey * 29) % 193 AS DOUBLE) / 10.0 AS longitude
+  FROM nation
+"""
+
+
+def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    p1, p2 = f"radians({lat1})", f"radians({lat2})"
+    h = (f"pow(sin(({p2} - {p1}) / 2), 2) + cos({p1}) * cos({p2}) * "
+         f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)")
+    return f"({2 * 6371.0!r} * asin(sqrt(least({h}, 1.0))))"
+
+
+PAIRS = f"""
+  SELECT s.key, c.city, {haversine('s.latitude', 's.longitude', 'c.latitude', 'c.longitude')} AS distance_km
+  FROM ({SUPPLIER_STATIONS}) s CROSS JOIN ({CITIES}) c
+"""
+NEAREST = f"""
+  SELECT key, city AS nearest_city, distance_km FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance_km, city) AS rn FROM ({PAIRS})) WHERE rn = 1
+"""
+
+SQL["distance_pairs"] = f"SELECT key, city, round(distance_km, 4) AS distance_km FROM ({PAIRS})"
+SQL["nearest_city"] = f"SELECT key, nearest_city, round(distance_km, 4) AS distance_km FROM ({NEAREST})"
+SQL["near_and_long"] = f"""
+WITH n AS ({NEAREST}),
+e AS (SELECT key, date_diff('day', min(day), max(day)) / 365.25 AS duration_years FROM ({SUPPLIER_PANEL}) GROUP BY key)
+SELECT n.key, n.nearest_city, round(n.distance_km, 4) AS distance_km, round(e.duration_years, 4) AS duration_years
+FROM n JOIN e ON n.key = e.key WHERE n.distance_km <= 300.0 AND e.duration_years >= 6.5
+"""
+SQL["city_members"] = f"SELECT city, key, round(distance_km, 4) AS distance_km FROM ({PAIRS}) WHERE distance_km <= 400.0"
+
+SQL["active_count"] = f"""
+WITH e AS (SELECT key, min(day) AS b, max(day) AS e FROM ({CUSTOMER_PANEL}) GROUP BY key),
+g AS (SELECT min(b) AS lo, max(e) AS hi FROM e),
+s AS (SELECT CASE WHEN day(lo) = 1 THEN lo ELSE date_trunc('month', lo) + INTERVAL 1 MONTH END AS start,
+             date_trunc('month', hi) AS stop FROM g),
+months AS (SELECT CAST(unnest(generate_series(start, stop, INTERVAL 1 MONTH)) AS DATE) AS month FROM s)
+SELECT CAST(m.month AS VARCHAR) AS month, CAST(count(e.key) AS BIGINT) AS active
+FROM months m LEFT JOIN e ON e.b <= m.month AND m.month <= e.e
+GROUP BY m.month
+"""
+
+SQL["bins_12m_anchored"] = f"""
+WITH p AS ({CUSTOMER_PANEL}),
+a AS (SELECT key, date_trunc('month', min(day)) AS anchor FROM p GROUP BY key),
+x AS (SELECT p.key, p.value, a.anchor,
+             CAST(floor(date_diff('month', a.anchor, date_trunc('month', p.day)) / 12) AS INTEGER) AS n
+      FROM p JOIN a ON p.key = a.key),
+y AS (SELECT key, CAST(anchor + to_months(12 * n) AS DATE) AS period_start, count(value) AS count_days FROM x GROUP BY 1, 2)
+SELECT key, CAST(period_start AS VARCHAR) AS period_start, CAST(CAST(period_start + INTERVAL 12 MONTH AS DATE) AS VARCHAR) AS period_end,
+       CAST(count_days AS BIGINT) AS count_days
+FROM y WHERE count_days > 0
+"""
+
+SQL["bins_7d_anchored"] = """
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, value FROM events),
+f AS (SELECT user_id, min(d) AS first FROM e GROUP BY user_id)
+SELECT e.user_id, CAST(CAST(f.first + CAST(7 * floor(date_diff('day', f.first, e.d) / 7) AS INTEGER) AS DATE) AS VARCHAR) AS period_start,
+       round(max(e.value), 4) AS max_value
+FROM e JOIN f ON e.user_id = f.user_id GROUP BY 1, 2
+"""
+
+SQL["bins_365d_end"] = f"""
+WITH p AS ({SUPPLIER_PANEL}),
+l AS (SELECT key, max(day) AS last FROM p GROUP BY key),
+m AS (SELECT p.key, CAST(floor(date_diff('day', p.day, l.last) / 365) AS BIGINT) AS bin, avg(p.temp_mean) AS mean_temp
+      FROM p JOIN l ON p.key = l.key GROUP BY 1, 2),
+sp AS (SELECT key, unnest(generate_series(0, max(bin))) AS bin FROM m GROUP BY key)
+SELECT sp.key, CAST(sp.bin AS BIGINT) AS bin, round(m.mean_temp, 4) AS mean_temp
+FROM sp LEFT JOIN m ON sp.key = m.key AND sp.bin = m.bin
+"""
+
+SQL["daily_grid"] = """
+WITH pd AS (SELECT user_id, CAST(ts AS DATE) AS day, count(value) AS n FROM events GROUP BY 1, 2),
+b AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM pd GROUP BY 1),
+sp AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b)
+SELECT sp.user_id, CAST(sp.day AS VARCHAR) AS day, CAST(CASE WHEN coalesce(pd.n, 0) > 0 THEN 0 ELSE 1 END AS BIGINT) AS missing
+FROM sp LEFT JOIN pd ON sp.user_id = pd.user_id AND sp.day = pd.day
+"""
+
+SQL["all_keys_grid"] = """
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(round(value * 100)) AS total FROM events GROUP BY 1, 2),
+g AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
+days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM g),
+u AS (SELECT DISTINCT user_id FROM d)
+SELECT u.user_id, CAST(days.day AS VARCHAR) AS day, round(d.total, 4) AS total
+FROM u CROSS JOIN days LEFT JOIN d ON d.user_id = u.user_id AND d.day = days.day
+"""
+
+SQL["daily_sum_filled"] = """
+WITH pd AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(round(value * 100)) AS s FROM events GROUP BY 1, 2),
+b AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM pd GROUP BY 1),
+sp AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b)
+SELECT sp.user_id, CAST(sp.day AS VARCHAR) AS day, round(coalesce(pd.s, 0.0), 4) AS daily_total
+FROM sp LEFT JOIN pd ON sp.user_id = pd.user_id AND sp.day = pd.day
+"""
+
+SQL["annual_median"] = """
+WITH o AS (SELECT o_orderstatus, year(o_orderdate) AS yr,
+                  CASE substr(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g'), 1, 1)
+                    WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'C' THEN 2 WHEN 'D' THEN 3 WHEN 'E' THEN 4
+                    WHEN 'F' THEN 5 WHEN 'G' THEN 6 WHEN 'H' THEN 7 WHEN 'I' THEN 8 END AS code
+           FROM orders),
+py AS (SELECT o_orderstatus, yr, median(code) AS median_code FROM o GROUP BY 1, 2),
+b AS (SELECT o_orderstatus, min(yr) AS lo, max(yr) AS hi FROM py GROUP BY 1),
+sp AS (SELECT o_orderstatus, unnest(generate_series(lo, hi)) AS yr FROM b)
+SELECT sp.o_orderstatus, CAST(make_date(CAST(sp.yr AS INTEGER), 1, 1) AS VARCHAR) AS period,
+       round(CAST(py.median_code AS DOUBLE), 4) AS median_code
+FROM sp LEFT JOIN py ON sp.o_orderstatus = py.o_orderstatus AND sp.yr = py.yr
+"""
+
+SQL["semi_keep"] = """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+"""
+SQL["anti_drop"] = f"""
+SELECT key, CAST(day AS VARCHAR) AS day, round(value, 4) AS value FROM ({CUSTOMER_PANEL})
+WHERE key NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+"""
+SQL["union_filter"] = """
+SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer
+WHERE (c_mktsegment = 'BUILDING' AND CAST(c_nationkey AS VARCHAR) IN ('1', '2', '3'))
+   OR (c_mktsegment = 'MACHINERY' AND c_acctbal < 0.0 AND c_nationkey < 10.0)
+"""
+SQL["distinct_keys"] = """
+SELECT DISTINCT o_custkey AS key FROM (
+  SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995
+  UNION ALL SELECT o_custkey FROM orders WHERE year(o_orderdate) = 2001)
+"""
+SQL["prefix_match"] = """
+SELECT p_partkey, p_name FROM part
+WHERE starts_with(trim(p_name), 'small') OR starts_with(trim(p_name), 'red w')
+   OR starts_with(trim(p_name), 'blue') OR starts_with(trim(p_name), 'hot r')
+"""
+SQL["contains_text"] = "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')"
