@@ -167,8 +167,8 @@ def describe_text(df: DataFrame, col_name: str, by: Keys | None = None) -> DataF
     k = _k(by)
     vc = value_counts(df, col_name, k, dropna=True)
     return vc.groupBy(*k).agg(
-        F.sum("count").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
+        F.sum("count").alias("n_values"),
+        F.count(F.lit(1)).alias("n_unique"),
         F.min_by(col_name, F.struct(-F.col("count"), F.col(col_name))).alias("top"),
         F.max("count").alias("freq"),
     )
@@ -331,3 +331,20 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Keys | None = None
         return df.orderBy(*order).limit(k)
     w = Window.partitionBy(*g).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+# V1 / V2 ---------------------------------------------------------------------------------------
+def pivot_wide(df: DataFrame, index: Keys, column: str, value: Column, values: Sequence | None = None,
+               prefix: str = "") -> DataFrame:
+    """V1: long -> wide with one column per value of ``column``.  Pass ``values`` when known;
+    otherwise the distinct values are fetched once (a pivot needs its columns before planning)."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(column).distinct().collect())
+    wide = df.groupBy(*_k(index)).pivot(column, list(values)).agg(value)
+    return wide.select(*_k(index), *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
+
+
+def unpivot_long(df: DataFrame, index: Keys, value_cols: Sequence[str], name_col: str = "variable",
+                 value_col: str = "value") -> DataFrame:
+    """V2: wide -> long."""
+    return df.unpivot(_k(index), list(value_cols), name_col, value_col)

@@ -314,3 +314,201 @@ def prefix_match(spark, sf_dir):
 def contains_text(spark, sf_dir):
     """Parts whose name contains 'RING' in any case."""
     return table(spark, sf_dir, "part").where(ST.contains_ci("p_name", "RING")).select("p_partkey", "p_name")
+
+
+# --- statistics ---------------------------------------------------------------------------------
+from ..operators import quality as Q  # noqa: E402
+
+
+@register("describe_numeric")
+def describe_numeric(spark, sf_dir):
+    """Describe event values (cents) per event type, exact linear quantiles."""
+    ev = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100))
+    return A.describe(ev, ["cents"], by=["event_type"])
+
+
+@register("describe_text")
+def describe_text(spark, sf_dir):
+    """Count, distinct, top value and its frequency of order priority per status."""
+    return A.describe_text(table(spark, sf_dir, "orders"), "o_orderpriority", by=["o_orderstatus"])
+
+
+@register("value_counts")
+def value_counts(spark, sf_dir):
+    """Frequencies of (return flag, line status) with their share."""
+    return A.value_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], normalize=True)
+
+
+@register("null_share")
+def null_share(spark, sf_dir):
+    """Share of zero discounts and of NULL precipitation stand-in per return flag."""
+    li = table(spark, sf_dir, "lineitem")
+    return A.fraction_by(li, ["l_returnflag"], {
+        "zero_share": F.col("l_discount") == 0,
+        "null_share": F.nullif(F.col("l_discount"), F.lit(0.0)).isNull(),
+        "big_share": F.col("l_quantity") > 45,
+    })
+
+
+@register("histogram")
+def histogram(spark, sf_dir):
+    """7 equal bins of quantity over [1, 50] per line status, last bin closed, with density."""
+    return A.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 7, 1.0, 50.0, by=["l_linestatus"], density=True)
+
+
+@register("histogram_log")
+def histogram_log(spark, sf_dir):
+    """20 bins of log10(extended price) over the data's own range."""
+    return A.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20, log10=True)
+
+
+@register("ecdf")
+def ecdf(spark, sf_dir):
+    """Cumulative share of quantity over 10 bins of [0, 50] per return flag."""
+    return A.ecdf(table(spark, sf_dir, "lineitem"), "l_quantity", 10, 0.0, 50.0, by=["l_returnflag"])
+
+
+@register("fraction_over")
+def fraction_over(spark, sf_dir):
+    """A4: shares of large and of urgent orders per status."""
+    return A.fraction_by(table(spark, sf_dir, "orders"), ["o_orderstatus"], {
+        "share_big": F.col("o_totalprice") > 200000,
+        "share_urgent": F.col("o_orderpriority") == "1-URGENT",
+    })
+
+
+@register("nominal_vs_actual")
+def nominal_vs_actual(spark, sf_dir):
+    """A3 + P10: each supplier's nominal span (dates of the orders it served) against its actual
+    ship-day span; nominal ends from 2001-06-01 on are replaced by the table's last ship day."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    nominal = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("l_suppkey").alias("key")).agg(
+        F.min(F.to_date("o_orderdate")).alias("nominal_begin"), F.max(F.to_date("o_orderdate")).alias("nominal_end"))
+    ext = A.extent(li.withColumnRenamed("l_suppkey", "key"), ["key"], "l_shipdate")
+    x = A.nominal_vs_actual(nominal.join(ext, "key"), "nominal_begin", "nominal_end")
+    last_all = li.agg(F.max(F.to_date("l_shipdate"))).first()[0]
+    return x.withColumn("capped_end", A.cap_end_date("nominal_end", "2001-06-01", F.lit(last_all)))
+
+
+def _city_year(spark, sf_dir):
+    """A6 -> A7 -> P9 -> A30: nation-year mean of supplier-year means that pass a coverage flag."""
+    p = supplier_panel(spark, sf_dir)
+    a = A.annual_stats(p, ["key"], "day", ["temp_mean"], stats=("mean",), count_cols=["temp_mean"], dense=False)
+    a = a.withColumn("qc", F.when(A.coverage_flag("count_temp_mean", 100.0, 0.6), F.col("mean_temp_mean")))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_nationkey")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city"))
+    x = a.join(s, "key").join(n, "s_nationkey")
+    return x.groupBy("city", "period").agg(F.avg("qc").alias("city_mean")).withColumn("year", F.year("period"))
+
+
+@register("group_trend")
+def group_trend(spark, sf_dir):
+    """OLS slope/intercept of the nation-year means over years (NULL years skipped)."""
+    return A.linear_trend(_city_year(spark, sf_dir), ["city"], "year", "city_mean")
+
+
+@register("group_corr")
+def group_corr(spark, sf_dir):
+    """Pearson correlation between nations over common years."""
+    return A.corr_matrix(_city_year(spark, sf_dir), "city", "period", "city_mean")
+
+
+@register("centered")
+def centered(spark, sf_dir):
+    """Nation-year means minus the nation's 1996 value."""
+    return A.center_on(_city_year(spark, sf_dir), ["city"], "period", "city_mean", "1996-01-01") \
+        .select("city", "period", "centered")
+
+
+@register("normalised")
+def normalised(spark, sf_dir):
+    """Nation-year means over the nation's maximum."""
+    return A.normalise_by_max(_city_year(spark, sf_dir), ["city"], "city_mean").select("city", "period", "normalised")
+
+
+@register("top_k")
+def top_k(spark, sf_dir):
+    """O3: the 5 largest orders (ties by key)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return A.top_k(o, 5, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@register("top_k_by_group")
+def top_k_by_group(spark, sf_dir):
+    """O3 by group: the 3 largest orders of each priority."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return A.top_k(o, 3, [F.col("o_totalprice").desc(), F.col("o_orderkey")], by=["o_orderpriority"])
+
+
+@register("row_at_max")
+def row_at_max(spark, sf_dir):
+    """The whole order row at the maximum price per status (ties: smallest key)."""
+    o = table(spark, sf_dir, "orders")
+    return A.row_at_max(o, "o_totalprice", by=["o_orderstatus"], tiebreak=["o_orderkey"])
+
+
+@register("longest_by_group")
+def longest_by_group(spark, sf_dir):
+    """Per nation, the best record length (orders / 365.25) of its customers."""
+    ext = A.extent(customer_panel(spark, sf_dir), ["key"], "day").withColumn(
+        "years", F.col("record_count") / F.lit(365.25))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey")
+    return A.best_per_group(ext.join(c, "key"), ["c_nationkey"], "years")
+
+
+@register("cross_field_checks")
+def cross_field_checks(spark, sf_dir):
+    """Q1: readings out of order (min > mean, mean > max) and a cross-column rule."""
+    p = supplier_panel(spark, sf_dir)
+    return Q.rule_violations(p, {
+        "min_gt_mean": F.col("temp_min") > F.col("temp_mean"),
+        "mean_gt_max": F.col("temp_mean") > F.col("temp_max"),
+        "mean_lt_precip": F.col("temp_mean") < F.col("precip"),
+    })
+
+
+@register("pressure_rule")
+def pressure_rule(spark, sf_dir):
+    """Q3: rule 'tax < discount' counted by flag, lines with discount < 0.02 excluded."""
+    li = table(spark, sf_dir, "lineitem").where(~(F.col("l_discount") < 0.02))
+    return A.value_counts(li.withColumn("violates", F.col("l_tax") < F.col("l_discount")), ["violates"])
+
+
+@register("duplicates")
+def duplicates(spark, sf_dir):
+    """Duplicate (order, line number) keys in lineitem."""
+    return A.duplicate_count(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("resolution_profile")
+def resolution_profile(spark, sf_dir):
+    """Q4: how often each per-supplier max / p75 / min of the reading count occurs."""
+    return Q.resolution_profile(supplier_panel(spark, sf_dir), ["key"], "temp_count")
+
+
+@register("filtered_coverage")
+def filtered_coverage(spark, sf_dir):
+    """Q5: mean readings kept where at least 2 lines were read that day, over expected days."""
+    return Q.filtered_coverage(supplier_panel(spark, sf_dir), ["key"], "day", "temp_mean", "temp_count", 2)
+
+
+@register("operating")
+def operating(spark, sf_dir):
+    """Q6: customers whose last order falls in 2001."""
+    return Q.last_year_is(customer_panel(spark, sf_dir), ["key"], "day", 2001)
+
+
+@register("pivot_wide")
+def pivot_wide(spark, sf_dir):
+    """V1: quantity per return flag, one column per ship year."""
+    li = table(spark, sf_dir, "lineitem").withColumn("yr", F.year("l_shipdate"))
+    return A.pivot_wide(li, ["l_returnflag"], "yr", F.sum("l_quantity"), list(range(1995, 2002)), prefix="y")
+
+
+@register("unpivot_long")
+def unpivot_long(spark, sf_dir):
+    """V2: the wide table back to (flag, year, quantity)."""
+    w = pivot_wide(spark, sf_dir)
+    long = A.unpivot_long(w, ["l_returnflag"], [f"y{y}" for y in range(1995, 2002)], "year", "qty")
+    return long.withColumn("year", F.substring("year", 2, 4).cast("int"))

@@ -351,3 +351,175 @@ WHERE starts_with(trim(p_name), 'small') OR starts_with(trim(p_name), 'red w')
    OR starts_with(trim(p_name), 'blue') OR starts_with(trim(p_name), 'hot r')
 """
 SQL["contains_text"] = "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')"
+
+
+SQL["describe_numeric"] = """
+WITH e AS (SELECT event_type, round(value * 100) AS cents FROM events)
+SELECT event_type, 'cents' AS column_name, count(cents) AS count, round(avg(cents), 4) AS mean,
+       round(stddev_samp(cents), 4) AS std, round(min(cents), 4) AS min,
+       round(quantile_cont(cents, 0.25), 4) AS p25, round(quantile_cont(cents, 0.5), 4) AS p50,
+       round(quantile_cont(cents, 0.75), 4) AS p75, round(max(cents), 4) AS max
+FROM e GROUP BY event_type
+"""
+SQL["describe_text"] = """
+WITH vc AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
+            WHERE o_orderpriority IS NOT NULL GROUP BY 1, 2)
+SELECT o_orderstatus, CAST(sum(n) AS BIGINT) AS n_values, count(*) AS n_unique,
+       first(o_orderpriority ORDER BY n DESC, o_orderpriority) AS top, max(n) AS freq
+FROM vc GROUP BY o_orderstatus
+"""
+SQL["value_counts"] = """
+SELECT l_returnflag, l_linestatus, count(*) AS "count",
+       round(count(*) / sum(count(*)) OVER (), 4) AS share
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2
+"""
+SQL["null_share"] = """
+SELECT l_returnflag,
+       round(avg(CASE WHEN coalesce(l_discount = 0, false) THEN 1.0 ELSE 0.0 END), 4) AS zero_share,
+       round(avg(CASE WHEN nullif(l_discount, 0.0) IS NULL THEN 1.0 ELSE 0.0 END), 4) AS null_share,
+       round(avg(CASE WHEN coalesce(l_quantity > 45, false) THEN 1.0 ELSE 0.0 END), 4) AS big_share
+FROM lineitem GROUP BY l_returnflag
+"""
+SQL["histogram"] = """
+WITH x AS (SELECT l_linestatus, CAST(l_quantity AS DOUBLE) AS v FROM lineitem WHERE l_quantity IS NOT NULL),
+c AS (SELECT l_linestatus, CAST(least(floor((v - 1.0) / 7.0), 6) AS INTEGER) AS bin, count(*) AS n
+      FROM x WHERE v >= 1.0 AND v <= 50.0 GROUP BY 1, 2),
+sp AS (SELECT l_linestatus, unnest(generate_series(0, 6)) AS bin FROM (SELECT DISTINCT l_linestatus FROM c)),
+d AS (SELECT sp.l_linestatus, sp.bin, coalesce(c.n, 0) AS n FROM sp LEFT JOIN c ON sp.l_linestatus = c.l_linestatus AND sp.bin = c.bin)
+SELECT l_linestatus, CAST(bin AS BIGINT) AS bin, round(CAST(1.0 + bin * 7.0 AS DOUBLE), 4) AS bin_lo, round(CAST(1.0 + (bin + 1) * 7.0 AS DOUBLE), 4) AS bin_hi,
+       CAST(n AS BIGINT) AS count, round(n / (sum(n) OVER (PARTITION BY l_linestatus) * 7.0), 4) AS density
+FROM d
+"""
+SQL["histogram_log"] = """
+WITH x AS (SELECT CASE WHEN CAST(l_extendedprice AS DOUBLE) > 0 THEN log10(CAST(l_extendedprice AS DOUBLE)) END AS v FROM lineitem),
+y AS (SELECT v FROM x WHERE v IS NOT NULL),
+r AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 20 AS w FROM y),
+c AS (SELECT CAST(least(floor((v - lo) / w), 19) AS INTEGER) AS bin, count(*) AS n FROM y, r
+      WHERE v >= lo AND v <= hi GROUP BY 1),
+sp AS (SELECT unnest(generate_series(0, 19)) AS bin)
+SELECT CAST(sp.bin AS BIGINT) AS bin, round(r.lo + sp.bin * r.w, 4) AS bin_lo, round(r.lo + (sp.bin + 1) * r.w, 4) AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM sp CROSS JOIN r LEFT JOIN c ON sp.bin = c.bin
+"""
+SQL["ecdf"] = """
+WITH x AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS v FROM lineitem WHERE l_quantity IS NOT NULL),
+c AS (SELECT l_returnflag, CAST(least(floor((v - 0.0) / 5.0), 9) AS INTEGER) AS bin, count(*) AS n
+      FROM x WHERE v >= 0.0 AND v <= 50.0 GROUP BY 1, 2),
+sp AS (SELECT l_returnflag, unnest(generate_series(0, 9)) AS bin FROM (SELECT DISTINCT l_returnflag FROM c)),
+d AS (SELECT sp.l_returnflag, sp.bin, coalesce(c.n, 0) AS n FROM sp LEFT JOIN c ON sp.l_returnflag = c.l_returnflag AND sp.bin = c.bin)
+SELECT l_returnflag, CAST(bin AS BIGINT) AS bin, round(CAST(bin * 5.0 AS DOUBLE), 4) AS bin_lo, round(CAST((bin + 1) * 5.0 AS DOUBLE), 4) AS bin_hi,
+       CAST(n AS BIGINT) AS count,
+       round(CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+             / sum(n) OVER (PARTITION BY l_returnflag), 4) AS cum_share
+FROM d
+"""
+SQL["fraction_over"] = """
+SELECT o_orderstatus,
+       round(avg(CASE WHEN coalesce(o_totalprice > 200000, false) THEN 1.0 ELSE 0.0 END), 4) AS share_big,
+       round(avg(CASE WHEN coalesce(o_orderpriority = '1-URGENT', false) THEN 1.0 ELSE 0.0 END), 4) AS share_urgent
+FROM orders GROUP BY o_orderstatus
+"""
+SQL["nominal_vs_actual"] = """
+WITH n AS (SELECT l_suppkey AS key, min(CAST(o_orderdate AS DATE)) AS nominal_begin, max(CAST(o_orderdate AS DATE)) AS nominal_end
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+e AS (SELECT l_suppkey AS key, min(CAST(l_shipdate AS DATE)) AS first_date, max(CAST(l_shipdate AS DATE)) AS last_date,
+             count(*) AS record_count FROM lineitem GROUP BY 1),
+g AS (SELECT max(CAST(l_shipdate AS DATE)) AS last_all FROM lineitem)
+SELECT n.key, CAST(nominal_begin AS VARCHAR) AS nominal_begin, CAST(nominal_end AS VARCHAR) AS nominal_end,
+       CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, record_count,
+       CAST(date_diff('day', nominal_begin, nominal_end) AS BIGINT) AS nominal_days,
+       CAST(date_diff('day', first_date, last_date) AS BIGINT) AS actual_days,
+       CAST(date_diff('day', nominal_begin, first_date) AS BIGINT) AS begin_diff_days,
+       CAST(date_diff('day', nominal_end, last_date) AS BIGINT) AS end_diff_days,
+       CAST(date_diff('day', first_date, last_date) - date_diff('day', nominal_begin, nominal_end) AS BIGINT) AS duration_diff_days,
+       CAST(CASE WHEN coalesce(nominal_end < DATE '2001-06-01', false) THEN nominal_end ELSE g.last_all END AS VARCHAR) AS capped_end
+FROM n JOIN e ON n.key = e.key CROSS JOIN g
+"""
+CITY_YEAR = f"""
+  WITH p AS ({SUPPLIER_PANEL}),
+  a AS (SELECT key, make_date(CAST(year(day) AS INTEGER), 1, 1) AS period, avg(temp_mean) AS m, count(temp_mean) AS n
+        FROM p GROUP BY 1, 2),
+  q AS (SELECT a.*, CASE WHEN n > 60.0 THEN m END AS qc FROM a)
+  SELECT n_name AS city, period, avg(qc) AS city_mean, year(period) AS year
+  FROM q JOIN supplier ON q.key = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  GROUP BY n_name, period
+"""
+SQL["group_trend"] = f"""
+SELECT city, round(regr_slope(city_mean, CAST(year AS DOUBLE)), 4) AS slope,
+       round(regr_intercept(city_mean, CAST(year AS DOUBLE)), 4) AS intercept,
+       CAST(regr_count(city_mean, CAST(year AS DOUBLE)) AS BIGINT) AS n_points
+FROM ({CITY_YEAR}) GROUP BY city
+"""
+SQL["group_corr"] = f"""
+WITH x AS (SELECT city, period, avg(city_mean) AS v FROM ({CITY_YEAR}) WHERE city_mean IS NOT NULL GROUP BY 1, 2)
+SELECT a.city AS group_a, b.city AS group_b, round(corr(a.v, b.v), 4) AS corr, count(*) AS n_common
+FROM x a JOIN x b ON a.period = b.period GROUP BY 1, 2
+"""
+SQL["centered"] = f"""
+WITH c AS ({CITY_YEAR}), b AS (SELECT city, max(city_mean) AS base FROM c WHERE period = DATE '1996-01-01' GROUP BY city)
+SELECT c.city, CAST(c.period AS VARCHAR) AS period, round(c.city_mean - b.base, 4) AS centered
+FROM c LEFT JOIN b ON c.city = b.city
+"""
+SQL["normalised"] = f"""
+WITH c AS ({CITY_YEAR}), m AS (SELECT city, max(city_mean) AS mx FROM c GROUP BY city)
+SELECT c.city, CAST(c.period AS VARCHAR) AS period, round(c.city_mean / nullif(m.mx, 0), 4) AS normalised
+FROM c LEFT JOIN m ON c.city = m.city
+"""
+SQL["top_k"] = """
+SELECT o_orderkey, o_custkey, round(o_totalprice, 4) AS o_totalprice FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 5
+"""
+SQL["top_k_by_group"] = """
+SELECT o_orderkey, o_orderpriority, round(o_totalprice, 4) AS o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
+WHERE rn <= 3
+"""
+SQL["row_at_max"] = """
+SELECT o_orderstatus, o_orderkey, o_custkey, round(o_totalprice, 4) AS o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
+WHERE rn = 1
+"""
+SQL["longest_by_group"] = f"""
+WITH e AS (SELECT key, count(*) / 365.25 AS years FROM ({CUSTOMER_PANEL}) GROUP BY key)
+SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, round(max(years), 4) AS best
+FROM e JOIN customer ON e.key = c_custkey GROUP BY c_nationkey
+"""
+SQL["cross_field_checks"] = f"""
+WITH p AS ({SUPPLIER_PANEL})
+SELECT count(*) AS "rows",
+       bool_or(coalesce(temp_min > temp_mean, false)) AS any_min_gt_mean,
+       count(*) FILTER (WHERE coalesce(temp_min > temp_mean, false)) AS n_min_gt_mean,
+       bool_or(coalesce(temp_mean > temp_max, false)) AS any_mean_gt_max,
+       count(*) FILTER (WHERE coalesce(temp_mean > temp_max, false)) AS n_mean_gt_max,
+       bool_or(coalesce(temp_mean < precip, false)) AS any_mean_lt_precip,
+       count(*) FILTER (WHERE coalesce(temp_mean < precip, false)) AS n_mean_lt_precip
+FROM p
+"""
+SQL["pressure_rule"] = """
+SELECT l_tax < l_discount AS violates, count(*) AS "count"
+FROM lineitem WHERE NOT coalesce(l_discount < 0.02, false) AND l_discount IS NOT NULL AND (l_tax < l_discount) IS NOT NULL
+GROUP BY 1
+"""
+SQL["duplicates"] = "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_rows FROM lineitem"
+SQL["resolution_profile"] = f"""
+WITH d AS (SELECT key, CAST(max(temp_count) AS DOUBLE) AS mx, quantile_cont(CAST(temp_count AS DOUBLE), 0.75) AS p75,
+                  CAST(min(temp_count) AS DOUBLE) AS mn FROM ({SUPPLIER_PANEL}) GROUP BY key),
+l AS (SELECT 'max' AS statistic, mx AS value FROM d UNION ALL SELECT 'p75', p75 FROM d UNION ALL SELECT 'min', mn FROM d)
+SELECT statistic, round(value, 4) AS value, count(*) AS "count" FROM l WHERE value IS NOT NULL GROUP BY 1, 2
+"""
+SQL["filtered_coverage"] = f"""
+SELECT key, count(CASE WHEN temp_count >= 2 THEN temp_mean END) AS kept,
+       round(count(CASE WHEN temp_count >= 2 THEN temp_mean END) / (date_diff('day', min(day), max(day)) + 1.0), 4) AS filtered_coverage
+FROM ({SUPPLIER_PANEL}) GROUP BY key
+"""
+SQL["operating"] = f"""
+SELECT key, CAST(max(day) AS VARCHAR) AS last_date, year(max(day)) = 2001 AS operating
+FROM ({CUSTOMER_PANEL}) GROUP BY key
+"""
+SQL["pivot_wide"] = "SELECT l_returnflag, " + ", ".join(
+    f"round(sum(l_quantity) FILTER (WHERE year(l_shipdate) = {y}), 4) AS y{y}" for y in range(1995, 2002)
+) + " FROM lineitem GROUP BY l_returnflag"
+SQL["unpivot_long"] = "SELECT l_returnflag, year, qty FROM (" + " UNION ALL ".join(
+    f"SELECT l_returnflag, CAST({y} AS BIGINT) AS year, round(sum(l_quantity) FILTER (WHERE year(l_shipdate) = {y}), 4) AS qty "
+    f"FROM lineitem GROUP BY l_returnflag" for y in range(1995, 2002)) + ")"
