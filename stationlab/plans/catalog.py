@@ -37,7 +37,7 @@ def annual_stats_dense(spark, sf_dir):
     """P16 + A6 + P11 + A7 on the supplier panel, dense over each supplier's years."""
     p = supplier_panel(spark, sf_dir).withColumns({
         "spread": daily_spread("temp_max", "temp_min"),
-        "frost": below_flag("temp_min", 32.0),
+        "frost": below_flag("temp_min", 250.0),
     })
     a = A.annual_stats(p, ["key"], "day", ["temp_mean", "temp_max", "temp_min", "spread", "precip"],
                        sum_cols=["frost"], count_cols=["temp_mean", "precip"])
@@ -512,3 +512,91 @@ def unpivot_long(spark, sf_dir):
     w = pivot_wide(spark, sf_dir)
     long = A.unpivot_long(w, ["l_returnflag"], [f"y{y}" for y in range(1995, 2002)], "year", "qty")
     return long.withColumn("year", F.substring("year", 2, 4).cast("int"))
+
+
+# --- splice continuity --------------------------------------------------------------------------
+from ..operators import continuity as SP  # noqa: E402
+
+SPLICE_YEARS = 3
+SPLICE_SAMPLES = 50
+SPLICE_SEED = 7
+
+
+def splice_groups(spark, sf_dir):
+    """S6 stand-in: customers grouped by nation, ordered by key."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("key"),
+                    F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"))
+
+
+@register("splice_pairs")
+def splice_pairs(spark, sf_dir):
+    """Consecutive customers of each nation as pairs."""
+    return SP.splice_pairs(splice_groups(spark, sf_dir), ["key"])
+
+
+@register("splice_order")
+def splice_order(spark, sf_dir):
+    """Which member of each pair ends first, the splice date, and ties."""
+    pairs = SP.splice_pairs(splice_groups(spark, sf_dir), ["key"])
+    return SP.splice_order(customer_panel(spark, sf_dir), pairs, ["key"], "day")
+
+
+@register("lookup_date")
+def lookup_date(spark, sf_dir):
+    """Each customer's first order on/after, last order on/before and nearest order to 1998-01-01."""
+    p = customer_panel(spark, sf_dir)
+    targets = p.select("key").distinct().withColumn("target", F.lit("1998-01-01").cast("date"))
+    out = targets
+    for m in ("bfill", "ffill", "nearest"):
+        out = out.join(TS.lookup_date(p, ["key"], "day", targets, "target", m, f"{m}_date").select("key", f"{m}_date"),
+                       "key")
+    return out
+
+
+def splice_panel(spark, sf_dir):
+    """Customer panel on log scale (log of the day's order value in cents, log of 1 + orders)."""
+    return customer_panel(spark, sf_dir).select("key", "day", F.ln("value").alias("value"),
+                                                F.ln(F.col("n_orders") + 1).alias("n_orders"))
+
+
+def _splice_bins(spark, sf_dir):
+    pairs = SP.splice_pairs(splice_groups(spark, sf_dir), ["key"])
+    return SP.splice_windows(splice_panel(spark, sf_dir), pairs, ["key"], "day", ["value", "n_orders"],
+                             window_years=SPLICE_YEARS)
+
+
+@register("splice_windows")
+def splice_windows(spark, sf_dir):
+    """3-year windows either side of each splice, 365-day bins from each side's end."""
+    return _splice_bins(spark, sf_dir)
+
+
+@register("splice_diff")
+def splice_diff(spark, sf_dir):
+    """C5 + C10: per pair and bootstrap sample, late - early of mean and std of the bin means."""
+    return SP.bootstrap_diff(SP.bootstrap_samples(_splice_bins(spark, sf_dir), ["value", "n_orders"],
+                                                  SPLICE_SAMPLES, SPLICE_SEED))
+
+
+@register("splice_bootstrap")
+def splice_bootstrap(spark, sf_dir):
+    """2.5/50/97.5 % quantiles of the bootstrapped differences, long form."""
+    diff = SP.bootstrap_diff(SP.bootstrap_samples(_splice_bins(spark, sf_dir), ["value", "n_orders"],
+                                                  SPLICE_SAMPLES, SPLICE_SEED))
+    return SP.bootstrap_ci(diff, (0.025, 0.5, 0.975))
+
+
+@register("splice_report")
+def splice_report(spark, sf_dir):
+    """The whole report, named by each pair's first station."""
+    return SP.splice_report(splice_panel(spark, sf_dir), splice_groups(spark, sf_dir), ["key"], "day", ["value"],
+                            window_years=SPLICE_YEARS, n_samples=SPLICE_SAMPLES, seed=SPLICE_SEED)
+
+
+@register("jitter_hist")
+def jitter_hist(spark, sf_dir):
+    """P20 -> A22: seeded jitter of quantities, then a 30-bin log histogram (no SQL oracle: the
+    noise comes from Spark's seeded generator)."""
+    li = C.jitter(table(spark, sf_dir, "lineitem"), "l_quantity", seed=11, out="jq")
+    return A.histogram(li, "jq", 30, log10=True)

@@ -2,7 +2,8 @@
 
 Stand-ins for station data (all read in full, no sampling):
 - supplier panel: ``lineitem`` reduced to one row per (supplier, ship day) -- a daily series per
-  "station" with mean/max/min readings, a reading count and a sparse "precipitation" value
+  "station" with mean/max/min readings in integer tenths (as station records store them), a
+  reading count and a sparse "precipitation" value
   (sum of non-zero discounts in whole percent, NULL on days whose discounts are all zero);
   measures are kept integer-valued so sums are exact in any order and in any engine;
 - customer panel: ``orders`` per (customer, order day) -- a sparse series with gap years;
@@ -25,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("key"), as_date("l_shipdate").alias("day")).agg(
-        F.avg("l_quantity").alias("temp_mean"),
-        F.max("l_quantity").alias("temp_max"),
-        F.min("l_quantity").alias("temp_min"),
+        F.round(F.avg("l_quantity") * 10).alias("temp_mean"),
+        (F.max("l_quantity") * 10).alias("temp_max"),
+        (F.min("l_quantity") * 10).alias("temp_min"),
         F.count(F.lit(1)).alias("temp_count"),
         F.sum(F.nullif(F.round(F.col("l_discount") * 100), F.lit(0.0))).alias("precip"),
     )

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 SUPPLIER_PANEL = """
   SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day,
-         avg(l_quantity) AS temp_mean, max(l_quantity) AS temp_max, min(l_quantity) AS temp_min,
+         round(avg(l_quantity) * 10) AS temp_mean, max(l_quantity) * 10 AS temp_max, min(l_quantity) * 10 AS temp_min,
          count(*) AS temp_count, sum(nullif(round(l_discount * 100), 0.0)) AS precip
   FROM lineitem GROUP BY 1, 2
 """
@@ -48,7 +48,7 @@ for _c in _A6_COLS:
         _a6_out.append(r4(_e, f"{_s}_{_c}"))
 SQL["annual_stats_dense"] = f"""
 WITH panel AS ({SUPPLIER_PANEL}),
-x AS (SELECT *, temp_max - temp_min AS spread, CASE WHEN temp_min <= 32 THEN 1 ELSE 0 END AS frost FROM panel),
+x AS (SELECT *, temp_max - temp_min AS spread, CASE WHEN temp_min <= 250 THEN 1 ELSE 0 END AS frost FROM panel),
 py AS (SELECT key, year(day) AS yr,
        {_a6_aggs},
        sum(frost) AS sum_frost, count(temp_mean) AS count_temp_mean, count(precip) AS count_precip
@@ -523,3 +523,139 @@ SQL["pivot_wide"] = "SELECT l_returnflag, " + ", ".join(
 SQL["unpivot_long"] = "SELECT l_returnflag, year, qty FROM (" + " UNION ALL ".join(
     f"SELECT l_returnflag, CAST({y} AS BIGINT) AS year, round(sum(l_quantity) FILTER (WHERE year(l_shipdate) = {y}), 4) AS qty "
     f"FROM lineitem GROUP BY l_returnflag" for y in range(1995, 2002)) + ")"
+
+
+SPLICE_YEARS = 3
+SPLICE_SAMPLES = 50
+SPLICE_SEED = 7
+
+SPLICE_PAIRS = """
+  SELECT * FROM (
+    SELECT c_nationkey AS group_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pair_no, c_custkey AS a_key,
+           lead(c_custkey) OVER w AS b_key
+    FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey, c_custkey)) WHERE b_key IS NOT NULL
+"""
+SQL["splice_pairs"] = f"SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no, a_key, b_key FROM ({SPLICE_PAIRS})"
+
+SPLICE_ORDER = f"""
+  WITH pr AS ({SPLICE_PAIRS}),
+  mem AS (SELECT group_id, pair_no, 0 AS member, a_key AS key FROM pr UNION ALL
+          SELECT group_id, pair_no, 1 AS member, b_key AS key FROM pr),
+  ext AS (SELECT key, min(day) AS first_date, max(day) AS last_date FROM ({CUSTOMER_PANEL}) GROUP BY key),
+  m AS (SELECT mem.*, ext.last_date,
+               row_number() OVER (PARTITION BY group_id, pair_no ORDER BY last_date, member) - 1 AS rnk
+        FROM mem JOIN ext ON mem.key = ext.key)
+  SELECT group_id, pair_no, max(CASE WHEN rnk = 0 THEN member END) AS early_member,
+         min(CASE WHEN rnk = 0 THEN last_date END) AS splice_date, min(last_date) = max(last_date) AS tie
+  FROM m GROUP BY group_id, pair_no HAVING count(*) = 2
+"""
+SQL["splice_order"] = f"""
+SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no, CAST(early_member AS BIGINT) AS early_member,
+       CAST(splice_date AS VARCHAR) AS splice_date, tie FROM ({SPLICE_ORDER})
+"""
+
+SQL["lookup_date"] = f"""
+WITH p AS ({CUSTOMER_PANEL})
+SELECT key, '1998-01-01' AS target,
+       CAST(min(CASE WHEN day >= DATE '1998-01-01' THEN day END) AS VARCHAR) AS bfill_date,
+       CAST(max(CASE WHEN day <= DATE '1998-01-01' THEN day END) AS VARCHAR) AS ffill_date,
+       CAST(first(day ORDER BY abs(date_diff('day', DATE '1998-01-01', day)), day) AS VARCHAR) AS nearest_date
+FROM p GROUP BY key
+"""
+
+SPLICE_BINS = f"""
+  WITH o AS ({SPLICE_ORDER}), pr AS ({SPLICE_PAIRS}),
+  mem AS (SELECT group_id, pair_no, 0 AS member, a_key AS key FROM pr UNION ALL
+          SELECT group_id, pair_no, 1 AS member, b_key AS key FROM pr),
+  r0 AS (SELECT mem.group_id, mem.pair_no, CASE WHEN mem.member = o.early_member THEN 'early' ELSE 'late' END AS side,
+                p.day, ln(p.value) AS value, ln(p.n_orders + 1) AS n_orders, o.splice_date
+         FROM mem JOIN ({CUSTOMER_PANEL}) p ON mem.key = p.key
+         JOIN o ON mem.group_id = o.group_id AND mem.pair_no = o.pair_no),
+  r1 AS (SELECT * FROM r0 WHERE side = 'early' OR day >= splice_date),
+  e1 AS (SELECT group_id, pair_no, side, min(day) AS lo, max(day) AS hi FROM r1 GROUP BY 1, 2, 3),
+  r2 AS (SELECT r1.* FROM r1 JOIN e1 USING (group_id, pair_no, side)
+         WHERE CASE WHEN side = 'early' THEN day >= hi - INTERVAL {SPLICE_YEARS * 365 - 1} DAY
+                    ELSE day <= lo + INTERVAL {SPLICE_YEARS * 365 - 1} DAY END),
+  a AS (SELECT group_id, pair_no, side, max(day) AS anchor, min(day) AS first FROM r2 GROUP BY 1, 2, 3),
+  mb AS (SELECT r2.group_id, r2.pair_no, r2.side, CAST(floor(date_diff('day', r2.day, a.anchor) / 365) AS INTEGER) AS bin,
+                avg(r2.value) AS value, avg(r2.n_orders) AS n_orders
+         FROM r2 JOIN a USING (group_id, pair_no, side) GROUP BY 1, 2, 3, 4),
+  nb AS (SELECT a.*, CAST(floor(date_diff('day', first, anchor) / 365) AS INTEGER) + 1 AS n_bins FROM a),
+  sp AS (SELECT group_id, pair_no, side, n_bins, anchor, unnest(generate_series(0, n_bins - 1)) AS bin FROM nb)
+  SELECT sp.group_id, sp.pair_no, sp.side, sp.bin, CAST(sp.anchor - INTERVAL (sp.bin * 365) DAY AS DATE) AS bin_end,
+         sp.n_bins, mb.value, mb.n_orders
+  FROM sp LEFT JOIN mb ON sp.group_id = mb.group_id AND sp.pair_no = mb.pair_no AND sp.side = mb.side AND sp.bin = mb.bin
+"""
+SQL["splice_windows"] = f"""
+SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no, side, CAST(bin AS BIGINT) AS bin,
+       CAST(bin_end AS VARCHAR) AS bin_end, CAST(n_bins AS BIGINT) AS n_bins, round(value, 4) AS value,
+       round(n_orders, 4) AS n_orders
+FROM ({SPLICE_BINS})
+"""
+
+SPLICE_DIFF = f"""
+  WITH b AS ({SPLICE_BINS}),
+  sd AS (SELECT DISTINCT group_id, pair_no, side, n_bins FROM b),
+  dr AS (SELECT sd.*, s.sample, d.draw FROM sd,
+         (SELECT unnest(generate_series(1, {SPLICE_SAMPLES})) AS sample) s,
+         LATERAL (SELECT unnest(generate_series(0, sd.n_bins - 1)) AS draw) d),
+  di AS (SELECT dr.*, (CAST(('0x' || substr(md5(concat_ws('|', '{SPLICE_SEED}', group_id, pair_no, side, sample, draw)), 1, 8))
+                      AS BIGINT) % n_bins) AS bin2 FROM dr),
+  x AS (SELECT di.group_id, di.pair_no, di.side, di.sample, b.value, b.n_orders
+        FROM di LEFT JOIN b ON di.group_id = b.group_id AND di.pair_no = b.pair_no AND di.side = b.side AND di.bin2 = b.bin),
+  st AS (SELECT group_id, pair_no, side, sample, avg(value) AS vm, stddev_samp(value) AS vs,
+                avg(n_orders) AS nm, stddev_samp(n_orders) AS ns FROM x GROUP BY 1, 2, 3, 4)
+  SELECT group_id, pair_no, sample,
+         max(CASE WHEN side = 'late' THEN vm END) - max(CASE WHEN side = 'early' THEN vm END) AS value__mean,
+         max(CASE WHEN side = 'late' THEN vs END) - max(CASE WHEN side = 'early' THEN vs END) AS value__std,
+         max(CASE WHEN side = 'late' THEN nm END) - max(CASE WHEN side = 'early' THEN nm END) AS n_orders__mean,
+         max(CASE WHEN side = 'late' THEN ns END) - max(CASE WHEN side = 'early' THEN ns END) AS n_orders__std
+  FROM st GROUP BY 1, 2, 3
+"""
+SQL["splice_diff"] = f"""
+SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no, CAST(sample AS BIGINT) AS sample,
+       round(value__mean, 4) AS value__mean, round(value__std, 4) AS value__std,
+       round(n_orders__mean, 4) AS n_orders__mean, round(n_orders__std, 4) AS n_orders__std
+FROM ({SPLICE_DIFF})
+"""
+SQL["splice_bootstrap"] = f"""
+WITH d AS ({SPLICE_DIFF}),
+l AS (SELECT group_id, pair_no, 'value' AS measure, 'mean' AS statistic, value__mean AS v FROM d UNION ALL
+      SELECT group_id, pair_no, 'value', 'std', value__std FROM d UNION ALL
+      SELECT group_id, pair_no, 'n_orders', 'mean', n_orders__mean FROM d UNION ALL
+      SELECT group_id, pair_no, 'n_orders', 'std', n_orders__std FROM d)
+SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no, measure, statistic,
+       round(quantile_cont(v, 0.025), 4) AS q_2_5, round(quantile_cont(v, 0.5), 4) AS q_50,
+       round(quantile_cont(v, 0.975), 4) AS q_97_5
+FROM l GROUP BY 1, 2, 3, 4
+"""
+
+
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(0.0 + round(...))``: DuckDB keeps the sign of a rounded
+    tiny negative (-0.0) where Spark returns 0.0, and IEEE addition of +0.0 clears it."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("(0.0 + round(" + _positive_zero(sql[j + len(key):k]) + "))")
+        i = k + 1
+
+
+SQL = {name: _positive_zero(q) for name, q in SQL.items()}
