@@ -111,16 +111,19 @@ def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int
     """Per (pair, side) and sample 1..n_samples, draw n_bins bins with replacement (empty bins
     can be drawn and are skipped by the statistics) and compute each statistic of each column.
 
-    Draws are generated as rows (samples x n_bins per side, bounded by n_samples and the window),
-    joined to the bin means on (pair, side, bin), and aggregated per sample."""
-    sides = bins.select(*PAIR, "side", "n_bins").distinct()
-    draws = sides.select(*PAIR, "side", "n_bins",
-                         F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample")) \
+    Each side's bin means travel as one sorted array (at most ``window_years`` entries, so the
+    collected group is bounded); draws are exploded next to it and read by index, so no join is
+    needed.  All draws of one (side, sample) are generated in one task, so the partial aggregate
+    sends one row per (side, sample) to the shuffle."""
+    per_side = bins.groupBy(*PAIR, "side").agg(
+        F.max("n_bins").alias("n_bins"),
+        F.sort_array(F.collect_list(F.struct("bin", *value_cols))).alias("_arr"))
+    draws = per_side.select(*PAIR, "side", "n_bins", "_arr",
+                            F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("draw"))
-    draws = draws.withColumn("bin", hash_draw("n_bins", F.lit(seed), "group_id", "pair_no", "side", "sample", "draw")
-                             .cast("int"))
-    vals = bins.select(*PAIR, "side", "bin", *value_cols)
-    x = draws.join(vals, PAIR + ["side", "bin"], "left")
+    idx = hash_draw("n_bins", F.lit(seed), "group_id", "pair_no", "side", "sample", "draw").cast("int")
+    picked = F.element_at(F.col("_arr"), idx + 1)
+    x = draws.select(*PAIR, "side", "sample", *[picked[c].alias(c) for c in value_cols])
     funcs = {"mean": F.avg, "std": F.stddev_samp}
     aggs = [funcs[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]
     return x.groupBy(*PAIR, "side", "sample").agg(*aggs)

@@ -2,8 +2,9 @@
 counts and name matching (J1, J2, J9, P6, P7, P14, P15).
 
 The city list is a small reference table.  Its size is checked (``max_cities``) and it is then
-carried as a literal array column, so each station row computes its distances on its own: no
-join, no shuffle, and the nearest city is a per-row ``array_min`` instead of a grouped min.
+carried as literals, so each station row computes its distances on its own: no join and, for a
+short list, no shuffle -- the nearest city is one ``least`` over literal structs.  No
+higher-order lambda is used: those run outside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ def _k(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def city_array(cities: DataFrame, name: str = "city", lat: str = "latitude", lon: str = "longitude",
-               max_cities: int = MAX_CITIES) -> Column:
-    """The reference points as one literal ``array<struct<city, lat, lon>>`` column.
+def city_rows(cities: DataFrame, name: str = "city", lat: str = "latitude", lon: str = "longitude",
+              max_cities: int = MAX_CITIES) -> list[tuple]:
+    """The reference points as (name, lat, lon) tuples, after checking the table is a short list.
 
     Raises if the table has more than ``max_cities`` rows: a larger point set is not a
     reference list, and :func:`within_radius` (a grid equi-join) is the operator for it."""
@@ -33,28 +34,47 @@ def city_array(cities: DataFrame, name: str = "city", lat: str = "latitude", lon
         .limit(max_cities + 1).collect()
     if len(rows) > max_cities:
         raise ValueError(f"city table has more than {max_cities} rows; use within_radius for large point sets")
-    items = [F.struct(F.lit(c).cast("string").alias("city"), F.lit(a).cast("double").alias("lat"),
-                      F.lit(o).cast("double").alias("lon")) for c, a, o in rows]
-    return F.array(*items)
+    return [tuple(r) for r in rows]
+
+
+def city_array(rows: Sequence[tuple]) -> Column:
+    """The reference points as one literal ``array<struct<city, lat, lon>>`` column."""
+    return F.array(*[F.struct(F.lit(c).cast("string").alias("city"), F.lit(a).cast("double").alias("lat"),
+                              F.lit(o).cast("double").alias("lon")) for c, a, o in rows])
 
 
 def distance_pairs(stations: DataFrame, cities: DataFrame, lat: str = "latitude", lon: str = "longitude",
                    city_name: str = "city") -> DataFrame:
     """One row per (station, city) with the great-circle distance in km."""
-    arr = city_array(cities, city_name)
-    x = stations.withColumn("_c", F.explode(arr))
+    x = stations.withColumn("_c", F.explode(city_array(city_rows(cities, city_name))))
     return x.withColumn(city_name, F.col("_c.city")).withColumn(
         "distance_km", haversine_km(lat, lon, F.col("_c.lat"), F.col("_c.lon"))).drop("_c")
 
 
 def nearest_city(stations: DataFrame, cities: DataFrame, lat: str = "latitude", lon: str = "longitude",
-                 city_name: str = "city", out_city: str = "nearest_city", out_dist: str = "distance_km") -> DataFrame:
-    """The nearest city and its distance per station row.  Ties go to the smaller city name;
-    a station without coordinates gets NULL city and distance."""
-    arr = city_array(cities, city_name)
-    best = F.array_min(F.transform(arr, lambda c: F.struct(
-        haversine_km(F.col(lat), F.col(lon), c["lat"], c["lon"]).alias("d"), c["city"].alias("c"))))
-    x = stations.withColumn("_best", best)
+                 city_name: str = "city", out_city: str = "nearest_city", out_dist: str = "distance_km",
+                 keys: Sequence[str] | None = None) -> DataFrame:
+    """The nearest city and its distance per station.  Ties go to the smaller city name; a
+    station without coordinates gets NULL city and distance.
+
+    With station ``keys`` (the normal case): every (station, city) distance from an explode over
+    the literal city list, reduced per station with ``min(struct(distance, city))``.  The rows of
+    one station are generated inside one task, so the partial aggregate sends one row per station
+    to the shuffle; the result is joined back to the stations on their keys.  Without keys the
+    minimum is one ``least`` over the literal structs per row (for short lists)."""
+    rows = city_rows(cities, city_name)
+    if keys is None:
+        if len(rows) > 64:
+            raise ValueError("pass keys= for city lists longer than 64")
+        cands = [F.struct(haversine_km(lat, lon, F.lit(a), F.lit(o)).alias("d"), F.lit(c).cast("string").alias("c"))
+                 for c, a, o in rows]
+        x = stations.withColumn("_best", cands[0] if len(cands) == 1 else F.least(*cands))
+    else:
+        k = list(keys)
+        pairs = stations.select(*k, lat, lon).withColumn("_c", F.explode(city_array(rows)))
+        d = haversine_km(lat, lon, F.col("_c.lat"), F.col("_c.lon"))
+        per = pairs.groupBy(*k).agg(F.min(F.struct(d.alias("d"), F.col("_c.city").alias("c"))).alias("_best"))
+        x = stations.join(per, k, "left")
     ok = F.col("_best.d").isNotNull()
     return x.withColumn(out_city, F.when(ok, F.col("_best.c"))).withColumn(out_dist, F.col("_best.d")).drop("_best")
 

@@ -183,14 +183,14 @@ def distance_pairs(spark, sf_dir):
 @register("nearest_city")
 def nearest_city(spark, sf_dir):
     """Nearest nation-city per supplier (ties by name)."""
-    return ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir)) \
+    return ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir), keys=["key"]) \
         .select("key", "nearest_city", "distance_km")
 
 
 @register("near_and_long")
 def near_and_long(spark, sf_dir):
     """J2 + A1 + A5 + P6: suppliers within 300 km of a city whose series spans >= 6.5 years."""
-    st = ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir))
+    st = ST.nearest_city(supplier_stations(spark, sf_dir), cities(spark, sf_dir), keys=["key"])
     ext = A.extent(supplier_panel(spark, sf_dir), ["key"], "day")
     x = st.join(ext, "key").withColumn("duration_years", A.duration_years("first_date", "last_date"))
     return ST.near_and_long(x, 300.0, 6.5).select("key", "nearest_city", "distance_km", "duration_years")
