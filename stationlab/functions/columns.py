@@ -63,7 +63,8 @@ def haversine_km(lat1: ColumnOrName, lon1: ColumnOrName, lat2: ColumnOrName, lon
     dphi = p2 - p1
     dlmb = F.radians(col(lon2)) - F.radians(col(lon1))
     h = F.pow(F.sin(dphi / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlmb / 2), 2)
-    return F.lit(2.0 * radius_km) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # clamp round-off above 1 (asin domain); a NULL coordinate must stay NULL, which rules out least()
+    return F.lit(2.0 * radius_km) * F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h)))
 
 
 def days_between(start: ColumnOrName, end: ColumnOrName) -> Column:

@@ -225,7 +225,7 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     p1, p2 = f"radians({lat1})", f"radians({lat2})"
     h = (f"pow(sin(({p2} - {p1}) / 2), 2) + cos({p1}) * cos({p2}) * "
          f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)")
-    return f"({2 * 6371.0!r} * asin(sqrt(least({h}, 1.0))))"
+    return f"({2 * 6371.0!r} * asin(sqrt(CASE WHEN ({h}) > 1.0 THEN 1.0 ELSE ({h}) END)))"
 
 
 PAIRS = f"""
