@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, hash_draw
-from ..plans.physical import attach
+from ..plans.physical import attach, materialize
 
 PAIR = ["group_id", "pair_no"]
 
@@ -46,10 +46,11 @@ def pair_members(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.unionByName(b)
 
 
-def splice_sides(daily: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def splice_sides(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], n_pairs: int | None = None) -> DataFrame:
     """The daily rows of every pair member, tagged with (group_id, pair_no, member).
     A station in two pairs (the middle of a triple) appears once per pair."""
-    return attach(daily, pair_members(pairs, keys), _k(keys))
+    bound = None if n_pairs is None else 2 * n_pairs
+    return attach(daily, pair_members(pairs, keys), _k(keys), bound=bound)
 
 
 def splice_order(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date_col: str) -> DataFrame:
@@ -81,22 +82,30 @@ def splice_windows(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date
     value column."""
     k = _k(keys)
     span = window_years * 365 - 1
-    order = splice_order(daily, pairs, k, date_col)
-    rows = splice_sides(daily.select(*k, as_date(date_col).alias("_d"), *value_cols), pairs, k)
-    rows = attach(rows, order, PAIR)
+    # The pair list is a short input: count it once; every per-pair table below has at most
+    # 2 x n_pairs rows, a proven bound, so those tables are broadcast without re-counting.
+    n_pairs = pairs.count()
+    bound = 2 * n_pairs
+    daily = daily.select(*k, as_date(date_col).alias("_d"), *value_cols)
+    order = splice_order(daily, pairs, k, "_d")
+    rows = splice_sides(daily, pairs, k, n_pairs)
+    rows = attach(rows, order, PAIR, bound=bound)
     side = F.when(F.col("member") == F.col("early_member"), F.lit("early")).otherwise(F.lit("late"))
     rows = rows.withColumn("side", side)
     # The late side starts at the splice date (its first date >= splice date)
     rows = rows.where((F.col("side") == "early") | (F.col("_d") >= F.col("splice_date")))
+    # The paired stations' rows are a small slice of the data and are read by the three passes
+    # below: write them once to the checkpoint folder instead of re-deriving them from the source.
+    rows = materialize(rows.select(*PAIR, "side", "_d", *value_cols))
     # Window at the far end of each side; anchors from per-(pair, side) aggregates
     ends = rows.groupBy(*PAIR, "side").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    rows = attach(rows, ends, PAIR + ["side"])
+    rows = attach(rows, ends, PAIR + ["side"], bound=bound)
     in_win = F.when(F.col("side") == "early", F.col("_d") >= F.date_sub(F.col("_hi"), span)) \
         .otherwise(F.col("_d") <= F.date_add(F.col("_lo"), span))
     rows = rows.where(in_win).drop("_lo", "_hi")
     # C4: bins counted back from the last date present in the window
     anchor = rows.groupBy(*PAIR, "side").agg(F.max("_d").alias("_anchor"), F.min("_d").alias("_first"))
-    rows = attach(rows, anchor, PAIR + ["side"])
+    rows = attach(rows, anchor, PAIR + ["side"], bound=bound)
     b = F.floor(F.datediff(F.col("_anchor"), F.col("_d")) / F.lit(bin_days)).cast("int")
     means = rows.groupBy(*PAIR, "side", b.alias("bin")).agg(*[F.avg(c).alias(c) for c in value_cols])
     nb = anchor.withColumn("n_bins", F.floor(F.datediff("_anchor", "_first") / F.lit(bin_days)).cast("int") + 1)
@@ -118,6 +127,10 @@ def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int
     per_side = bins.groupBy(*PAIR, "side").agg(
         F.max("n_bins").alias("n_bins"),
         F.sort_array(F.collect_list(F.struct("bin", *value_cols))).alias("_arr"))
+    # The per-side table is small but each row expands into n_samples x n_bins draws: spread it
+    # over the cluster before expanding, or AQE coalesces it into one partition and one task.
+    sc = bins.sparkSession.sparkContext
+    per_side = per_side.repartition(max(sc.defaultParallelism, 1) * 2, *PAIR, "side")
     draws = per_side.select(*PAIR, "side", "n_bins", "_arr",
                             F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("draw"))

@@ -45,9 +45,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool
 
 
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-           max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True) -> DataFrame:
-    """Join a per-key (or otherwise small) table onto a big one with a size-checked broadcast."""
-    return big.join(small_side(small, max_rows, persist), on=list(on) if not isinstance(on, str) else on, how=how)
+           max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True, bound: int | None = None) -> DataFrame:
+    """Join a per-key (or otherwise small) table onto a big one with a size-checked broadcast.
+
+    ``bound`` is an upper bound on the small side's rows that the caller has already proven
+    (e.g. a per-pair table is at most 2 x the counted pair list): under ``max_rows`` it is
+    broadcast directly, without materialising or counting it again."""
+    on = list(on) if not isinstance(on, str) else on
+    if bound is not None and bound <= max_rows:
+        return big.join(F.broadcast(small), on=on, how=how)
+    return big.join(small_side(small, max_rows, persist), on=on, how=how)
 
 
 def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
