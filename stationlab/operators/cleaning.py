@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, keep_if, sentinel_to_null, true_or_false
-from ..plans.physical import attach, small_side
+from ..plans.physical import attach, materialize, small_side
 
 Keys = Sequence[str]
 
@@ -232,6 +232,24 @@ def remove_before_if_gap(df: DataFrame, keys: Keys, date_col: str, cutoff: str =
 
 
 # A12-A14 ---------------------------------------------------------------------------------------
+def _zscore_from_year_sums(per_year: DataFrame, key_list: DataFrame, k: list[str], year: int, min_rows: int,
+                           guard_zero_std: bool = True) -> DataFrame:
+    """A12 from (key, _yr, _s = Jan..last_month total, _rows = rows in those months) per year."""
+    span = per_year.where(F.col("_yr") == F.lit(year)).select(*k, F.col("_rows").alias("span_rows"),
+                                                             F.col("_s").alias("span_sum"))
+    later = per_year.where((F.col("_yr") > F.lit(year)) & (F.col("_rows") > 0))
+    bounds = later.groupBy(*k).agg(F.min("_yr").alias("_lo"), F.max("_yr").alias("_hi"))
+    spine = bounds.select(*k, F.explode(F.sequence("_lo", "_hi")).alias("_yr"))
+    dense = spine.join(later.select(*k, "_yr", "_s"), k + ["_yr"], "left").fillna({"_s": 0.0})
+    stats = dense.groupBy(*k).agg(F.avg("_s").alias("later_mean"), F.stddev_samp("_s").alias("later_std"))
+    per_key = key_list.join(span, k, "left").join(stats, k, "left").fillna({"span_rows": 0})
+    ok = (F.col("span_rows") >= F.lit(min_rows)) & F.col("later_std").isNotNull()
+    if guard_zero_std:
+        ok = ok & (F.col("later_std") != 0)
+    z = F.when(ok, F.try_divide(F.col("span_sum") - F.col("later_mean"), F.col("later_std")))
+    return per_key.select(*k, "span_rows", "span_sum", "later_mean", "later_std", z.alias("zscore"))
+
+
 def anomaly_zscore(df: DataFrame, keys: Keys, date_col: str, value_col: str, year: int = 1973, last_month: int = 5,
                    min_rows: int = 100, guard_zero_std: bool = True) -> DataFrame:
     """Z-score of one early span's total against the same months of every later year.
@@ -250,20 +268,7 @@ def anomaly_zscore(df: DataFrame, keys: Keys, date_col: str, value_col: str, yea
     per_year = (df.where((F.month(date_col) <= F.lit(last_month)) & (y >= F.lit(year)))
                   .groupBy(*k, y.alias("_yr"))
                   .agg(F.coalesce(F.sum(value_col), F.lit(0.0)).alias("_s"), F.count(F.lit(1)).alias("_rows")))
-    span = per_year.where(F.col("_yr") == F.lit(year)).select(*k, F.col("_rows").alias("span_rows"),
-                                                             F.col("_s").alias("span_sum"))
-    later = per_year.where(F.col("_yr") > F.lit(year))
-    bounds = later.groupBy(*k).agg(F.min("_yr").alias("_lo"), F.max("_yr").alias("_hi"))
-    spine = bounds.select(*k, F.explode(F.sequence("_lo", "_hi")).alias("_yr"))
-    dense = spine.join(later.select(*k, "_yr", "_s"), k + ["_yr"], "left").fillna({"_s": 0.0})
-    stats = dense.groupBy(*k).agg(F.avg("_s").alias("later_mean"), F.stddev_samp("_s").alias("later_std"))
-    per_key = df.select(*k).distinct().join(span, k, "left").join(stats, k, "left")
-    per_key = per_key.fillna({"span_rows": 0})
-    ok = (F.col("span_rows") >= F.lit(min_rows)) & F.col("later_std").isNotNull()
-    if guard_zero_std:
-        ok = ok & (F.col("later_std") != 0)
-    z = F.when(ok, F.try_divide(F.col("span_sum") - F.col("later_mean"), F.col("later_std")))
-    return per_key.select(*k, "span_rows", "span_sum", "later_mean", "later_std", z.alias("zscore"))
+    return _zscore_from_year_sums(per_year, df.select(*k).distinct(), k, year, min_rows, guard_zero_std)
 
 
 def remove_anomalous_span(df: DataFrame, keys: Keys, date_col: str, value_col: str, year: int = 1973,
@@ -307,3 +312,78 @@ def ratio_flags(df: DataFrame, keys: Keys, date_col: str, value_col: str, thresh
     if min_value is not None:
         out = out.where(F.col(value_col) > F.lit(min_value))
     return out.drop("_nz")
+
+
+# L4 + L5 in two passes -------------------------------------------------------------------------
+def clean_dataset(df: DataFrame, keys: Keys, date_col: str, value_col: str, points: DataFrame | None = None,
+                  years: DataFrame | None = None, dropped: DataFrame | None = None, points_date: str | None = None,
+                  year_col: str = "year", min_count: float = 365 * 0.9, max_sum: float = 1.0,
+                  z_year: int = 1973, z_last_month: int = 5, z_threshold: float = 5.0, z_min_rows: int = 100,
+                  gap_first: int = 1970, gap_last: int = 1977, gap_cutoff: str = "1973-01-01") -> DataFrame:
+    """The whole cleaning chain with two passes over the daily rows:
+
+    drop listed keys (J6) -> NULL the value at listed points, in listed years and in implausible
+    years judged on the input (J7, J8, A9) -> drop the early span of keys whose z-score on the
+    nulled values exceeds the threshold (A12, A13) -> drop rows before the cutoff for keys with a
+    gap in [gap_first, gap_last] counted after that removal (A10, A11).
+
+    Pass 1 reduces the rows to one summary row per (key, year) -- non-null count and total of the
+    input, the Jan..z_last_month total with and without the listed points, row counts -- from which
+    every decision follows on small tables.  Pass 2 applies the decisions to the rows through a
+    size-checked broadcast of the per-(key, year) decision table.  Same result as composing
+    :func:`null_excluded`, :func:`remove_anomalous_span`, :func:`drop_keys` and
+    :func:`remove_before_if_gap`, which re-read the rows once per rule.
+    """
+    k = _k(keys)
+    x = df if dropped is None else drop_keys(df, dropped, k)
+    x = x.withColumns({"_y": F.year(date_col), "_m": F.month(date_col), "_d": as_date(date_col)})
+    if points is not None:
+        x = attach(x, _point_flags(points, k, points_date or date_col), k + ["_d"], "left")
+    else:
+        x = x.withColumn("_pt", F.lit(None).cast("boolean"))
+    v = F.col(value_col)
+    in_m = F.col("_m") <= F.lit(z_last_month)
+    at_pt = F.col("_pt").isNotNull()
+    # pass 1: one row per (key, year)
+    summary = x.groupBy(*k, "_y").agg(
+        F.count(v).alias("n_values"),
+        F.coalesce(F.sum(v), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.when(in_m, v)), F.lit(0.0)).alias("part_total"),
+        F.coalesce(F.sum(F.when(in_m & at_pt, v)), F.lit(0.0)).alias("part_at_points"),
+        F.count(F.when(in_m, F.lit(1))).alias("part_rows"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    summary = materialize(summary)
+    implausible = (F.col("n_values") >= F.lit(min_count)) & (F.col("total") < F.lit(max_sum))
+    if years is not None:
+        listed = _year_flags(years, k, year_col).withColumnRenamed("_yr", "_listed")
+        summary = summary.join(listed, k + ["_y"], "left")
+        null_year = implausible | F.col("_listed").isNotNull()
+    else:
+        null_year = implausible
+    summary = summary.withColumn("null_year", null_year)
+    # A12 on the nulled values: a nulled year sums to 0, listed points are taken out
+    nulled_part = F.when(F.col("null_year"), F.lit(0.0)).otherwise(F.col("part_total") - F.col("part_at_points"))
+    per_year = summary.where(F.col("_y") >= F.lit(z_year)).select(
+        *k, F.col("_y").alias("_yr"), nulled_part.alias("_s"), F.col("part_rows").alias("_rows"))
+    z = _zscore_from_year_sums(per_year, summary.select(*k).distinct(), k, z_year, z_min_rows)
+    bad = z.where(F.col("zscore") > F.lit(z_threshold)).select(*k, F.lit(True).alias("anomalous"))
+    # A10 after the span removal: a year counts if rows remain in it
+    s2 = summary.join(bad, k, "left").withColumn("anomalous", F.coalesce("anomalous", F.lit(False)))
+    left_rows = F.col("rows") - F.when(F.col("anomalous") & (F.col("_y") == F.lit(z_year)), F.col("part_rows")).otherwise(0)
+    in_gap_span = (F.col("_y") >= F.lit(gap_first)) & (F.col("_y") <= F.lit(gap_last)) & (left_rows > 0)
+    gaps = s2.groupBy(*k).agg(F.count(F.when(in_gap_span, F.lit(1))).alias("_years"),
+                              F.max(F.when(in_gap_span, F.lit(1))).alias("_any")) \
+        .where((F.col("_any") == 1) & (F.col("_years") < F.lit(gap_last - gap_first + 1))) \
+        .select(*k, F.lit(True).alias("gap"))
+    decisions = s2.join(gaps, k, "left").select(
+        *k, "_y", "null_year", "anomalous", F.coalesce("gap", F.lit(False)).alias("gap"))
+    # pass 2: apply the decisions
+    y = attach(x, decisions, k + ["_y"], "left")
+    null_here = F.coalesce(F.col("null_year"), F.lit(False)) | at_pt
+    span_end = F.last_day(F.make_date(F.lit(z_year), F.lit(z_last_month), F.lit(1)))
+    in_span = (F.col("_d") >= F.make_date(F.lit(z_year), F.lit(1), F.lit(1))) & (F.col("_d") <= span_end)
+    drop = (F.coalesce(F.col("anomalous"), F.lit(False)) & in_span) | \
+        (F.coalesce(F.col("gap"), F.lit(False)) & (F.col("_d") < F.lit(gap_cutoff).cast("date")))
+    out = y.where(~drop).withColumn(value_col, F.when(~null_here, v))
+    return out.select(*df.columns)

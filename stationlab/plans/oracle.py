@@ -237,6 +237,8 @@ NEAREST = f"""
     SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance_km, city) AS rn FROM ({PAIRS})) WHERE rn = 1
 """
 
+SQL["clean_pipeline_stepwise"] = SQL["clean_pipeline"]
+
 SQL["distance_pairs"] = f"SELECT key, city, round(distance_km, 4) AS distance_km FROM ({PAIRS})"
 SQL["nearest_city"] = f"SELECT key, nearest_city, round(distance_km, 4) AS distance_km FROM ({NEAREST})"
 SQL["near_and_long"] = f"""

@@ -141,3 +141,41 @@ def test_drop_keys_and_keep_keys(spark):
     assert [r.usaf for r in C.drop_keys(df, ks, K).collect()] == ["1"]
     assert [r.usaf for r in C.keep_keys(df, ks, K).collect()] == ["2"]
     assert [r.usaf for r in C.missing_keys(df, ks, K).collect()] == ["7"]
+
+
+def test_two_pass_clean_equals_stepwise(spark):
+    rng = np.random.default_rng(11)
+    recs = []
+    for key in range(6):
+        for y in range(1970, 1982):
+            if key == 1 and y == 1972:
+                continue                                     # gap year
+            if key == 2 and y == 1973:
+                months = range(1, 6)                         # 1973 only Jan-May: can become a gap after removal
+            else:
+                months = range(1, 13)
+            for m in months:
+                for dd in (1, 8, 15, 22):
+                    val = float(rng.gamma(0.4, 0.3))
+                    if y == 1973 and m <= 5 and key in (2, 3):
+                        val += 3.0                           # anomalous early span
+                    if key == 4 and y == 1975:
+                        val = 0.0                            # implausibly dry year (judged with low thresholds)
+                    recs.append((str(key), "A", dt.date(y, m, dd), val))
+    df = frame(spark, recs)
+    pts = spark.createDataFrame([("0", "A", dt.date(1973, 2, 8)), ("0", "A", dt.date(1973, 2, 8)),
+                                 ("3", "A", dt.date(1974, 3, 1))], "usaf string, wban string, timestamp date")
+    yrs = spark.createDataFrame([("5", "A", 1974)], "usaf string, wban string, year int")
+    dropped = spark.createDataFrame([("4", "B"), ("9", "A")], "usaf string, wban string")
+    kw = dict(min_count=40, max_sum=0.5)
+    step = C.null_excluded(df, K, "timestamp", "v", points=pts, years=yrs, **kw)
+    step = C.remove_anomalous_span(step, K, "timestamp", "v", 1973, 5, threshold=1.5, min_rows=15)
+    step = C.drop_keys(step, dropped, K)
+    step = C.remove_before_if_gap(step, K, "timestamp", "1973-01-01", 1970, 1977)
+    two = C.clean_dataset(df, K, "timestamp", "v", points=pts, years=yrs, dropped=dropped, z_threshold=1.5,
+                          z_min_rows=15, **kw)
+    a = sorted((r.usaf, r.timestamp, None if r.v is None else round(r.v, 12)) for r in step.collect())
+    b = sorted((r.usaf, r.timestamp, None if r.v is None else round(r.v, 12)) for r in two.collect())
+    assert a == b
+    removed = {r.usaf for r in df.subtract(step.select(df.columns)).collect()}
+    assert {"1", "2", "3"} <= removed                       # gap, gap-after-removal and anomalous keys lost rows
