@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -116,3 +116,44 @@ def hash_draw(n: ColumnOrName, *parts: ColumnOrName) -> Column:
     text = F.concat_ws("|", *[col(p).cast("string") for p in parts])
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return F.pmod(h, col(n).cast("bigint"))
+
+
+# Fixed values of the integer mixing rounds below: the modulus 2**31 - 1 keeps every square under
+# 2**63, so the arithmetic is exact (no overflow, no rounding) in Spark and in any SQL engine;
+# the multiplier and the three offsets are arbitrary odd constants.
+MIX_MODULUS = 2147483647
+MIX_MULTIPLIER = 1000003
+MIX_OFFSET = 12345
+MIX_FINAL_OFFSETS = (54321, 98765)
+
+
+def hash_seed(*parts: ColumnOrName) -> Column:
+    """md5 of the joined parts reduced to [0, MIX_MODULUS): the starting state of
+    :func:`mix_round`.  Meant for a small table (one row per group), so the string work is done
+    once per group and the per-row draws below it use integer arithmetic only."""
+    text = F.concat_ws("|", *[col(p).cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(MIX_MODULUS))
+
+
+def mix_round(h: ColumnOrName, v: ColumnOrName | None = None, offset: int = MIX_OFFSET) -> Column:
+    """One nonlinear round: (h^2 mod m + v * MIX_MULTIPLIER + offset) mod m (no ``v``: h^2 + offset).
+    ``h`` should be a column reference: it is used twice."""
+    m = F.lit(MIX_MODULUS)
+    x = F.pmod(col(h) * col(h), m) + F.lit(offset)
+    if v is not None:
+        x = x + F.pmod(col(v).cast("bigint"), m) * F.lit(MIX_MULTIPLIER)
+    return F.pmod(x, m)
+
+
+def with_draw(df: DataFrame, out: str, n: ColumnOrName, state: str, *parts: str) -> DataFrame:
+    """Add ``out``, a draw in [0, n), from integer state column ``state`` (see :func:`hash_seed`)
+    and integer columns ``parts``: one :func:`mix_round` per part and two finishing rounds, each
+    in its own projection so every square reads a column instead of repeating an expression tree.
+    Like :func:`hash_draw` it depends only on values, never on row order or partitioning."""
+    x = state
+    for i, p in enumerate(list(parts) + [None] * len(MIX_FINAL_OFFSETS)):
+        off = MIX_OFFSET if p is not None else MIX_FINAL_OFFSETS[i - len(parts)]
+        df = df.withColumn(f"_mix{i}", mix_round(x, p, off))
+        x = f"_mix{i}"
+    return df.withColumn(out, F.pmod(F.col(x), col(n).cast("bigint"))).drop(
+        *[f"_mix{i}" for i in range(len(parts) + len(MIX_FINAL_OFFSETS))])

@@ -1,7 +1,8 @@
 """Splice continuity: can two stations' records be joined end to end?
 
 All pairs run in one plan.  (pair, side) is a grouping key, the bootstrap's samples and draws
-are exploded columns and every draw index comes from a hash of (seed, pair, side, sample, draw),
+are exploded columns and every draw index comes from a hash of (seed, pair, side) mixed with
+(sample, draw) in integer rounds,
 so the result does not depend on partitioning, row order or task retries.  Tables after the
 first aggregation are small: pairs x 2 sides x window_years bins.
 """
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_date, hash_draw
+from ..functions.columns import as_date, hash_seed, mix_round, with_draw
 from ..plans.physical import attach, materialize
 
 PAIR = ["group_id", "pair_no"]
@@ -131,11 +132,15 @@ def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int
     # over the cluster before expanding, or AQE coalesces it into one partition and one task.
     sc = bins.sparkSession.sparkContext
     per_side = per_side.repartition(max(sc.defaultParallelism, 1) * 2, *PAIR, "side")
-    draws = per_side.select(*PAIR, "side", "n_bins", "_arr",
+    # The md5 of (seed, pair, side) is taken once per side; a sample's state is one integer
+    # round on it, and each draw one more, so the per-draw work is a few multiplications.
+    per_side = per_side.withColumn("_h", hash_seed(F.lit(seed), "group_id", "pair_no", "side"))
+    draws = per_side.select(*PAIR, "side", "n_bins", "_arr", "_h",
                             F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample")) \
+        .withColumn("_hs", mix_round("_h", "sample")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("draw"))
-    idx = hash_draw("n_bins", F.lit(seed), "group_id", "pair_no", "side", "sample", "draw").cast("int")
-    picked = F.element_at(F.col("_arr"), idx + 1)
+    draws = with_draw(draws, "_idx", "n_bins", "_hs", "draw")
+    picked = F.element_at(F.col("_arr"), F.col("_idx").cast("int") + 1)
     x = draws.select(*PAIR, "side", "sample", *[picked[c].alias(c) for c in value_cols])
     funcs = {"mean": F.avg, "std": F.stddev_samp}
     aggs = [funcs[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]

@@ -4,6 +4,8 @@ ISO text."""
 
 from __future__ import annotations
 
+from ..functions.columns import MIX_FINAL_OFFSETS, MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET
+
 SUPPLIER_PANEL = """
   SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day,
          round(avg(l_quantity) * 10) AS temp_mean, max(l_quantity) * 10 AS temp_max, min(l_quantity) * 10 AS temp_min,
@@ -595,14 +597,31 @@ SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no,
 FROM ({SPLICE_BINS})
 """
 
+# Draw index as in functions.columns.hash_seed / mix_round / mix_draw
+_P, _MUL, _OFF, _FIN = MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET, MIX_FINAL_OFFSETS
+_SIDE_STATE = (f"(CAST(('0x' || substr(md5(concat_ws('|', '{SPLICE_SEED}', group_id, pair_no, side)), 1, 8)) AS BIGINT)"
+               f" % {_P})")
+
+
+def _mix_sql(h: str, v: str | None, offset: int = _OFF) -> str:
+    step = f"({h} * {h}) % {_P} + {offset}"
+    if v is not None:
+        step += f" + ({v} % {_P}) * {_MUL}"
+    return f"(({step}) % {_P})"
+
+
 SPLICE_DIFF = f"""
   WITH b AS ({SPLICE_BINS}),
   sd AS (SELECT DISTINCT group_id, pair_no, side, n_bins FROM b),
-  dr AS (SELECT sd.*, s.sample, d.draw FROM sd,
+  sh AS (SELECT sd.*, {_SIDE_STATE} AS h0 FROM sd),
+  dr AS (SELECT sh.*, s.sample, d.draw FROM sh,
          (SELECT unnest(generate_series(1, {SPLICE_SAMPLES})) AS sample) s,
-         LATERAL (SELECT unnest(generate_series(0, sd.n_bins - 1)) AS draw) d),
-  di AS (SELECT dr.*, (CAST(('0x' || substr(md5(concat_ws('|', '{SPLICE_SEED}', group_id, pair_no, side, sample, draw)), 1, 8))
-                      AS BIGINT) % n_bins) AS bin2 FROM dr),
+         LATERAL (SELECT unnest(generate_series(0, sh.n_bins - 1)) AS draw) d),
+  m1 AS (SELECT dr.*, {_mix_sql("h0", "sample")} AS h1 FROM dr),
+  m2 AS (SELECT m1.*, {_mix_sql("h1", "draw")} AS h2 FROM m1),
+  m3 AS (SELECT m2.*, {_mix_sql("h2", None, _FIN[0])} AS h3 FROM m2),
+  m4 AS (SELECT m3.*, {_mix_sql("h3", None, _FIN[1])} AS h4 FROM m3),
+  di AS (SELECT m4.*, h4 % n_bins AS bin2 FROM m4),
   x AS (SELECT di.group_id, di.pair_no, di.side, di.sample, b.value, b.n_orders
         FROM di LEFT JOIN b ON di.group_id = b.group_id AND di.pair_no = b.pair_no AND di.side = b.side AND di.bin2 = b.bin),
   st AS (SELECT group_id, pair_no, side, sample, avg(value) AS vm, stddev_samp(value) AS vs,

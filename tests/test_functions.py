@@ -48,6 +48,29 @@ def test_hash_draw_is_deterministic_and_in_range(spark):
     assert all(0 <= r.k < n_of[r.id] for r in a)
 
 
+
+def _py_draw(seed_state, parts, n):
+    m = X.MIX_MODULUS
+    x = seed_state
+    for v in parts:
+        x = ((x * x) % m + X.MIX_OFFSET + (v % m) * X.MIX_MULTIPLIER) % m
+    for c in X.MIX_FINAL_OFFSETS:
+        x = ((x * x) % m + c) % m
+    return x % n
+
+
+def test_with_draw_matches_plain_integer_arithmetic_and_partitioning(spark):
+    df = spark.range(3000).select((F.col("id") % 5 + 1).alias("n"), (F.col("id") % 11).alias("s"), "id") \
+        .withColumn("h", X.hash_seed(F.lit(7), (F.col("id") % 3)))
+    a = X.with_draw(df, "k", "n", "h", "s", "id").select("id", "n", "s", "h", "k").collect()
+    b = X.with_draw(df.repartition(7), "k", "n", "h", "s", "id").select("id", "k").collect()
+    assert sorted((r.id, r.k) for r in a) == sorted(map(tuple, b))
+    for r in a:
+        assert 0 <= r.h < X.MIX_MODULUS
+        assert r.k == _py_draw(r.h, [r.s, r.id], r.n)
+    counts = [sum(1 for r in a if r.n == 5 and r.k == j) for j in range(5)]
+    assert min(counts) > 0.7 * max(counts)                 # roughly uniform
+
 def test_letter_rank(spark):
     df = spark.createDataFrame([("A",), ("I",), ("J",), (None,)], "c string")
     got = [r[0] for r in df.select(X.letter_rank("c")).collect()]
