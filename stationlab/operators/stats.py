@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, days_between, safe_ratio, true_or_false
+from ..plans.physical import attach
 from .timeseries import year_bin
 from .timeseries import densify_years
 
@@ -151,14 +152,19 @@ def median(df: DataFrame, value_col: str, by: Keys | None = None, out: str = "me
 def value_counts(df: DataFrame, cols: Sequence[str] | str, by: Keys | None = None, dropna: bool = True,
                  normalize: bool = False) -> DataFrame:
     """Frequency of each value (combination) per group; NULL is its own value unless dropped.
-    ``normalize`` adds the share within the group (window over the aggregated counts only)."""
+    ``normalize`` adds the share within the group.  The number of distinct values is not bounded,
+    so the group total is not a window (that would put a group's, or with no groups all, distinct
+    values in one task): it is a one-row scalar subquery, or per-group totals joined back with a
+    size-checked broadcast."""
     cs = _k(cols)
     k = _k(by)
     src = df.dropna(subset=cs) if dropna else df
     out = src.groupBy(*k, *cs).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        w = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
-        out = out.withColumn("share", F.col("count") / F.sum("count").over(w))
+        if not k:
+            return out.withColumn("share", F.col("count") / src.agg(F.count(F.lit(1))).scalar())
+        totals = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_total"))
+        out = attach(out, totals, k).withColumn("share", F.col("count") / F.col("_total")).drop("_total")
     return out
 
 

@@ -29,6 +29,14 @@ def test_value_counts_and_text(spark):
     assert (t.n_values, t.n_unique, t.top, t.freq) == (3, 2, "b", 2)
 
 
+
+def test_value_counts_share_with_and_without_groups(spark):
+    df = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "b"), ("y", "a"), ("y", None)], "g string, c string")
+    flat = {r.c: r.share for r in A.value_counts(df, "c", normalize=True).collect()}
+    assert flat == {"a": 0.5, "b": 0.5}
+    per = {(r.g, r.c): r.share for r in A.value_counts(df, "c", by="g", normalize=True, dropna=False).collect()}
+    assert per == {("x", "a"): 1 / 3, ("x", "b"): 2 / 3, ("y", "a"): 0.5, ("y", None): 0.5}
+
 def test_fraction_counts_null_as_false(spark):
     df = spark.createDataFrame([(1.0,), (None,), (10.0,), (8.0,)], "v double")
     assert A.fraction_by(df, None, {"f": F.col("v") > 7}).first().f == 0.5
