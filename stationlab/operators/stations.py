@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
-from ..plans.physical import small_side
+from ..plans.physical import attach, materialize
 
 MAX_CITIES = 5000
 
@@ -133,16 +133,25 @@ def active_count(intervals: DataFrame, begin: str, end: str, out: str = "active"
 
 
 def prefix_match(df: DataFrame, name_col: str, prefixes: DataFrame, prefix_col: str = "prefix") -> DataFrame:
-    """Rows whose trimmed name starts with any listed prefix, each row once.
-
-    Written as an equi-join: every name yields its own prefix of each listed prefix length
-    (bounded by the number of distinct lengths), which is joined to the broadcast prefix list."""
-    lengths = [r[0] for r in prefixes.select(F.length(prefix_col)).distinct().collect()]
+    """Rows whose trimmed name starts with any listed prefix.  A filter: every matching
+    input row is kept as often as it occurs, however many prefixes it matches.
+
+    For each distinct prefix length n (a short list: lengths are bounded by the longest name) the
+    name's first n characters are equi-joined (left) to the de-duplicated prefixes of that
+    length, so a join adds at most one match per row; a row is kept when any join matched.  The
+    prefix list is sized once; under the bound every join is a broadcast and the whole filter
+    runs without a shuffle, above it each join shuffles on the name head."""
+    pfx = materialize(prefixes.select(F.col(prefix_col).alias("_p")).where(F.col("_p").isNotNull()).distinct())
+    n, lengths = pfx.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.length("_p")))).first()
     name = F.trim(F.col(name_col))
-    heads = F.array(*[F.substring(name, 1, int(n)) for n in sorted(lengths)]) if lengths else F.array()
-    x = df.withColumn("_head", F.explode(F.array_distinct(heads)))
-    p = small_side(prefixes.select(F.col(prefix_col).alias("_head")).distinct(), persist=False)
-    return x.join(p, "_head", "left_semi").drop("_head").dropDuplicates()
+    x = df
+    for i, ln in enumerate(lengths):
+        side = pfx.where(F.length("_p") == F.lit(ln)).select(F.col("_p").alias(f"_h{i}"), F.lit(True).alias(f"_m{i}"))
+        x = attach(x.withColumn(f"_h{i}", F.substring(name, 1, int(ln))), side, f"_h{i}", "left", bound=n)
+    hit = F.lit(False)
+    for i in range(len(lengths)):
+        hit = hit | F.coalesce(F.col(f"_m{i}"), F.lit(False))
+    return x.where(hit).select(*df.columns)
 
 
 def contains_ci(col_name: str, needle: str) -> Column:

@@ -47,3 +47,7 @@ def test_prefix_match(spark):
     df = spark.createDataFrame([(1, "  CHEYENNE AP "), (2, "CHEY"), (3, "BOISE"), (4, "CHEYENNE WFO")], "id int, name string")
     pre = spark.createDataFrame([("CHEYENNE",), ("CHEYENNE A",), ("BOI",)], "prefix string")
     assert sorted(r.id for r in ST.prefix_match(df, "name", pre).collect()) == [1, 3, 4]
+    twice = df.unionByName(df.where("id = 1"))               # a repeated input row is kept twice,
+    assert sorted(r.id for r in ST.prefix_match(twice, "name", pre).collect()) == [1, 1, 3, 4]  # once per copy
+    none = spark.createDataFrame([], "prefix string")
+    assert ST.prefix_match(df, "name", none).count() == 0
