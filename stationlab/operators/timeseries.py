@@ -7,7 +7,7 @@ raw rows, which would put a hot station's whole series into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,18 +183,28 @@ def lookup_date(df: DataFrame, keys: Keys, date_col: str, targets: DataFrame, ta
                 method: str = "bfill", out: str = "found_date") -> DataFrame:
     """Per key, the first date >= target (bfill), last date <= target (ffill) or the
     nearest (ties to the earlier date).  ``targets`` has one row per key; no match gives NULL."""
+    return lookup_dates(df, keys, date_col, targets, target_col, {out: method})
+
+
+def lookup_dates(df: DataFrame, keys: Keys, date_col: str, targets: DataFrame, target_col: str,
+                 methods: Mapping[str, str]) -> DataFrame:
+    """J14 for several methods at once ({output column: 'bfill' | 'ffill' | 'nearest'}): one
+    size-checked join of the targets onto the rows and one aggregation per key for all of them."""
     k = _k(keys)
     d = as_date(date_col)
     x = attach(df.select(*k, d.alias("_d")), targets.select(*k, F.col(target_col).cast("date").alias("_t")), k)
-    if method == "bfill":
-        agg = F.min(F.when(F.col("_d") >= F.col("_t"), F.col("_d")))
-    elif method == "ffill":
-        agg = F.max(F.when(F.col("_d") <= F.col("_t"), F.col("_d")))
-    elif method == "nearest":
-        agg = F.min_by(F.col("_d"), F.struct(F.abs(F.datediff("_d", "_t")), F.col("_d")))
-    else:
-        raise ValueError("method must be bfill, ffill or nearest")
-    found = x.groupBy(*k).agg(agg.alias(out))
+    aggs = []
+    for out, method in methods.items():
+        if method == "bfill":
+            agg = F.min(F.when(F.col("_d") >= F.col("_t"), F.col("_d")))
+        elif method == "ffill":
+            agg = F.max(F.when(F.col("_d") <= F.col("_t"), F.col("_d")))
+        elif method == "nearest":
+            agg = F.min_by(F.col("_d"), F.struct(F.abs(F.datediff("_d", "_t")), F.col("_d")))
+        else:
+            raise ValueError("method must be bfill, ffill or nearest")
+        aggs.append(agg.alias(out))
+    found = x.groupBy(*k).agg(*aggs)
     return targets.join(found, k, "left")
 
 

@@ -560,11 +560,8 @@ def lookup_date(spark, sf_dir):
     """Each customer's first order on/after, last order on/before and nearest order to 1998-01-01."""
     p = customer_panel(spark, sf_dir)
     targets = p.select("key").distinct().withColumn("target", F.lit("1998-01-01").cast("date"))
-    out = targets
-    for m in ("bfill", "ffill", "nearest"):
-        out = out.join(TS.lookup_date(p, ["key"], "day", targets, "target", m, f"{m}_date").select("key", f"{m}_date"),
-                       "key")
-    return out
+    return TS.lookup_dates(p, ["key"], "day", targets, "target",
+                           {"bfill_date": "bfill", "ffill_date": "ffill", "nearest_date": "nearest"})
 
 
 def splice_panel(spark, sf_dir):
