@@ -124,23 +124,21 @@ def _quantile(c: Column, p: float, approx: bool) -> Column:
 
 def describe(df: DataFrame, value_cols: Sequence[str], by: Keys | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, 25/50/75 % (linear interpolation), max per column; long form
-    with one row per (group, column)."""
+    with one row per (group, column).  One aggregation computes every column's figures (one
+    pass over the rows, whatever the number of columns); the row per column comes from exploding
+    an array of per-column structs on the aggregated rows."""
     k = _k(by)
-    parts = []
-    for c in value_cols:
+    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    aggs = []
+    for i, c in enumerate(value_cols):
         v = F.col(c).cast("double")
-        parts.append(
-            df.groupBy(*k).agg(
-                F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"), _quantile(v, 0.25, approx).alias("p25"),
-                _quantile(v, 0.5, approx).alias("p50"), _quantile(v, 0.75, approx).alias("p75"),
-                F.max(v).alias("max"),
-            ).withColumn("column_name", F.lit(c))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*k, "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        figs = [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), _quantile(v, 0.25, approx),
+                _quantile(v, 0.5, approx), _quantile(v, 0.75, approx), F.max(v)]
+        aggs += [f.alias(f"_{i}_{n}") for f, n in zip(figs, names)]
+    wide = df.groupBy(*k).agg(*aggs)
+    per_col = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"_{i}_{n}").alias(n) for n in names])
+                        for i, c in enumerate(value_cols)])
+    return wide.select(*k, F.inline(per_col))
 
 
 def median(df: DataFrame, value_col: str, by: Keys | None = None, out: str = "median") -> DataFrame:

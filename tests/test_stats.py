@@ -21,6 +21,21 @@ def test_describe_matches_numpy(spark):
     assert np.isclose(r["std"], np.std(vals, ddof=1))
 
 
+
+def test_describe_several_columns_per_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(a), float(b) if b % 4 else None) for g, a, b in
+            zip(rng.integers(0, 3, 300).tolist(), rng.integers(0, 50, 300), rng.integers(0, 90, 300))]
+    df = spark.createDataFrame(rows, "g long, a double, b double")
+    got = {(r.g, r.column_name): r for r in A.describe(df, ["a", "b"], by="g").collect()}
+    assert len(got) == 6
+    for g in range(3):
+        for c, i in (("a", 1), ("b", 2)):
+            vals = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            r = got[(g, c)]
+            assert r["count"] == len(vals) and np.isclose(r.p50, np.percentile(vals, 50))
+            assert np.isclose(r["mean"], np.mean(vals)) and r["max"] == max(vals)
+
 def test_value_counts_and_text(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "c string")
     vc = {r.c: r["count"] for r in A.value_counts(df, "c", dropna=False).collect()}
