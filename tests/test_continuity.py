@@ -55,3 +55,45 @@ def test_bootstrap_stable_under_repartition(spark):
     mean_row = [r for r in a if r.measure == "v" and r.statistic == "mean"][0]
     assert mean_row.q_2_5 <= mean_row.q_50 <= mean_row.q_97_5
     assert 3.0 < mean_row.q_50 < 7.0   # the late station reads 5 higher
+
+
+def test_empty_bin_can_be_drawn_and_is_skipped(spark):
+    import hashlib
+
+    import numpy as np
+
+    from stationlab.functions import columns as X
+
+    # one side with bins [1.0, empty, 4.0]: draws that land on the empty bin are skipped by the
+    # statistics; a sample that only drew the empty bin has NULL statistics
+    bins = spark.createDataFrame([(5, 0, "early", 0, 3, 1.0), (5, 0, "early", 1, 3, None), (5, 0, "early", 2, 3, 4.0)],
+                                 "group_id int, pair_no int, side string, bin int, n_bins int, v double")
+    got = {r.sample: r for r in SP.bootstrap_samples(bins, ["v"], 300, seed=9).collect()}
+    m = X.MIX_MODULUS
+    h0 = int(hashlib.md5(b"9|5|0|early").hexdigest()[:8], 16) % m
+
+    def rnd(x, v, off=X.MIX_OFFSET):
+        return ((x * x) % m + off + (0 if v is None else (v % m) * X.MIX_MULTIPLIER)) % m
+
+    values = [1.0, None, 4.0]
+    hit_empty = 0
+    for s in range(1, 301):
+        hs = rnd(h0, s)
+        picked = []
+        for d in range(3):
+            x = rnd(hs, d)
+            for off in X.MIX_FINAL_OFFSETS:
+                x = rnd(x, None, off)
+            picked.append(values[x % 3])
+        kept = [v for v in picked if v is not None]
+        hit_empty += len(kept) < 3
+        r = got[s]
+        if not kept:
+            assert r.v__mean is None
+        else:
+            assert np.isclose(r.v__mean, np.mean(kept))
+            if len(kept) > 1:
+                assert np.isclose(r.v__std, np.std(kept, ddof=1))
+            else:
+                assert r.v__std is None
+    assert hit_empty > 100                                  # the empty bin is drawn about a third of the time
