@@ -2,14 +2,15 @@
 
 Anchored bins need each key's first or last date.  That comes from a per-key aggregate (partial
 aggregation, skew-safe) attached back with a size-checked broadcast, never from a window over the
-raw rows, which would put a hot station's whole series into one task.
+raw rows, which would put a hot station's whole series into one task.  The only window here runs
+over (key, year) aggregates: at most one row per key and year.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date
@@ -51,17 +52,28 @@ def year_spine(bounds: DataFrame, keys: Keys, first_col: str, last_col: str, out
 def densify_years(per_year: DataFrame, keys: Keys, period: str = "period", fill: dict | None = None) -> DataFrame:
     """Fill the years missing between each key's first and last year of ``per_year``.
 
-    ``per_year`` is already aggregated to (key, year), so this works on small data: bounds per key,
-    a spine by ``explode(sequence)``, and a left join.  ``fill`` gives values for filled rows
-    (e.g. 0 for counts and sums); other columns stay NULL.
+    ``per_year`` is already aggregated to (key, year-start date), so a key has at most one row per
+    year (a hot station's century is ~100 rows): a window over it orders a key's years, and each
+    row explodes into itself plus the missing years up to the key's next year.  No bounds
+    aggregate and no spine join, so the aggregated table is the only input (a bounds aggregate
+    would be rewritten by Catalyst into a second scan of the raw rows).  ``fill`` gives values
+    for filled rows and for NULLs (e.g. 0 for counts and sums); other columns are NULL in
+    filled rows.  Rows whose year is NULL are dropped.
     """
     k = _k(keys)
-    bounds = per_year.groupBy(*k).agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
-    spine = year_spine(bounds, k, "_lo", "_hi", period)
-    out = spine.join(per_year, k + [period], "left")
-    if fill:
-        out = out.fillna(fill)
-    return out
+    fill = dict(fill or {})
+    w = Window.partitionBy(*k).orderBy(period)
+    x = per_year.withColumn("_next", F.lead(period).over(w))
+    last = F.coalesce(F.add_months(F.col("_next"), -12), F.col(period))
+    x = x.withColumn("_p", F.explode(F.sequence(F.col(period), last, F.expr("INTERVAL 1 YEAR"))))
+    real = F.col("_p") == F.col(period)
+    cols = []
+    for c in per_year.columns:
+        if c in k or c == period:
+            continue
+        v = F.when(real, F.col(c))
+        cols.append((F.coalesce(v, F.lit(fill[c])) if c in fill else v).alias(c))
+    return x.select(*k, F.col("_p").alias(period), *cols)
 
 
 # T3 ------------------------------------------------------------------------------------------
