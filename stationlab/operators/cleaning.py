@@ -235,8 +235,8 @@ def remove_before_if_gap(df: DataFrame, keys: Keys, date_col: str, cutoff: str =
 def _zscore_from_year_sums(per_year: DataFrame, key_list: DataFrame, k: list[str], year: int, min_rows: int,
                            guard_zero_std: bool = True) -> DataFrame:
     """A12 from (key, _yr, _s = Jan..last_month total, _rows = rows in those months) per year."""
-    span = per_year.where(F.col("_yr") == F.lit(year)).select(*k, F.col("_rows").alias("span_rows"),
-                                                             F.col("_s").alias("span_sum"))
+    span = per_year.where((F.col("_yr") == F.lit(year)) & (F.col("_rows") > 0)) \
+        .select(*k, F.col("_rows").alias("span_rows"), F.col("_s").alias("span_sum"))
     later = per_year.where((F.col("_yr") > F.lit(year)) & (F.col("_rows") > 0))
     bounds = later.groupBy(*k).agg(F.min("_yr").alias("_lo"), F.max("_yr").alias("_hi"))
     spine = bounds.select(*k, F.explode(F.sequence("_lo", "_hi")).alias("_yr"))
@@ -260,15 +260,19 @@ def anomaly_zscore(df: DataFrame, keys: Keys, date_col: str, value_col: str, yea
     ``min_rows`` rows (rows, not values), or the std is 0 (``guard_zero_std``) or undefined.
     One row per key of ``df``.
 
-    The raw rows are reduced once to (key, year) totals by partial aggregation; the year spine
-    and the standard deviation then run on that small table only.
+    The raw rows are read once: one aggregation gives each key's Jan..last_month total and row
+    count per year (years before ``year`` share one bucket, so every key of ``df`` is present).
+    That (key, year) table is checkpointed, and the span, the later years' bounds, the year spine,
+    the standard deviation and the key list all come from it.
     """
     k = _k(keys)
     y = F.year(date_col)
-    per_year = (df.where((F.month(date_col) <= F.lit(last_month)) & (y >= F.lit(year)))
-                  .groupBy(*k, y.alias("_yr"))
-                  .agg(F.coalesce(F.sum(value_col), F.lit(0.0)).alias("_s"), F.count(F.lit(1)).alias("_rows")))
-    return _zscore_from_year_sums(per_year, df.select(*k).distinct(), k, year, min_rows, guard_zero_std)
+    in_m = F.month(date_col) <= F.lit(last_month)
+    yr = F.when(y >= F.lit(year), y).otherwise(F.lit(year - 1))
+    per_year = materialize(df.groupBy(*k, yr.alias("_yr")).agg(
+        F.coalesce(F.sum(F.when(in_m, F.col(value_col))), F.lit(0.0)).alias("_s"),
+        F.count(F.when(in_m, F.lit(1))).alias("_rows")))
+    return _zscore_from_year_sums(per_year, per_year.select(*k).distinct(), k, year, min_rows, guard_zero_std)
 
 
 def remove_anomalous_span(df: DataFrame, keys: Keys, date_col: str, value_col: str, year: int = 1973,
