@@ -160,7 +160,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | str, by: Keys | None = Non
     out = src.groupBy(*k, *cs).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
         if not k:
-            return out.withColumn("share", F.col("count") / src.agg(F.count(F.lit(1))).scalar())
+            return out.withColumn("share", F.col("count") / out.agg(F.sum("count")).scalar())
         totals = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_total"))
         out = attach(out, totals, k).withColumn("share", F.col("count") / F.col("_total")).drop("_total")
     return out
