@@ -116,22 +116,21 @@ def splice_windows(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date
         .select(*PAIR, "side", "bin", "bin_end", "n_bins", *value_cols)
 
 
-def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
-                      stats: Sequence[str] = ("mean", "std")) -> DataFrame:
-    """Per (pair, side) and sample 1..n_samples, draw n_bins bins with replacement (empty bins
-    can be drawn and are skipped by the statistics) and compute each statistic of each column.
+def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int) -> DataFrame:
+    """C5's draws: per (pair, side) and sample 1..n_samples, n_bins bins drawn with replacement;
+    one row per draw with the drawn bin's means (NULL for an empty bin).
 
     Each side's bin means travel as one sorted array (at most ``window_years`` entries, so the
     collected group is bounded); draws are exploded next to it and read by index, so no join is
-    needed.  All draws of one (side, sample) are generated in one task, so the partial aggregate
-    sends one row per (side, sample) to the shuffle."""
-    per_side = bins.groupBy(*PAIR, "side").agg(
+    needed.  The bins are hash-partitioned by pair before that collect (one shuffle of the small
+    bin table; the collect by (pair, side) reuses it) and before expanding: they are spread over
+    the cluster (otherwise AQE coalesces it into one task), both sides of a pair land in the same
+    task, and every aggregation downstream that groups by pair (plus sample) reuses that
+    partitioning instead of shuffling the draws."""
+    sc = bins.sparkSession.sparkContext
+    per_side = bins.repartition(max(sc.defaultParallelism, 1) * 2, *PAIR).groupBy(*PAIR, "side").agg(
         F.max("n_bins").alias("n_bins"),
         F.sort_array(F.collect_list(F.struct("bin", *value_cols))).alias("_arr"))
-    # The per-side table is small but each row expands into n_samples x n_bins draws: spread it
-    # over the cluster before expanding, or AQE coalesces it into one partition and one task.
-    sc = bins.sparkSession.sparkContext
-    per_side = per_side.repartition(max(sc.defaultParallelism, 1) * 2, *PAIR, "side")
     # The md5 of (seed, pair, side) is taken once per side; a sample's state is one integer
     # round on it, and each draw one more, so the per-draw work is a few multiplications.
     per_side = per_side.withColumn("_h", hash_seed(F.lit(seed), "group_id", "pair_no", "side"))
@@ -141,10 +140,19 @@ def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("draw"))
     draws = with_draw(draws, "_idx", "n_bins", "_hs", "draw")
     picked = F.element_at(F.col("_arr"), F.col("_idx").cast("int") + 1)
-    x = draws.select(*PAIR, "side", "sample", *[picked[c].alias(c) for c in value_cols])
-    funcs = {"mean": F.avg, "std": F.stddev_samp}
-    aggs = [funcs[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]
-    return x.groupBy(*PAIR, "side", "sample").agg(*aggs)
+    return draws.select(*PAIR, "side", "sample", *[picked[c].alias(c) for c in value_cols])
+
+
+STAT_FUNCS = {"mean": F.avg, "std": F.stddev_samp}
+
+
+def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
+                      stats: Sequence[str] = ("mean", "std")) -> DataFrame:
+    """Per (pair, side) and sample, each statistic of each column over the sample's draws
+    (empty bins can be drawn and are skipped by the statistics).  Output columns
+    ``<column>__<statistic>``."""
+    aggs = [STAT_FUNCS[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]
+    return _draws(bins, value_cols, n_samples, seed).groupBy(*PAIR, "side", "sample").agg(*aggs)
 
 
 def bootstrap_diff(samples: DataFrame) -> DataFrame:
@@ -155,15 +163,34 @@ def bootstrap_diff(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*PAIR, "sample").agg(*aggs)
 
 
+def bootstrap_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
+                    stats: Sequence[str] = ("mean", "std")) -> DataFrame:
+    """C5 + C6 in one aggregation: per (pair, sample), late - early of each statistic, computed
+    from the draws with side-conditional aggregates.  Same result as
+    ``bootstrap_diff(bootstrap_samples(...))``; grouping by (pair, sample) reuses the pair
+    partitioning of the draws, so the draws are never shuffled."""
+    late, early = F.col("side") == "late", F.col("side") == "early"
+    aggs = [(STAT_FUNCS[s](F.when(late, F.col(c))) - STAT_FUNCS[s](F.when(early, F.col(c)))).alias(f"{c}__{s}")
+            for c in value_cols for s in stats]
+    return _draws(bins, value_cols, n_samples, seed).groupBy(*PAIR, "sample").agg(*aggs)
+
+
 def bootstrap_ci(diff: DataFrame, quantiles: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
     """Quantiles (linear, NULLs ignored) of each difference, in long form:
-    group_id, pair_no, measure, statistic, q_<p> ..."""
+    group_id, pair_no, measure, statistic, q_<p> ...
+
+    One ``percentile`` over an array of quantiles per difference column (one value buffer per
+    column, bounded by the number of samples), grouped by pair -- no shuffle when ``diff`` is
+    still partitioned by pair -- then the small per-pair result is turned into long form."""
     stat_cols = [c for c in diff.columns if "__" in c]
-    long = diff.unpivot([*PAIR, "sample"], stat_cols, "_m", "_v")
-    qs = [F.percentile(F.col("_v"), F.lit(float(q))).alias(_qname(q)) for q in quantiles]
-    out = long.groupBy(*PAIR, "_m").agg(*qs)
-    return out.select(*PAIR, F.split("_m", "__").getItem(0).alias("measure"),
-                      F.split("_m", "__").getItem(1).alias("statistic"), *[_qname(q) for q in quantiles])
+    qs = F.array(*[F.lit(float(q)) for q in quantiles])
+    wide = diff.groupBy(*PAIR).agg(*[F.percentile(F.col(c), qs).alias(f"_q{i}") for i, c in enumerate(stat_cols)])
+    rows = []
+    for i, c in enumerate(stat_cols):
+        measure, statistic = c.split("__", 1)
+        rows.append(F.struct(F.lit(measure).alias("measure"), F.lit(statistic).alias("statistic"),
+                             *[F.col(f"_q{i}")[j].alias(_qname(q)) for j, q in enumerate(quantiles)]))
+    return wide.select(*PAIR, F.inline(F.array(*rows)))
 
 
 def _qname(q: float) -> str:
@@ -178,7 +205,7 @@ def splice_report(daily: DataFrame, groups: DataFrame, keys: Sequence[str], date
     k = _k(keys)
     pairs = splice_pairs(groups, k, group_col, order_col)
     bins = splice_windows(daily, pairs, k, date_col, value_cols, window_years)
-    ci = bootstrap_ci(bootstrap_diff(bootstrap_samples(bins, value_cols, n_samples, seed)), quantiles)
+    ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed), quantiles)
     if name_col and name_col in groups.columns:
         names = groups.select(*[F.col(c).alias(f"a_{c}") for c in k], F.col(name_col).alias("name"))
         ci = ci.join(pairs, PAIR).join(names, [f"a_{c}" for c in k], "left").drop(*[f"a_{c}" for c in k],

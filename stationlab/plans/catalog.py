@@ -585,15 +585,13 @@ def splice_windows(spark, sf_dir):
 @register("splice_diff")
 def splice_diff(spark, sf_dir):
     """C5 + C10: per pair and bootstrap sample, late - early of mean and std of the bin means."""
-    return SP.bootstrap_diff(SP.bootstrap_samples(_splice_bins(spark, sf_dir), ["value", "n_orders"],
-                                                  SPLICE_SAMPLES, SPLICE_SEED))
+    return SP.bootstrap_diffs(_splice_bins(spark, sf_dir), ["value", "n_orders"], SPLICE_SAMPLES, SPLICE_SEED)
 
 
 @register("splice_bootstrap")
 def splice_bootstrap(spark, sf_dir):
     """2.5/50/97.5 % quantiles of the bootstrapped differences, long form."""
-    diff = SP.bootstrap_diff(SP.bootstrap_samples(_splice_bins(spark, sf_dir), ["value", "n_orders"],
-                                                  SPLICE_SAMPLES, SPLICE_SEED))
+    diff = SP.bootstrap_diffs(_splice_bins(spark, sf_dir), ["value", "n_orders"], SPLICE_SAMPLES, SPLICE_SEED)
     return SP.bootstrap_ci(diff, (0.025, 0.5, 0.975))
 
 

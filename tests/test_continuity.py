@@ -97,3 +97,24 @@ def test_empty_bin_can_be_drawn_and_is_skipped(spark):
             else:
                 assert r.v__std is None
     assert hit_empty > 100                                  # the empty bin is drawn about a third of the time
+
+
+def test_fused_diffs_equal_composed_and_ci_matches_numpy(spark):
+    import numpy as np
+
+    daily = _daily(spark)
+    pairs = SP.splice_pairs(groups(spark), K)
+    bins = SP.splice_windows(daily, pairs, K, "timestamp", ["v"], window_years=3)
+    composed = SP.bootstrap_diff(SP.bootstrap_samples(bins, ["v"], 120, seed=4))
+    fused = SP.bootstrap_diffs(bins, ["v"], 120, seed=4)
+    key = lambda r: (r.group_id, r.pair_no, r.sample)
+    a = {key(r): r for r in composed.collect()}
+    b = {key(r): r for r in fused.collect()}
+    assert a.keys() == b.keys() and len(a) == 120
+    for k2, r in a.items():
+        for c in ("v__mean", "v__std"):
+            assert (r[c] is None and b[k2][c] is None) or np.isclose(r[c], b[k2][c])
+    ci = {(r.measure, r.statistic): r for r in SP.bootstrap_ci(fused, (0.1, 0.5, 0.9)).collect()}
+    means = [r.v__mean for r in a.values() if r.v__mean is not None]
+    assert np.isclose(ci[("v", "mean")].q_10, np.percentile(means, 10))
+    assert np.isclose(ci[("v", "mean")].q_90, np.percentile(means, 90))
