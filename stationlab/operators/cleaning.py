@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, keep_if, sentinel_to_null, true_or_false
 from ..plans.physical import attach, materialize, small_side
+from .stats import with_group_stats
 
 Keys = Sequence[str]
 
@@ -310,8 +311,7 @@ def ratio_flags(df: DataFrame, keys: Keys, date_col: str, value_col: str, thresh
     k = _k(keys)
     src = df if exclude_year is None else df.where(F.year(date_col) != F.lit(exclude_year))
     nz = F.nullif(F.col(value_col), F.lit(0.0))
-    means = src.groupBy(*k).agg(F.avg(nz).alias("key_mean"))
-    x = attach(src.withColumn("_nz", nz), means, k)
+    x = with_group_stats(src.withColumn("_nz", nz), k, {"key_mean": F.avg("_nz")})   # W1
     out = x.withColumn("ratio", F.try_divide(F.col("_nz"), F.col("key_mean"))).where(F.col("ratio") > F.lit(threshold))
     if min_value is not None:
         out = out.where(F.col(value_col) > F.lit(min_value))

@@ -150,13 +150,15 @@ def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int
                       stats: Sequence[str] = ("mean", "std")) -> DataFrame:
     """Per (pair, side) and sample, each statistic of each column over the sample's draws
     (empty bins can be drawn and are skipped by the statistics).  Output columns
-    ``<column>__<statistic>``."""
+    ``<column>__<statistic>``.  C9: the tests run on a pair are the ``stats`` list, all in one
+    aggregation (no per-test job and no stacking of results)."""
     aggs = [STAT_FUNCS[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]
     return _draws(bins, value_cols, n_samples, seed).groupBy(*PAIR, "side", "sample").agg(*aggs)
 
 
 def bootstrap_diff(samples: DataFrame) -> DataFrame:
-    """Late - early per sample, one column per (value, statistic)."""
+    """C6/C10 (A34 with the statistics of :func:`bootstrap_samples`): late - early per sample,
+    one column per (value, statistic)."""
     stat_cols = [c for c in samples.columns if "__" in c]
     aggs = [(F.max(F.when(F.col("side") == "late", F.col(c))) - F.max(F.when(F.col("side") == "early", F.col(c))))
             .alias(c) for c in stat_cols]
@@ -201,7 +203,8 @@ def splice_report(daily: DataFrame, groups: DataFrame, keys: Sequence[str], date
                   window_years: int = 10, n_samples: int = 2000, quantiles: Sequence[float] = (0.025, 0.5, 0.975),
                   seed: int = 0, group_col: str = "pair_id", order_col: str = "ordinal",
                   name_col: str | None = "name") -> DataFrame:
-    """Pairs -> windows -> bootstrap -> confidence report, named by the pair's first station."""
+    """Pairs -> windows -> bootstrap -> confidence report, named by the pair's first station.
+    U4: every pair runs in the same plan, so there is no per-pair result to stack."""
     k = _k(keys)
     pairs = splice_pairs(groups, k, group_col, order_col)
     bins = splice_windows(daily, pairs, k, date_col, value_cols, window_years)

@@ -258,10 +258,21 @@ def ecdf(df: DataFrame, value: Column | str, bins: int = 100, lo: float | None =
 
 # A25-A29 -------------------------------------------------------------------------------------
 def group_stats(df: DataFrame, by: Keys, aggs: Mapping[str, Column]) -> DataFrame:
-    """Named aggregates per group (mean by category, count/min/max per key, ...)."""
+    """Named aggregates per group (mean by category, count/min/max per key, ...).
+    J13 (several results on the same key side by side) is this with several entries in ``aggs``:
+    one aggregation, no join between per-result tables."""
     return df.groupBy(*_k(by)).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def with_group_stats(df: DataFrame, by: Keys, aggs: Mapping[str, Column]) -> DataFrame:
+    """Group aggregates copied to every row of the group (``mean(x) over (partition by key)``).
+
+    Computed as a partial aggregate per group attached back with a size-checked broadcast join,
+    not as a window: a window over the raw rows would send a hot group's rows to one task, while
+    the aggregate sends one partial row per group and partition to the shuffle."""
+    return attach(df, group_stats(df, by, aggs), _k(by), "left")
+
+
 def distinct_count(df: DataFrame, cols: Sequence[str], by: Keys | None = None) -> DataFrame:
     """Exact distinct count of each column (per group)."""
     return df.groupBy(*_k(by)).agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in cols])
@@ -329,7 +340,9 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Keys | None = None) -> DataFrame:
     """O3: the k first rows by ``order``; per group with ``row_number() <= k``, which Spark plans
-    with a WindowGroupLimit that prunes each partition before the shuffle."""
+    with a WindowGroupLimit that prunes each partition before the shuffle.  (O1/O2, plain sorts,
+    and O4, first rows, are ``orderBy`` and ``limit`` at the sink: sorting an intermediate result
+    would only add a shuffle.)"""
     g = _k(by)
     if not g:
         return df.orderBy(*order).limit(k)

@@ -81,3 +81,18 @@ def test_top_k_by_group(spark):
     df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)], "g string, v int")
     got = A.top_k(df, 2, [F.col("v").desc()], by=["g"]).collect()
     assert sorted((r.g, r.v) for r in got) == [("a", 8), ("a", 9), ("b", 1), ("b", 2)]
+
+
+def test_with_group_stats_equals_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", None), (None, 2.0)], "g string, v double")
+    key = lambda t: tuple((x is None, x) for x in t)
+    got = sorted(((r.g, r.v, r.m, r.n) for r in A.with_group_stats(df, "g", {"m": F.avg("v"), "n": F.count("v")})
+                  .collect() if r.g is not None), key=key)
+    w = Window.partitionBy("g")
+    want = sorted(((r.g, r.v, r.m, r.n) for r in df.select("*", F.avg("v").over(w).alias("m"),
+                                                             F.count("v").over(w).alias("n")).collect()
+                   if r.g is not None), key=key)
+    assert got == want
+    assert A.with_group_stats(df, "g", {"m": F.avg("v")}).count() == 5         # every row kept
