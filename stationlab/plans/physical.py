@@ -32,26 +32,29 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True) -> DataFrame:
-    """Return ``df`` ready to be the small side of a join.
+def small_side(df: DataFrame, max_rows: int | None = None, persist: bool = True) -> DataFrame:
+    """Return ``df`` ready to be the small side of a join (``max_rows`` defaults to the module's
+    ``BROADCAST_MAX_ROWS``, read at call time).
 
     With ``persist`` the table is checkpointed first, so the size check and the join read the
     same materialised rows instead of computing the aggregate twice.  The broadcast hint is only
     added when the counted size is under ``max_rows``.
     """
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     if persist:
         df = materialize(df)
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-           max_rows: int = BROADCAST_MAX_ROWS, persist: bool = True, bound: int | None = None) -> DataFrame:
+           max_rows: int | None = None, persist: bool = True, bound: int | None = None) -> DataFrame:
     """Join a per-key (or otherwise small) table onto a big one with a size-checked broadcast.
 
     ``bound`` is an upper bound on the small side's rows that the caller has already proven
     (e.g. a per-pair table is at most 2 x the counted pair list): under ``max_rows`` it is
     broadcast directly, without materialising or counting it again."""
     on = list(on) if not isinstance(on, str) else on
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     if bound is not None and bound <= max_rows:
         return big.join(F.broadcast(small), on=on, how=how)
     return big.join(small_side(small, max_rows, persist), on=on, how=how)
