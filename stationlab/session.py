@@ -8,26 +8,46 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "stationlab") -> SparkSession:
+# Runtime SQL settings this library relies on; each is applied only where the submitter has not
+# set it.
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+# Static settings given to the builder, so they hold from the moment the context starts: no web
+# UI server and no console progress bar.
+STATIC = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "stationlab") -> SparkSession:
     """Build (or reuse) a session with the settings this library expects.
 
-    On a cluster the submitter supplies master, memory and the checkpoint folder; this only fills
-    in what is unset.  AQE stays on: it coalesces small shuffle partitions and splits skewed join
-    partitions, which the per-key joins rely on when a station holds a large share of the rows.
+    On a cluster the submitter supplies master, memory, shuffle partitions and the checkpoint
+    folder; this only fills in what is unset (``DEFAULTS``), and sets the shuffle partition count
+    only when asked to (local runs: bench, tools, tests).  AQE stays on: it coalesces small
+    shuffle partitions and splits skewed join partitions, which the per-key joins rely on when a
+    station holds a large share of the rows.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    spark = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    for k, v in STATIC.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    conf = spark.sparkContext.getConf()
+    for k, v in DEFAULTS.items():
+        if not conf.contains(k):
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # noqa: BLE001  (static settings of a running context cannot change)
+                pass
+    if shuffle_partitions is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 
