@@ -85,8 +85,26 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Main sink: parquet, optionally partitioned (e.g. by year for pruning on later scans)."""
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite",
+                  files_per_partition: int | None = None, sort_by: Sequence[str] = ()) -> None:
+    """Main sink: parquet, optionally partitioned (e.g. by year for pruning on later scans).
+
+    A partitioned write left to the input partitioning makes every input task write one file
+    into every partition value it holds (millions of small files on a large input).  So by
+    default the rows are shuffled with Spark's ``rebalance`` hint on the partition columns: AQE
+    splits a large partition value (one year of a 100 TB table) over many tasks and merges small
+    ones, so files come out near the advisory partition size.  ``files_per_partition`` asks for
+    a fixed count instead: the shuffle is on (partition columns, hash of the whole row mod the
+    count) -- a hash of the station key would put a hot station's year into one file; a hash of
+    row values gives a retried task the same rows.  ``sort_by`` (e.g. key and date) orders the
+    rows within each file, so the parquet row-group statistics prune scans on those columns."""
+    if partition_by and files_per_partition:
+        spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(files_per_partition)))
+        df = df.repartition(*[F.col(c) for c in partition_by], spread)
+    elif partition_by:
+        df = df.hint("rebalance", *partition_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

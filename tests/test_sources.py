@@ -44,3 +44,35 @@ def test_missing_path_raises(spark):
 
     with pytest.raises(Exception):
         R.read_stations(spark, "/nonexistent/stations.csv").count()
+
+
+def test_partitioned_write_files_per_year_and_round_trip(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from stationlab.sources import readers as R
+
+    recs = [(str(k % 5), "A", dt.date(1990 + k % 3, 1, 1) + dt.timedelta(days=k % 300), float(k)) for k in range(3000)]
+    df = spark.createDataFrame(recs, "usaf string, wban string, timestamp date, v double").repartition(12)
+    out = str(tmp_path / "daily")
+    R.write_parquet(R.with_year_partition(df), out, ["year"], files_per_partition=2, sort_by=["usaf", "timestamp"])
+    for y in (1990, 1991, 1992):
+        files = [f for f in os.listdir(os.path.join(out, f"year={y}")) if f.endswith(".parquet")]
+        assert 1 <= len(files) <= 2                             # not one file per input task
+    back = R.read_daily_parquet(spark, out)
+    assert back.count() == 3000
+    assert sorted(r.v for r in back.where("year = 1991").collect()) == sorted(r[3] for r in recs if r[2].year == 1991)
+
+
+def test_partitioned_write_rebalances_by_default(spark, tmp_path):
+    import datetime as dt
+
+    from stationlab.sources import readers as R
+
+    recs = [(str(k % 5), "A", dt.date(1990 + k % 3, 1, 1) + dt.timedelta(days=k % 300), float(k)) for k in range(2000)]
+    df = spark.createDataFrame(recs, "usaf string, wban string, timestamp date, v double").repartition(9)
+    out = str(tmp_path / "daily")
+    R.write_parquet(R.with_year_partition(df), out, ["year"])
+    back = R.read_daily_parquet(spark, out)
+    assert sorted(r.v for r in back.collect()) == sorted(r[3] for r in recs)
+    assert {r.year for r in back.select("year").distinct().collect()} == {1990, 1991, 1992}
