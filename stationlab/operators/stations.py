@@ -9,12 +9,13 @@ higher-order lambda is used: those run outside whole-stage codegen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import haversine_km
+from ..functions.columns import EARTH_RADIUS_KM, haversine_km
 from ..plans.physical import attach, materialize
 
 MAX_CITIES = 5000
@@ -95,19 +96,52 @@ def city_members(stations: DataFrame, cities: DataFrame, keys, max_km: float, la
     return pairs.where(F.col("distance_km") <= F.lit(max_km)).select(city_name, *k, "distance_km")
 
 
+def _cells_in_band(band: Column, band_deg: float, max_km: float) -> Column:
+    """Number of longitude cells of a latitude band, so that each cell is at least as wide as the
+    largest longitude difference of two points within ``max_km`` when one lies in the band:
+    asin(sin(d/R) / cos(phi)) at the band's poleward edge phi (spherical trigonometry); one cell
+    when that circle reaches a pole."""
+    edge = F.least(F.greatest(F.abs(band * F.lit(band_deg)), F.abs((band + 1) * F.lit(band_deg))), F.lit(90.0))
+    x = F.lit(math.sin(max_km / EARTH_RADIUS_KM)) / F.cos(F.radians(edge))
+    width = F.degrees(F.asin(F.least(x, F.lit(1.0)))) * F.lit(1.000001) + F.lit(1e-9)
+    n = F.floor(F.lit(360.0) / width).cast("long")
+    return F.when((F.cos(F.radians(edge)) <= F.lit(0.0)) | (x >= F.lit(1.0)) | (n < 1), F.lit(1)).otherwise(n)
+
+
+def _cell(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + F.lit(180.0)) / (F.lit(360.0) / n)).cast("long"), n)
+
+
 def within_radius(points: DataFrame, refs: DataFrame, max_km: float, keys, ref_keys, lat: str = "latitude",
                   lon: str = "longitude", ref_lat: str = "ref_latitude", ref_lon: str = "ref_longitude") -> DataFrame:
-    """Exact radius join for large reference sets: both sides are put on a latitude-band grid
-    whose band height covers ``max_km``; each point is matched against its own band and the two
-    neighbouring bands (an equi-join on the band), then filtered by the exact distance."""
+    """Exact radius join for large reference sets, as an equi-join on a 2-D grid.
+
+    Latitude bands are ``max_km`` high (so a match is in the point's band or a neighbour); each
+    band is cut into longitude cells at least as wide as any match's longitude difference there
+    (see :func:`_cells_in_band`, wrapping at +-180).  A reference sits in one (band, cell); a
+    point asks for the 3 x 3 neighbouring (band, cell) keys, de-duplicated, so each pair meets at
+    most once, and the exact distance filter decides.  Only references in neighbouring cells are
+    compared -- not a whole band around the globe -- so the candidates per point are bounded by the
+    reference density near it."""
     k, rk = _k(keys), _k(ref_keys)
-    band_deg = max(max_km / 111.0, 1e-6)  # one degree of latitude is at least 110.5 km
-    pb = points.select(*k, lat, lon, F.explode(F.array(*[F.floor(F.col(lat) / band_deg).cast("long") + d
-                                                        for d in (-1, 0, 1)])).alias("_band"))
-    rb = refs.select(*rk, ref_lat, ref_lon, F.floor(F.col(ref_lat) / band_deg).cast("long").alias("_band"))
-    j = pb.join(rb, "_band")
+    band_deg = max(max_km / 111.0, 1e-6)  # one degree of latitude on the sphere is 111.19 km
+    b0 = F.floor(F.col(lat) / band_deg).cast("long")
+    asks = []
+    for db in (-1, 0, 1):
+        b = b0 + db
+        n = _cells_in_band(b, band_deg, max_km)
+        c = _cell(F.col(lon), n)
+        for dc in (-1, 0, 1):
+            asks.append(F.struct(b.alias("_band"), F.pmod(c + dc, n).alias("_cell")))
+    pb = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()) \
+        .select(*k, lat, lon, F.inline(F.array_distinct(F.array(*asks))))
+    rb_band = F.floor(F.col(ref_lat) / band_deg).cast("long")
+    rb = refs.where(F.col(ref_lat).isNotNull() & F.col(ref_lon).isNotNull()) \
+        .select(*rk, ref_lat, ref_lon, rb_band.alias("_band"),
+                _cell(F.col(ref_lon), _cells_in_band(rb_band, band_deg, max_km)).alias("_cell"))
+    j = pb.join(rb, ["_band", "_cell"])
     d = haversine_km(lat, lon, ref_lat, ref_lon)
-    return j.withColumn("distance_km", d).where(F.col("distance_km") <= F.lit(max_km)).drop("_band")
+    return j.withColumn("distance_km", d).where(F.col("distance_km") <= F.lit(max_km)).drop("_band", "_cell")
 
 
 def active_count(intervals: DataFrame, begin: str, end: str, out: str = "active") -> DataFrame:

@@ -51,3 +51,32 @@ def test_prefix_match(spark):
     assert sorted(r.id for r in ST.prefix_match(twice, "name", pre).collect()) == [1, 1, 3, 4]  # once per copy
     none = spark.createDataFrame([], "prefix string")
     assert ST.prefix_match(df, "name", none).count() == 0
+
+
+def test_within_radius_grid_exact_worldwide(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+
+    def pts(n, prefix):
+        lat = np.concatenate([rng.uniform(-90, 90, n), rng.uniform(84, 90, n // 4), rng.uniform(-90, -84, n // 4),
+                              rng.uniform(-60, 60, n // 4)])
+        lon = np.concatenate([rng.uniform(-180, 180, n), rng.uniform(-180, 180, n // 2),
+                              rng.choice([-1, 1], n // 4) * rng.uniform(179.0, 180.0, n // 4)])
+        return [(f"{prefix}{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))]
+
+    p, r = pts(400, "p"), pts(300, "r")
+    for km in (40.0, 300.0, 2500.0):
+        pdf = spark.createDataFrame(p, "pid string, latitude double, longitude double")
+        rdf = spark.createDataFrame(r, "rid string, ref_latitude double, ref_longitude double")
+        got = [(x.pid, x.rid) for x in ST.within_radius(pdf, rdf, km, ["pid"], ["rid"]).collect()]
+        assert len(got) == len(set(got))                        # each pair meets once
+        la1, lo1 = np.radians([a for _, a, _ in p])[:, None], np.radians([o for _, _, o in p])[:, None]
+        la2, lo2 = np.radians([a for _, a, _ in r])[None, :], np.radians([o for _, _, o in r])[None, :]
+        h = np.sin((la2 - la1) / 2) ** 2 + np.cos(la1) * np.cos(la2) * np.sin((lo2 - lo1) / 2) ** 2
+        dist = 2 * 6371.0 * np.arcsin(np.sqrt(h))
+        want = {(p[i][0], r[j][0]) for i, j in zip(*np.nonzero(dist <= km))}
+        # pairs within a micrometre of the radius may differ by rounding between numpy and Spark
+        edge = {(p[i][0], r[j][0]) for i, j in zip(*np.nonzero(np.abs(dist - km) < 1e-9))}
+        assert set(got) ^ want <= edge, (km, sorted(set(got) ^ want)[:5])
+        assert len(want) > 0
