@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
-from ..plans.physical import attach, materialize
+from ..plans.physical import attach, bounded_rows, materialize
 
 MAX_CITIES = 5000
 
@@ -63,6 +63,11 @@ def nearest_city(stations: DataFrame, cities: DataFrame, lat: str = "latitude",
     one station are generated inside one task, so the partial aggregate sends one row per station
     to the shuffle; the result is joined back to the stations on their keys.  Without keys the
     minimum is one ``least`` over the literal structs per row (for short lists)."""
+    if keys is not None and not bounded_rows(cities, MAX_CITIES):
+        # a large reference table: exact search rounds over a grid join instead of literals
+        best = nearest_ref(stations, cities, keys, city_name, lat, lon, lat, lon)
+        return stations.join(best.select(*keys, F.col("_ref").alias(out_city), F.col("distance_km").alias(out_dist)),
+                             list(keys), "left")
     rows = city_rows(cities, city_name)
     if keys is None:
         if len(rows) > 64:
@@ -92,6 +97,10 @@ def city_members(stations: DataFrame, cities: DataFrame, keys, max_km: float, la
     """Long-form membership: (city, station key, distance) for every station within max_km
     of a city (a station may belong to several cities)."""
     k = _k(keys)
+    if not bounded_rows(cities, MAX_CITIES):
+        refs = cities.select(F.col(city_name), F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"))
+        m = within_radius(stations.select(*k, lat, lon), refs, max_km, k, [city_name], lat, lon, "_rlat", "_rlon")
+        return m.select(city_name, *k, "distance_km")
     pairs = distance_pairs(stations.select(*k, lat, lon), cities, lat, lon, city_name)
     return pairs.where(F.col("distance_km") <= F.lit(max_km)).select(city_name, *k, "distance_km")
 
@@ -102,10 +111,15 @@ def _cells_in_band(band: Column, band_deg: float, max_km: float) -> Column:
     asin(sin(d/R) / cos(phi)) at the band's poleward edge phi (spherical trigonometry); one cell
     when that circle reaches a pole."""
     edge = F.least(F.greatest(F.abs(band * F.lit(band_deg)), F.abs((band + 1) * F.lit(band_deg))), F.lit(90.0))
-    x = F.lit(math.sin(max_km / EARTH_RADIUS_KM)) / F.cos(F.radians(edge))
+    delta = max_km / EARTH_RADIUS_KM
+    x = F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(F.radians(edge))
     width = F.degrees(F.asin(F.least(x, F.lit(1.0)))) * F.lit(1.000001) + F.lit(1e-9)
     n = F.floor(F.lit(360.0) / width).cast("long")
-    return F.when((F.cos(F.radians(edge)) <= F.lit(0.0)) | (x >= F.lit(1.0)) | (n < 1), F.lit(1)).otherwise(n)
+    # a circle of angular radius delta around a point at |lat| <= edge may hold a pole when
+    # delta >= 90 deg - edge: then any longitude difference is possible
+    reaches_pole = F.lit(delta) >= F.lit(math.pi / 2) - F.radians(edge)
+    return F.when(reaches_pole | (F.cos(F.radians(edge)) <= F.lit(0.0)) | (x >= F.lit(1.0)) | (n < 1),
+                  F.lit(1)).otherwise(n)
 
 
 def _cell(lon: Column, n: Column) -> Column:
@@ -144,6 +158,46 @@ def within_radius(points: DataFrame, refs: DataFrame, max_km: float, keys, ref_k
     return j.withColumn("distance_km", d).where(F.col("distance_km") <= F.lit(max_km)).drop("_band", "_cell")
 
 
+# Largest great-circle distance on the sphere used by haversine_km (half its circumference).
+HALF_CIRCUMFERENCE_KM = math.pi * EARTH_RADIUS_KM
+
+
+def nearest_ref(points: DataFrame, refs: DataFrame, keys, ref_name: str, lat: str = "latitude",
+                lon: str = "longitude", ref_lat: str = "latitude", ref_lon: str = "longitude",
+                start_km: float = 50.0, growth: float = 4.0) -> DataFrame:
+    """J2 for reference tables of any size: per point, the nearest reference (ties to the smaller
+    name) and its distance, exactly.
+
+    Rounds of :func:`within_radius` with a radius growing from ``start_km``: a point's nearest
+    reference within radius r is its nearest overall, so points matched in a round are done and
+    only the others go on; the last round's radius covers the sphere, so every point with
+    coordinates is answered.  Each round's results and the remaining points are checkpointed, so
+    the lineage stays short and a lost executor recomputes one round.  Output: keys, ``_ref``,
+    ``distance_km`` for points with coordinates."""
+    k = _k(keys)
+    remaining = materialize(points.select(*k, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()))
+    rf = refs.select(F.col(ref_name).cast("string").alias("_ref"), F.col(ref_lat).cast("double").alias("_rlat"),
+                     F.col(ref_lon).cast("double").alias("_rlon")) \
+        .where(F.col("_rlat").isNotNull() & F.col("_rlon").isNotNull())
+    rf = materialize(rf)
+    found = None
+    radius = start_km
+    while True:
+        last = radius >= HALF_CIRCUMFERENCE_KM
+        r = HALF_CIRCUMFERENCE_KM * 1.001 if last else radius
+        m = within_radius(remaining, rf, r, k, ["_ref"], lat, lon, "_rlat", "_rlon")
+        best = materialize(m.groupBy(*k).agg(F.min(F.struct("distance_km", "_ref")).alias("_b"))
+                           .select(*k, F.col("_b._ref").alias("_ref"), F.col("_b.distance_km").alias("distance_km")))
+        found = best if found is None else found.unionByName(best)
+        if last:
+            break
+        remaining = materialize(remaining.join(best.select(*k), k, "left_anti"))
+        if remaining.isEmpty():
+            break
+        radius *= growth
+    return found
+
+
 def active_count(intervals: DataFrame, begin: str, end: str, out: str = "active") -> DataFrame:
     """For each month start from the first begin to the last end, the number of intervals
     covering it (both ends included).  The first month start is on or after the earliest begin.

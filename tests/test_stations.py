@@ -80,3 +80,65 @@ def test_within_radius_grid_exact_worldwide(spark):
         edge = {(p[i][0], r[j][0]) for i, j in zip(*np.nonzero(np.abs(dist - km) < 1e-9))}
         assert set(got) ^ want <= edge, (km, sorted(set(got) ^ want)[:5])
         assert len(want) > 0
+
+
+def _np_dist(p, r):
+    import numpy as np
+
+    la1, lo1 = np.radians([a for _, a, _ in p])[:, None], np.radians([o for _, _, o in p])[:, None]
+    la2, lo2 = np.radians([a for _, a, _ in r])[None, :], np.radians([o for _, _, o in r])[None, :]
+    h = np.sin((la2 - la1) / 2) ** 2 + np.cos(la1) * np.cos(la2) * np.sin((lo2 - lo1) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+
+def test_within_radius_beyond_a_quarter_circumference(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = [(f"p{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 150), rng.uniform(-180, 180, 150)))]
+    r = [(f"r{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)))]
+    pdf = spark.createDataFrame(p, "pid string, latitude double, longitude double")
+    rdf = spark.createDataFrame(r, "rid string, ref_latitude double, ref_longitude double")
+    for km in (12000.0, 19000.0):
+        got = {(x.pid, x.rid) for x in ST.within_radius(pdf, rdf, km, ["pid"], ["rid"]).collect()}
+        d = _np_dist(p, r)
+        want = {(p[i][0], r[j][0]) for i, j in zip(*np.nonzero(d <= km))}
+        edge = {(p[i][0], r[j][0]) for i, j in zip(*np.nonzero(np.abs(d - km) < 1e-9))}
+        assert got ^ want <= edge
+
+
+def test_nearest_ref_exact_with_sparse_and_dense_refs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = [(f"p{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 200), rng.uniform(-180, 180, 200)))]
+    p.append(("pnull", None, 5.0))
+    # a dense cluster in Europe and three lone references far apart: rounds of every size are used
+    r = [(f"c{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(45, 55, 80), rng.uniform(0, 15, 80)))]
+    r += [("lone_a", -70.0, 120.0), ("lone_b", 10.0, -150.0), ("lone_c", -20.0, -60.0)]
+    pdf = spark.createDataFrame(p, "pid string, latitude double, longitude double")
+    rdf = spark.createDataFrame(r, "city string, latitude double, longitude double")
+    got = {x.pid: (x._ref, x.distance_km) for x in ST.nearest_ref(pdf, rdf, ["pid"], "city").collect()}
+    pp = [t for t in p if t[1] is not None]
+    d = _np_dist(pp, r)
+    assert set(got) == {t[0] for t in pp}
+    for i, t in enumerate(pp):
+        j = int(np.argmin(d[i]))
+        assert np.isclose(got[t[0]][1], d[i, j]) and (got[t[0]][0] == r[j][0] or np.isclose(d[i, j], d[i]).sum() > 1)
+
+
+def test_nearest_city_large_table_path_equals_literal_path(spark, monkeypatch):
+    sts = spark.createDataFrame([(1, 40.0, -100.0), (2, 35.5, -120.2), (3, None, None), (4, 47.0, -110.0)],
+                                "sid int, latitude double, longitude double")
+    cities = spark.createDataFrame([("a", 41.0, -101.0), ("b", 34.0, -118.0), ("c", 47.5, -111.0), ("d", 30.0, -90.0)],
+                                   "city string, latitude double, longitude double")
+    small = sorted((r.sid, r.nearest_city, None if r.distance_km is None else round(r.distance_km, 6))
+                   for r in ST.nearest_city(sts, cities, keys=["sid"]).collect())
+    monkeypatch.setattr(ST, "MAX_CITIES", 2)
+    large = sorted((r.sid, r.nearest_city, None if r.distance_km is None else round(r.distance_km, 6))
+                   for r in ST.nearest_city(sts, cities, keys=["sid"]).collect())
+    assert large == small and small[2][1] is None
+    members_large = sorted(map(tuple, ST.city_members(sts, cities, ["sid"], 300.0).collect()))
+    monkeypatch.setattr(ST, "MAX_CITIES", 5000)
+    members_small = sorted(map(tuple, ST.city_members(sts, cities, ["sid"], 300.0).collect()))
+    assert [(c, s) for c, s, _ in members_large] == [(c, s) for c, s, _ in members_small]
