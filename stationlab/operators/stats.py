@@ -354,9 +354,15 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Keys | None = None
 def pivot_wide(df: DataFrame, index: Keys, column: str, value: Column, values: Sequence | None = None,
                prefix: str = "") -> DataFrame:
     """V1: long -> wide with one column per value of ``column``.  Pass ``values`` when known;
-    otherwise the distinct values are fetched once (a pivot needs its columns before planning)."""
+    otherwise the distinct values are fetched once (a pivot needs its columns before planning),
+    at most ``spark.sql.pivotMaxValues`` of them (Spark's own limit on pivot width): a column
+    with more values is not a pivot and raises instead of pulling an unbounded list."""
     if values is None:
-        values = sorted(r[0] for r in df.select(column).distinct().collect())
+        cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+        got = [r[0] for r in df.select(column).distinct().limit(cap + 1).collect()]
+        if len(got) > cap:
+            raise ValueError(f"{column} has more than {cap} distinct values; pass values= or use long form")
+        values = sorted(got, key=lambda v: (v is None, v))
     wide = df.groupBy(*_k(index)).pivot(column, list(values)).agg(value)
     return wide.select(*_k(index), *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
