@@ -60,8 +60,14 @@ def test_station_pipelines(spark, files):
 
     short = L.shortlist(daily, meta)
     assert short.count() == 4
-    data = L.make_dataset(daily, short.select("usaf", "wban"),
-                          dropped=spark.createDataFrame([("00450", "99999")], "usaf string, wban string"))
+    dropped = spark.createDataFrame([("00450", "99999")], "usaf string, wban string")
+    data = L.make_dataset(daily, short.select("usaf", "wban"), dropped=dropped)
+    # the two-pass plan equals the rule-by-rule chain
+    from stationlab.operators import cleaning as CL
+    step = L.clean_precip(CL.drop_keys(L.get_subset(daily, short.select("usaf", "wban")), dropped, ["usaf", "wban"]))
+    step = CL.remove_before_if_gap(step, ["usaf", "wban"], "timestamp", "1973-01-01", 1970, 1977)
+    skey = lambda t: tuple((x is None, str(x)) for x in t)
+    assert sorted(map(tuple, step.collect()), key=skey) == sorted(map(tuple, data.select(step.columns).collect()), key=skey)
     kept = data.groupBy("usaf").count().collect()
     assert {r.usaf for r in kept} == {"722740", "722745", "725640"}
     # the gap station loses its rows before 1973
