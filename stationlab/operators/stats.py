@@ -192,9 +192,9 @@ def null_profile(df: DataFrame, cols: Sequence[str], by: Keys | None = None) ->
     )
 
 
-def column_maxima(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A20."""
-    return df.agg(*[F.max(c).alias(f"max_{c}") for c in cols])
+def column_maxima(df: DataFrame, cols: Sequence[str], extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """The maximum of each column, plus any ``extra`` named aggregates, in one pass."""
+    return df.agg(*[F.max(c).alias(f"max_{c}") for c in cols], *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 # A22 / A23 -----------------------------------------------------------------------------------

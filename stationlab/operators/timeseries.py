@@ -124,14 +124,32 @@ def day_spine(bounds: DataFrame, keys: Keys, first_col: str, last_col: str, out:
     return bounds.select(*_k(keys), F.explode(F.sequence(F.col(first_col), F.col(last_col))).alias(out))
 
 
+def fill_days(per_day: DataFrame, keys: Keys, day: str = "day") -> DataFrame:
+    """The days missing between each key's first and last day of ``per_day`` (one row per key and
+    day, already aggregated), added with NULL in every other column.
+
+    Like :func:`densify_years`: a window over the per-day aggregate (at most one row per key and
+    calendar day) finds each row's next day, and the row explodes into itself plus the days up to
+    it -- no bounds aggregate (Catalyst would turn it into a second scan of the raw rows) and no
+    spine join.  Rows whose day is NULL are dropped."""
+    k = _k(keys)
+    w = Window.partitionBy(*k).orderBy(day)
+    x = per_day.withColumn("_next", F.lead(day).over(w))
+    last = F.coalesce(F.date_sub(F.col("_next"), 1), F.col(day))
+    x = x.withColumn("_f", F.explode(F.sequence(F.col(day), last)))
+    real = F.col("_f") == F.col(day)
+    others = [F.when(real, F.col(c)).alias(c) for c in per_day.columns if c not in k and c != day]
+    return x.select(*k, F.col("_f").alias(day), *others)
+
+
 def daily_grid(df: DataFrame, keys: Keys, date_col: str, value_col: str, out: str = "missing") -> DataFrame:
     """Each key's daily grid from its first to last day; ``missing`` = 1 where the day has no
-    row or only NULL values, else 0.  Per-day values are aggregated before the spine join."""
+    row or only NULL values, else 0.  Per-day values are aggregated, then the missing days are
+    filled in (:func:`fill_days`)."""
     k = _k(keys)
     day = as_date(date_col).alias("day")
     per_day = df.groupBy(*k, day).agg(F.count(value_col).alias("_n"))
-    bounds = per_day.groupBy(*k).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    grid = day_spine(bounds, k, "_lo", "_hi").join(per_day, k + ["day"], "left")
+    grid = fill_days(per_day, k, "day")
     return grid.select(*k, "day", F.when(F.coalesce(F.col("_n"), F.lit(0)) > 0, 0).otherwise(1).alias(out))
 
 
@@ -158,9 +176,9 @@ def daily_sum_filled(df: DataFrame, keys: Keys, ts_col: str, value_col: str, out
     per_day = df.groupBy(*k, as_date(ts_col).alias("day")).agg(F.sum(value_col).alias("_s"))
     if start is not None or end is not None:
         bounds = per_day.select(*k).distinct().select(*k, F.lit(start).cast("date").alias("_lo"), F.lit(end).cast("date").alias("_hi"))
+        grid = day_spine(bounds, k, "_lo", "_hi").join(per_day, k + ["day"], "left")
     else:
-        bounds = per_day.groupBy(*k).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    grid = day_spine(bounds, k, "_lo", "_hi").join(per_day, k + ["day"], "left")
+        grid = fill_days(per_day, k, "day")
     return grid.select(*k, "day", F.coalesce(F.col("_s"), F.lit(0.0)).alias(out))
 
 

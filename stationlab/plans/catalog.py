@@ -75,8 +75,8 @@ def sentinel_maxima(spark, sf_dir):
     """P2 + P3 ({10: 0} on a short code column) + A20 column maxima."""
     li = table(spark, sf_dir, "lineitem").withColumn("qty_code", F.col("l_quantity").cast("short"))
     x = C.recode(C.clean_sentinels(li, SENTINELS), ["qty_code"], {10: 0})
-    return A.column_maxima(x, ["l_quantity", "l_tax", "l_discount", "qty_code"]).crossJoin(
-        x.agg(F.count_if(F.col("qty_code") == 0).alias("n_recoded")))
+    return A.column_maxima(x, ["l_quantity", "l_tax", "l_discount", "qty_code"],
+                           extra={"n_recoded": F.count_if(F.col("qty_code") == 0)})
 
 
 def exclusion_points(spark, sf_dir):
