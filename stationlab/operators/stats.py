@@ -225,20 +225,23 @@ def histogram(df: DataFrame, value: Column | str, bins: int, lo: float | None =
     inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
     counts = x.where(inside).groupBy(*k, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     if dense:
-        groups = counts.select(*k).distinct() if k else None
-        spine = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-        if groups is not None:
-            sp = groups.select(*k, spine)
-        else:
-            sp = df.sparkSession.range(1).select(spine)
-        counts = sp.join(counts, k + ["bin"], "left").fillna({"count": 0})
+        # one row per group: its bin -> count map (at most ``bins`` entries) and total, exploded
+        # over every bin -- no group list and no spine join (a distinct of the groups would be
+        # planned as a second scan of the raw rows)
+        per = counts.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m"),
+                                     F.sum("count").alias("_tot"))
+        counts = per.select(*k, "_m", "_tot", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")) \
+            .withColumn("count", F.coalesce(F.try_element_at(F.col("_m"), F.col("bin")), F.lit(0)).cast("bigint"))
+        total = F.col("_tot")
+    else:
+        w = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))   # at most ``bins`` rows a group
+        total = F.sum("count").over(w)
     out = counts.withColumns({
         "bin_lo": F.lit(lo) + F.col("bin") * F.lit(width),
         "bin_hi": F.lit(lo) + (F.col("bin") + 1) * F.lit(width),
     })
     if density:
-        w = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
-        out = out.withColumn("density", F.col("count") / (F.sum("count").over(w) * F.lit(width)))
+        out = out.withColumn("density", F.try_divide(F.col("count"), total * F.lit(width)))
     return out.select(*k, "bin", "bin_lo", "bin_hi", "count", *(["density"] if density else []))
 
 
