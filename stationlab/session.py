@@ -24,7 +24,8 @@ STATIC = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "stationlab") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "stationlab",
+              driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings this library expects.
 
     On a cluster the submitter supplies master, memory, shuffle partitions and the checkpoint
@@ -38,6 +39,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     for k, v in STATIC.items():
         builder = builder.config(k, v)
+    if driver_memory:
+        # local mode runs every task inside the driver JVM, so its heap is the executors' memory;
+        # it only takes effect when this call starts the JVM
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     conf = spark.sparkContext.getConf()
     for k, v in DEFAULTS.items():
