@@ -113,6 +113,20 @@ def end_anchored_bins(df: DataFrame, keys: Keys, date_col: str, days: int = 365,
     return x.withColumn(out, b).withColumn(f"{out}_end", F.date_sub(F.col("_last"), b * F.lit(days))).drop("_last")
 
 
+def fill_bins(per_bin: DataFrame, keys: Keys, bin_col: str = "bin") -> DataFrame:
+    """The integer bins missing between each key's smallest and largest bin of ``per_bin`` (one
+    row per key and bin, already aggregated), added with NULL in every other column: a window
+    over the aggregate finds each bin's successor and the row explodes up to it, so no bounds
+    aggregate (which Catalyst would turn into a second raw scan) and no spine join."""
+    k = _k(keys)
+    w = Window.partitionBy(*k).orderBy(bin_col)
+    x = per_bin.withColumn("_next", F.lead(bin_col).over(w))
+    x = x.withColumn("_f", F.explode(F.sequence(F.col(bin_col), F.coalesce(F.col("_next") - 1, F.col(bin_col)))))
+    real = F.col("_f") == F.col(bin_col)
+    others = [F.when(real, F.col(c)).alias(c) for c in per_bin.columns if c not in k and c != bin_col]
+    return x.select(*k, F.col("_f").alias(bin_col), *others)
+
+
 def bin_spine(bounds: DataFrame, keys: Keys, lo: str, hi: str, out: str = "bin") -> DataFrame:
     """Integer bins lo..hi per key (used to keep empty end-anchored bins)."""
     return bounds.select(*_k(keys), F.explode(F.sequence(F.col(lo), F.col(hi))).alias(out))

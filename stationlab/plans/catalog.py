@@ -246,8 +246,7 @@ def bins_365d_end(spark, sf_dir):
     p = supplier_panel(spark, sf_dir)
     b = TS.end_anchored_bins(p, ["key"], "day", 365)
     means = b.groupBy("key", "bin").agg(F.avg("temp_mean").alias("mean_temp"))
-    bounds = means.groupBy("key").agg(F.max("bin").alias("_hi")).withColumn("_lo", F.lit(0))
-    return TS.bin_spine(bounds, ["key"], "_lo", "_hi").join(means, ["key", "bin"], "left")
+    return TS.fill_bins(means, ["key"], "bin")        # bin 0 always has the last day
 
 
 @register("daily_grid")

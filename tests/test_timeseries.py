@@ -77,3 +77,17 @@ def test_results_do_not_depend_on_partitioning(spark):
     many = A.annual_stats(df.repartition(16), K, "timestamp", ["v"]).collect()
     norm = lambda rs: sorted((r.usaf, r.period, round(r.mean_v, 9), r.max_v, r.min_v, round(r.std_v, 9)) for r in rs)
     assert norm(one) == norm(many)
+
+
+def test_fill_bins_and_days_add_missing_rows_only(spark):
+    import datetime as dt
+
+    per_bin = spark.createDataFrame([("a", 0, 1.0), ("a", 3, 2.0), ("b", 0, 5.0), ("c", None, 9.0)],
+                                    "k string, bin int, m double")
+    got = sorted((r.k, r.bin, r.m) for r in TS.fill_bins(per_bin, ["k"], "bin").collect())
+    assert got == [("a", 0, 1.0), ("a", 1, None), ("a", 2, None), ("a", 3, 2.0), ("b", 0, 5.0)]
+    per_day = spark.createDataFrame([("a", dt.date(2000, 2, 27), 1), ("a", dt.date(2000, 3, 1), 2)],
+                                    "k string, day date, n int")
+    got = [(r.day, r.n) for r in TS.fill_days(per_day, ["k"], "day").orderBy("day").collect()]
+    assert got == [(dt.date(2000, 2, 27), 1), (dt.date(2000, 2, 28), None), (dt.date(2000, 2, 29), None),
+                   (dt.date(2000, 3, 1), 2)]
