@@ -76,3 +76,16 @@ def test_partitioned_write_rebalances_by_default(spark, tmp_path):
     back = R.read_daily_parquet(spark, out)
     assert sorted(r.v for r in back.collect()) == sorted(r[3] for r in recs)
     assert {r.year for r in back.select("year").distinct().collect()} == {1990, 1991, 1992}
+
+
+def test_get_spark_keeps_the_submitters_settings(spark):
+    from stationlab.session import get_spark
+
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        s = get_spark()                                         # reuses the running session
+        assert s.conf.get("spark.sql.shuffle.partitions") == "37"
+        assert s.sparkContext.getCheckpointDir()
+        assert get_spark(shuffle_partitions=8).conf.get("spark.sql.shuffle.partitions") == "8"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
