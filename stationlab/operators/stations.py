@@ -105,21 +105,25 @@ def city_members(stations: DataFrame, cities: DataFrame, keys, max_km: float, la
     return pairs.where(F.col("distance_km") <= F.lit(max_km)).select(city_name, *k, "distance_km")
 
 
-def _cells_in_band(band: Column, band_deg: float, max_km: float) -> Column:
-    """Number of longitude cells of a latitude band, so that each cell is at least as wide as the
-    largest longitude difference of two points within ``max_km`` when one lies in the band:
-    asin(sin(d/R) / cos(phi)) at the band's poleward edge phi (spherical trigonometry); one cell
-    when that circle reaches a pole."""
-    edge = F.least(F.greatest(F.abs(band * F.lit(band_deg)), F.abs((band + 1) * F.lit(band_deg))), F.lit(90.0))
+def _with_cells(df: DataFrame, band: str, out_n: str, band_deg: float, max_km: float) -> DataFrame:
+    """Add ``out_n``, the number of longitude cells of latitude band ``band``, chosen so that each
+    cell is at least as wide as the largest longitude difference of two points within ``max_km``
+    when one lies in the band: asin(sin(d/R) / cos(phi)) at the band's poleward edge phi
+    (spherical trigonometry); one cell when that circle may hold a pole.  Each step is its own
+    column, so no expression repeats another's tree (a repeated tree here grew the generated code
+    past the compiler's method limit, and Spark fell back to interpreted evaluation)."""
     delta = max_km / EARTH_RADIUS_KM
-    x = F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(F.radians(edge))
-    width = F.degrees(F.asin(F.least(x, F.lit(1.0)))) * F.lit(1.000001) + F.lit(1e-9)
-    n = F.floor(F.lit(360.0) / width).cast("long")
+    e, x, n = f"{out_n}_e", f"{out_n}_x", f"{out_n}_raw"
+    df = df.withColumn(e, F.least(F.greatest(F.abs(F.col(band) * F.lit(band_deg)),
+                                             F.abs((F.col(band) + 1) * F.lit(band_deg))), F.lit(90.0)))
+    df = df.withColumn(x, F.lit(math.sin(min(delta, math.pi / 2))) / F.cos(F.radians(F.col(e))))
+    width = F.degrees(F.asin(F.least(F.col(x), F.lit(1.0)))) * F.lit(1.000001) + F.lit(1e-9)
+    df = df.withColumn(n, F.floor(F.lit(360.0) / width).cast("long"))
     # a circle of angular radius delta around a point at |lat| <= edge may hold a pole when
     # delta >= 90 deg - edge: then any longitude difference is possible
-    reaches_pole = F.lit(delta) >= F.lit(math.pi / 2) - F.radians(edge)
-    return F.when(reaches_pole | (F.cos(F.radians(edge)) <= F.lit(0.0)) | (x >= F.lit(1.0)) | (n < 1),
-                  F.lit(1)).otherwise(n)
+    one = (F.lit(delta) >= F.lit(math.pi / 2) - F.radians(F.col(e))) | (F.cos(F.radians(F.col(e))) <= F.lit(0.0)) | \
+        (F.col(x) >= F.lit(1.0)) | (F.col(n) < 1)
+    return df.withColumn(out_n, F.when(one, F.lit(1).cast("long")).otherwise(F.col(n))).drop(e, x, n)
 
 
 def _cell(lon: Column, n: Column) -> Column:
@@ -132,27 +136,26 @@ def within_radius(points: DataFrame, refs: DataFrame, max_km: float, keys, ref_k
 
     Latitude bands are ``max_km`` high (so a match is in the point's band or a neighbour); each
     band is cut into longitude cells at least as wide as any match's longitude difference there
-    (see :func:`_cells_in_band`, wrapping at +-180).  A reference sits in one (band, cell); a
-    point asks for the 3 x 3 neighbouring (band, cell) keys, de-duplicated, so each pair meets at
-    most once, and the exact distance filter decides.  Only references in neighbouring cells are
+    (see :func:`_with_cells`, wrapping at +-180).  A reference sits in one (band, cell); a point
+    asks for the 3 x 3 neighbouring (band, cell) keys, de-duplicated, so each pair meets at most
+    once, and the exact distance filter decides.  Only references in neighbouring cells are
     compared -- not a whole band around the globe -- so the candidates per point are bounded by the
     reference density near it."""
     k, rk = _k(keys), _k(ref_keys)
     band_deg = max(max_km / 111.0, 1e-6)  # one degree of latitude on the sphere is 111.19 km
-    b0 = F.floor(F.col(lat) / band_deg).cast("long")
-    asks = []
-    for db in (-1, 0, 1):
-        b = b0 + db
-        n = _cells_in_band(b, band_deg, max_km)
-        c = _cell(F.col(lon), n)
-        for dc in (-1, 0, 1):
-            asks.append(F.struct(b.alias("_band"), F.pmod(c + dc, n).alias("_cell")))
-    pb = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()) \
-        .select(*k, lat, lon, F.inline(F.array_distinct(F.array(*asks))))
-    rb_band = F.floor(F.col(ref_lat) / band_deg).cast("long")
-    rb = refs.where(F.col(ref_lat).isNotNull() & F.col(ref_lon).isNotNull()) \
-        .select(*rk, ref_lat, ref_lon, rb_band.alias("_band"),
-                _cell(F.col(ref_lon), _cells_in_band(rb_band, band_deg, max_km)).alias("_cell"))
+    x = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*k, lat, lon) \
+        .withColumn("_b0", F.floor(F.col(lat) / band_deg).cast("long"))
+    for i, db in enumerate((-1, 0, 1)):
+        x = x.withColumn(f"_b{i + 1}", F.col("_b0") + F.lit(db))
+        x = _with_cells(x, f"_b{i + 1}", f"_n{i + 1}", band_deg, max_km)
+        x = x.withColumn(f"_c{i + 1}", _cell(F.col(lon), F.col(f"_n{i + 1}")))
+    asks = [F.struct(F.col(f"_b{i}").alias("_band"), F.pmod(F.col(f"_c{i}") + F.lit(dc), F.col(f"_n{i}")).alias("_cell"))
+            for i in (1, 2, 3) for dc in (-1, 0, 1)]
+    pb = x.select(*k, lat, lon, F.inline(F.array_distinct(F.array(*asks))))
+    rb = refs.where(F.col(ref_lat).isNotNull() & F.col(ref_lon).isNotNull()).select(*rk, ref_lat, ref_lon) \
+        .withColumn("_band", F.floor(F.col(ref_lat) / band_deg).cast("long"))
+    rb = _with_cells(rb, "_band", "_rn", band_deg, max_km)
+    rb = rb.withColumn("_cell", _cell(F.col(ref_lon), F.col("_rn"))).drop("_rn")
     j = pb.join(rb, ["_band", "_cell"])
     d = haversine_km(lat, lon, ref_lat, ref_lon)
     return j.withColumn("distance_km", d).where(F.col("distance_km") <= F.lit(max_km)).drop("_band", "_cell")
