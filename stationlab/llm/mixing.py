@@ -143,6 +143,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return {"targets": targets, "schedule": slots, "pieces": pieces, "placed": placed, "taken": some.unionByName(none)}
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` as the mix takes them (all columns): a row for each reading of the stream that reaches
+    the document's first word, so 0, 1 or 2 rows.
+
+    A reading takes a source's documents up to one place in the shuffled order; the places are one
+    row per source, so the texts are filtered where they are read and never shuffled."""
+    parts = mix(docs, id_col, text_col, source_col, block_words)
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    place = F.struct(digest.alias("digest"), F.col("doc_id"), F.col("size"))
+    cuts = parts["placed"].groupBy("source_no").agg(
+        F.max(F.when(F.col("start") < F.col("quota"), place)).alias("first"),
+        F.max(F.when(F.col("start") + F.col("source_size") < F.col("quota"), place)).alias("second"))
+    cuts = written(parts["targets"].join(cuts, "source_no").select(
+        F.col("source").alias("_name"), F.col("first").alias("_first"), F.col("second").alias("_second")))
+    own = docs.withColumns({"_digest": F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))),
+                            "_size": word_count(F.col(f"`{text_col}`"))})
+    joined = own.join(checked(cuts), F.col(f"`{source_col}`").eqNullSafe(F.col("_name"))).where("_size > 0")
+    here = F.struct(F.col("_digest").alias("digest"), F.col(f"`{id_col}`").alias("doc_id"), F.col("_size").alias("size"))
+    times = F.when(here <= F.col("_first"), 1).otherwise(0) + F.when(here <= F.col("_second"), 1).otherwise(0)
+    repeated = joined.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times)))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))["taken"]
 
