@@ -5,13 +5,15 @@ first |s| - ceil(t |s|) + 1 tokens of each set in any one global order: tokens f
 of many documents come last, else hashes decide.  Classes that share such a token form a block.
 
 A block is joined by a signature tree: leaves hold the sets' bitmaps, a node the OR of its children,
-their range of set sizes and their largest number of tokens that share a bit.  A pair of nodes can
-hold linked sets only if (common bits + shared-bit allowance) reaches the overlap that their sizes
-need; the dual traversal drops other pairs, and pairs of nodes that lie in one component already,
-and compares the sets of the leaves that remain.  Blocks are joined in two rounds.  Round 1 takes
-each class's first token only and finds most links; round 2 takes all prefix tokens, but only blocks
-that still span two components, and one block of those with the same members.  No link between
-different components is lost, which is all that components need.
+their range of set sizes, their largest number of tokens that share a bit and of tokens outside the
+bitmap.  A pair of nodes can hold linked sets only if (common bits + these allowances) reaches the
+overlap that their sizes need; the dual traversal drops other pairs, and pairs of nodes that lie in
+one component already.  First the blocks are pruned with small bitmaps (of the tokens with a small
+hash, a fixed eighth of all, so the bound stays exact); then the whole sets of what is left come
+together, in blocks again, and leaves that meet are compared exactly.  Blocks are joined in two
+rounds.  Round 1 takes each class's first token only and finds most links; round 2 takes all prefix
+tokens, but only blocks that still span two components, and one block of those with the same
+members.  No link between different components is lost, which is all that components need.
 
 Scale: only hashes are shuffled, never texts.  Copies collapse before the join.  A block of more
 than ``block_sets`` sets is dealt into chunks; chunk pairs are blocks of their own (each against
@@ -35,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checked, own_columns, ship, table, written
-from .features import lower_words, shingle_hashes
+from .features import shingle_hashes, utf8_texts
 
 N = 3
 PERCENT = 90
 BLOCK_SETS = 512
 BITS_PER_TOKEN = 4
+SMALL_HASH = np.uint64(1 << 61)
 # a token is common if more than one in so many documents has it in its prefix; hence at most
 # COMMON_ONE_IN * (mean prefix length) tokens are common, whatever the number of documents
 COMMON_ONE_IN = 500
@@ -85,61 +88,85 @@ class Sets:
 
 
 class Tree:
-    """Signature tree over sets in order of size: levels of nodes, each the union of two below."""
+    """Signature tree over sets in order of size: levels of nodes, each the union of two below.
+    ``extra``: tokens that share a bit with another; ``outside``: tokens that the bitmap leaves out."""
 
-    def __init__(self, sets: list[np.ndarray], members: list[int], bits: int):
+    def __init__(self, members: list[int], bitmaps: np.ndarray, extra: np.ndarray, outside: np.ndarray, sizes: np.ndarray):
         self.members = members
-        words = bits // 64
-        low = np.zeros((len(members), words), dtype=np.uint64)
-        extra = np.zeros(len(members), dtype=np.int64)
-        for row, i in enumerate(members):
-            bit = np.unique(sets[i] & np.uint64(bits - 1))
-            np.bitwise_or.at(low[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-            extra[row] = len(sets[i]) - len(bit)
-        sizes = np.array([len(sets[i]) for i in members], dtype=np.int64)
-        self.levels = [(low, extra, sizes, sizes)]
+        self.levels = [(bitmaps, extra, outside, sizes, sizes)]
         while len(self.levels[-1][0]) > 1:
-            m, e, lo, hi = self.levels[-1]
-            odd = len(m) % 2
-            if odd:
-                m, e, lo, hi = np.concatenate((m, m[-1:])), np.append(e, e[-1]), np.append(lo, lo[-1]), np.append(hi, hi[-1])
-            self.levels.append((m[::2] | m[1::2], np.maximum(e[::2], e[1::2]), np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
+            m, *rest = self.levels[-1]
+            if len(m) % 2:
+                m, rest = np.concatenate((m, m[-1:])), [np.append(x, x[-1]) for x in rest]
+            e, o, lo, hi = rest
+            self.levels.append((m[::2] | m[1::2], np.maximum(e[::2], e[1::2]), np.maximum(o[::2], o[1::2]),
+                                np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
 
     def leaves(self, level: int, node: int) -> range:
         return range(node << level, min((node + 1) << level, len(self.members)))
 
 
-def join_trees(a: Tree, b: Tree, sets: list[np.ndarray], union: Sets, percent: int) -> list[tuple[int, int]]:
-    """Links that join components: dual traversal of two trees, or of one with itself (a is b)."""
-    found: list[tuple[int, int]] = []
+def tree_of_sets(sets: list[np.ndarray], members: list[int], bits: int) -> Tree:
+    """Tree with bitmaps of all tokens."""
+    bitmaps = [bitmap(sets[i], bits) for i in members]
+    sizes = np.array([len(sets[i]) for i in members], dtype=np.int64)
+    held = np.array([int(np.bitwise_count(m).sum()) for m in bitmaps], dtype=np.int64)
+    return Tree(members, np.array(bitmaps).reshape(-1, bits // 64), sizes - held, np.zeros(len(members), dtype=np.int64), sizes)
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, dtype=np.uint8)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def size_class(size: int) -> int:
+    """log2 of the bits of a set's signature less 1: sizes from 2^c + 1 to 2^(c + 1) are of class c, small ones of class 6."""
+    return max(6, (max(size, 2) - 1).bit_length() - 1)
 
-    def same(x: int, m: int, y: int, n: int) -> bool:
-        """Whether all leaves below both nodes are in one component."""
-        roots = {union.find(x_.members[i]) for x_, level, node in ((a, x, m), (b, y, n)) for i in x_.leaves(level, node)}
-        return len(roots) == 1
 
+def signature(tokens: np.ndarray) -> tuple[int, int, bytes]:
+    """Size class, number of tokens with a small hash, and their bitmap."""
+    c = size_class(len(tokens))
+    inside = tokens[:np.searchsorted(tokens, SMALL_HASH)]
+    return c, len(inside), bitmap(inside, 2 << c).tobytes()
+
+
+def tree_of_signatures(rows: list[tuple], members: list[int], c: int) -> Tree:
+    """Tree with the signatures (size, inside, bytes), those of the next class folded to class c."""
+    words = (2 << c) // 64
+    maps = np.zeros((len(members), words), dtype=np.uint64)
+    for row, i in enumerate(members):
+        own = np.frombuffer(rows[i][2], dtype=np.uint64).reshape(-1, words)
+        maps[row] = np.bitwise_or.reduce(own, axis=0)
+    sizes = np.array([rows[i][0] for i in members], dtype=np.int64)
+    inside = np.array([rows[i][1] for i in members], dtype=np.int64)
+    return Tree(members, maps, inside - np.bitwise_count(maps).sum(axis=1).astype(np.int64), sizes - inside, sizes)
+
+
+def traverse(a: Tree, b: Tree, percent: int, done, leaf) -> None:
+    """Dual traversal of two trees, or of one with itself (a is b): calls ``leaf`` for the pairs of
+    members that may be linked; ``done`` tells whether the members below two nodes need no look."""
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)] if a.members and b.members else []
     while stack:
         x, m, y, n = stack.pop()
-        ma, ea, la, ha = (c[m] for c in a.levels[x])
-        mb, eb, lb, hb = (c[n] for c in b.levels[y])
-        # sizes: the smaller must reach percent of the larger
-        if 100 * ha < percent * lb or 100 * hb < percent * la:
-            continue
         alike = a is b and x == y and m == n
         if not alike:
-            # |A and B| <= common bits + tokens of the smaller allowance that share a bit; a link needs
-            # |A and B| * (100 + percent) >= percent * (|A| + |B|)
-            most = int(np.bitwise_count(ma & mb).sum()) + min(int(ea), int(eb))
+            ma, ea, oa, la, ha = (c[m] for c in a.levels[x])
+            mb, eb, ob, lb, hb = (c[n] for c in b.levels[y])
+            # sizes: the smaller must reach percent of the larger
+            if 100 * ha < percent * lb or 100 * hb < percent * la:
+                continue
+            # |A and B| <= common bits + tokens that share a bit + tokens outside the bitmaps, and a
+            # link needs |A and B| * (100 + percent) >= percent * (|A| + |B|)
+            most = int(np.bitwise_count(ma & mb).sum()) + min(int(ea), int(eb)) + min(int(oa), int(ob))
             if most * (100 + percent) < percent * (int(la) + int(lb)):
                 continue
         if x == 0 and y == 0:
-            i, j = a.members[m], b.members[n]
-            if i != j and union.find(i) != union.find(j) and linked(sets[i], sets[j], percent):
-                union.up[union.find(i)] = union.find(j)
-                found.append((i, j))
+            if a.members[m] != b.members[n]:
+                leaf(a.members[m], b.members[n])
             continue
-        if same(x, m, y, n):
+        if done([a.members[i] for i in a.leaves(x, m)], [b.members[i] for i in b.leaves(y, n)]):
             continue
         if alike:
             kids = [2 * m, 2 * m + 1] if 2 * m + 1 < len(a.levels[x - 1][0]) else [2 * m]
@@ -148,115 +175,179 @@ def join_trees(a: Tree, b: Tree, sets: list[np.ndarray], union: Sets, percent: i
             stack += [(x - 1, k, y, n) for k in (2 * m, 2 * m + 1) if k < len(a.levels[x - 1][0])]
         else:
             stack += [(x, m, y - 1, k) for k in (2 * n, 2 * n + 1) if k < len(b.levels[y - 1][0])]
-    return found
+
+
+def in_trees(sides: list[int], order: list[int], build) -> tuple[Tree, Tree]:
+    """Sides 0 and 1: each of one against each of the other; side 2 (an undivided block or one
+    chunk): each against each."""
+    if sides[0] == 2:
+        tree = build(order)
+        return tree, tree
+    return build([i for i in order if sides[i] == 0]), build([i for i in order if sides[i] == 1])
+
+
+def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, percent: int) -> list[int]:
+    """The members of a block (rows: size, inside, signature) that may be linked to a member of another component."""
+    kept: set[int] = set()
+
+    def done(x: list[int], y: list[int]) -> bool:
+        return len({labels[i] for i in x} | {labels[i] for i in y}) == 1 or kept.issuperset(x) and kept.issuperset(y)
+
+    def leaf(i: int, j: int) -> None:
+        if labels[i] != labels[j]:
+            kept.update((i, j))
+
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], labels[i], rows[i][2]))
+    traverse(*in_trees(sides, order, lambda members: tree_of_signatures(rows, members, c)), percent, done, leaf)
+    return sorted(kept)
 
 
 def join_block(keys: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of a block.  Sides 0 and 1: each of one against each of the other;
-    side 2 (an undivided block or one chunk): each against each."""
+    """Links between sets of a block that join two components."""
     union = Sets(labels)
+    found: list[tuple[int, int]] = []
+
+    def done(x: list[int], y: list[int]) -> bool:
+        return len({union.find(i) for i in x} | {union.find(i) for i in y}) == 1
+
+    def leaf(i: int, j: int) -> None:
+        if union.find(i) != union.find(j) and linked(sets[i], sets[j], percent):
+            union.up[union.find(i)] = union.find(j)
+            found.append((keys[i], keys[j]))
+
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i], sets[i][0] if len(sets[i]) else 0))
     longest = max((len(s) for s in sets), default=1)
-    bits = max(64, 1 << (BITS_PER_TOKEN * longest - 1).bit_length())
-    bits = min(bits, 1 << 16)
-    if sides and sides[0] == 2:
-        tree = Tree(sets, order, bits)
-        pairs = join_trees(tree, tree, sets, union, percent)
-    else:
-        pairs = join_trees(Tree(sets, [i for i in order if sides[i] == 0], bits), Tree(sets, [i for i in order if sides[i] == 1], bits),
-                           sets, union, percent)
-    return [(keys[i], keys[j]) for i, j in pairs]
-
-
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (hash of the set; null if empty)."""
+    bits = min(max(64, 1 << (BITS_PER_TOKEN * longest - 1).bit_length()), 1 << 16)
+    traverse(*in_trees(sides, order, lambda members: tree_of_sets(sets, members, bits)), percent, done, leaf)
+    return found
+
+
+def set_hash(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id (hash of the set; null if empty), prefix (the first
+    tokens by hash) and signature."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes = [], []
-            for t in batch.column(1).to_pylist():
-                tokens = shingle_hashes(lower_words(t), n)
+            sizes, classes, prefixes, signatures = [], [], [], []
+            for text in utf8_texts(batch.column(1)):
+                tokens = shingle_hashes(text, n)
                 sizes.append(len(tokens))
                 classes.append(set_hash(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())],
-                                             ["doc_id", "n_shingles", "class_id"])
+                prefixes.append(tokens[:prefix_length(len(tokens), percent)].view(np.int64))
+                signatures.append(signature(tokens))
+            c, inside, maps = zip(*signatures) if signatures else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(c, pa.int32()), pa.array(inside, pa.int32()), pa.array(maps, pa.binary())],
+                ["doc_id", "n_shingles", "class_id", "prefix", "size_class", "inside", "signature"])
 
     rows = own_columns(docs, id=id_col, text=text_col)
-    return written(rows.mapInArrow(work, f"doc_id {rows.schema['id'].dataType.simpleString()}, n_shingles long, class_id long"))
+    return written(rows.mapInArrow(work, f"doc_id {rows.schema['id'].dataType.simpleString()}, n_shingles long, class_id long, "
+                                     "prefix array<long>, size_class int, inside int, signature binary"))
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-
-
-def prefix_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """token, class_id, place (in the prefix) of every document; documents of one class give equal rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def reordered(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """class_id and prefix of texts whose prefix holds common tokens: the first tokens with these last."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, classes, places = [], [], []
-            for t in batch.column(0).to_pylist():
-                s = shingle_hashes(lower_words(t), n)
-                if len(s):
-                    p = prefix_tokens(s, percent, shared.value)
-                    tokens.append(p)
-                    classes.append(np.full(len(p), set_hash(s), dtype=np.int64))
-                    places.append(np.arange(len(p), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)),
-                                                  pa.array(np.concatenate(places))], ["token", "class_id", "place"])
+            sets = [s for s in (shingle_hashes(t, n) for t in utf8_texts(batch.column(0))) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_hash(s) for s in sets], pa.int64()),
+                 pa.array([prefix_tokens(s, percent, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class_id", "prefix"])
+
+    return texts.mapInArrow(work, "class_id long, prefix array<long>")
 
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """The texts of the documents with an id in ``ids`` (column one_id)."""
     rows = own_columns(docs, id=id_col, text=text_col)
-    return rows.select("text").mapInArrow(work, "token long, class_id long, place int")
+    return rows.join(checked(written(ids)), F.col("id").eqNullSafe(F.col("one_id")), "left_semi").select("text")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of the blocks of a partition that is sorted by its first ``n_keys`` columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
+            if row[:n_keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if held:
+        yield key, held
 
 
 def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, blocks: DataFrame, one_each: DataFrame,
                 block_sets: int) -> DataFrame:
     """Links (left, right) found in blocks: rows token, n_sets, class_id, component."""
+    key = ["token", "size_class", "a", "b"]
+    rows = blocks.join(one_each.select(F.col("class_id").alias("of_class"), "n_shingles", "size_class", "inside", "signature"),
+                       F.col("class_id") == F.col("of_class")).drop("of_class")
+    # sets that may be linked to sets of the next smaller size class are in its block too
+    c = F.col("size_class")
+    below = (c > 6) & (percent * F.col("n_shingles") <= 100 * F.expr("shiftleft(1L, size_class)"))
+    rows = rows.withColumn("size_class", F.explode(F.when(below, F.array(c, c - 1)).otherwise(F.array(c))))
     # blocks above the limit: each set goes to the pairs of its chunk with every chunk
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n_sets") / F.lit(block_sets))).cast("int")
-    rows = blocks.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("token", "class_id", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                       F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    needed = written(blocks.select("class_id").distinct())
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("token", "size_class", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                       "class_id", "component", side.alias("side"), F.col("n_shingles").cast("int").alias("size"), "inside", "signature")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for block, held in by_block(batches, 4):
+            labels = [r[1] for r in held]
+            if len(set(labels)) > 1:
+                for i in survivors(labels, [r[2] for r in held], [r[3:] for r in held], block[1], percent):
+                    out.append((*block, *held[i][:3]))
+            if len(out) >= 10_000:
+                yield as_batch(out)
+                out = []
+        yield as_batch(out)
+
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        cols = list(zip(*out)) if out else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [*key, "class_id", "component", "side"])
+
+    left = written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+        prune, "token long, size_class int, a int, b int, class_id long, component long, side int"))
+    # of blocks with the same members, one
+    per_block = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class_id", "side")).alias("x"),
+                                       F.bit_xor(F.xxhash64("side", "class_id")).alias("y"))
+    chosen = per_block.groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    left = written(left.join(written(chosen), key, "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for s in (shingle_hashes(lower_words(t), n) for t in batch.column(0).to_pylist()) if len(s)]
+            found = [s for s in (shingle_hashes(t, n) for t in utf8_texts(batch.column(0))) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["set_id", "tokens"])
 
-    wanted = one_each.join(needed, "class_id", "left_semi").select("one_id")
-    texts = own_columns(docs, id=id_col, text=text_col).join(checked(written(wanted)), F.col("id").eqNullSafe(F.col("one_id")), "left_semi")
-    tokens = texts.select("text").mapInArrow(sets, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    needed = checked(written(left.select("class_id").distinct()))
+    texts = texts_of(docs, id_col, text_col, one_each.join(needed, "class_id", "left_semi").select("one_id"))
+    tokens = texts.mapInArrow(sets, "set_id long, tokens binary").dropDuplicates(["set_id"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            left: list[int] = []
-            right: list[int] = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-                if row[:3] != key:
-                    for x, y in close(held):
-                        left.append(x)
-                        right.append(y)
-                    key, held = row[:3], []
-                held.append(row[3:])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["left", "right"])
-        last = close(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], ["left", "right"])
-
-    def close(held: list[tuple]) -> list[tuple[int, int]]:
-        if len({c for _, c, _, _ in held}) < 2:
-            return []
-        return join_block([k for k, _, _, _ in held], [c for _, c, _, _ in held], [s for _, _, s, _ in held],
-                          [np.frombuffer(t, dtype=np.uint64) for _, _, _, t in held], percent)
-
-    together = rows.join(tokens, F.col("class_id") == F.col("set_id")).select("token", "a", "b", "class_id", "component", "side", "tokens")
-    together = together.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
+        for _, held in by_block(batches, 4):
+            classes, labels, sides, raw = zip(*held)
+            found = join_block(classes, labels, sides, [np.frombuffer(t, dtype=np.uint64) for t in raw], percent)
+            if found:
+                x, y = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["left", "right"])
+
+    together = left.join(tokens, F.col("class_id") == F.col("set_id")).select(*key, "class_id", "component", "side", "tokens")
+    together = together.repartition(*key).sortWithinPartitions(*key)
     return written(together.mapInArrow(join, "left long, right long"))
 
 
@@ -282,13 +373,19 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n_shingles, class_id) and links between classes (left, right) that
     connect all linked classes."""
-    members = shingle_table(docs, id_col, text_col, n)
-    one_each = written(members.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("one_id")))
+    members = shingle_table(docs, id_col, text_col, n, percent)
+    per_class = members.where("class_id is not null").groupBy("class_id")
+    alike = ("n_shingles", "prefix", "size_class", "inside", "signature")  # equal in all rows of a class
+    one_each = written(per_class.agg(F.min("doc_id").alias("one_id"), *[F.first(c).alias(c) for c in alike]))
     limit = max(16, members.count() // COMMON_ONE_IN)
-    first = prefix_table(docs, id_col, text_col, n, percent, np.empty(0, dtype=np.uint64))
-    common = first.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("token").toPandas()["token"]
-    common = np.sort(common.to_numpy(dtype=np.int64).view(np.uint64))
-    prefixes = written(prefix_table(docs, id_col, text_col, n, percent, common).dropDuplicates(["token", "class_id"]))
+    tokens = one_each.select("class_id", F.explode("prefix").alias("token"))
+    common = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("token"))
+    values = np.sort(common.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    moved = written(tokens.join(checked(common), "token", "left_semi").select("class_id").distinct())
+    again = reordered(texts_of(docs, id_col, text_col, one_each.join(checked(moved), "class_id", "left_semi").select("one_id")), n, percent, values) \
+        .join(checked(moved), "class_id", "left_semi").dropDuplicates(["class_id"])
+    same = one_each.join(checked(moved), "class_id", "left_anti").select("class_id", "prefix")
+    prefixes = written(same.unionByName(again).select("class_id", F.posexplode("prefix").alias("place", "token")))
 
     def blocks(rows: DataFrame) -> DataFrame:
         """Blocks that span components, one of those with the same members: token, n_sets, class_id, component."""
