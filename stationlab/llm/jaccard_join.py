@@ -323,10 +323,11 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     left = written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
         prune, "token long, size_class int, a int, b int, class_id long, component long, side int"))
     # of blocks with the same members, one
-    per_block = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class_id", "side")).alias("x"),
-                                       F.bit_xor(F.xxhash64("side", "class_id")).alias("y"))
+    part = 1 << 40
+    per_block = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("class_id", "side"), F.lit(part))).alias("x"),
+                                       F.sum(F.pmod(F.xxhash64("side", "class_id"), F.lit(part))).alias("y"))
     chosen = per_block.groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    left = written(left.join(written(chosen), key, "left_semi"))
+    left = written(left.join(checked(written(chosen)), key, "left_semi"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,17 +337,18 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
 
     needed = checked(written(left.select("class_id").distinct()))
     texts = texts_of(docs, id_col, text_col, one_each.join(needed, "class_id", "left_semi").select("one_id"))
-    tokens = texts.mapInArrow(sets, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    tokens = texts.mapInArrow(sets, "set_id long, tokens binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_block(batches, 4):
-            classes, labels, sides, raw = zip(*held)
+            # repeated rows of one document bring the set twice
+            classes, labels, sides, raw = zip(*{(r[0], r[2]): r for r in held}.values())
             found = join_block(classes, labels, sides, [np.frombuffer(t, dtype=np.uint64) for t in raw], percent)
             if found:
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["left", "right"])
 
-    together = left.join(tokens, F.col("class_id") == F.col("set_id")).select(*key, "class_id", "component", "side", "tokens")
+    together = tokens.join(checked(left), F.col("class_id") == F.col("set_id")).select(*key, "class_id", "component", "side", "tokens")
     together = together.repartition(*key).sortWithinPartitions(*key)
     return written(together.mapInArrow(join, "left long, right long"))
 
@@ -374,33 +376,37 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents (doc_id, n_shingles, class_id) and links between classes (left, right) that
     connect all linked classes."""
     members = shingle_table(docs, id_col, text_col, n, percent)
-    per_class = members.where("class_id is not null").groupBy("class_id")
-    alike = ("n_shingles", "prefix", "size_class", "inside", "signature")  # equal in all rows of a class
-    one_each = written(per_class.agg(F.min("doc_id").alias("one_id"), *[F.first(c).alias(c) for c in alike]))
+    known = members.where("class_id is not null")
+    alike = ("n_shingles", "size_class", "inside", "signature")  # equal in all rows of a class
+    one_each = written(known.groupBy("class_id").agg(F.min("doc_id").alias("one_id"), *[F.first(c).alias(c) for c in alike]))
     limit = max(16, members.count() // COMMON_ONE_IN)
-    tokens = one_each.select("class_id", F.explode("prefix").alias("token"))
+    tokens = known.select("class_id", F.explode("prefix").alias("token"))
     common = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("token"))
     values = np.sort(common.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
-    moved = written(tokens.join(checked(common), "token", "left_semi").select("class_id").distinct())
-    again = reordered(texts_of(docs, id_col, text_col, one_each.join(checked(moved), "class_id", "left_semi").select("one_id")), n, percent, values) \
-        .join(checked(moved), "class_id", "left_semi").dropDuplicates(["class_id"])
-    same = one_each.join(checked(moved), "class_id", "left_anti").select("class_id", "prefix")
-    prefixes = written(same.unionByName(again).select("class_id", F.posexplode("prefix").alias("place", "token")))
+    moved = checked(written(tokens.join(checked(common), "token", "left_semi").select("class_id").distinct()))
+    again = texts_of(docs, id_col, text_col, one_each.join(moved, "class_id", "left_semi").select("one_id"))
+    again = written(reordered(again, n, percent, values).join(moved, "class_id", "left_semi"))
+    same = known.join(moved, "class_id", "left_anti").select("class_id", "prefix")
+    prefixes = same.unionByName(again).select("class_id", F.posexplode("prefix").alias("place", "token"))
 
     def blocks(rows: DataFrame) -> DataFrame:
         """Blocks that span components, one of those with the same members: token, n_sets, class_id, component."""
-        per_token = rows.groupBy("token").agg(
-            F.count(F.lit(1)).alias("n_sets"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"))
-        chosen = written(per_token.where("low <> high").groupBy("n_sets", "x", "y").agg(F.min("token").alias("token")).select("token", "n_sets"))
-        return written(rows.join(chosen, "token").select("token", "n_sets", "class_id", "component"))
+        spans = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        shared = checked(written(spans.where("low <> high").select("token")))
+        shared = written(rows.join(shared, "token").select("token", "class_id", "component").dropDuplicates(["token", "class_id"]))
+        part = 1 << 40
+        digests = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets"),
+                                              F.sum(F.pmod(F.xxhash64("class_id"), F.lit(part))).alias("x"),
+                                              F.sum(F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(part))).alias("y"))
+        chosen = written(digests.groupBy("n_sets", "x", "y").agg(F.min("token").alias("token")).select("token", "n_sets"))
+        return shared.join(checked(chosen), "token")
 
     alone = prefixes.withColumn("component", F.col("class_id"))
     links1 = block_links(docs, id_col, text_col, n, percent, blocks(alone.where("place = 0")), one_each, block_sets)
     label = components(links1)
     known = prefixes.join(checked(label), F.col("class_id") == F.col("node"), "left") \
         .withColumn("component", F.coalesce("component", "class_id")).drop("node")
-    links2 = block_links(docs, id_col, text_col, n, percent, blocks(written(known)), one_each, block_sets)
+    links2 = block_links(docs, id_col, text_col, n, percent, blocks(known), one_each, block_sets)
     return members, links1.union(links2)
 
 
