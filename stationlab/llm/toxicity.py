@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, own_columns, ship, table, written
+from .common import checked, held_out, own_columns, ship, table, written
 
 TERM = re.compile(r"\w+")
 MIN_LOG_ODDS = 2.5
@@ -43,7 +43,8 @@ MODEL_SEED = 11
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Training rows (id, text, label): labelled rows outside the held-out fold, one row per id and text."""
-    y = own_columns(labels, label_id="doc_id", y=label).where(F.col("y").isin(0, 1)).dropDuplicates(["label_id"])
+    y = own_columns(labels, label_id="doc_id", y=label).where(F.col("y").isin(0, 1))
+    y = checked(written(y.groupBy("label_id").agg(F.max("y").alias("y"))))  # a broadcast keeps the texts where they are
     rows = own_columns(docs, id="doc_id", text="text").where(~held_out(F.col("id")))
     return rows.join(y, rows["id"] == y["label_id"]).select("id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
@@ -172,9 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
     terms = {r["word"]: (i, float(np.log((1 + n) / (1 + r["n"])) + 1)) for i, r in enumerate(chosen)}
     if not terms:
         return Index({}, [], [], [], n1 / n)
-    names = F.array(*[F.lit(w) for w in terms])
-    held = F.filter(F.arrays_zip("words", "tf"), lambda x: F.array_contains(names, x["words"]))
-    examples = rows.select("id", "y", held.alias("held")).where(F.size("held") > 0)
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, words, tf, y in zip(*[c.to_pylist() for c in batch.columns]):
+                if held := [(w, n) for w, n in zip(words, tf) if w in terms]:
+                    out.append((i, [w for w, _ in held], [n for _, n in held], y))
+            kinds = (batch.column(0).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) if out else [[]] * 4, kinds)], ["id", "words", "tf", "y"])
+
+    examples = written(rows.mapInArrow(holding, rows.schema))
     m, m1 = examples.agg(F.count(F.lit(1)), F.sum("y")).first()
     m1 = m1 or 0
     base = (n1 - m1 + 0.5) / (n - m + 1)
@@ -182,8 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
         scale = 1 << 20
         part = F.pmod(F.xxhash64("id", F.lit(MODEL_SEED)), F.lit(scale))
         examples = examples.where(part < int(scale * index_rows / m))
-    found = sorted((r["id"], r["y"], {x["words"]: x["tf"] for x in r["held"]}) for r in examples.collect()) \
-        if m else []
+    found = sorted(((r["id"], r["y"], dict(zip(r["words"], r["tf"]))) for r in examples.collect()), key=lambda x: (x[0], len(x[2])))
     index = Index(terms, [], [], [], base)
     vectors = [index.vector(c) for _, _, c in found]
     index = Index(terms, [i for i, _, _ in found], vectors, [y for _, y, _ in found], base)
