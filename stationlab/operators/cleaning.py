@@ -332,7 +332,7 @@ def clean_dataset(df: DataFrame, keys: Keys, date_col: str, value_col: str, poin
     gap in [gap_first, gap_last] counted after that removal (A10, A11).
 
     Pass 1 reduces the rows to one summary row per (key, year) -- non-null count and total of the
-    input, the Jan..z_last_month total with and without the listed points, row counts -- from which
+    input, the Jan..z_last_month total without the listed points, row counts -- from which
     every decision follows on small tables.  Pass 2 applies the decisions to the rows through a
     size-checked broadcast of the per-(key, year) decision table.  Same result as composing
     :func:`null_excluded`, :func:`remove_anomalous_span`, :func:`drop_keys` and
@@ -352,8 +352,7 @@ def clean_dataset(df: DataFrame, keys: Keys, date_col: str, value_col: str, poin
     summary = x.groupBy(*k, "_y").agg(
         F.count(v).alias("n_values"),
         F.coalesce(F.sum(v), F.lit(0.0)).alias("total"),
-        F.coalesce(F.sum(F.when(in_m, v)), F.lit(0.0)).alias("part_total"),
-        F.coalesce(F.sum(F.when(in_m & at_pt, v)), F.lit(0.0)).alias("part_at_points"),
+        F.coalesce(F.sum(F.when(in_m & ~at_pt, v)), F.lit(0.0)).alias("part_off_points"),
         F.count(F.when(in_m, F.lit(1))).alias("part_rows"),
         F.count(F.lit(1)).alias("rows"),
     )
@@ -366,8 +365,9 @@ def clean_dataset(df: DataFrame, keys: Keys, date_col: str, value_col: str, poin
     else:
         null_year = implausible
     summary = summary.withColumn("null_year", null_year)
-    # A12 on the nulled values: a nulled year sums to 0, listed points are taken out
-    nulled_part = F.when(F.col("null_year"), F.lit(0.0)).otherwise(F.col("part_total") - F.col("part_at_points"))
+    # A12 on the nulled values: a nulled year sums to 0, listed points are left out of the sum (never
+    # subtracted from it: the rounding residue would make equal years differ)
+    nulled_part = F.when(F.col("null_year"), F.lit(0.0)).otherwise(F.col("part_off_points"))
     per_year = summary.where(F.col("_y") >= F.lit(z_year)).select(
         *k, F.col("_y").alias("_yr"), nulled_part.alias("_s"), F.col("part_rows").alias("_rows"))
     z = _zscore_from_year_sums(per_year, summary.select(*k).distinct(), k, z_year, z_min_rows)

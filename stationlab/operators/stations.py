@@ -62,13 +62,17 @@ def nearest_city(stations: DataFrame, cities: DataFrame, lat: str = "latitude",
     the literal city list, reduced per station with ``min(struct(distance, city))``.  The rows of
     one station are generated inside one task, so the partial aggregate sends one row per station
     to the shuffle; the result is joined back to the stations on their keys.  Without keys the
-    minimum is one ``least`` over the literal structs per row (for short lists)."""
+    minimum is one ``least`` over the literal structs per row (for short lists).  Cities without
+    coordinates are nearest to nothing."""
+    cities = cities.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     if keys is not None and not bounded_rows(cities, MAX_CITIES):
         # a large reference table: exact search rounds over a grid join instead of literals
         best = nearest_ref(stations, cities, keys, city_name, lat, lon, lat, lon)
         return stations.join(best.select(*keys, F.col("_ref").alias(out_city), F.col("distance_km").alias(out_dist)),
                              list(keys), "left")
     rows = city_rows(cities, city_name)
+    if not rows:
+        return stations.withColumn(out_city, F.lit(None).cast("string")).withColumn(out_dist, F.lit(None).cast("double"))
     if keys is None:
         if len(rows) > 64:
             raise ValueError("pass keys= for city lists longer than 64")

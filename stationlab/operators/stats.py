@@ -220,8 +220,14 @@ def histogram(df: DataFrame, value: Column | str, bins: int, lo: float | None =
         return x.select(*k, F.lit(0).alias("bin"), F.lit(0.0).alias("bin_lo"), F.lit(0.0).alias("bin_hi"),
                         F.lit(0).cast("bigint").alias("count")).limit(0)
     lo, hi = float(lo), float(hi)
-    width = (hi - lo) / bins if hi > lo else 1.0
+    if hi == lo:
+        lo, hi = lo - 0.5, hi + 0.5
+    width = (hi - lo) / bins
     b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+    # the quotient may be rounded across an edge: a value belongs to the bin whose edges hold it
+    below = F.col("_v") < F.lit(lo) + b * F.lit(width)
+    above = (F.col("_v") >= F.lit(lo) + (b + 1) * F.lit(width)) & (b < bins - 1)
+    b = F.when(below, b - 1).when(above, b + 1).otherwise(b)
     inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
     counts = x.where(inside).groupBy(*k, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     if dense:
@@ -327,8 +333,15 @@ def row_at_max(df: DataFrame, value_col: str, by: Keys | None = None, tiebreak:
     """The whole row at the maximum value (per group); ties go to the smallest tiebreak."""
     k = _k(by)
     others = [c for c in df.columns if c not in k]
-    order = F.struct(F.col(value_col), *[-F.col(t) if _numeric(df, t) else F.col(t) for t in tiebreak])
-    best = df.groupBy(*k).agg(F.max_by(F.struct(*others), order).alias("_r"))
+    v = F.col(value_col)
+    if not _numeric(df, value_col):  # dates and text as a rank of their own: largest first
+        top = df.groupBy(*k).agg(F.max(v).alias("_top"))
+        df = df.join(top, k) if k else df.join(top, v == F.col("_top"))
+        df = df.where(v == F.col("_top"))
+        order = F.struct(*[F.col(t) for t in tiebreak]) if tiebreak else v
+    else:
+        order = F.struct(v.isNull().alias("none"), (-v).alias("value"), *[F.col(t) for t in tiebreak])
+    best = df.groupBy(*k).agg(F.min_by(F.struct(*others), order).alias("_r"))
     return best.select(*k, "_r.*")
 
 

@@ -185,11 +185,12 @@ def all_keys_grid(df: DataFrame, keys: Keys, date_col: str, value_cols: Sequence
 def daily_sum_filled(df: DataFrame, keys: Keys, ts_col: str, value_col: str, out: str = "daily_total",
                      start: str | None = None, end: str | None = None) -> DataFrame:
     """Sum of sub-daily values per key and day, days without rows = 0, over each key's span
-    (or the given closed date range)."""
+    (or the given closed date range; an end that is not given is the key's own)."""
     k = _k(keys)
     per_day = df.groupBy(*k, as_date(ts_col).alias("day")).agg(F.sum(value_col).alias("_s"))
     if start is not None or end is not None:
-        bounds = per_day.select(*k).distinct().select(*k, F.lit(start).cast("date").alias("_lo"), F.lit(end).cast("date").alias("_hi"))
+        bounds = per_day.groupBy(*k).agg(F.coalesce(F.lit(start).cast("date"), F.min("day")).alias("_lo"),
+                                         F.coalesce(F.lit(end).cast("date"), F.max("day")).alias("_hi")).where("_lo <= _hi")
         grid = day_spine(bounds, k, "_lo", "_hi").join(per_day, k + ["day"], "left")
     else:
         grid = fill_days(per_day, k, "day")

@@ -181,13 +181,23 @@ def splice_report(daily: DataFrame, groups: DataFrame, value_cols: Sequence[str]
 # L12 -------------------------------------------------------------------------------------------
 def clean_annual_precip(clean_panel: DataFrame, meta: DataFrame, min_count: float = 365 * 0.9,
                         min_total: float = 1.0) -> DataFrame:
-    """Annual totals kept only for well-covered, plausible years, one column per station name."""
+    """Annual totals kept only for well-covered, plausible years, one column per station name
+    (name and key where several stations share a name)."""
     a = C.annual_sum_count(clean_panel, KEY, DATE, PRECIP)
     ok = (F.col("annual_count") >= F.lit(min_count)) & (F.col("annual_sum") >= F.lit(min_total))
-    a = a.withColumn("annual_sum", F.when(ok, F.col("annual_sum"))).join(meta.select(*KEY, "name"), KEY)
+    a = a.withColumn("annual_sum", F.when(ok, F.col("annual_sum"))).join(_column_names(meta), KEY)
     return A.pivot_wide(a, ["year"], "name", F.first("annual_sum", ignorenulls=True))
 
 
+def _column_names(meta: DataFrame) -> DataFrame:
+    """One column name per station key."""
+    stations = meta.select(*KEY, "name").dropDuplicates(KEY)
+    shared = stations.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    label = F.when(F.col("_n") > 1, F.concat_ws(" ", "name", F.concat(F.lit("("), F.concat_ws(" ", *KEY), F.lit(")")))) \
+        .otherwise(F.col("name"))
+    return stations.join(shared, "name").select(*KEY, label.alias("name"))
+
+
 # L13 -------------------------------------------------------------------------------------------
 def extreme_review(panel: DataFrame, ratio: float = 20.0, min_value: float = 3.0,
                    half_width_days: int = 183) -> DataFrame:
