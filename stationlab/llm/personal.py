@@ -34,6 +34,7 @@ SAMPLE_DOCS = 4000
 LEAST = 0.95
 BITS = 12
 ROUNDS = 12
+AGREE = 2.0
 # The contract's patterns (the email's local part is read backwards from its @)
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,7 +133,8 @@ class Field:
 
     def __init__(self):
         k = len(KINDS) + 1
-        self.unary, self.chain, self.skip = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros((k, k))
+        # distant mentions of one token agree, as far as the sample says nothing else
+        self.unary, self.chain, self.skip = np.zeros((1 << BITS, k)), np.zeros((k, k)), AGREE * np.eye(k)
         self.known = False
 
     def fit(self, features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 150) -> None:
@@ -140,6 +142,10 @@ class Field:
         k = self.chain.shape[0]
         one = np.eye(k)[label]
         n = len(label)
+        # an unlabelled mention of a token that is labelled elsewhere in its document teaches nothing
+        unsure = np.zeros(n, dtype=bool)
+        for a, b in ((0, 1), (1, 0)):
+            unsure[skip[:, a][(label[skip[:, a]] == 0) & (label[skip[:, b]] > 0)]] = True
         left, right, other = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
         if len(chain):
             np.add.at(left, chain[:, 1], one[chain[:, 0]])
@@ -154,10 +160,11 @@ class Field:
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d = (p - one) / n
+            d[unsure] = 0.0
             gu = np.stack([np.bincount(flat, np.repeat(d[:, j], features.shape[1]), minlength=1 << BITS) for j in range(k)], axis=1)
             gs = other.T @ d
             for w, g2, g in zip((self.unary, self.chain, self.skip), grads, (gu, left.T @ d + (right.T @ d).T, (gs + gs.T) / 2)):
-                g = g + 1e-5 * w
+                g = g + 1e-5 * (w - (AGREE * np.eye(k) if w is self.skip else 0.0))
                 g2 += g * g
                 w -= 0.5 * g / np.sqrt(g2)
         self.known = True

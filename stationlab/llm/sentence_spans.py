@@ -1,7 +1,7 @@
 """Repeated passages: sliding runs of whole sentences, hashed and joined over all documents.
 
-A text is cut into sentences after closing marks and bars, at line ends and where a small letter is
-followed by a capitalised word (so that a passage set into other text starts a sentence of its
+A text is cut into sentences after closing marks and bars, at line ends and where a small letter or
+digit is followed by a capitalised word (so that a passage set into other text starts a sentence of its
 own).  From every sentence a run goes on until it has ``sentences`` sentences and ``words`` words.
 Runs with equal words (A-Z lower-cased, white space ignored) are the same span; its first occurrence,
 by document id, then place, stays, and the sentences of every other occurrence are removed.
@@ -31,7 +31,7 @@ from .features import lower_words
 
 SENTENCES = 2
 WORDS = 20
-CUT = re.compile(r"(?<=[.!?;:|])\s+|\n\s*|(?<=[a-zß-öø-ÿ])[ ]+(?=[A-ZÀ-ÖØ-Þ])")
+CUT = re.compile(r"(?<=[.!?;:|])\s+|\n\s*|(?<=[a-z0-9ß-öø-ÿ])[ ]+(?=[A-ZÀ-ÖØ-Þ])")
 
 
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
