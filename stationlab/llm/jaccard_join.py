@@ -9,7 +9,7 @@ their range of set sizes, their largest number of tokens that share a bit and of
 bitmap.  A pair of nodes can hold linked sets only if (common bits + these allowances) reaches the
 overlap that their sizes need; the dual traversal drops other pairs, and pairs of nodes that lie in
 one component already.  First the blocks are pruned with small bitmaps (of the tokens with a small
-hash, a fixed eighth of all, so the bound stays exact); then the whole sets of what is left come
+hash, a fixed eighth of all, so the bound stays exact), then with bitmaps of all tokens; the whole sets of what is left come
 together, in blocks again, and leaves that meet are compared exactly.  Blocks are joined in two
 rounds.  Round 1 takes each class's first token only and finds most links; round 2 takes all prefix
 tokens, but only blocks that still span two components, and one block of those with the same
@@ -44,6 +44,9 @@ PERCENT = 90
 BLOCK_SETS = 512
 BITS_PER_TOKEN = 4
 SMALL_HASH = np.uint64(1 << 61)
+# bits of the signatures per 2^size_class: of the tokens with a small hash, and of all tokens
+SMALL_BITS = 2
+FULL_BITS = 8
 # a token is common if more than one in so many documents has it in its prefix; hence at most
 # COMMON_ONE_IN * (mean prefix length) tokens are common, whatever the number of documents
 COMMON_ONE_IN = 500
@@ -129,12 +132,17 @@ def signature(tokens: np.ndarray) -> tuple[int, int, bytes]:
     """Size class, number of tokens with a small hash, and their bitmap."""
     c = size_class(len(tokens))
     inside = tokens[:np.searchsorted(tokens, SMALL_HASH)]
-    return c, len(inside), bitmap(inside, 2 << c).tobytes()
+    return c, len(inside), bitmap(inside, SMALL_BITS << c).tobytes()
 
 
-def tree_of_signatures(rows: list[tuple], members: list[int], c: int) -> Tree:
+def full_signature(tokens: np.ndarray) -> tuple[int, int, bytes]:
+    """Size, number of tokens and a bitmap of all of them."""
+    return len(tokens), len(tokens), bitmap(tokens, FULL_BITS << size_class(len(tokens))).tobytes()
+
+
+def tree_of_signatures(rows: list[tuple], members: list[int], c: int, factor: int) -> Tree:
     """Tree with the signatures (size, inside, bytes), those of the next class folded to class c."""
-    words = (2 << c) // 64
+    words = (factor << c) // 64
     maps = np.zeros((len(members), words), dtype=np.uint64)
     for row, i in enumerate(members):
         own = np.frombuffer(rows[i][2], dtype=np.uint64).reshape(-1, words)
@@ -186,7 +194,7 @@ def in_trees(sides: list[int], order: list[int], build) -> tuple[Tree, Tree]:
     return build([i for i in order if sides[i] == 0]), build([i for i in order if sides[i] == 1])
 
 
-def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, percent: int) -> list[int]:
+def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, percent: int, factor: int) -> list[int]:
     """The members of a block (rows: size, inside, signature) that may be linked to a member of another component."""
     kept: set[int] = set()
 
@@ -198,7 +206,7 @@ def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, pe
             kept.update((i, j))
 
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0], labels[i], rows[i][2]))
-    traverse(*in_trees(sides, order, lambda members: tree_of_signatures(rows, members, c)), percent, done, leaf)
+    traverse(*in_trees(sides, order, lambda members: tree_of_signatures(rows, members, c, factor)), percent, done, leaf)
     return sorted(kept)
 
 
@@ -303,31 +311,53 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     rows = rows.select("token", "size_class", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
                        "class_id", "component", side.alias("side"), F.col("n_shingles").cast("int").alias("size"), "inside", "signature")
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for block, held in by_block(batches, 4):
-            labels = [r[1] for r in held]
-            if len(set(labels)) > 1:
-                for i in survivors(labels, [r[2] for r in held], [r[3:] for r in held], block[1], percent):
-                    out.append((*block, *held[i][:3]))
-            if len(out) >= 10_000:
-                yield as_batch(out)
-                out = []
-        yield as_batch(out)
+    def pruned(rows: DataFrame, factor: int) -> DataFrame:
+        """The members that their blocks' signature trees cannot part; of blocks with the same ones, one."""
+
+        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for block, held in by_block(batches, 4):
+                # repeated rows of one document bring the set twice
+                held = list({(r[0], r[2]): r for r in held}.values())
+                labels = [r[1] for r in held]
+                if len(set(labels)) > 1:
+                    for i in survivors(labels, [r[2] for r in held], [r[3:] for r in held], block[1], percent, factor):
+                        out.append((*block, *held[i][:3]))
+                if len(out) >= 10_000:
+                    yield as_batch(out)
+                    out = []
+            yield as_batch(out)
+
+        left = written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+            prune, "token long, size_class int, a int, b int, class_id long, component long, side int"))
+        part = 1 << 40
+        per_block = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("class_id", "side"), F.lit(part))).alias("x"),
+                                           F.sum(F.pmod(F.xxhash64("side", "class_id"), F.lit(part))).alias("y"))
+        chosen = per_block.groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+        return written(left.join(checked(written(chosen)), key, "left_semi"))
 
     def as_batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         cols = list(zip(*out)) if out else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [*key, "class_id", "component", "side"])
 
-    left = written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(
-        prune, "token long, size_class int, a int, b int, class_id long, component long, side int"))
-    # of blocks with the same members, one
-    part = 1 << 40
-    per_block = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("class_id", "side"), F.lit(part))).alias("x"),
-                                       F.sum(F.pmod(F.xxhash64("side", "class_id"), F.lit(part))).alias("y"))
-    chosen = per_block.groupBy("n", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    left = written(left.join(checked(written(chosen)), key, "left_semi"))
+    def with_texts(left: DataFrame, work, columns: str) -> DataFrame:
+        """``left`` with what ``work`` makes of the texts of its classes."""
+        needed = checked(written(left.select("class_id").distinct()))
+        texts = texts_of(docs, id_col, text_col, one_each.join(needed, "class_id", "left_semi").select("one_id"))
+        made = texts.mapInArrow(work, f"set_id long, {columns}")
+        return made.join(checked(left), F.col("class_id") == F.col("set_id"))
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(set_hash(s), *full_signature(s)) for s in (shingle_hashes(t, n) for t in utf8_texts(batch.column(0))) if len(s)]
+            cols = list(zip(*found)) if found else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["set_id", "size", "inside", "signature"])
+
+    left = pruned(rows, SMALL_BITS)
+    left = pruned(with_texts(left, signatures, "size int, inside int, signature binary")
+                  .select(*key, "class_id", "component", "side", "size", "inside", "signature"), FULL_BITS)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,10 +365,6 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["set_id", "tokens"])
 
-    needed = checked(written(left.select("class_id").distinct()))
-    texts = texts_of(docs, id_col, text_col, one_each.join(needed, "class_id", "left_semi").select("one_id"))
-    tokens = texts.mapInArrow(sets, "set_id long, tokens binary")
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_block(batches, 4):
             # repeated rows of one document bring the set twice
@@ -348,7 +374,7 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["left", "right"])
 
-    together = tokens.join(checked(left), F.col("class_id") == F.col("set_id")).select(*key, "class_id", "component", "side", "tokens")
+    together = with_texts(left, sets, "tokens binary").select(*key, "class_id", "component", "side", "tokens")
     together = together.repartition(*key).sortWithinPartitions(*key)
     return written(together.mapInArrow(join, "left long, right long"))
 
