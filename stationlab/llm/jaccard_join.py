@@ -43,6 +43,10 @@ N = 3
 PERCENT = 90
 BLOCK_SETS = 512
 BITS_PER_TOKEN = 4
+# bitmap words compared at once in a traversal (8 MB)
+BATCH_WORDS = 1 << 20
+# nodes of a tree's top level, at most: their pairs are compared in one step
+ROOTS = 32
 SMALL_HASH = np.uint64(1 << 61)
 # bits of the signatures per 2^size_class: of the tokens with a small hash, and of all tokens
 SMALL_BITS = 2
@@ -76,28 +80,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-class Sets:
-    """Union-find over the sets of a block."""
-
-    def __init__(self, labels: list[int]):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(c, i) for i, c in enumerate(labels)]
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 class Tree:
-    """Signature tree over sets in order of size: levels of nodes, each the union of two below.
+    """Signature tree over sets in order of size: levels of nodes, each the union of two below, up to ``ROOTS`` nodes.
     ``extra``: tokens that share a bit with another; ``outside``: tokens that the bitmap leaves out."""
 
     def __init__(self, members: list[int], bitmaps: np.ndarray, extra: np.ndarray, outside: np.ndarray, sizes: np.ndarray):
         self.members = members
         self.levels = [(bitmaps, extra, outside, sizes, sizes)]
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels[-1][0]) > ROOTS:
             m, *rest = self.levels[-1]
             if len(m) % 2:
                 m, rest = np.concatenate((m, m[-1:])), [np.append(x, x[-1]) for x in rest]
@@ -105,9 +95,6 @@ class Tree:
             self.levels.append((m[::2] | m[1::2], np.maximum(e[::2], e[1::2]), np.maximum(o[::2], o[1::2]),
                                 np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
 
-    def leaves(self, level: int, node: int) -> range:
-        return range(node << level, min((node + 1) << level, len(self.members)))
-
 
 def tree_of_sets(sets: list[np.ndarray], members: list[int], bits: int) -> Tree:
     """Tree with bitmaps of all tokens."""
@@ -153,36 +140,50 @@ def tree_of_signatures(rows: list[tuple], members: list[int], c: int, factor: in
 
 
 def traverse(a: Tree, b: Tree, percent: int, done, leaf) -> None:
-    """Dual traversal of two trees, or of one with itself (a is b): calls ``leaf`` for the pairs of
-    members that may be linked; ``done`` tells whether the members below two nodes need no look."""
-    stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)] if a.members and b.members else []
+    """Dual traversal of two trees, or of one with itself (a is b), by batches of node pairs, deepest
+    first: ``leaf`` gets the members (two arrays) that may be linked; ``done`` tells of arrays of
+    ranges of leaves (first and end in a, first and end in b) which need no look."""
+    tops = len(a.levels[-1][0]), len(b.levels[-1][0])
+    first, second = np.triu_indices(tops[0]) if a is b else np.indices(tops).reshape(2, -1)
+    stack = [(len(a.levels) - 1, len(b.levels) - 1, first, second)] if a.members and b.members else []
+    batch = max(64, BATCH_WORDS // max(a.levels[0][0].shape[1], 1)) if stack else 0
+    in_a, in_b = np.array(a.members, dtype=np.int64), np.array(b.members, dtype=np.int64)
     while stack:
-        x, m, y, n = stack.pop()
-        alike = a is b and x == y and m == n
-        if not alike:
-            ma, ea, oa, la, ha = (c[m] for c in a.levels[x])
-            mb, eb, ob, lb, hb = (c[n] for c in b.levels[y])
-            # sizes: the smaller must reach percent of the larger
-            if 100 * ha < percent * lb or 100 * hb < percent * la:
-                continue
-            # |A and B| <= common bits + tokens that share a bit + tokens outside the bitmaps, and a
-            # link needs |A and B| * (100 + percent) >= percent * (|A| + |B|)
-            most = int(np.bitwise_count(ma & mb).sum()) + min(int(ea), int(eb)) + min(int(oa), int(ob))
-            if most * (100 + percent) < percent * (int(la) + int(lb)):
-                continue
+        x, y, m, n = stack.pop()
+        if len(m) > batch:
+            stack.append((x, y, m[batch:], n[batch:]))
+            m, n = m[:batch], n[:batch]
+        alike = (m == n) if a is b and x == y else np.zeros(len(m), dtype=bool)
+        look = ~done(m << x, np.minimum((m + 1) << x, len(in_a)), n << y, np.minimum((n + 1) << y, len(in_b)))
+        m, n, alike = m[look], n[look], alike[look]
+        possible = alike.copy()
+        p, q = m[~alike], n[~alike]
+        ea, oa, la, ha = (c[p] for c in a.levels[x][1:])
+        eb, ob, lb, hb = (c[q] for c in b.levels[y][1:])
+        # sizes: the smaller must reach percent of the larger
+        near = (100 * ha >= percent * lb) & (100 * hb >= percent * la)
+        # |A and B| <= common bits + tokens that share a bit + tokens outside the bitmaps, and a
+        # link needs |A and B| * (100 + percent) >= percent * (|A| + |B|)
+        most = np.minimum(ea, eb) + np.minimum(oa, ob)
+        most[near] += np.bitwise_count(a.levels[x][0][p[near]] & b.levels[y][0][q[near]]).sum(axis=1, dtype=np.int64)
+        possible[~alike] = near & (most * (100 + percent) >= percent * (la + lb))
+        m, n, alike = m[possible], n[possible], alike[possible]
         if x == 0 and y == 0:
-            if a.members[m] != b.members[n]:
-                leaf(a.members[m], b.members[n])
+            if not alike.all():
+                leaf(in_a[m[~alike]], in_b[n[~alike]])
             continue
-        if done([a.members[i] for i in a.leaves(x, m)], [b.members[i] for i in b.leaves(y, n)]):
-            continue
-        if alike:
-            kids = [2 * m, 2 * m + 1] if 2 * m + 1 < len(a.levels[x - 1][0]) else [2 * m]
-            stack += [(x - 1, kids[0], x - 1, kids[-1])] * (len(kids) > 1) + [(x - 1, k, x - 1, k) for k in kids]
-        elif x >= y:
-            stack += [(x - 1, k, y, n) for k in (2 * m, 2 * m + 1) if k < len(a.levels[x - 1][0])]
-        else:
-            stack += [(x, m, y - 1, k) for k in (2 * n, 2 * n + 1) if k < len(b.levels[y - 1][0])]
+        if alike.any():
+            k = m[alike]
+            both = k[2 * k + 1 < len(a.levels[x - 1][0])]
+            own = np.concatenate((2 * k, 2 * both + 1))
+            stack.append((x - 1, x - 1, np.concatenate((own, 2 * both)), np.concatenate((own, 2 * both + 1))))
+        m, n = m[~alike], n[~alike]
+        if len(m):
+            split, other = (m, n) if x >= y else (n, m)
+            kids = np.stack((2 * split, 2 * split + 1), axis=1).ravel()
+            there = kids < len((a.levels[x - 1] if x >= y else b.levels[y - 1])[0])
+            kids, other = kids[there], np.repeat(other, 2)[there]
+            stack.append((x - 1, y, kids, other) if x >= y else (x, y - 1, other, kids))
 
 
 def in_trees(sides: list[int], order: list[int], build) -> tuple[Tree, Tree]:
@@ -194,39 +195,67 @@ def in_trees(sides: list[int], order: list[int], build) -> tuple[Tree, Tree]:
     return build([i for i in order if sides[i] == 0]), build([i for i in order if sides[i] == 1])
 
 
+def grouped(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of a tree's leaves, and the number of changes of the group before each leaf."""
+    changes = np.zeros(len(groups), dtype=np.int64)
+    np.cumsum(groups[1:] != groups[:-1], out=changes[1:])
+    return groups, changes
+
+
+def one_group(of_a: tuple, of_b: tuple, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Whether all leaves of the ranges a0..a1 and b0..b1 are of one group (``of_a``, ``of_b``: see ``grouped``)."""
+    return (of_a[0][a0] == of_b[0][b0]) & (of_a[1][a1 - 1] == of_a[1][a0]) & (of_b[1][b1 - 1] == of_b[1][b0])
+
+
 def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, percent: int, factor: int) -> list[int]:
     """The members of a block (rows: size, inside, signature) that may be linked to a member of another component."""
-    kept: set[int] = set()
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], labels[i], rows[i][2]))
+    a, b = in_trees(sides, order, lambda members: tree_of_signatures(rows, members, c, factor))
+    label = np.array(labels, dtype=np.int64)
+    kept = np.zeros(len(rows), dtype=bool)
+    if not a.members or not b.members:
+        return []
+    of_a, of_b = grouped(label[a.members]), grouped(label[b.members])
 
-    def done(x: list[int], y: list[int]) -> bool:
-        return len({labels[i] for i in x} | {labels[i] for i in y}) == 1 or kept.issuperset(x) and kept.issuperset(y)
+    def done(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        alike = one_group(of_a, of_b, a0, a1, b0, b1)
+        if not kept.any():
+            return alike
+        known_a, known_b = (np.concatenate(([0], np.cumsum(kept[t.members]))) for t in (a, b))
+        return alike | (known_a[a1] - known_a[a0] == a1 - a0) & (known_b[b1] - known_b[b0] == b1 - b0)
 
-    def leaf(i: int, j: int) -> None:
-        if labels[i] != labels[j]:
-            kept.update((i, j))
+    def leaf(i: np.ndarray, j: np.ndarray) -> None:
+        apart = label[i] != label[j]
+        kept[i[apart]] = True
+        kept[j[apart]] = True
 
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], labels[i], rows[i][2]))
-    traverse(*in_trees(sides, order, lambda members: tree_of_signatures(rows, members, c, factor)), percent, done, leaf)
-    return sorted(kept)
+    traverse(a, b, percent, done, leaf)
+    return np.flatnonzero(kept).tolist()
 
 
 def join_block(keys: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between sets of a block that join two components."""
-    union = Sets(labels)
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i], sets[i][0] if len(sets[i]) else 0))
+    longest = max((len(s) for s in sets), default=1)
+    bits = min(max(64, 1 << (BITS_PER_TOKEN * longest - 1).bit_length()), 1 << 16)
+    a, b = in_trees(sides, order, lambda members: tree_of_sets(sets, members, bits))
+    group = np.array(labels, dtype=np.int64)
     found: list[tuple[int, int]] = []
 
-    def done(x: list[int], y: list[int]) -> bool:
-        return len({union.find(i) for i in x} | {union.find(i) for i in y}) == 1
+    def done(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        return one_group(grouped(group[a.members]), grouped(group[b.members]), a0, a1, b0, b1)
 
-    def leaf(i: int, j: int) -> None:
-        if union.find(i) != union.find(j) and linked(sets[i], sets[j], percent):
-            union.up[union.find(i)] = union.find(j)
-            found.append((keys[i], keys[j]))
+    def leaf(i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            if linked(sets[i[0]], sets[j[0]], percent):
+                found.append((keys[i[0]], keys[j[0]]))
+                group[group == group[i[0]]] = group[j[0]]
+                rest = group[i] != group[j]
+                i, j = i[rest], j[rest]
+            else:
+                i, j = i[1:], j[1:]
 
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i], sets[i][0] if len(sets[i]) else 0))
-    longest = max((len(s) for s in sets), default=1)
-    bits = min(max(64, 1 << (BITS_PER_TOKEN * longest - 1).bit_length()), 1 << 16)
-    traverse(*in_trees(sides, order, lambda members: tree_of_sets(sets, members, bits)), percent, done, leaf)
+    traverse(a, b, percent, done, leaf)
     return found
 
 
