@@ -33,8 +33,8 @@ def splice_pairs(groups: DataFrame, keys: Sequence[str], group_col: str = "pair_
     x = groups.select(group_col, order_col, *k).withColumn("pair_no", F.row_number().over(w) - 1)
     for c in k:
         x = x.withColumn(f"b_{c}", F.lead(c).over(w))
-    x = x.where(F.col(f"b_{k[0]}").isNotNull() if len(k) == 1 else
-                F.coalesce(*[F.col(f"b_{c}").isNotNull() for c in k]))
+    # a next member is there, whichever of its keys are NULL
+    x = x.withColumn("_next", F.lead(F.lit(True)).over(w)).where("_next")
     return x.select(F.col(group_col).alias("group_id"), "pair_no",
                     *[F.col(c).alias(f"a_{c}") for c in k], *[f"b_{c}" for c in k])
 
@@ -210,8 +210,11 @@ def splice_report(daily: DataFrame, groups: DataFrame, keys: Sequence[str], date
     bins = splice_windows(daily, pairs, k, date_col, value_cols, window_years)
     ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed), quantiles)
     if name_col and name_col in groups.columns:
-        names = groups.select(*[F.col(c).alias(f"a_{c}") for c in k], F.col(name_col).alias("name"))
-        ci = ci.join(pairs, PAIR).join(names, [f"a_{c}" for c in k], "left").drop(*[f"a_{c}" for c in k],
+        # by group too: a station listed in several groups names each of its pairs once
+        first = ["group_id", *[f"a_{c}" for c in k]]
+        names = groups.select(F.col(group_col).alias("group_id"), *[F.col(c).alias(f"a_{c}") for c in k], F.col(name_col).alias("name")) \
+            .groupBy(*first).agg(F.min("name").alias("name"))
+        ci = ci.join(pairs, PAIR).join(names, first, "left").drop(*[f"a_{c}" for c in k],
                                                                                  *[f"b_{c}" for c in k])
     return ci
 

@@ -118,3 +118,19 @@ def test_fused_diffs_equal_composed_and_ci_matches_numpy(spark):
     means = [r.v__mean for r in a.values() if r.v__mean is not None]
     assert np.isclose(ci[("v", "mean")].q_10, np.percentile(means, 10))
     assert np.isclose(ci[("v", "mean")].q_90, np.percentile(means, 90))
+
+
+def test_report_names_a_station_in_two_groups_once_per_pair(spark):
+    days = [(k, dt.date(2000, 1, 1) + dt.timedelta(days=30 * i + off), float(i % 7))
+            for k, off in (("a", 0), ("b", 900), ("c", 1200)) for i in range(60)]
+    daily = spark.createDataFrame(days, "key string, day date, v double")
+    groups = spark.createDataFrame([(0, "a", 0, "A"), (0, "b", 1, "B"), (1, "a", 0, "A"), (1, "c", 1, "C")],
+                                   "pair_id int, key string, ordinal int, name string")
+    rep = SP.splice_report(daily, groups, ["key"], "day", ["v"], window_years=2, n_samples=20, seed=1).collect()
+    assert sorted((r.group_id, r.statistic, r.name) for r in rep) == [(0, "mean", "A"), (0, "std", "A"), (1, "mean", "A"), (1, "std", "A")]
+
+
+def test_pairs_with_a_null_key_column(spark):
+    groups = spark.createDataFrame([(0, "a", "x", 0), (0, None, "y", 1), (0, "c", None, 2)], "pair_id int, k1 string, k2 string, ordinal int")
+    got = sorted((r.pair_no, r.b_k1, r.b_k2) for r in SP.splice_pairs(groups, ["k1", "k2"]).collect())
+    assert got == [(0, None, "y"), (1, "c", None)]

@@ -35,7 +35,7 @@ def test_read_daily_types_markers_and_recode(spark):
 
 
 def test_exclusion_points_deduplicated(spark):
-    p = _write('usaf,wban,timestamp\n"722740","23160","1980-08-02"\n"722740","23160","1980-08-02"\n')
+    p = _write('usaf,wban,timestamp\n"000417","90001","1991-05-17"\n"000417","90001","1991-05-17"\n')
     assert R.read_exclusion_points(spark, p).count() == 1
 
 
