@@ -271,3 +271,37 @@ def test_quality(spark, nothing):
     got = [(("fine" in (r["text"] or "")), r["p"]) for r in df.select("text", quality.scorer(spark, model)("text").alias("p")).collect()]
     assert all((p >= 0.5) == y for y, p in got) and all(0 <= p <= 1 for _, p in got)
     assert quality.fit(nothing, labels).score(None) == pytest.approx(0.5)
+
+
+def test_block_join_against_all_pairs():
+    rng = np.random.default_rng(1)
+
+    def near(base, share):
+        keep = rng.random(len(base)) > share
+        return np.unique(np.concatenate((base[keep], rng.integers(0, 2**63, int((~keep).sum())).astype(np.uint64))))
+
+    def merged(labels, links):
+        up = list(labels)
+        for i, j in links:
+            up = [up[j] if u == up[i] else u for u in up]
+        return [up.index(u) for u in up]
+
+    for trial in range(30):
+        sets = []
+        for _ in range(rng.integers(1, 9)):
+            base = np.unique(rng.integers(0, 2**64 - 1, rng.integers(1, 200), dtype=np.uint64))
+            sets += [near(base, rng.choice([0, 0.02, 0.04, 0.2])) for _ in range(rng.integers(1, 25))]
+        n = len(sets)
+        labels = [int(x) for x in rng.integers(0, n, n)] if trial % 2 else list(range(n))
+        sides = [2] * n if trial % 3 else [int(x) for x in rng.integers(0, 2, n)]
+        links = [(i, j) for i in range(n) for j in range(i)
+                 if (sides[i] == 2 or sides[i] != sides[j]) and jaccard_join.linked(sets[i], sets[j], 90)]
+        found = jaccard_join.join_block(list(range(n)), labels, sides, sets, 90)
+        assert all(jaccard_join.linked(sets[i], sets[j], 90) for i, j in found)
+        assert merged(labels, found) == merged(labels, links)
+        c = max(jaccard_join.size_class(len(s)) for s in sets)
+        at = {i: k for k, i in enumerate(i for i in range(n) if jaccard_join.size_class(len(sets[i])) == c)}
+        kept = jaccard_join.survivors([labels[i] for i in at], [sides[i] for i in at],
+                                      [jaccard_join.full_signature(sets[i]) for i in at], c, 90, jaccard_join.FULL_BITS)
+        needed = {at[k] for i, j in links if labels[i] != labels[j] and i in at and j in at for k in (i, j)}
+        assert needed <= set(kept)
