@@ -14,6 +14,9 @@ from stationlab.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from stationlab.llm.common import table, written
 
 REJECT_FROM = 0.5
+# word shingles of the near-duplicate stage: five words and a Jaccard of 0.8 (op9's query keeps its own 3 and 0.9)
+SHINGLE = 5
+PERCENT = 80
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +32,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of the n-gram Jaccard join."""
-    return jaccard_join.one_per_component(docs)
+    """Keeps the document with the smallest id of each component of the five-word Jaccard join from 0.8 on."""
+    return jaccard_join.one_per_component(docs, n=SHINGLE, percent=PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
