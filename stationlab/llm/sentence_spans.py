@@ -3,8 +3,14 @@
 A text is cut into sentences after closing marks and bars, at line ends and where a small letter or
 digit is followed by a capitalised word (so that a passage set into other text starts a sentence of its
 own).  From every sentence a run goes on until it has ``sentences`` sentences and ``words`` words.
+Passages that hold no such run (set mid-sentence, one long sentence, no marks) are found by anchors that
+depend on the words alone: of each ``WINDOW`` consecutive runs of ``GRAM`` words the one with the smallest
+hash is a run too, and two neighbours that leave words between them are joined by a run over both.  Two
+occurrences of the same GRAM + WINDOW - 1 = 50 words pick the same run, so each repeat of 50 words or more
+has a span; outside whole sentences up to 30 words at either end of a passage can stay.
 Runs with equal words (A-Z lower-cased, white space ignored) are the same span; its first occurrence,
-by document id, then place, stays, and the sentences of every other occurrence are removed.
+by document id, then place, stays, and every other occurrence is removed (where it overlaps the first
+in the same document, only what lies after that).
 
 Only (hash, id, start, end) of the runs is shuffled: counted with map-side aggregation, then joined
 with the hashes that occur twice, so a passage that a third of all documents hold is one row per
@@ -20,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -27,10 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked, own_columns, ship, table, written
-from .features import lower_words
+from .features import hashed_words, lower_words, mixed
 
 SENTENCES = 2
 WORDS = 20
+# words of an anchored run, and how many consecutive ones compete: GRAM + WINDOW - 1 = 50 equal words share one
+GRAM = 20
+WINDOW = 31
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 CUT = re.compile(r"(?<=[.!?;:|])\s+|\n\s*|(?<=[a-z0-9ß-öø-ÿ])[ ]+(?=[A-ZÀ-ÖØ-Þ])")
 
 
@@ -63,6 +74,31 @@ def runs(text: str | None, least_sentences: int = SENTENCES, least_words: int =
     return out
 
 
+def anchored_runs(text: str | None) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the runs of GRAM words that are smallest in a window, and of the runs that
+    join two neighbours with words between them; places in code points."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    words = hashed_words(data)
+    n = len(words) - GRAM + 1
+    if n < WINDOW:
+        return []
+    grams = words[:n].copy()
+    for i in range(1, GRAM):
+        grams = grams * _BASE + words[i: i + n]
+    grams = mixed(grams)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:, ::-1]
+    at = np.unique(np.arange(WINDOW - 1, n) - windows.argmin(axis=1))  # the last of equal ones
+    blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+    place = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    start, end = place[edge[::2]], place[edge[1::2]]
+    out = list(zip((grams[at] ^ np.uint64(1 << 63)).view(np.int64).tolist(), start[at].tolist(), end[at + GRAM - 1].tolist()))
+    for k in np.flatnonzero(np.diff(at) > GRAM).tolist():
+        a, b = int(at[k]), int(at[k + 1]) + GRAM
+        out.append((xxhash.xxh3_64_intdigest(words[a:b].tobytes()) - (1 << 63), int(start[a]), int(end[b - 1])))
+    return out
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES,
                    least_words: int = WORDS) -> DataFrame:
     """The spans to remove, one row each: doc_id, start, end (code points, end exclusive) and
@@ -71,7 +107,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(t, least_sentences, least_words) for t in batch.column(1).to_pylist()]
+            found = [runs(t, least_sentences, least_words) + anchored_runs(t) for t in batch.column(1).to_pylist()]
             ids = batch.column(0).take(pa.array([i for i, r in enumerate(found) for _ in r], pa.int64()))
             flat = list(zip(*[x for r in found for x in r])) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), ids, pa.array(flat[1], pa.int32()), pa.array(flat[2], pa.int32())],
@@ -79,9 +115,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = own_columns(docs, id=id_col, text=text_col)
     spans = written(rows.mapInArrow(work, f"hash long, doc_id {rows.schema['id'].dataType.simpleString()}, start int, end int"))
-    firsts = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = checked(written(firsts.where("n > 1").select("hash", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))))
+    firsts = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = checked(written(firsts.where("n > 1").select("hash", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
+                                                               F.col("first.end").alias("first_end"))))
     again = spans.join(firsts, "hash").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
+    after = F.when(F.col("doc_id") == F.col("first_doc_id"), F.greatest("start", "first_end")).otherwise(F.col("start"))
+    again = again.withColumn("start", after).where(F.col("start") < F.col("end"))
     # overlapping spans of a document become one
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

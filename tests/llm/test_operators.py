@@ -211,6 +211,36 @@ def test_repeated_passages(spark, docs, nothing):
     assert sentence_spans.repeated_spans(nothing).count() == 0
 
 
+def test_passages_without_whole_sentences(spark):
+    r = random.Random(9)
+    rows, placed = [], {}
+    for k in range(12):
+        # 50 to 94 words: no mark at all, one long sentence, or short sentences; set mid-sentence
+        passage = words(2000 + k, 50 + 4 * k).split()
+        if k % 3 == 1:
+            passage[2] += "."
+            passage[-3] += "."
+        if k % 3 == 2:
+            for i in range(6, len(passage), 7):
+                passage[i] += "."
+        for doc in (100 + k, 200 + k):
+            text = words(doc * 7, r.randint(0, 40), 5000) + " "
+            placed[doc] = len(text)
+            rows.append((doc, text + (" " if doc < 200 else "\n\t").join(passage) + " " + words(doc * 11, r.randint(0, 40), 5000), "a"))
+    rows.append((300, "again " * 120, "a"))
+    df = spark.createDataFrame([(i, t, "en", s, 0, 1, 2, "x", "y") for i, t, s in rows], SCHEMA)
+    spans = sentence_spans.repeated_spans(df).collect()
+    assert {x["doc_id"] for x in spans} == {200 + k for k in range(12)} | {300}
+    texts = {i: t.lower() for i, t, _ in rows}
+    for x in spans:
+        part = texts[x["doc_id"]][x["start"]:x["end"]]
+        if x["doc_id"] < 300:
+            assert x["first_doc_ids"] == [x["doc_id"] - 100] and part.split()
+            assert " ".join(part.split()) in texts[x["doc_id"] - 100] and x["start"] >= placed[x["doc_id"]]
+        else:  # a text that repeats itself keeps its first run
+            assert x["start"] >= 20 * 6 - 1
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
             r"\+[0-9][\x20().0-9-]+[0-9]"]
 
