@@ -1,18 +1,17 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are the words whose document counts over all labelled training rows speak for toxicity
-(log-odds at least ``min_log_odds``, in ``min_docs`` toxic rows at least; the ``max_terms``
-strongest).  A text's vector holds (1 + ln tf) * idf of these terms, scaled to length 1.  The index
-holds labelled examples that have a term (at most about ``index_rows`` of them, picked by id hash
-when there are more), sorted into blocks of similar examples; per term and block it keeps the
-largest weight.  A query visits blocks by falling upper bound and stops when no block can beat its
-k-th best: the k neighbours are exact.  Votes are weighted by 1 / (distance + 0.05); a logistic fit
-on leave-one-out votes of the index turns their share into a probability.  A text without any term
-is far from every example and scores the toxic share of such training rows.
-
-Defined results: null and empty texts score as texts without terms; without usable training rows
-(none, or no term) every score is the toxic share of the training rows, 0 if there are none; rows
-with null labels are not learned from; equal similarities go to the smaller id; repeated rows are
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+A text's vector holds (1 + ln tf) * idf * (FLOOR + its toxic log-odds, if positive) of all its words, scaled
+to length 1; document counts come from all labelled training rows, and no word of theirs is left out.
+Words are hashed into 2^20 places.  The index holds all labelled examples with a word, or about
+``index_rows`` of them when there are more: every toxic one as long as these are at most half of
+``index_rows``, the rest picked by id hash.  A query adds up the postings of its words and compares the
+best exactly: the k neighbours are exact.  Votes are weighted by 1 / (distance + 0.05); a logistic fit
+on leave-one-out votes of the index, each class weighted by its share in the index, turns their share
+into a probability.  A text without any training word scores the toxic share of the training rows.
+
+Defined results: null and empty texts score as texts without words; without usable training rows
+(none, or of one label only) every score is the toxic share of the training rows, 0 if there are none;
+rows with null labels are not learned from; equal similarities go to the smaller id; repeated rows are
 scored alike; further columns are ignored.
 """
 
@@ -29,14 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checked, held_out, own_columns, ship, table, written
+from .features import HASHES
 
 TERM = re.compile(r"\w+")
-MIN_LOG_ODDS = 2.5
-MIN_DOCS = 5
-MIN_SHARE = 0.01
-MAX_TERMS = 2048
+PLACES = 1 << 20
+# weight of a word that does not speak for toxicity, beside the log-odds of those that do
+FLOOR = 0.1
 INDEX_ROWS = 20_000
-BLOCK = 64
+QUERIES = 64
 NEIGHBOURS = 15
 MODEL_SEED = 11
 
@@ -49,61 +48,117 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return rows.join(y, rows["id"] == y["label_id"]).select("id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
+def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places of the words and their counts."""
+    places = np.fromiter((HASHES[w.encode("utf-8", "surrogatepass")] & (PLACES - 1) for w in counts), dtype=np.int32, count=len(counts))
+    at, back = np.unique(places, return_inverse=True)
+    return at, np.bincount(back, weights=list(counts.values()), minlength=len(at)).astype(np.int32)
+
+
+def words_of(text: str | None) -> Counter:
+    return Counter(TERM.findall((text or "").lower()))
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = [Counter(TERM.findall(t.lower())) for t in batch.column(1).to_pylist()]
-        words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
-        tf = pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+        found = [hashed(words_of(t)) for t in batch.column(1).to_pylist()]
+        words, tf = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), words, tf, batch.column(2)], ["id", "words", "tf", "y"])
 
 
 class Index:
-    """Block-max inverted index over unit vectors of labelled examples."""
-
-    def __init__(self, terms: dict[str, tuple[int, float]], ids: list[int], vectors: list[dict[int, float]], y: list[int],
-                 base: float, block: int = BLOCK, k: int = NEIGHBOURS):
-        self.terms, self.base, self.k, self.block = terms, base, k, block
-        # similar examples side by side: by their strongest terms
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t)), ids[i]))
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        self.y = np.array([y[i] for i in order], dtype=np.float64)
-        self.n_blocks = -(-len(order) // block)
-        post: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                post.setdefault(t, []).append((at, w))
-        self.post = {t: (np.array([a for a, _ in p], dtype=np.int64), np.array([w for _, w in p])) for t, p in post.items()}
-        self.top = np.zeros((max(len(terms), 1), max(self.n_blocks, 1)))
-        for t, (at, w) in self.post.items():
-            np.maximum.at(self.top[t], at // block, w)
+    """Inverted index over unit vectors of labelled examples, given as (id, places, counts, label).
+    Only the counts are pickled; vectors and postings are made again where it is read."""
+
+    def __init__(self, weights: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], base: float,
+                 rates: tuple[float, float] = (1.0, 1.0), k: int = NEIGHBOURS):
+        self.weights, self.base, self.rates, self.k = weights, base, rates, k
+        self.ids = np.array([e[0] for e in examples], dtype=np.int64)
+        self.y = np.array([e[3] for e in examples], dtype=np.float64)
+        self.starts = np.concatenate(([0], np.cumsum([len(e[1]) for e in examples]))).astype(np.int64)
+        self.places = np.concatenate([np.empty(0, np.int32), *[e[1] for e in examples]]).astype(np.int32)
+        self.tf = np.concatenate([np.empty(0, np.int32), *[e[2] for e in examples]]).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
+        self._build()
+
+    def _build(self) -> None:
+        m, size = len(self.ids), np.diff(self.starts)
+        self.x = (1 + np.log(self.tf)) * self.weights[self.places]
+        row = np.repeat(np.arange(m, dtype=np.int32), size)
+        self.x /= np.sqrt(np.bincount(row, weights=self.x * self.x, minlength=m))[row]
+        order = np.argsort(self.places, kind="stable")
+        self.post, self.post_x = row[order], self.x[order].astype(np.float32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.places, minlength=PLACES))))
+        # postings of frequent words as full rows
+        often = np.flatnonzero(np.diff(self.first) > max(m // 16, 1))
+        self.dense_row = np.full(PLACES, -1, dtype=np.int32)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), m), dtype=np.float32)
+        for r, t in enumerate(often.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            self.dense[r, self.post[at]] = self.post_x[at]
+        self.query = np.zeros(PLACES)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("weights", "base", "rates", "k", "ids", "y", "starts", "places", "tf", "slope", "shift")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
+    def unit(self, places: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(tf)) * self.weights[places]
+        places, x = places[x > 0], x[x > 0]
+        return places, x / np.sqrt(x @ x) if len(x) else x
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.terms[w][0]: (1 + np.log(n)) * self.terms[w][1] for w, n in counts.items() if w in self.terms}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    def nearest(self, v: dict[int, float], leave: int | None = None) -> list[tuple[float, int, float]]:
-        """The k examples of largest cosine (similarity, id, label), ties to the smaller id."""
-        terms = [t for t in v if t in self.post]
-        if not terms:
+        places, x = self.unit(*hashed(counts))
+        return dict(zip(places.tolist(), x.tolist()))
+
+    def _scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        often = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for r, (places, x) in enumerate(queries):
+            at = self.dense_row[places]
+            often[r, at[at >= 0]] = x[at >= 0]
+        scores = often @ self.dense
+        for r, (places, x) in enumerate(queries):
+            lo, hi = self.first[places], self.first[places + 1]
+            rare = (self.dense_row[places] < 0) & (hi > lo)
+            lo, size, x = lo[rare], (hi - lo)[rare], x[rare]
+            if len(size):
+                at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+                scores[r] += np.bincount(self.post[at], weights=self.post_x[at] * np.repeat(x, size), minlength=len(self.ids))
+        return scores
+
+    def _best(self, query: tuple[np.ndarray, np.ndarray], scores: np.ndarray, leave: int | None) -> list[tuple[float, int, float]]:
+        if leave is not None:
+            scores[leave] = 0
+        k = min(self.k, len(scores))
+        # single precision leaves at most 1e-5: what can be among the k is compared exactly
+        at = np.flatnonzero((scores > 0) & (scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5))
+        if not len(at):
             return []
-        q = np.array([v[t] for t in terms])
-        bound = q @ self.top[terms]
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < best[-1][0] - 1e-9):
-                break
-            lo = int(b) * self.block
-            score = np.zeros(min(self.block, len(self.ids) - lo))
-            for t, x in zip(terms, q):
-                at, w = self.post[t]
-                i, j = np.searchsorted(at, (lo, lo + self.block))
-                score[at[i:j] - lo] += x * w[i:j]
-            found = [(round(float(score[i]), 9), int(self.ids[lo + i]), float(self.y[lo + i]))
-                     for i in np.flatnonzero(score > 0) if lo + i != leave]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
+        self.query[query[0]] = query[1]
+        lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        entry = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        exact = np.add.reduceat(self.query[self.places[entry]] * self.x[entry], np.cumsum(size) - size).round(9)
+        self.query[query[0]] = 0
+        top = np.lexsort((self.ids[at], -exact))[:k]
+        return [(float(exact[i]), int(self.ids[at[i]]), float(self.y[at[i]])) for i in top]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> list[list[tuple[float, int, float]]]:
+        """For each unit vector the k examples of largest cosine (similarity, id, label), ties to the smaller id."""
+        out: list[list[tuple[float, int, float]]] = []
+        for lo in range(0, len(queries), QUERIES):
+            some = queries[lo: lo + QUERIES]
+            if not len(self.ids):
+                out += [[] for _ in some]
+                continue
+            out += [self._best(q, s, leave[lo + r] if leave else None) for r, (q, s) in enumerate(zip(some, self._scores(some)))]
+        return out
+
+    def nearest(self, v: dict[int, float]) -> list[tuple[float, int, float]]:
+        return self.nearest_of([(np.array(list(v), dtype=np.int32), np.array(list(v.values())))])[0]
 
     def share(self, near: list[tuple[float, int, float]]) -> float:
         """Distance-weighted toxic share of the votes, drawn to the base rate by one far vote."""
@@ -112,23 +167,23 @@ class Index:
 
     def calibrate(self, most: int = 1000) -> None:
         """Logistic fit of the leave-one-out shares of evenly spaced examples (at most ``most``)."""
-        at = np.unique(np.linspace(0, len(self.ids) - 1, min(most, len(self.ids))).astype(int)) if len(self.ids) else []
-        vectors: dict[int, dict[int, float]] = {int(i): {} for i in at}
-        for t, (where, w) in self.post.items():
-            for i, x in zip(where.tolist(), w.tolist()):
-                if i in vectors:
-                    vectors[i][t] = x
-        x = np.array([logit(self.share(self.nearest(v, leave=i))) for i, v in vectors.items()])
-        y = self.y[list(vectors)] if len(vectors) else np.array([])
+        at = np.unique(np.linspace(0, len(self.ids) - 1, min(most, len(self.ids))).astype(int)).tolist() if len(self.ids) else []
+        queries = [(self.places[a:b], self.x[a:b]) for a, b in ((self.starts[i], self.starts[i + 1]) for i in at)]
+        x = np.array([logit(self.share(near)) for near in self.nearest_of(queries, at)])
+        y = self.y[at]
         if len(x) >= 20 and 0 < y.mean() < 1:
-            self.slope, self.shift = platt(x, y)
+            self.slope, self.shift = platt(x, y, 1 / np.where(y > 0, self.rates[1], self.rates[0]))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int, float]]]]:
+        once = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        found = []
+        for near in self.nearest_of([self.unit(*hashed(words_of(t))) for t in once]):
+            p = 1 / (1 + np.exp(-(self.slope * logit(self.share(near)) + self.shift))) if near else self.base
+            found.append((float(p), near))
+        return [found[once[t]] for t in texts]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int, float]]]:
-        counts = Counter(w for w in TERM.findall((text or "").lower()) if w in self.terms)
-        near = self.nearest(self.vector(counts)) if counts else []
-        if not near:
-            return self.base, []
-        return float(1 / (1 + np.exp(-(self.slope * logit(self.share(near)) + self.shift)))), near
+        return self.scores([text])[0]
 
 
 def logit(p: float) -> float:
@@ -136,16 +191,17 @@ def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def platt(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps with smoothed targets and a weak prior at (1, 0)."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 30) -> tuple[float, float]:
+    """Logistic regression of y on x by Newton steps of weighted rows, with smoothed targets and a weak prior at (1, 0)."""
+    weight = np.ones(len(y)) if weight is None else weight
+    n1, n0 = weight @ y, weight @ (1 - y)
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     ab = np.array([1.0, 0.0])
     X = np.stack([x, np.ones(len(x))], axis=1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(X @ ab, -30, 30)))
-        g = X.T @ (p - t) + (ab - [1.0, 0.0])
-        h = (X * (p * (1 - p))[:, None]).T @ X + np.eye(2)
+        g = X.T @ (weight * (p - t)) + (ab - [1.0, 0.0])
+        h = (X * (weight * p * (1 - p))[:, None]).T @ X + np.eye(2)
         step = np.linalg.solve(h, g)
         ab -= step
         if np.abs(step).max() < 1e-9:
@@ -153,48 +209,33 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]
     return max(float(ab[0]), 1e-3), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: int = INDEX_ROWS,
-        max_terms: int = MAX_TERMS, min_log_odds: float = MIN_LOG_ODDS, min_docs: int = MIN_DOCS) -> Index:
-    """The index over the training rows.  Term counts cover all of them; the terms (``max_terms`` at
-    most) and the examples' vectors (about ``index_rows`` at most) come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: int = INDEX_ROWS) -> Index:
+    """The index over the training rows.  Word counts cover all of them; the counts of the 2^20 places
+    and the examples (about ``index_rows`` at most) come to the driver."""
     ship(docs.sparkSession)
     rows = written(labelled(docs, labels, label).selectExpr("id", "text", "cast(y as int) y")
-                   .mapInArrow(_terms, "id long, words array<string>, tf array<int>, y int"))
-    n, n1 = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
-    n, n1 = n or 0, n1 or 0
+                   .mapInArrow(_terms, "id long, words array<int>, tf array<int>, y int"))
+    held = F.when(F.size("words") > 0, 1).otherwise(0)
+    n, n1, m, m1 = [x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum("y"), F.sum(held), F.sum(held * F.col("y"))).first()]
+    weights = np.zeros(PLACES)
     if not n1 or n1 == n:
-        return Index({}, [], [], [], n1 / n if n else 0.0)
-    least = max(min_docs, int(MIN_SHARE * n1))
+        return Index(weights, [], n1 / n if n else 0.0)
     counts = rows.select("y", F.explode("words").alias("word")).groupBy("word") \
-        .agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n - n1 + 1))
-    chosen = counts.where(F.col("n1") >= least).withColumn("odds", odds).where(F.col("odds") >= min_log_odds) \
-        .orderBy(F.desc(F.col("odds") * F.col("n1")), "word").limit(max_terms).collect()
-    terms = {r["word"]: (i, float(np.log((1 + n) / (1 + r["n"])) + 1)) for i, r in enumerate(chosen)}
-    if not terms:
-        return Index({}, [], [], [], n1 / n)
-
-    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, words, tf, y in zip(*[c.to_pylist() for c in batch.columns]):
-                if held := [(w, n) for w, n in zip(words, tf) if w in terms]:
-                    out.append((i, [w for w, _ in held], [n for _, n in held], y))
-            kinds = (batch.column(0).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) if out else [[]] * 4, kinds)], ["id", "words", "tf", "y"])
-
-    examples = written(rows.mapInArrow(holding, rows.schema))
-    m, m1 = examples.agg(F.count(F.lit(1)), F.sum("y")).first()
-    m1 = m1 or 0
-    base = (n1 - m1 + 0.5) / (n - m + 1)
-    if m > index_rows:
-        scale = 1 << 20
-        part = F.pmod(F.xxhash64("id", F.lit(MODEL_SEED)), F.lit(scale))
-        examples = examples.where(part < int(scale * index_rows / m))
-    found = sorted(((r["id"], r["y"], dict(zip(r["words"], r["tf"]))) for r in examples.collect()), key=lambda x: (x[0], len(x[2])))
-    index = Index(terms, [], [], [], base)
-    vectors = [index.vector(c) for _, _, c in found]
-    index = Index(terms, [i for i, _, _ in found], vectors, [y for _, y, _ in found], base)
+        .agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n")).toArrow()
+    place, c1, c = [counts.column(k).to_numpy() for k in range(3)]
+    odds = np.log((c1 + 1) / (n1 + 2)) - np.log((c - c1 + 1) / (n - n1 + 2))
+    weights[place] = (np.log((1 + n) / (1 + c)) + 1) * (FLOOR + np.maximum(odds, 0))
+    m0 = m - m1
+    keep1 = min(m1, max(index_rows // 2, index_rows - m0))
+    rates = (min(1.0, (index_rows - keep1) / max(m0, 1)), keep1 / max(m1, 1))
+    scale = 1 << 20
+    part = F.pmod(F.xxhash64("id", F.lit(MODEL_SEED)), F.lit(scale))
+    found = rows.where(F.size("words") > 0).where(part < F.when(F.col("y") == 1, int(scale * rates[1])).otherwise(int(scale * rates[0]))).toArrow()
+    examples = []
+    for batch in found.to_batches():
+        words, tf = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(k)] for k in (1, 2)]
+        examples += zip(batch.column(0).to_pylist(), words, tf, batch.column(3).to_pylist())
+    index = Index(weights, sorted(examples, key=lambda e: (e[0], len(e[1]))), (n1 - m1 + n1 / n) / (n - m + 1), rates)
     index.calibrate()
     return index
 
@@ -207,7 +248,7 @@ def scorer(spark: SparkSession, index: Index) -> Column:
 
     @F.pandas_udf(kind)
     def score(text: pd.Series) -> pd.DataFrame:
-        got = [shared.value.score(t) for t in text]
+        got = shared.value.scores(list(text))
         return pd.DataFrame({"score": [s for s, _ in got],
                              "evidence": [[{"similarity": a, "doc_id": i, "label": int(y)} for a, i, y in near] for _, near in got]})
 

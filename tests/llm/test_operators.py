@@ -295,6 +295,22 @@ def test_nearest_toxic(spark, nothing):
     assert toxicity.toxicity(nothing, index).count() == 0
 
 
+def test_copies_of_toxic_rows_find_them(spark):
+    # toxic words with ever other suffixes: none is in a second toxic row
+    rows = [(i, words(i, 30) + (f" vile{i}ness" if i % 8 == 0 else ""), "a") for i in range(400)]
+    df = spark.createDataFrame([(i, t, "en", s, 0, 1, 2, "x", "y") for i, t, s in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 0, int(i % 8 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    toxic = [(i, t) for i, t, _ in rows if i % 8 == 0 and zlib.crc32(str(i).encode()) % 5]
+    for size in (20_000, 100):
+        index = toxicity.fit(df, labels, index_rows=size)
+        assert (len(index.ids) < 200) == (size == 100)
+        for i, t in toxic:
+            score, near = index.score(t)
+            assert near[0] == (1.0, i, 1.0) and score != index.base
+    copies = spark.createDataFrame([(1000 + i, t) for i, t in toxic], "doc_id long, text string")
+    assert all(r["toxicity"]["evidence"][0]["doc_id"] == r["doc_id"] - 1000 for r in toxicity.toxicity(copies, index).collect())
+
+
 def test_quality(spark, nothing):
     _, df, labels = labelled_texts(spark, "fine")
     model = quality.fit(df, labels)
