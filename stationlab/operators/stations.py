@@ -1,10 +1,9 @@
 """Station-list operators: distances to reference points, nearest city, membership, activity
 counts and name matching (J1, J2, J9, P6, P7, P14, P15).
 
-The city list is a small reference table.  Its size is checked (``max_cities``) and it is then
-carried as literals, so each station row computes its distances on its own: no join and, for a
-short list, no shuffle -- the nearest city is one ``least`` over literal structs.  No
-higher-order lambda is used: those run outside whole-stage codegen.
+Only the all-pairs distance table (J1) carries the city list as literals, after a size check; the
+nearest city walks a quad-tree of the cities and membership is an equi-join on a grid, at any size.
+No higher-order lambda is used: those run outside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
-from ..plans.physical import attach, bounded_rows, materialize
+from ..plans.physical import attach, materialize
+from .quadtree import nearest
+from .sweep import active_intervals
 
 MAX_CITIES = 5000
 
@@ -45,48 +46,26 @@ def city_array(rows: Sequence[tuple]) -> Column:
 
 
 def distance_pairs(stations: DataFrame, cities: DataFrame, lat: str = "latitude", lon: str = "longitude",
-                   city_name: str = "city") -> DataFrame:
+                   city_name: str = "city", city_lat: str = "latitude", city_lon: str = "longitude") -> DataFrame:
     """One row per (station, city) with the great-circle distance in km."""
-    x = stations.withColumn("_c", F.explode(city_array(city_rows(cities, city_name))))
+    x = stations.withColumn("_c", F.explode(city_array(city_rows(cities, city_name, city_lat, city_lon))))
     return x.withColumn(city_name, F.col("_c.city")).withColumn(
         "distance_km", haversine_km(lat, lon, F.col("_c.lat"), F.col("_c.lon"))).drop("_c")
 
 
 def nearest_city(stations: DataFrame, cities: DataFrame, lat: str = "latitude", lon: str = "longitude",
                  city_name: str = "city", out_city: str = "nearest_city", out_dist: str = "distance_km",
-                 keys: Sequence[str] | None = None) -> DataFrame:
-    """The nearest city and its distance per station.  Ties go to the smaller city name; a
-    station without coordinates gets NULL city and distance.
-
-    With station ``keys`` (the normal case): every (station, city) distance from an explode over
-    the literal city list, reduced per station with ``min(struct(distance, city))``.  The rows of
-    one station are generated inside one task, so the partial aggregate sends one row per station
-    to the shuffle; the result is joined back to the stations on their keys.  Without keys the
-    minimum is one ``least`` over the literal structs per row (for short lists).  Cities without
-    coordinates are nearest to nothing."""
-    cities = cities.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    if keys is not None and not bounded_rows(cities, MAX_CITIES):
-        # a large reference table: exact search rounds over a grid join instead of literals
-        best = nearest_ref(stations, cities, keys, city_name, lat, lon, lat, lon)
-        return stations.join(best.select(*keys, F.col("_ref").alias(out_city), F.col("distance_km").alias(out_dist)),
-                             list(keys), "left")
-    rows = city_rows(cities, city_name)
-    if not rows:
-        return stations.withColumn(out_city, F.lit(None).cast("string")).withColumn(out_dist, F.lit(None).cast("double"))
-    if keys is None:
-        if len(rows) > 64:
-            raise ValueError("pass keys= for city lists longer than 64")
-        cands = [F.struct(haversine_km(lat, lon, F.lit(a), F.lit(o)).alias("d"), F.lit(c).cast("string").alias("c"))
-                 for c, a, o in rows]
-        x = stations.withColumn("_best", cands[0] if len(cands) == 1 else F.least(*cands))
-    else:
-        k = list(keys)
-        pairs = stations.select(*k, lat, lon).withColumn("_c", F.explode(city_array(rows)))
-        d = haversine_km(lat, lon, F.col("_c.lat"), F.col("_c.lon"))
-        per = pairs.groupBy(*k).agg(F.min(F.struct(d.alias("d"), F.col("_c.city").alias("c"))).alias("_best"))
-        x = stations.join(per, k, "left")
-    ok = F.col("_best.d").isNotNull()
-    return x.withColumn(out_city, F.when(ok, F.col("_best.c"))).withColumn(out_dist, F.col("_best.d")).drop("_best")
+                 keys: Sequence[str] | None = None, city_lat: str = "latitude", city_lon: str = "longitude") -> DataFrame:
+    """Every station row with its nearest city and the distance.  Ties go to the smaller city name.
+
+    One way for city tables of any size: a quad-tree of cells built from the cities' counts, walked
+    down with distance bounds (:mod:`.quadtree`), once per distinct place; the answers join back on the
+    coordinates.  NULL, NaN or impossible coordinates give a station NULL city and distance and leave
+    a city out; repeated station rows stay.  ``keys`` is not needed any more and has no effect."""
+    best = nearest(stations, cities, lat, lon, city_name, city_lat, city_lon)
+    here = (F.col(f"`{lat}`").cast("double") == F.col("_lat")) & (F.col(f"`{lon}`").cast("double") == F.col("_lon"))
+    return stations.join(best, here, "left").select(
+        *[F.col(f"`{c}`") for c in stations.columns if c not in (out_city, out_dist)], F.col("_ref").alias(out_city), F.col("_km").alias(out_dist))
 
 
 def near_and_long(stations: DataFrame, max_km: float, min_years: float, dist: str = "distance_km",
@@ -97,16 +76,14 @@ def near_and_long(stations: DataFrame, max_km: float, min_years: float, dist: st
 
 
 def city_members(stations: DataFrame, cities: DataFrame, keys, max_km: float, lat: str = "latitude",
-                 lon: str = "longitude", city_name: str = "city") -> DataFrame:
+                 lon: str = "longitude", city_name: str = "city", city_lat: str = "latitude",
+                 city_lon: str = "longitude") -> DataFrame:
     """Long-form membership: (city, station key, distance) for every station within max_km
     of a city (a station may belong to several cities)."""
     k = _k(keys)
-    if not bounded_rows(cities, MAX_CITIES):
-        refs = cities.select(F.col(city_name), F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"))
-        m = within_radius(stations.select(*k, lat, lon), refs, max_km, k, [city_name], lat, lon, "_rlat", "_rlon")
-        return m.select(city_name, *k, "distance_km")
-    pairs = distance_pairs(stations.select(*k, lat, lon), cities, lat, lon, city_name)
-    return pairs.where(F.col("distance_km") <= F.lit(max_km)).select(city_name, *k, "distance_km")
+    refs = cities.select(F.col(city_name), F.col(city_lat).alias("_rlat"), F.col(city_lon).alias("_rlon"))
+    m = within_radius(stations.select(*k, lat, lon), refs, max_km, k, [city_name], lat, lon, "_rlat", "_rlon")
+    return m.select(city_name, *k, "distance_km")
 
 
 def _with_cells(df: DataFrame, band: str, out_n: str, band_deg: float, max_km: float) -> DataFrame:
@@ -165,66 +142,17 @@ def within_radius(points: DataFrame, refs: DataFrame, max_km: float, keys, ref_k
     return j.withColumn("distance_km", d).where(F.col("distance_km") <= F.lit(max_km)).drop("_band", "_cell")
 
 
-# Largest great-circle distance on the sphere used by haversine_km (half its circumference).
-HALF_CIRCUMFERENCE_KM = math.pi * EARTH_RADIUS_KM
+def nearest_ref(points: DataFrame, refs: DataFrame, keys, ref_name: str, lat: str = "latitude",
+                lon: str = "longitude", ref_lat: str = "latitude", ref_lon: str = "longitude") -> DataFrame:
+    """J2 as a thin table: keys, ``_ref``, ``distance_km`` of the points with coordinates."""
+    x = nearest_city(points.select(*_k(keys), lat, lon), refs, lat, lon, ref_name, "_ref", "distance_km", None, ref_lat, ref_lon)
+    return x.where(F.col("distance_km").isNotNull()).select(*_k(keys), "_ref", "distance_km")
 
 
-def nearest_ref(points: DataFrame, refs: DataFrame, keys, ref_name: str, lat: str = "latitude",
-                lon: str = "longitude", ref_lat: str = "latitude", ref_lon: str = "longitude",
-                start_km: float = 50.0, growth: float = 4.0) -> DataFrame:
-    """J2 for reference tables of any size: per point, the nearest reference (ties to the smaller
-    name) and its distance, exactly.
-
-    Rounds of :func:`within_radius` with a radius growing from ``start_km``: a point's nearest
-    reference within radius r is its nearest overall, so points matched in a round are done and
-    only the others go on; the last round's radius covers the sphere, so every point with
-    coordinates is answered.  Each round's results and the remaining points are checkpointed, so
-    the lineage stays short and a lost executor recomputes one round.  Output: keys, ``_ref``,
-    ``distance_km`` for points with coordinates."""
-    k = _k(keys)
-    remaining = materialize(points.select(*k, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()))
-    rf = refs.select(F.col(ref_name).cast("string").alias("_ref"), F.col(ref_lat).cast("double").alias("_rlat"),
-                     F.col(ref_lon).cast("double").alias("_rlon")) \
-        .where(F.col("_rlat").isNotNull() & F.col("_rlon").isNotNull())
-    rf = materialize(rf)
-    found = None
-    radius = start_km
-    while True:
-        last = radius >= HALF_CIRCUMFERENCE_KM
-        r = HALF_CIRCUMFERENCE_KM * 1.001 if last else radius
-        m = within_radius(remaining, rf, r, k, ["_ref"], lat, lon, "_rlat", "_rlon")
-        best = materialize(m.groupBy(*k).agg(F.min(F.struct("distance_km", "_ref")).alias("_b"))
-                           .select(*k, F.col("_b._ref").alias("_ref"), F.col("_b.distance_km").alias("distance_km")))
-        found = best if found is None else found.unionByName(best)
-        if last:
-            break
-        remaining = materialize(remaining.join(best.select(*k), k, "left_anti"))
-        if remaining.isEmpty():
-            break
-        radius *= growth
-    return found
-
-
-def active_count(intervals: DataFrame, begin: str, end: str, out: str = "active") -> DataFrame:
-    """For each month start from the first begin to the last end, the number of intervals
-    covering it (both ends included).  The first month start is on or after the earliest begin.
-
-    Each interval explodes into the month starts it covers (bounded by its own length), counts
-    are a grouped sum, and the month spine comes from the one-row global bounds."""
-    b, e = F.to_date(F.col(begin)), F.to_date(F.col(end))
-    first_month = F.when(F.dayofmonth(b) == 1, b).otherwise(F.add_months(F.trunc(b, "MM"), 1))
-    months = intervals.where(b.isNotNull() & e.isNotNull() & (first_month <= F.trunc(e, "MM"))).select(
-        F.explode(F.sequence(first_month, F.trunc(e, "MM"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    counts = months.groupBy("month").agg(F.count(F.lit(1)).alias(out))
-    lo, hi = intervals.agg(F.min(b), F.max(e)).first()
-    if lo is None:
-        return counts
-    spark = intervals.sparkSession
-    start = F.when(F.dayofmonth(F.lit(lo)) == 1, F.lit(lo)).otherwise(F.add_months(F.trunc(F.lit(lo), "MM"), 1))
-    stop = F.trunc(F.lit(hi), "MM")
-    spine = spark.range(1).where(start <= stop).select(
-        F.explode(F.sequence(start, stop, F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return spine.join(counts, "month", "left").fillna({out: 0})
+def active_count(intervals: DataFrame, begin: str, end: str, out: str = "active", grid: str = "month") -> DataFrame:
+    """For each month start (or day) from the first begin to the last end, the number of intervals
+    covering it (both ends included).  The first month start is on or after the earliest begin."""
+    return active_intervals(intervals, begin, end, grid, out=out)
 
 
 def prefix_match(df: DataFrame, name_col: str, prefixes: DataFrame, prefix_col: str = "prefix") -> DataFrame:

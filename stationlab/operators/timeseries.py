@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_date
 from ..plans.physical import attach, small_side
+from .timejoin import interval_join
 
 Keys = Sequence[str]
 
@@ -256,16 +257,12 @@ def lookup_dates(df: DataFrame, keys: Keys, date_col: str, targets: DataFrame, t
 # J10 -----------------------------------------------------------------------------------------
 def neighbourhood(events: DataFrame, series: DataFrame, keys: Keys, event_date: str, date_col: str,
                   half_width_days: int = 183) -> DataFrame:
-    """For each event, the rows of the same key within +-half_width days.
-
-    Planned as an equi-join on the key with the date range as an extra condition.  Events are
-    few (flagged spikes); above the broadcast bound the join shuffles on the key.
-    """
+    """For each event, the rows of the same key within +-half_width days, with the event's date as
+    ``event_date``.  An interval join on (key, time bucket): a hot key is spread over its buckets and
+    an event meets only the rows of the one or two buckets that its window touches.  Events are few
+    (flagged spikes): under the broadcast bound the rows are not shuffled at all."""
     k = _k(keys)
-    ev = small_side(events.select(*[F.col(c).alias(f"_e_{c}") for c in k], as_date(event_date).alias("event_date")))
-    cond = [F.col(c) == F.col(f"_e_{c}") for c in k] + [
-        F.col("_d") >= F.date_sub(F.col("event_date"), half_width_days),
-        F.col("_d") <= F.date_add(F.col("event_date"), half_width_days),
-    ]
-    j = series.withColumn("_d", as_date(date_col)).join(ev, cond, "inner")
-    return j.drop("_d", *[f"_e_{c}" for c in k])
+    day = as_date(event_date)
+    ev = small_side(events.select(*k, day.alias("event_date"), F.date_sub(day, half_width_days).alias("_from"),
+                                  F.date_add(day, half_width_days).alias("_to")))
+    return interval_join(ev, series, k, "_from", "_to", date_col, base=2 * half_width_days + 1, one_width=True).drop("_from", "_to")

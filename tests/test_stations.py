@@ -127,18 +127,92 @@ def test_nearest_ref_exact_with_sparse_and_dense_refs(spark):
         assert np.isclose(got[t[0]][1], d[i, j]) and (got[t[0]][0] == r[j][0] or np.isclose(d[i, j], d[i]).sum() > 1)
 
 
-def test_nearest_city_large_table_path_equals_literal_path(spark, monkeypatch):
-    sts = spark.createDataFrame([(1, 40.0, -100.0), (2, 35.5, -120.2), (3, None, None), (4, 47.0, -110.0)],
-                                "sid int, latitude double, longitude double")
-    cities = spark.createDataFrame([("a", 41.0, -101.0), ("b", 34.0, -118.0), ("c", 47.5, -111.0), ("d", 30.0, -90.0)],
-                                   "city string, latitude double, longitude double")
-    small = sorted((r.sid, r.nearest_city, None if r.distance_km is None else round(r.distance_km, 6))
-                   for r in ST.nearest_city(sts, cities, keys=["sid"]).collect())
-    monkeypatch.setattr(ST, "MAX_CITIES", 2)
-    large = sorted((r.sid, r.nearest_city, None if r.distance_km is None else round(r.distance_km, 6))
-                   for r in ST.nearest_city(sts, cities, keys=["sid"]).collect())
-    assert large == small and small[2][1] is None
-    members_large = sorted(map(tuple, ST.city_members(sts, cities, ["sid"], 300.0).collect()))
-    monkeypatch.setattr(ST, "MAX_CITIES", 5000)
-    members_small = sorted(map(tuple, ST.city_members(sts, cities, ["sid"], 300.0).collect()))
-    assert [(c, s) for c, s, _ in members_large] == [(c, s) for c, s, _ in members_small]
+def _nearest_brute(p, r):
+    """(name, km) of the nearest reference by the library's own distance formula; ties to the smaller name."""
+    out = {}
+    for pid, a, o in p:
+        if a is None or o is None:
+            out[pid] = None
+            continue
+        d = _np_dist([(pid, a, o)], r)[0]
+        out[pid] = (d.min(), {r[j][0] for j in range(len(r)) if d[j] <= d.min() + 1e-9})
+    return out
+
+
+def _check_nearest(spark, p, r, **tree):
+    pdf = spark.createDataFrame(p, "pid string, lat double, lon double")
+    rdf = spark.createDataFrame(r, "name string, y double, x double")
+    from stationlab.operators.quadtree import nearest
+    best = nearest(pdf, rdf, "lat", "lon", "name", "y", "x", **tree)
+    got = {(x._lat, x._lon): (x._ref, x._km) for x in best.collect()}
+    valid = [x for x in r if x[1] is not None and x[2] is not None]
+    for pid, want in _nearest_brute(p, valid).items():
+        a, o = next((a, o) for i, a, o in p if i == pid)
+        if want is None:
+            assert (a, o) not in got
+        else:
+            ref, km = got[(a, o)]
+            assert abs(km - want[0]) < 1e-6 and ref in want[1], (pid, a, o, ref, km, want)
+
+
+def test_quadtree_everywhere(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    p = [(f"p{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 250), rng.uniform(-180, 180, 250)))]
+    p += [("north", 90.0, 0.0), ("south", -90.0, 77.0), ("east", 0.0, 180.0), ("west", 0.0, -180.0), ("wrapped", 10.0, 190.0),
+          ("null", None, 1.0), ("null2", 1.0, None), ("near pole", 89.99, -135.0), ("corner", 45.0, 90.0)]
+    # dense clusters (a third of all at a few places), lone references, both sides of the antimeridian, poles, repeats
+    r = [(f"c{i:03d}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.normal(50, 0.01, 300), rng.normal(8, 0.01, 300)))]
+    r += [(f"w{i:03d}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-80, 80, 200), rng.uniform(-180, 180, 200)))]
+    r += [("pole", 90.0, 12.0), ("fiji", -17.0, 179.99), ("samoa", -14.0, -179.9), ("same b", 50.0, 8.0), ("same a", 50.0, 8.0),
+          ("broken", None, 8.0), ("broken2", 8.0, None), ("far", -89.5, 33.0)]
+    _check_nearest(spark, p, r, leaf=4, depth=10)
+    _check_nearest(spark, p, r)
+
+
+def test_quadtree_with_few_references_and_none(spark):
+    p = [("a", 40.0, -100.0), ("b", -33.0, 151.0), ("c", None, None)]
+    _check_nearest(spark, p, [("one", 10.0, 10.0)])
+    _check_nearest(spark, p, [("one", 10.0, 10.0), ("two", -10.0, 170.0), ("three", 60.0, -170.0)], leaf=1, depth=6)
+    empty = spark.createDataFrame([], "city string, latitude double, longitude double")
+    pts = spark.createDataFrame(p, "pid string, latitude double, longitude double")
+    assert {(x.nearest_city, x.distance_km) for x in ST.nearest_city(pts, empty).collect()} == {(None, None)}
+    assert ST.nearest_city(pts.where("false"), empty).count() == 0
+
+
+def test_cell_bound_is_never_above_a_real_distance(spark):
+    import numpy as np
+
+    from stationlab.operators.quadtree import least_km
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(3000):
+        level = int(rng.integers(0, 7))
+        x, y = int(rng.integers(0, 1 << level)), int(rng.integers(0, 1 << level))
+        u, v = (0.0, 0.0) if rng.random() < 0.2 else rng.random(2)
+        rows.append((float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180)), level, x, y,
+                     float((y + v) / (1 << level) * 180 - 90), float((x + u) / (1 << level) * 360 - 180)))
+    df = spark.createDataFrame(rows, "lat double, lon double, l int, x long, y long, qa double, qo double")
+    df = least_km(df, "least", "lat", "lon", "l", "x", "y").withColumn("real", haversine_km("lat", "lon", "qa", "qo"))
+    assert df.where("least > real + 1e-4").count() == 0
+    assert df.where("least > 0").count() > 1000
+
+
+def test_nearest_city_takes_other_column_names_and_repeated_rows(spark):
+    st = spark.createDataFrame([(1, 40.0, -100.0), (1, 40.0, -100.0), (2, 47.0, -110.0), (3, float("nan"), 1.0), (4, 91.0, 1.0)], "k int, a double, o double")
+    ci = spark.createDataFrame([("x", 41.0, -101.0), ("y", 47.5, -111.0)], "town string, north double, east double")
+    got = ST.nearest_city(st, ci, "a", "o", "town", city_lat="north", city_lon="east")
+    assert got.columns == ["k", "a", "o", "nearest_city", "distance_km"]
+    assert sorted((r.k, r.nearest_city) for r in got.collect() if r.k < 3) == [(1, "x"), (1, "x"), (2, "y")]
+    assert all(r.nearest_city is None for r in got.collect() if r.k >= 3)
+    near = ST.city_members(st, ci, ["k"], 300.0, "a", "o", "town", "north", "east")
+    assert sorted((r.town, r.k) for r in near.collect()) == [("x", 1), ("x", 1), ("y", 2)]
+
+
+def test_nearest_plan_has_no_nested_loop(spark):
+    st = spark.createDataFrame([(1, 40.0, -100.0)], "k int, latitude double, longitude double")
+    ci = spark.range(500).selectExpr("concat('c', id) AS city", "double(id % 170) / 2 - 40 AS latitude", "double(id * 37 % 360) - 180 AS longitude")
+    plan = ST.nearest_city(st, ci)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
