@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, days_between, safe_ratio, true_or_false
 from ..plans.physical import attach
+from .tiles import corr_matrix  # noqa: F401  (A32)
 from .timeseries import year_bin
 from .timeseries import densify_years
 
@@ -301,17 +302,6 @@ def center_on(df: DataFrame, group: Keys, period_col: str, value_col: str, base,
     return df.join(base_vals, g, "left").withColumn(out, F.col(value_col) - F.col("_base")).drop("_base")
 
 
-def corr_matrix(df: DataFrame, group: str, period_col: str, value_col: str) -> DataFrame:
-    """Pearson correlation of every ordered pair of groups over their common periods,
-    pairwise complete.  Rows are first reduced to one value per (group, period); the self-join
-    is on the period, so its size is groups^2 x periods of aggregated rows."""
-    x = df.where(F.col(value_col).isNotNull()).groupBy(group, period_col).agg(F.avg(value_col).alias("_v"))
-    a = x.select(F.col(group).alias("group_a"), F.col(period_col).alias("_p"), F.col("_v").alias("_a"))
-    b = x.select(F.col(group).alias("group_b"), F.col(period_col).alias("_p"), F.col("_v").alias("_b"))
-    return a.join(b, "_p").groupBy("group_a", "group_b").agg(
-        F.corr("_a", "_b").alias("corr"), F.count(F.lit(1)).alias("n_common"))
-
-
 def linear_trend(df: DataFrame, group: Keys, x: str, y: str) -> DataFrame:
     """OLS slope and intercept per group; rows with a NULL x or y are skipped."""
     return df.groupBy(*_k(group)).agg(
@@ -333,16 +323,18 @@ def row_at_max(df: DataFrame, value_col: str, by: Keys | None = None, tiebreak:
     """The whole row at the maximum value (per group); ties go to the smallest tiebreak."""
     k = _k(by)
     others = [c for c in df.columns if c not in k]
-    v = F.col(value_col)
-    if not _numeric(df, value_col):  # dates and text as a rank of their own: largest first
-        top = df.groupBy(*k).agg(F.max(v).alias("_top"))
-        df = df.join(top, k) if k else df.join(top, v == F.col("_top"))
-        df = df.where(v == F.col("_top"))
-        order = F.struct(*[F.col(t) for t in tiebreak]) if tiebreak else v
+    v, ties = F.col(value_col), [F.col(t) for t in tiebreak]
+    row = F.struct(*others)
+    if _numeric(df, value_col):
+        best = F.min_by(row, F.struct(v.isNull().alias("none"), (-v).alias("value"), *ties))
+    elif not ties:
+        best = F.coalesce(F.max_by(row, v), F.min_by(row, v.isNull()))
     else:
-        order = F.struct(v.isNull().alias("none"), (-v).alias("value"), *[F.col(t) for t in tiebreak])
-    best = df.groupBy(*k).agg(F.min_by(F.struct(*others), order).alias("_r"))
-    return best.select(*k, "_r.*")
+        # dates and text have no negative: the first row by tiebreak per value, then the row of the largest value
+        # (a NULL value comes last); one row per (group, value) goes on
+        per = df.groupBy(*k, v.alias("_value")).agg(F.min_by(row, F.struct(*ties)).alias("_r"))
+        return per.groupBy(*k).agg(F.coalesce(F.max_by("_r", "_value"), F.first("_r")).alias("_r")).select(*k, "_r.*")
+    return df.groupBy(*k).agg(best.alias("_r")).select(*k, "_r.*")
 
 
 def _numeric(df: DataFrame, c: str) -> bool:
