@@ -90,28 +90,22 @@ def month_at_most(df: DataFrame, date_col: str, last_month: int) -> DataFrame:
     return df.where(F.month(date_col) <= F.lit(last_month))
 
 
-def drop_span(df: DataFrame, flagged: DataFrame, keys: Keys, date_col: str, start: str, end: str) -> DataFrame:
-    """Delete the rows of flagged keys inside [start, end]; other rows stay."""
-    k = _k(keys)
-    flags = flagged.select(*k).distinct().withColumn("_flag", F.lit(True))
-    x = attach(df, flags, k, "left")
-    d = as_date(date_col)
-    in_span = (d >= F.lit(start).cast("date")) & (d <= F.lit(end).cast("date"))
-    return x.where(~(F.coalesce(F.col("_flag"), F.lit(False)) & in_span)).drop("_flag")
-
-
 def seeded_pick(df: DataFrame, keys: Keys, seed: int) -> DataFrame:
-    """One entity chosen by a seeded hash: the same under any partitioning or row order."""
+    """One entity chosen by a seeded hash: the same under any partitioning or row order.  The
+    smallest (hash, key) wins, so one row per task goes on."""
     k = _k(keys)
-    return df.select(*k).distinct().orderBy(F.xxhash64(*k, F.lit(seed)), *k).limit(1)
-
-
-def jitter(df: DataFrame, value_col: str, seed: int, add: float = 0.005, mul: tuple[float, float] = (0.8, 1.2),
-           out: str | None = None) -> DataFrame:
-    """P20: additive U(-add, add) and multiplicative U(mul) noise, seeded."""
-    u1 = F.rand(seed) * F.lit(2 * add) - F.lit(add)
-    u2 = F.lit(mul[0]) + F.rand(seed + 1) * F.lit(mul[1] - mul[0])
-    return df.withColumn(out or value_col, (F.col(value_col) + u1) * u2)
+    return df.select(*k).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(seed), *k)), *k).limit(1)
+
+
+def jitter(df: DataFrame, value_col: str, seed: int, ids: Sequence[str], add: float = 0.005,
+           mul: tuple[float, float] = (0.8, 1.2), out: str | None = None) -> DataFrame:
+    """P20: additive U(-add, add) and multiplicative U(mul) noise.  The two draws of a row are digits of
+    a hash of the seed and the row's ``ids``: the same noise under any partitioning, after a retry and
+    in other engines.  Rows with equal ids get equal noise; a NULL id counts as absent."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ids]))
+    u1, u2 = [F.conv(F.substring(h, i, 8), 16, 10).cast("double") / F.lit(4294967296.0) for i in (1, 9)]
+    noisy = (F.col(value_col) + (u1 * F.lit(2 * add) - F.lit(add))) * (F.lit(mul[0]) + u2 * F.lit(mul[1] - mul[0]))
+    return df.withColumn(out or value_col, noisy)
 
 
 def drop_last_bin(df: DataFrame, keys: Keys, bin_col: str) -> DataFrame:

@@ -9,9 +9,11 @@ first aggregation are small: pairs x 2 sides x window_years bins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, hash_seed, mix_round, with_draw
@@ -85,31 +87,29 @@ def splice_windows(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date
     span = window_years * 365 - 1
     # The pair list is a short input: count it once; every per-pair table below has at most
     # 2 x n_pairs rows, a proven bound, so those tables are broadcast without re-counting.
-    n_pairs = pairs.count()
-    bound = 2 * n_pairs
+    bound = 2 * pairs.count()
     daily = daily.select(*k, as_date(date_col).alias("_d"), *value_cols)
-    order = splice_order(daily, pairs, k, "_d")
-    rows = splice_sides(daily, pairs, k, n_pairs)
-    rows = attach(rows, order, PAIR, bound=bound)
-    side = F.when(F.col("member") == F.col("early_member"), F.lit("early")).otherwise(F.lit("late"))
-    rows = rows.withColumn("side", side)
-    # The late side starts at the splice date (its first date >= splice date)
-    rows = rows.where((F.col("side") == "early") | (F.col("_d") >= F.col("splice_date")))
-    # The paired stations' rows are a small slice of the data and are read by the three passes
-    # below: write them once to the checkpoint folder instead of re-deriving them from the source.
-    rows = materialize(rows.select(*PAIR, "side", "_d", *value_cols))
-    # Window at the far end of each side; anchors from per-(pair, side) aggregates
-    ends = rows.groupBy(*PAIR, "side").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    rows = attach(rows, ends, PAIR + ["side"], bound=bound)
-    in_win = F.when(F.col("side") == "early", F.col("_d") >= F.date_sub(F.col("_hi"), span)) \
-        .otherwise(F.col("_d") <= F.date_add(F.col("_lo"), span))
-    rows = rows.where(in_win).drop("_lo", "_hi")
-    # C4: bins counted back from the last date present in the window
-    anchor = rows.groupBy(*PAIR, "side").agg(F.max("_d").alias("_anchor"), F.min("_d").alias("_first"))
-    rows = attach(rows, anchor, PAIR + ["side"], bound=bound)
+    order = splice_order(daily, pairs, k, "_d").select(*PAIR, "early_member", "splice_date")
+    early = F.col("member") == F.col("early_member")
+    sides = attach(pair_members(pairs, k), order, PAIR, bound=bound) \
+        .select(*PAIR, *k, F.when(early, "early").otherwise("late").alias("side"), "splice_date",
+                # The early side's window ends at the splice date, the late side starts on or after it
+                F.when(early, F.date_sub("splice_date", span)).otherwise(F.col("splice_date")).alias("_from"))
+    # Each bound is a conditional minimum or maximum over the dates alone, aggregated map-side; only
+    # these per-side figures are kept, the rows are read again (two narrow passes) and never written.
+    days = daily.select(*k, "_d")
+    first = attach(days, sides, k, bound=bound).where(F.col("_d") >= F.col("_from")) \
+        .groupBy(*PAIR, "side", "splice_date").agg(F.min("_d").alias("_first"))
+    sides = sides.drop("_from").join(first.drop("splice_date"), PAIR + ["side"])
+    sides = materialize(sides.withColumn("_to", F.when(F.col("side") == "early", F.col("splice_date")).otherwise(F.date_add("_first", span))))
+    last = attach(days, sides, k, bound=bound).where(F.col("_d").between(F.col("_first"), F.col("_to"))) \
+        .groupBy(*PAIR, "side").agg(F.max("_d").alias("_anchor"))
+    sides = materialize(sides.select(*PAIR, "side", *k, "_first").join(last, PAIR + ["side"]))
+    # C4: bins counted back from the last date present in the window, one aggregation to (pair, side, bin)
+    rows = attach(daily, sides, k, bound=bound).where(F.col("_d").between(F.col("_first"), F.col("_anchor")))
     b = F.floor(F.datediff(F.col("_anchor"), F.col("_d")) / F.lit(bin_days)).cast("int")
     means = rows.groupBy(*PAIR, "side", b.alias("bin")).agg(*[F.avg(c).alias(c) for c in value_cols])
-    nb = anchor.withColumn("n_bins", F.floor(F.datediff("_anchor", "_first") / F.lit(bin_days)).cast("int") + 1)
+    nb = sides.withColumn("n_bins", F.floor(F.datediff("_anchor", "_first") / F.lit(bin_days)).cast("int") + 1)
     spine = nb.select(*PAIR, "side", "n_bins", "_anchor", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
     out = spine.join(means, PAIR + ["side", "bin"], "left")
     return out.withColumn("bin_end", F.date_sub(F.col("_anchor"), F.col("bin") * F.lit(bin_days))).drop("_anchor") \
@@ -144,15 +144,36 @@ def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int
 
 
 STAT_FUNCS = {"mean": F.avg, "std": F.stddev_samp}
+Statistic = Callable[[Column], Column]
+
+
+def _statistics(stats: Sequence[str] | Mapping[str, Statistic]) -> dict[str, Statistic]:
+    """Names of built-in statistics, or names with functions from a column to an aggregate column."""
+    named = dict(stats) if isinstance(stats, Mapping) else {s: STAT_FUNCS[s] for s in stats}
+    if any("__" in s for s in named):
+        raise ValueError("a statistic's name holds no double underscore")
+    return named
+
+
+def arrow_statistic(func: Callable[[np.ndarray], float | None]) -> Statistic:
+    """A statistic without a Column form: ``func`` gets the non-NULL values of one sample (as many as a
+    side has bins, at most) as a float array; no value at all gives NULL."""
+    def run(samples: pa.Array) -> pa.Array:
+        return pa.array([func(np.asarray(v, dtype=float)) if v else None for v in samples.to_pylist()], pa.float64())
+
+    def stat(c: Column) -> Column:
+        return F.arrow_udf(run, "double")(F.sort_array(F.collect_list(c.cast("double"))))
+
+    return stat
 
 
 def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
-                      stats: Sequence[str] = ("mean", "std")) -> DataFrame:
+                      stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std")) -> DataFrame:
     """Per (pair, side) and sample, each statistic of each column over the sample's draws
     (empty bins can be drawn and are skipped by the statistics).  Output columns
     ``<column>__<statistic>``.  C9: the tests run on a pair are the ``stats`` list, all in one
     aggregation (no per-test job and no stacking of results)."""
-    aggs = [STAT_FUNCS[s](c).alias(f"{c}__{s}") for c in value_cols for s in stats]
+    aggs = [f(F.col(c)).alias(f"{c}__{s}") for c in value_cols for s, f in _statistics(stats).items()]
     return _draws(bins, value_cols, n_samples, seed).groupBy(*PAIR, "side", "sample").agg(*aggs)
 
 
@@ -166,14 +187,14 @@ def bootstrap_diff(samples: DataFrame) -> DataFrame:
 
 
 def bootstrap_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
-                    stats: Sequence[str] = ("mean", "std")) -> DataFrame:
+                    stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std")) -> DataFrame:
     """C5 + C6 in one aggregation: per (pair, sample), late - early of each statistic, computed
     from the draws with side-conditional aggregates.  Same result as
     ``bootstrap_diff(bootstrap_samples(...))``; grouping by (pair, sample) reuses the pair
     partitioning of the draws, so the draws are never shuffled."""
     late, early = F.col("side") == "late", F.col("side") == "early"
-    aggs = [(STAT_FUNCS[s](F.when(late, F.col(c))) - STAT_FUNCS[s](F.when(early, F.col(c)))).alias(f"{c}__{s}")
-            for c in value_cols for s in stats]
+    aggs = [(f(F.when(late, F.col(c))) - f(F.when(early, F.col(c)))).alias(f"{c}__{s}")
+            for c in value_cols for s, f in _statistics(stats).items()]
     return _draws(bins, value_cols, n_samples, seed).groupBy(*PAIR, "sample").agg(*aggs)
 
 
@@ -202,13 +223,13 @@ def _qname(q: float) -> str:
 def splice_report(daily: DataFrame, groups: DataFrame, keys: Sequence[str], date_col: str, value_cols: Sequence[str],
                   window_years: int = 10, n_samples: int = 2000, quantiles: Sequence[float] = (0.025, 0.5, 0.975),
                   seed: int = 0, group_col: str = "pair_id", order_col: str = "ordinal",
-                  name_col: str | None = "name") -> DataFrame:
+                  name_col: str | None = "name", stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std")) -> DataFrame:
     """Pairs -> windows -> bootstrap -> confidence report, named by the pair's first station.
     U4: every pair runs in the same plan, so there is no per-pair result to stack."""
     k = _k(keys)
     pairs = splice_pairs(groups, k, group_col, order_col)
     bins = splice_windows(daily, pairs, k, date_col, value_cols, window_years)
-    ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed), quantiles)
+    ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed, stats), quantiles)
     if name_col and name_col in groups.columns:
         # by group too: a station listed in several groups names each of its pairs once
         first = ["group_id", *[f"a_{c}" for c in k]]

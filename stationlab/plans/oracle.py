@@ -5,6 +5,7 @@ ISO text."""
 from __future__ import annotations
 
 from ..functions.columns import MIX_FINAL_OFFSETS, MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET
+from .oracle_series import series_sql
 
 SUPPLIER_PANEL = """
   SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS day,
@@ -529,8 +530,8 @@ SQL["unpivot_long"] = "SELECT l_returnflag, year, qty FROM (" + " UNION ALL ".jo
     f"FROM lineitem GROUP BY l_returnflag" for y in range(1995, 2002)) + ")"
 
 
-SPLICE_YEARS = 3
-SPLICE_SAMPLES = 50
+SPLICE_YEARS = 10
+SPLICE_SAMPLES = 2000
 SPLICE_SEED = 7
 
 SPLICE_PAIRS = """
@@ -610,7 +611,7 @@ def _mix_sql(h: str, v: str | None, offset: int = _OFF) -> str:
     return f"(({step}) % {_P})"
 
 
-SPLICE_DIFF = f"""
+SPLICE_DRAWS = f"""
   WITH b AS ({SPLICE_BINS}),
   sd AS (SELECT DISTINCT group_id, pair_no, side, n_bins FROM b),
   sh AS (SELECT sd.*, {_SIDE_STATE} AS h0 FROM sd),
@@ -621,9 +622,12 @@ SPLICE_DIFF = f"""
   m2 AS (SELECT m1.*, {_mix_sql("h1", "draw")} AS h2 FROM m1),
   m3 AS (SELECT m2.*, {_mix_sql("h2", None, _FIN[0])} AS h3 FROM m2),
   m4 AS (SELECT m3.*, {_mix_sql("h3", None, _FIN[1])} AS h4 FROM m3),
-  di AS (SELECT m4.*, h4 % n_bins AS bin2 FROM m4),
-  x AS (SELECT di.group_id, di.pair_no, di.side, di.sample, b.value, b.n_orders
-        FROM di LEFT JOIN b ON di.group_id = b.group_id AND di.pair_no = b.pair_no AND di.side = b.side AND di.bin2 = b.bin),
+  di AS (SELECT m4.*, h4 % n_bins AS bin2 FROM m4)
+  SELECT di.group_id, di.pair_no, di.side, di.sample, b.value, b.n_orders
+        FROM di LEFT JOIN b ON di.group_id = b.group_id AND di.pair_no = b.pair_no AND di.side = b.side AND di.bin2 = b.bin
+"""
+SPLICE_DIFF = f"""
+  WITH x AS ({SPLICE_DRAWS}),
   st AS (SELECT group_id, pair_no, side, sample, avg(value) AS vm, stddev_samp(value) AS vs,
                 avg(n_orders) AS nm, stddev_samp(n_orders) AS ns FROM x GROUP BY 1, 2, 3, 4)
   SELECT group_id, pair_no, sample,
@@ -639,7 +643,7 @@ SELECT CAST(group_id AS BIGINT) AS group_id, CAST(pair_no AS BIGINT) AS pair_no,
        round(n_orders__mean, 4) AS n_orders__mean, round(n_orders__std, 4) AS n_orders__std
 FROM ({SPLICE_DIFF})
 """
-SQL["splice_bootstrap"] = f"""
+_SPLICE_CI = f"""
 WITH d AS ({SPLICE_DIFF}),
 l AS (SELECT group_id, pair_no, 'value' AS measure, 'mean' AS statistic, value__mean AS v FROM d UNION ALL
       SELECT group_id, pair_no, 'value', 'std', value__std FROM d UNION ALL
@@ -652,6 +656,13 @@ FROM l GROUP BY 1, 2, 3, 4
 """
 
 
+SQL["splice_bootstrap"] = _SPLICE_CI
+SQL["splice_report"] = f"""
+SELECT r.*, c.c_name AS name FROM ({_SPLICE_CI}) r
+JOIN ({SPLICE_PAIRS}) p ON r.group_id = p.group_id AND r.pair_no = p.pair_no LEFT JOIN customer c ON c.c_custkey = p.a_key
+"""
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(0.0 + round(...))``: DuckDB keeps the sign of a rounded
     tiny negative (-0.0) where Spark returns 0.0, and IEEE addition of +0.0 clears it."""
@@ -679,4 +690,9 @@ def _positive_zero(sql: str) -> str:
         i = k + 1
 
 
+SQL |= series_sql({
+    "SUPPLIER_PANEL": SUPPLIER_PANEL, "CUSTOMER_PANEL": CUSTOMER_PANEL, "NEAREST": NEAREST, "ZSCORE": _zscore_sql(SUPPLIER_PANEL, 1995, 5, 20),
+    "HAVERSINE": haversine("latitude", "longitude", "la", "lo"), "SPLICE_REPORT": SQL["splice_report"], "SPLICE_DRAWS": SPLICE_DRAWS,
+    "JITTER_SPAN": repr(1.2 - 0.8),
+})
 SQL = {name: _positive_zero(q) for name, q in SQL.items()}
