@@ -1,5 +1,6 @@
-"""Sources and sinks (S1-S10).  All readers use fixed schemas: ids stay text so zero padding
-survives, and no schema is ever inferred."""
+"""Sources and sinks (S1-S10).  All readers use fixed schemas, matched to each file's header by name: ids
+stay text so zero padding survives, and no schema is ever inferred.  A missing path raises
+AnalysisException (PATH_NOT_FOUND).  Yearly tables are in :mod:`.yearly`."""
 
 from __future__ import annotations
 
@@ -9,26 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import nan_to_null
+from .headers import read_by_header, read_numbered
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], schema, **options) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    # A missing path raises AnalysisException(PATH_NOT_FOUND) at plan time.
-    return reader.csv(path if isinstance(path, str) else list(path))
-
-
-def _null_nans(df: DataFrame) -> DataFrame:
-    """The CSV reader turns the text NaN into a NaN double; the library only uses NULL."""
-    fixes = {f.name: nan_to_null(f.name) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.withColumns(fixes) if fixes else df
-
-
-def read_daily(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw daily CSV export -> typed, readable panel with a ``timestamp`` date column."""
-    raw = _null_nans(_csv(spark, path, S.DAILY_RAW, nanValue="NaN"))
+def read_daily(spark: SparkSession, path: str | Sequence[str], on_bad: str = "raise") -> DataFrame:
+    """Raw daily CSV exports -> typed, readable panel with a ``timestamp`` date column."""
+    raw = read_by_header(spark, path, S.DAILY_RAW, on_bad=on_bad)
     cols = [F.col(src).alias(dst) for src, dst in S.DAILY_RENAMES.items()]
     return raw.select(
         F.col("stn").alias("usaf"), F.col("wban"),
@@ -45,33 +32,34 @@ def read_daily_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """Station list, ids as text, two dates, readable names, trimmed station name."""
-    df = _null_nans(_csv(spark, path, S.STATIONS_RAW, dateFormat="yyyy-MM-dd"))
+    df = read_by_header(spark, path, S.STATIONS_RAW)
     return df.withColumnsRenamed(S.STATION_RENAMES).withColumn("name", F.trim("name"))
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """S3: city list.  The header ``state/province`` is replaced by the schema's ``state_province``."""
-    return _null_nans(_csv(spark, path, S.CITIES))
+    """S3: city list.  The header ``state/province`` is the column ``state_province``."""
+    return read_by_header(spark, path, S.CITIES)
 
 
 def read_exclusion_points(spark: SparkSession, path: str) -> DataFrame:
     """(key, date) points; the file repeats some rows, so they are de-duplicated here."""
-    return _csv(spark, path, S.EXCLUSION_POINTS, dateFormat="yyyy-MM-dd").dropDuplicates()
+    return read_by_header(spark, path, S.EXCLUSION_POINTS).dropDuplicates()
 
 
 def read_exclusion_years(spark: SparkSession, path: str) -> DataFrame:
     """(key, year) slices, one closed year per row."""
-    return _csv(spark, path, S.EXCLUSION_YEARS).dropDuplicates()
+    return read_by_header(spark, path, S.EXCLUSION_YEARS).dropDuplicates()
 
 
 def read_splice_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Groups of stations to splice; members are ordered by an explicit ``ordinal`` column."""
-    return _csv(spark, path, S.SPLICE_GROUPS)
+    """Groups of stations to splice.  Members are ordered by ``ordinal``: the file's own column, or
+    where it has none the row's place in the file."""
+    return read_numbered(spark, path, S.SPLICE_GROUPS, "ordinal")
 
 
 def read_selected_stations(spark: SparkSession, path: str) -> DataFrame:
     """The shortlisted stations with extents and nearest city."""
-    return _null_nans(_csv(spark, path, S.SELECTED_STATIONS, dateFormat="yyyy-MM-dd"))
+    return read_by_header(spark, path, S.SELECTED_STATIONS)
 
 
 def key_table(spark: SparkSession, keys: Sequence[Sequence[str]], names: Sequence[str] = S.KEY) -> DataFrame:
