@@ -3,7 +3,10 @@ that no other query reaches."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import cleaning as C
 from ..operators import continuity as SP
@@ -13,8 +16,14 @@ from ..operators import stats as A
 from ..operators import sweep
 from ..operators import timejoin
 from ..operators import stations as ST
+from ..operators import summaries
+from ..session import ensure_checkpoint_dir
+from ..sources.headers import read_by_header
+from ..sources.readers import read_splice_groups, write_csv
+from ..sources.yearly import scan_years, write_years
 from .catalog import REGISTRY, register, splice_groups
 from .driver import customer_panel, supplier_panel, table
+from .physical import materialize
 
 
 @register("asof_lookup")
@@ -209,3 +218,52 @@ def splice_medians(spark, sf_dir):
     bins = SP.splice_windows(splice_panel(spark, sf_dir), pairs, ["key"], "day", ["value"], window_years=SPLICE_YEARS)
     diff = SP.bootstrap_diffs(bins, ["value"], SPLICE_SAMPLES, SPLICE_SEED, {"median": F.median, "spread": lambda c: F.max(c) - F.min(c)})
     return SP.bootstrap_ci(diff, (0.025, 0.5, 0.975))
+
+
+def _scratch(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_by_header")
+def csv_by_header(spark, sf_dir):
+    """The supplier panel written as CSV exports with two column orders and a further column, read again as one
+    source by header."""
+    p = supplier_panel(spark, sf_dir).select("key", "day", "temp_mean", "temp_count", "precip")
+    folder = _scratch(spark, "csv")
+    write_csv(p.where("key % 2 = 0"), f"{folder}/even")
+    write_csv(p.where("key % 2 = 1").select("precip", F.lit("x").alias("note"), "day", "temp_count", "key", "temp_mean"), f"{folder}/odd")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("day", T.DateType()), T.StructField("temp_mean", T.DoubleType()),
+                           T.StructField("temp_count", T.ShortType()), T.StructField("precip", T.DoubleType())])
+    return read_by_header(spark, [f"{folder}/even", f"{folder}/odd"], schema)
+
+
+@register("yearly_tables")
+def yearly_tables(spark, sf_dir):
+    """The panel as yearly tables, 1997 replaced by one with a further column and whole-number means, then
+    rows and sums per year of a scan from 1996 on."""
+    p = supplier_panel(spark, sf_dir).select("key", "day", "temp_mean", F.year("day").alias("year"))
+    path = _scratch(spark, "yearly")
+    write_years(p, path)
+    write_years(p.where("year = 1997").withColumns({"temp_mean": F.col("temp_mean").cast("long") + 1, "checked": F.lit(True)}), path)
+    x = scan_years(spark, path).where("year >= 1996")
+    return x.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("temp_mean").alias("total"), F.count("checked").alias("checked"))
+
+
+@register("groups_from_file")
+def groups_from_file(spark, sf_dir):
+    """S6 + J11: nations grouped by region from a file without ordinals, paired in file order."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("pair_id"), F.col("n_nationkey").alias("usaf"), F.lit("9").alias("wban"), F.col("n_name").alias("name"))
+    path = _scratch(spark, "groups")
+    write_csv(n.coalesce(1).sortWithinPartitions(F.desc("name")), path)
+    pairs = SP.splice_pairs(read_splice_groups(spark, path), ["usaf", "wban"])
+    return pairs.select("group_id", "pair_no", F.col("a_usaf").cast("long").alias("a"), F.col("b_usaf").cast("long").alias("b"))
+
+
+@register("merged_summaries")
+def merged_summaries(spark, sf_dir):
+    """A16/A28/A10 from stored (key, year) summaries: rows, years, moments and bounds of 1996 to 1999 per supplier (the
+    exact figures; sketches are tested against the rows)."""
+    s = materialize(summaries.summarise(supplier_panel(spark, sf_dir), "key", "day", ["temp_mean"]))
+    x = summaries.figures(summaries.merge(s, "key", 1996, 1999), [])
+    return x.select("key", "n_rows", "n_years", "first_date", "last_date", "n_temp_mean", "mean_temp_mean", "std_temp_mean", "min_temp_mean", "max_temp_mean")

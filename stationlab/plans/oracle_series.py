@@ -174,6 +174,30 @@ FROM sp CROSS JOIN r LEFT JOIN c ON sp.bin = c.bin
 """
 
 
+SERIES["csv_by_header"] = """
+SELECT key, CAST(day AS VARCHAR) AS day, round(temp_mean, 4) AS temp_mean, CAST(temp_count AS BIGINT) AS temp_count, round(precip, 4) AS precip
+FROM ({SUPPLIER_PANEL})
+"""
+
+SERIES["yearly_tables"] = """
+SELECT CAST(year(day) AS BIGINT) AS year, count(*) AS n, round(sum(temp_mean + CASE WHEN year(day) = 1997 THEN 1 ELSE 0 END), 4) AS total,
+       count(CASE WHEN year(day) = 1997 THEN 1 END) AS checked FROM ({SUPPLIER_PANEL}) WHERE year(day) >= 1996 GROUP BY 1
+"""
+
+SERIES["groups_from_file"] = """
+SELECT * FROM (SELECT CAST(n_regionkey AS BIGINT) AS group_id, row_number() OVER w - 1 AS pair_no, CAST(n_nationkey AS BIGINT) AS a,
+                      CAST(lead(n_nationkey) OVER w AS BIGINT) AS b FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name DESC))
+WHERE b IS NOT NULL
+"""
+
+SERIES["merged_summaries"] = """
+SELECT key, count(*) AS n_rows, count(DISTINCT year(day)) AS n_years, CAST(min(day) AS VARCHAR) AS first_date, CAST(max(day) AS VARCHAR) AS last_date,
+       count(temp_mean) AS n_temp_mean, round(avg(temp_mean), 4) AS mean_temp_mean, round(stddev_samp(temp_mean), 4) AS std_temp_mean,
+       round(min(temp_mean), 4) AS min_temp_mean, round(max(temp_mean), 4) AS max_temp_mean
+FROM ({SUPPLIER_PANEL}) WHERE year(day) BETWEEN 1996 AND 1999 GROUP BY key
+"""
+
+
 def series_sql(parts: dict[str, str]) -> dict[str, str]:
     out = {}
     for name, sql in SERIES.items():
