@@ -71,3 +71,18 @@ def held_out(doc_id: Column) -> Column:
 def own_columns(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns under fixed names, so that no other column of the table can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in cols.items()])
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart (64 bits; null is the empty text)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that columns computed beside it can have any name."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from the struct ``row``."""
+    return df.select(*[F.col(f"row.`{c}`") for c in like.columns])

@@ -14,10 +14,10 @@ an empty table gives an empty result; further columns pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checked, own_columns, table, written
+from .common import ascii_lower, checked, own_columns, packed, table, unpacked, written
 
 PREFIX_CHARS = 64
 
@@ -71,18 +71,14 @@ def duplicate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every group of equal texts (all columns kept)."""
-    groups = duplicate_groups(docs, id_col, text_col)
-    names = {c: f"_{i}_{c}" for i, c in enumerate(["text_sha256", "keep_id", "group_size", "keep_rows"])}
-    groups = checked(groups.select(*[F.col(c).alias(n) for c, n in names.items()]))
-    sha, keep, size, ties = names.values()
-    keyed = docs.withColumn("_sha", full_hash(F.col(f"`{text_col}`")))
-    joined = keyed.join(groups, F.col("_sha") == F.col(sha), "left")
-    stays = joined.where(F.col(size).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
-    once = stays.where(F.col(size).isNull() | (F.col(ties) == 1))
-    # only rows that repeat the kept id itself need an order among them
-    first = Window.partitionBy("_sha").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c == id_col])
-    repeats = stays.where(F.col(ties) > 1).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.unionByName(repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = checked(duplicate_groups(docs, id_col, text_col))
+    keyed = packed(docs).withColumn("sha", full_hash(F.col(f"row.`{text_col}`")))
+    joined = keyed.join(groups, F.col("sha") == F.col("text_sha256"), "left")
+    stays = joined.where(F.col("group_size").isNull() | F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id")))
+    once = stays.where(F.col("group_size").isNull() | (F.col("keep_rows") == 1))
+    # rows that repeat the kept id itself: any one of them, chosen task by task before the shuffle
+    repeats = stays.where("keep_rows > 1").groupBy("sha").agg(F.first("row").alias("row"))
+    return unpacked(once.select("row").unionByName(repeats.select("row")), docs)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

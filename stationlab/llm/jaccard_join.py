@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, own_columns, ship, table, written
+from .common import checked, own_columns, packed, ship, table, text_key, unpacked, written
 from .features import shingle_hashes, utf8_texts
 
 N = 3
@@ -265,7 +265,7 @@ def set_hash(tokens: np.ndarray) -> int:
 
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (hash of the set; null if empty), prefix (the first
-    tokens by hash) and signature."""
+    tokens by hash), signature and text_key (tells the texts of one id apart)."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +280,12 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
             c, inside, maps = zip(*signatures) if signatures else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                 pa.array(c, pa.int32()), pa.array(inside, pa.int32()), pa.array(maps, pa.binary())],
-                ["doc_id", "n_shingles", "class_id", "prefix", "size_class", "inside", "signature"])
+                 pa.array(c, pa.int32()), pa.array(inside, pa.int32()), pa.array(maps, pa.binary()), batch.column(2)],
+                ["doc_id", "n_shingles", "class_id", "prefix", "size_class", "inside", "signature", "text_key"])
 
-    rows = own_columns(docs, id=id_col, text=text_col)
+    rows = own_columns(docs, id=id_col, text=text_col).select("id", "text", text_key(F.col("text")).alias("key"))
     return written(rows.mapInArrow(work, f"doc_id {rows.schema['id'].dataType.simpleString()}, n_shingles long, class_id long, "
-                                     "prefix array<long>, size_class int, inside int, signature binary"))
+                                     "prefix array<long>, size_class int, inside int, signature binary, text_key long"))
 
 
 def reordered(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -481,18 +481,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of its smallest id (all columns)."""
-    found = written(jaccard_components(docs, id_col, text_col, n, percent))
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
-    # rows that repeat an id and its set: one stays
-    twice = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                    .select(F.col("doc_id").alias("_twice")))
-    if not twice.limit(1).count():
-        return kept
-    once = kept.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_anti")
-    repeats = kept.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeats)
+    """``docs`` with one document of each component (all columns, whatever their names): that of its smallest
+    id, null ids last, and of one id that of the smallest ``text_key``.  Rows that share an id are told apart
+    by their text; rows that repeat id and text are one document, of which one stays.  Documents without
+    words all stay."""
+    members, links = linked_classes(docs, id_col, text_col, n, percent)
+    label = components(links)
+    rows = written(members.where("class_id is not null").join(label, F.col("class_id") == F.col("node"), "left")
+                   .select("doc_id", "text_key", F.coalesce("component", "class_id").alias("component")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    marked = rows.join(best, "component").groupBy("doc_id", "text_key").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = written(marked.where("not stays or n > 1"))
+    keyed = packed(docs).withColumns({"id": F.col(f"row.`{id_col}`"), "key": text_key(F.col(f"row.`{text_col}`"))})
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    kept = keyed.join(marked, same, "left").where("stays is null or stays")
+    once = kept.where("n is null").select("row")
+    # repeated rows of one id and text: any one, chosen task by task before the shuffle
+    repeats = kept.where("n > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    return unpacked(once.unionByName(repeats), docs)
 
 
 def op9_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

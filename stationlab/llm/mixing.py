@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked, own_columns, table, written
+from .common import WORD, checked, own_columns, packed, table, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -158,13 +158,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.max(F.when(F.col("start") + F.col("source_size") < F.col("quota"), place)).alias("second"))
     cuts = written(parts["targets"].join(cuts, "source_no").select(
         F.col("source").alias("_name"), F.col("first").alias("_first"), F.col("second").alias("_second")))
-    own = docs.withColumns({"_digest": F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))),
-                            "_size": word_count(F.col(f"`{text_col}`"))})
-    joined = own.join(checked(cuts), F.col(f"`{source_col}`").eqNullSafe(F.col("_name"))).where("_size > 0")
-    here = F.struct(F.col("_digest").alias("digest"), F.col(f"`{id_col}`").alias("doc_id"), F.col("_size").alias("size"))
+    digest = F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")))
+    own = packed(docs).withColumns({"digest": digest, "size": word_count(F.col(f"row.`{text_col}`"))})
+    joined = own.join(checked(cuts), F.col(f"row.`{source_col}`").eqNullSafe(F.col("_name"))).where("size > 0")
+    here = F.struct(F.col("digest"), F.col(f"row.`{id_col}`").alias("doc_id"), F.col("size"))
     times = F.when(here <= F.col("_first"), 1).otherwise(0) + F.when(here <= F.col("_second"), 1).otherwise(0)
-    repeated = joined.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(joined.withColumn("time", F.explode(F.array_repeat(F.lit(0), times))), docs)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

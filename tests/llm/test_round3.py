@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from stationlab.llm import fill_middle, filter_audit, language
+from stationlab.llm import exact_dedup, fill_middle, filter_audit, jaccard_join, language, mixing, sentence_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, form string, mask int, sha string, part string, first boolean, good int"
 
@@ -255,3 +255,71 @@ def test_diagrams_share_nodes_and_keep_their_weights():
             for f in d.order:
                 node = (d.failed if mask >> "ABCDE".index(f) & 1 else d.passed)[node]
             assert d.weight[node] == c
+
+
+# rows that share an id, clashing names -------------------------------------------------------
+CLASH = "doc_id long, text string, source string, row string, sha string, _sha string, key string, id string, size string, _size string, " \
+        "_digest string, spans string, stays string, best string, _score string, toxicity string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "s", *"abcdefghijklm") for i, t in rows], CLASH)
+
+
+A, B = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+
+
+def test_shared_and_null_ids_lose_no_document(spark):
+    docs = clashing(spark, [(3, A), (7, A), (7, B), (7, B), (None, A), (None, "x " * 30 + B[:60]), (None, "x " * 30 + B[:60]), (8, None), (None, "")])
+    kept = jaccard_join.one_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(3, A), (7, B), (None, "x " * 30 + B[:60]), (8, None), (None, "")], key=str)
+    assert {tuple(r)[3:] for r in kept.collect()} == {tuple("abcdefghijklm")}
+
+
+def test_spans_are_cut_only_in_their_own_text(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, "Start " + passage), (7, A + " " + passage), (7, B), (None, B[:90] + ". " + passage), (None, "Other. " + passage), (9, passage), (9, passage)]
+    docs = clashing(spark, rows)
+    spans = sentence_spans.repeated_spans(docs)
+    out = sentence_spans.remove_spans(docs, spans)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {tuple("abcdefghijklm")}
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert (7, B) in got and sum("p40" in t for _, t in got) == 1
+    assert len(got) == len(rows) and all(t.startswith(A) for i, t in got if i == 7 and t != B)
+    # null ids come first: one of the two texts without an id keeps the passage
+    assert any(i is None and "p40" in t for i, t in got)
+
+
+def test_runs_by_brute_force(spark):
+    """Every repeated run of the method, found by comparing all runs of all documents."""
+    r = random.Random(21)
+    pool = [sentence(r, [f"w{i}" for i in range(300)], r.randint(4, 16)).capitalize() + "." for _ in range(25)]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    for i, t in sorted(rows):
+        for h, c, a, b in sentence_spans.runs(t) + sentence_spans.anchored_runs(t):
+            seen.setdefault(" ".join(t[a:b].lower().split()), []).append((i, a, b))
+    want = {}
+    for places in seen.values():
+        first = min(places)
+        for i, a, b in places:
+            if (i, a) != first[:2]:
+                a = max(a, first[2]) if i == first[0] else a
+                want.setdefault(i, set()).update(range(a, b))
+    got = {}
+    for x in sentence_spans.repeated_spans(docs).collect():
+        mine = set(range(x.start, x.end))
+        assert not mine & got.get(x.doc_id, set())
+        got.setdefault(x.doc_id, set()).update(mine)
+    assert got == {i: m for i, m in want.items() if m} and len(got) > 5
+
+
+def test_own_columns_survive_dedup_mix_and_toxicity(spark):
+    docs = clashing(spark, [(1, A), (2, A.upper()), (2, A.upper()), (3, B)])
+    out = exact_dedup.drop_duplicates(docs)
+    assert sorted((r.doc_id, *tuple(r)[3:]) for r in out.collect()) == [(2, *"abcdefghijklm"), (3, *"abcdefghijklm")]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {tuple(r)[3:] for r in mixed.collect()} == {tuple("abcdefghijklm")}
