@@ -2,10 +2,12 @@
 
 A text's vector holds (1 + ln tf) * idf * (FLOOR + its toxic log-odds, if positive) of all its words, scaled
 to length 1; document counts come from all labelled training rows, and no word of theirs is left out.
-Words are hashed into 2^20 places.  The index holds all labelled examples with a word, or about
+Words are hashed into 2^20 places.  (Plain TF-IDF without the log-odds finds toxic texts far worse, see the
+README; with them the cosine is that of a supervised weighting.)  The index holds all labelled examples with a word, or about
 ``index_rows`` of them when there are more: every toxic one as long as these are at most half of
-``index_rows``, the rest picked by id hash.  A query adds up the postings of its words and compares the
-best exactly: the k neighbours are exact.  Votes are weighted by 1 / (distance + 0.05); a logistic fit
+``index_rows``, the rest picked by id hash.  A query reads the index block by block from the largest
+bound down, skips the blocks that cannot reach its k-th score, and compares the best exactly: the k
+neighbours are exact.  Votes are weighted by 1 / (distance + 0.05); a logistic fit
 on leave-one-out votes of the index, each class weighted by its share in the index, turns their share
 into a probability.  A text without any training word scores the toxic share of the training rows.
 
@@ -22,13 +24,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, held_out, own_columns, ship, table, written
-from .features import HASHES
+from .common import checked, held_out, own_columns, packed, ship, table, unpacked, written
 
 TERM = re.compile(r"\w+")
 PLACES = 1 << 20
@@ -36,6 +37,11 @@ PLACES = 1 << 20
 FLOOR = 0.1
 INDEX_ROWS = 20_000
 QUERIES = 64
+# texts scored at a time
+TEXTS = 512
+# blocks of like examples in the index
+BLOCKS = 4
+CACHE_WORDS = 1 << 19
 NEIGHBOURS = 15
 MODEL_SEED = 11
 
@@ -48,11 +54,27 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return rows.join(y, rows["id"] == y["label_id"]).select("id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
+class Places(dict):
+    """word -> place, computed on first use.  Bounded: emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        at = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (PLACES - 1)
+        return at
+
+
+_PLACES = Places()
+
+
 def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places of the words and their counts."""
-    places = np.fromiter((HASHES[w.encode("utf-8", "surrogatepass")] & (PLACES - 1) for w in counts), dtype=np.int32, count=len(counts))
-    at, back = np.unique(places, return_inverse=True)
-    return at, np.bincount(back, weights=list(counts.values()), minlength=len(at)).astype(np.int32)
+    places = np.fromiter(map(_PLACES.__getitem__, counts), dtype=np.int32, count=len(counts))
+    tf = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
+    order = np.argsort(places)
+    places, tf = places[order], tf[order]
+    new = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else np.empty(0, dtype=np.int64)
+    return (places, tf) if len(new) == len(places) else (places[new], np.add.reduceat(tf, new).astype(np.int32))
 
 
 def words_of(text: str | None) -> Counter:
@@ -66,44 +88,91 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), words, tf, batch.column(2)], ["id", "words", "tf", "y"])
 
 
+def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int = BLOCKS, width: int = 128, rounds: int = 8) -> np.ndarray:
+    """A cluster for each unit vector: k-means by cosine on the vectors folded to ``width`` signed places.  Where a
+    vector goes only decides how much a query can skip, never a result."""
+    m = len(starts) - 1
+    row = np.repeat(np.arange(m), np.diff(starts))
+    mixed = places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+    folded = np.bincount(row * width + (mixed >> np.uint64(50)).astype(np.int64) % width, weights=x * sign, minlength=m * width).reshape(m, width)
+    center = folded[np.linspace(0, m - 1, min(count, m)).astype(int)]
+    for _ in range(rounds):
+        at = (folded @ center.T).argmax(axis=1)
+        center = np.stack([folded[at == c].sum(axis=0) if (at == c).any() else center[c] for c in range(len(center))])
+        center /= np.maximum(np.linalg.norm(center, axis=1), 1e-12)[:, None]
+    return (folded @ center.T).argmax(axis=1)
+
+
 class Index:
-    """Inverted index over unit vectors of labelled examples, given as (id, places, counts, label).
+    """Block-max inverted index over unit vectors of labelled examples, given as (id, places, counts, label).
+
+    Examples lie in blocks of like vectors.  A place has its postings block by block, and per block the
+    largest weight in it; the sum of these over a query's places, times the query's weights, bounds every
+    cosine in the block.  Blocks are read from the largest bound down, and a block whose bound does not
+    reach the query's k-th score so far is skipped with all its postings.
     Only the counts are pickled; vectors and postings are made again where it is read."""
 
     def __init__(self, weights: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], base: float,
                  rates: tuple[float, float] = (1.0, 1.0), k: int = NEIGHBOURS):
         self.weights, self.base, self.rates, self.k = weights, base, rates, k
+        self.blocks = np.zeros(1, dtype=np.int64)
+        self._set(examples)
+        if len(examples):
+            at = clusters(self.starts, self.places, self.x)
+            self._set([examples[i] for i in np.argsort(at, kind="stable").tolist()])
+            self.blocks = np.concatenate(([0], np.cumsum(np.bincount(at)[np.bincount(at) > 0]))).astype(np.int64)
+        self.slope, self.shift = 1.0, 0.0
+        self._build()
+
+    def _set(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]]) -> None:
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.y = np.array([e[3] for e in examples], dtype=np.float64)
         self.starts = np.concatenate(([0], np.cumsum([len(e[1]) for e in examples]))).astype(np.int64)
         self.places = np.concatenate([np.empty(0, np.int32), *[e[1] for e in examples]]).astype(np.int32)
         self.tf = np.concatenate([np.empty(0, np.int32), *[e[2] for e in examples]]).astype(np.int32)
-        self.slope, self.shift = 1.0, 0.0
-        self._build()
+        self._vectors()
 
-    def _build(self) -> None:
-        m, size = len(self.ids), np.diff(self.starts)
+    def _vectors(self) -> None:
+        m = len(self.ids)
         self.x = (1 + np.log(self.tf)) * self.weights[self.places]
-        row = np.repeat(np.arange(m, dtype=np.int32), size)
+        row = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))
         self.x /= np.sqrt(np.bincount(row, weights=self.x * self.x, minlength=m))[row]
+
+    def _build(self) -> None:
+        m, n = len(self.ids), len(self.blocks) - 1
+        row = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))
         order = np.argsort(self.places, kind="stable")
         self.post, self.post_x = row[order], self.x[order].astype(np.float32)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.places, minlength=PLACES))))
+        of_place = self.places[order]
+        used, slot_of = np.unique(of_place, return_inverse=True)
+        self.slot = np.full(PLACES, -1, dtype=np.int32)
+        self.slot[used] = np.arange(len(used), dtype=np.int32)
+        # segments of one place and block: where they start, and their largest weight
+        segment = slot_of * n + np.searchsorted(self.blocks, self.post, side="right") - 1
+        size = np.bincount(segment, minlength=len(used) * n)
+        self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        self.most = np.zeros((len(used), max(n, 1)), dtype=np.float32)
+        if len(segment):
+            there = np.flatnonzero(size)
+            # rounded up, so that a bound in single precision stays one
+            self.most.reshape(-1)[there] = np.maximum.reduceat(self.post_x, self.first[:-1][there]) * np.float32(1.000001)
         # postings of frequent words as full rows
-        often = np.flatnonzero(np.diff(self.first) > max(m // 16, 1))
-        self.dense_row = np.full(PLACES, -1, dtype=np.int32)
+        often = np.flatnonzero(np.bincount(slot_of, minlength=len(used)) > max(m // 16, 1))
+        self.dense_row = np.full(len(used) + 1, -1, dtype=np.int32)
         self.dense_row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), m), dtype=np.float32)
         for r, t in enumerate(often.tolist()):
-            at = slice(self.first[t], self.first[t + 1])
+            at = slice(self.first[t * n], self.first[(t + 1) * n])
             self.dense[r, self.post[at]] = self.post_x[at]
         self.query = np.zeros(PLACES)
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("weights", "base", "rates", "k", "ids", "y", "starts", "places", "tf", "slope", "shift")}
+        return {k: getattr(self, k) for k in ("weights", "base", "rates", "k", "ids", "y", "starts", "places", "tf", "blocks", "slope", "shift")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self._vectors()
         self._build()
 
     def unit(self, places: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,27 +184,56 @@ class Index:
         places, x = self.unit(*hashed(counts))
         return dict(zip(places.tolist(), x.tolist()))
 
-    def _scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        often = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
-        for r, (places, x) in enumerate(queries):
-            at = self.dense_row[places]
-            often[r, at[at >= 0]] = x[at >= 0]
-        scores = often @ self.dense
+    def _bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The queries over the index's own places, and a bound of their cosines per block (queries x blocks)."""
+        known, bound = [], np.zeros((len(queries), len(self.blocks) - 1), dtype=np.float32)
         for r, (places, x) in enumerate(queries):
-            lo, hi = self.first[places], self.first[places + 1]
-            rare = (self.dense_row[places] < 0) & (hi > lo)
-            lo, size, x = lo[rare], (hi - lo)[rare], x[rare]
-            if len(size):
-                at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
-                scores[r] += np.bincount(self.post[at], weights=self.post_x[at] * np.repeat(x, size), minlength=len(self.ids))
+            slots = self.slot[places]
+            x = x[slots >= 0].astype(np.float32)
+            slots = slots[slots >= 0]
+            bound[r] = x @ self.most[slots]
+            known.append((slots, x))
+        return known, bound + np.float32(1e-5)
+
+    def _scores(self, known: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, leave: list[int | None]) -> np.ndarray:
+        """Cosines in single precision (queries x examples); 0 in blocks that a query skips."""
+        q, n = len(known), len(self.blocks) - 1
+        often = np.zeros((q, len(self.dense)), dtype=np.float32)
+        of, slots, x = np.repeat(np.arange(q), [len(s) for s, _ in known]), *[np.concatenate(z) for z in zip(*known)]
+        row = self.dense_row[slots]
+        often[of[row >= 0], row[row >= 0]] = x[row >= 0]
+        of, slots, x = of[row < 0], slots[row < 0].astype(np.int64) * n, x[row < 0]
+        scores = np.zeros((q, len(self.ids)), dtype=np.float32)
+        best = np.zeros((q, self.k), dtype=np.float32)
+        turn = np.argsort(-bound.mean(axis=0)).tolist()
+        for c in turn:
+            # the bound against the k-th score so far
+            some = np.flatnonzero(bound[:, c] > best.min(axis=1) - 1e-5)
+            if not len(some):
+                continue
+            lo, hi = int(self.blocks[c]), int(self.blocks[c + 1])
+            part = often[some] @ self.dense[:, lo:hi]
+            start = self.first[slots + c]
+            size = self.first[slots + c + 1] - start
+            if size.any():
+                for i, (a, b) in enumerate(zip(*[np.searchsorted(of, some, side=side) for side in ("left", "right")])):
+                    n_at = size[a:b]
+                    at = np.arange(n_at.sum(), dtype=np.int32) + np.repeat(start[a:b] - np.cumsum(n_at, dtype=np.int32) + n_at, n_at)
+                    part[i] += np.bincount(self.post[at] - lo, weights=self.post_x[at] * np.repeat(x[a:b], n_at), minlength=hi - lo)
+            for i, r in enumerate(some.tolist()):
+                if leave[r] is not None and lo <= leave[r] < hi:
+                    part[i, leave[r] - lo] = 0
+            scores[some, lo:hi] = part
+            if c == turn[-1]:
+                break
+            both = np.concatenate((best[some], part), axis=1)
+            best[some] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k:]
         return scores
 
-    def _best(self, query: tuple[np.ndarray, np.ndarray], scores: np.ndarray, leave: int | None) -> list[tuple[float, int, float]]:
-        if leave is not None:
-            scores[leave] = 0
+    def _best(self, query: tuple[np.ndarray, np.ndarray], scores: np.ndarray) -> list[tuple[float, int, float]]:
         k = min(self.k, len(scores))
         # single precision leaves at most 1e-5: what can be among the k is compared exactly
-        at = np.flatnonzero((scores > 0) & (scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5))
+        at = np.flatnonzero((scores > 0) & (scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2e-5))
         if not len(at):
             return []
         self.query[query[0]] = query[1]
@@ -148,13 +246,17 @@ class Index:
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> list[list[tuple[float, int, float]]]:
         """For each unit vector the k examples of largest cosine (similarity, id, label), ties to the smaller id."""
-        out: list[list[tuple[float, int, float]]] = []
-        for lo in range(0, len(queries), QUERIES):
-            some = queries[lo: lo + QUERIES]
-            if not len(self.ids):
-                out += [[] for _ in some]
-                continue
-            out += [self._best(q, s, leave[lo + r] if leave else None) for r, (q, s) in enumerate(zip(some, self._scores(some)))]
+        out: list[list[tuple[float, int, float]]] = [[] for _ in queries]
+        if not len(self.ids) or not queries:
+            return out
+        known, bound = self._bounds(queries)
+        # queries of like blocks go together
+        order = np.argsort(bound.argmax(axis=1), kind="stable")
+        for lo in range(0, len(order), QUERIES):
+            some = order[lo: lo + QUERIES]
+            scores = self._scores([known[i] for i in some], bound[some], [leave[i] if leave else None for i in some])
+            for i, row in zip(some.tolist(), scores):
+                out[i] = self._best(queries[i], row)
         return out
 
     def nearest(self, v: dict[int, float]) -> list[tuple[float, int, float]]:
@@ -240,24 +342,40 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
     return index
 
 
-def scorer(spark: SparkSession, index: Index) -> Column:
-    """A function of a text column: struct of score and evidence (the neighbours)."""
+def scorer(spark: SparkSession, index: Index, evidence: bool = True):
+    """A function of a text column: struct of score and evidence (the neighbours), or the score alone."""
     ship(spark)
     shared = spark.sparkContext.broadcast(index)
-    kind = "score double, evidence array<struct<similarity:double,doc_id:bigint,label:int>>"
 
-    @F.pandas_udf(kind)
-    def score(text: pd.Series) -> pd.DataFrame:
-        got = shared.value.scores(list(text))
-        return pd.DataFrame({"score": [s for s, _ in got],
-                             "evidence": [[{"similarity": a, "doc_id": i, "label": int(y)} for a, i, y in near] for _, near in got]})
+    def slices(text: pa.Array) -> Iterator[tuple[float, list[tuple[float, int, float]]]]:
+        for i in range(0, len(text), TEXTS):
+            yield from shared.value.scores(text.slice(i, TEXTS).to_pylist())
+
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([s for s, _ in slices(text)], pa.float64())
+
+    def both(text: pa.Array) -> pa.Array:
+        got = list(slices(text))
+        near = [[{"similarity": a, "doc_id": i, "label": int(y)} for a, i, y in near] for _, near in got]
+        kind = pa.list_(pa.struct([("similarity", pa.float64()), ("doc_id", pa.int64()), ("label", pa.int32())]))
+        return pa.StructArray.from_arrays([pa.array([s for s, _ in got], pa.float64()), pa.array(near, kind)], ["score", "evidence"])
+
+    if not evidence:
+        return F.arrow_udf(score, "double")
+    return F.arrow_udf(both, "struct<score:double,evidence:array<struct<similarity:double,doc_id:bigint,label:int>>>")
+
 
-    return score
+def toxicity(docs: DataFrame, index: Index, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with a further column ``out``: score and evidence.  A column of that name is a ValueError."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
+    return docs.withColumn(out, scorer(docs.sparkSession, index)(F.col(f"`{text_col}`")))
 
 
-def toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity``: score and evidence."""
-    return docs.withColumn("toxicity", scorer(docs.sparkSession, index)(F.col(f"`{text_col}`")))
+def below(docs: DataFrame, index: Index, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is under ``limit`` (all columns, whatever their names)."""
+    rows = packed(docs).withColumn("score", scorer(docs.sparkSession, index, evidence=False)(F.col(f"row.`{text_col}`")))
+    return unpacked(rows.where(F.col("score") < limit), docs)
 
 
 def op8_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from stationlab.llm import exact_dedup, fill_middle, filter_audit, jaccard_join, language, mixing, sentence_spans
+from stationlab.llm import exact_dedup, fill_middle, filter_audit, jaccard_join, language, mixing, sentence_spans, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, form string, mask int, sha string, part string, first boolean, good int"
 
@@ -323,3 +323,45 @@ def test_own_columns_survive_dedup_mix_and_toxicity(spark):
     assert sorted((r.doc_id, *tuple(r)[3:]) for r in out.collect()) == [(2, *"abcdefghijklm"), (3, *"abcdefghijklm")]
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and {tuple(r)[3:] for r in mixed.collect()} == {tuple("abcdefghijklm")}
+
+
+# block-max index -----------------------------------------------------------------------------
+@pytest.mark.parametrize("blocks", [1, 4, 13])
+def test_block_max_index_finds_the_nearest_of_all_pairs(monkeypatch, blocks):
+    monkeypatch.setattr(toxicity, "BLOCKS", blocks)
+    monkeypatch.setattr(toxicity.clusters, "__defaults__", (blocks, 128, 8))
+    r = random.Random(31)
+    bags = [[f"{c}{i}" for i in range(200)] for c in "xyz"]
+    texts = [sentence(r, r.choice(bags) + ["the", "of"] * 20, r.randint(3, 90)) for _ in range(400)] + ["only here", "the"]
+    feats = [(i, *toxicity.hashed(toxicity.words_of(t)), i % 3 // 2) for i, t in enumerate(texts)]
+    weights = np.zeros(toxicity.PLACES)
+    for _, places, _, _ in feats:
+        weights[places] += 1
+    weights = np.where(weights > 0, np.log(1 + len(texts) / np.maximum(weights, 1)), 0.0)
+    index = toxicity.Index(weights, feats, 0.3)
+    assert len(index.blocks) - 1 <= blocks and index.blocks[-1] == len(texts)
+    vectors = [dict(zip(*map(np.ndarray.tolist, index.unit(p, t)))) for _, p, t, _ in feats]
+    queries = texts[:40] + texts[-2:] + ["", "unknown words", sentence(r, bags[0] + bags[1], 120)]
+    got = index.nearest_of([index.unit(*toxicity.hashed(toxicity.words_of(q))) for q in queries])
+    for q, near in zip(queries, got):
+        v = index.vector(toxicity.words_of(q))
+        want = sorted(((-round(sum(x * d.get(p, 0.0) for p, x in v.items()), 9), i) for i, d in enumerate(vectors)))
+        want = [(-s, i) for s, i in want if s < 0][: index.k]
+        assert [i for _, i, _ in near] == [i for _, i in want]
+        assert [s for s, *_ in near] == pytest.approx([s for s, _ in want], abs=2e-9)
+    known, bound = index._bounds([index.unit(*toxicity.hashed(toxicity.words_of(q))) for q in queries])
+    for (slots, x), b, q in zip(known, bound, queries):
+        v = index.vector(toxicity.words_of(q))
+        for c in range(len(index.blocks) - 1):
+            real = max(sum(x * dict(zip(index.places[a:e].tolist(), index.x[a:e].tolist())).get(p, 0.0) for p, x in v.items())
+                       for a, e in zip(index.starts[index.blocks[c]:index.blocks[c + 1]], index.starts[index.blocks[c] + 1:index.blocks[c + 1] + 1]))
+            assert real <= b[c]
+
+
+def test_toxicity_keeps_own_columns(spark):
+    index = toxicity.Index(np.ones(toxicity.PLACES), [(1, *toxicity.hashed({"bad": 1}), 1), (2, *toxicity.hashed({"good": 1}), 0)], 0.5)
+    docs = clashing(spark, [(1, "bad"), (2, "good"), (3, None)])
+    out = toxicity.below(docs, index, 0.6)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        toxicity.toxicity(docs, index)
