@@ -3,12 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is
 written as Parquet and read again as the next stage's documents.  All stages but the last return the
 columns of ``documents``; the last returns the pieces of the packed sequences.
+
+Defined results, in every stage: a null text is an empty text (scored as one without words, an exact copy
+of other empty texts, in no near-duplicate group, never taken by the mix, packed as its end id alone);
+null ids are ids (they are kept last where the smallest stays, first dropped where the largest stays);
+of ties one row stays, the same one in every run; rows that repeat id and text are one document to the two
+duplicate stages; rows that share an id with other texts are documents of their own; further columns pass
+through whatever their names (but for the last stage); empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stationlab.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from stationlab.llm.common import table, written
@@ -22,8 +28,7 @@ PERCENT = 80
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is ``REJECT_FROM`` or more."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.scorer(spark, index)(F.col("text"))["score"]
-    return docs.withColumn("_score", score).where(F.col("_score") < REJECT_FROM).select(*docs.columns)
+    return toxicity.below(docs, index, REJECT_FROM)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
