@@ -127,8 +127,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the hashes that occur more than once; the join is dealt by hash at every size
     often = written(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     some = written(spans.join(often.hint("shuffle_merge"), "hash"))
-    firsts = some.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("hash", "check", "first")
+    firsts = some.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # a table of its own: both sides of the join are plain shuffles, so a hot passage's rows can be split
+    firsts = written(firsts.where("n > 1").select("hash", "check", "first"))
     again = some.join(firsts.hint("shuffle_merge"), ["hash", "check"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     again = again.where(~(own & (F.col("start") == F.col("first.start"))))

@@ -37,6 +37,8 @@ PLACES = 1 << 20
 FLOOR = 0.1
 INDEX_ROWS = 20_000
 QUERIES = 64
+# examples folded at a time
+CHUNK = 1024
 # texts scored at a time
 TEXTS = 512
 # blocks of like examples in the index
@@ -92,10 +94,14 @@ def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int =
     """A cluster for each unit vector: k-means by cosine on the vectors folded to ``width`` signed places.  Where a
     vector goes only decides how much a query can skip, never a result."""
     m = len(starts) - 1
-    row = np.repeat(np.arange(m), np.diff(starts))
-    mixed = places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    folded = np.bincount(row * width + (mixed >> np.uint64(50)).astype(np.int64) % width, weights=x * sign, minlength=m * width).reshape(m, width)
+    folded = np.zeros((m, width), dtype=np.float32)
+    for lo in range(0, m, CHUNK):
+        hi = min(lo + CHUNK, m)
+        at = slice(starts[lo], starts[hi])
+        mixed = places[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+        place = np.repeat(np.arange(hi - lo), np.diff(starts[lo: hi + 1])) * width + (mixed >> np.uint64(50)).astype(np.int64) % width
+        folded[lo:hi] = np.bincount(place, weights=x[at] * sign, minlength=(hi - lo) * width).reshape(hi - lo, width)
     center = folded[np.linspace(0, m - 1, min(count, m)).astype(int)]
     for _ in range(rounds):
         at = (folded @ center.T).argmax(axis=1)
@@ -136,29 +142,32 @@ class Index:
     def _vectors(self) -> None:
         m = len(self.ids)
         self.x = (1 + np.log(self.tf)) * self.weights[self.places]
-        row = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))
-        self.x /= np.sqrt(np.bincount(row, weights=self.x * self.x, minlength=m))[row]
+        size = np.diff(self.starts)
+        self.x /= np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(m, dtype=np.int32), size), weights=self.x * self.x, minlength=m)), size)
 
     def _build(self) -> None:
         m, n = len(self.ids), len(self.blocks) - 1
-        row = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))
         order = np.argsort(self.places, kind="stable")
-        self.post, self.post_x = row[order], self.x[order].astype(np.float32)
+        self.post = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))[order]
+        self.post_x = self.x.astype(np.float32)[order]
         of_place = self.places[order]
-        used, slot_of = np.unique(of_place, return_inverse=True)
+        del order
+        new = np.flatnonzero(np.concatenate(([True], of_place[1:] != of_place[:-1]))) if len(of_place) else np.empty(0, np.int64)
+        used, df = of_place[new], np.diff(np.append(new, len(of_place)))
         self.slot = np.full(PLACES, -1, dtype=np.int32)
         self.slot[used] = np.arange(len(used), dtype=np.int32)
         # segments of one place and block: where they start, and their largest weight
-        segment = slot_of * n + np.searchsorted(self.blocks, self.post, side="right") - 1
+        segment = self.slot[of_place] * np.int32(n) + np.repeat(np.arange(n, dtype=np.int32), np.diff(self.blocks))[self.post]
         size = np.bincount(segment, minlength=len(used) * n)
+        del segment, of_place
         self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         self.most = np.zeros((len(used), max(n, 1)), dtype=np.float32)
-        if len(segment):
+        if len(self.post):
             there = np.flatnonzero(size)
             # rounded up, so that a bound in single precision stays one
             self.most.reshape(-1)[there] = np.maximum.reduceat(self.post_x, self.first[:-1][there]) * np.float32(1.000001)
         # postings of frequent words as full rows
-        often = np.flatnonzero(np.bincount(slot_of, minlength=len(used)) > max(m // 16, 1))
+        often = np.flatnonzero(df > max(m // 16, 1))
         self.dense_row = np.full(len(used) + 1, -1, dtype=np.int32)
         self.dense_row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), m), dtype=np.float32)
@@ -333,10 +342,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
     scale = 1 << 20
     part = F.pmod(F.xxhash64("id", F.lit(MODEL_SEED)), F.lit(scale))
     found = rows.where(F.size("words") > 0).where(part < F.when(F.col("y") == 1, int(scale * rates[1])).otherwise(int(scale * rates[0]))).toArrow()
+    del counts, place, c1, c, odds
     examples = []
     for batch in found.to_batches():
         words, tf = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(k)] for k in (1, 2)]
         examples += zip(batch.column(0).to_pylist(), words, tf, batch.column(3).to_pylist())
+    del found
     index = Index(weights, sorted(examples, key=lambda e: (e[0], len(e[1]))), (n1 - m1 + n1 / n) / (n - m + 1), rates)
     index.calibrate()
     return index
