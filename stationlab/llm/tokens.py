@@ -21,8 +21,6 @@ JOINED = 128
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # runs of plain letters, runs of marks (no apostrophe) and single line ends are always encoded apart
 PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|\n")
-PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|(?<!\n)\n)+")
-UNCUT = False  # cached for parts that no text may be cut around
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -40,7 +38,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes | bool] = {}  # part without its leading blank -> ids with it
+        self.cache: dict[str, bytes] = {}  # part without its leading blank -> ids with it
+        self.uncut: set[str] = set()  # parts that no text may be cut around
         self.bare: dict[str, bytes] = {}  # piece of a part -> ids without a blank
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -52,43 +51,37 @@ class Encoder:
         if len(self.cache) >= CACHE_PARTS:
             self.cache.clear()
             self.bare.clear()
+            self.uncut.clear()
         texts = [t or "" for t in texts]
         cuts = [t.split(" ") for t in texts]
         odd = [c[0] == "" or c[0][0].isspace() or c[0][-1].isspace() for c in cuts]
         firsts = self.plain([c.pop(0) for c in cuts])
-        found = [list(map(self.cache.get, c)) for c in cuts]
-        unknown = []
-        for cut, ids in zip(cuts, found):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                unknown.append((ids, at, cut[at]))
-        if unknown:
-            self._learn({part for _, _, part in unknown})
-            for ids, at, part in unknown:
-                ids[at] = self.cache[part]
-        tail, out = np.array([end], dtype="<u4").tobytes(), []
-        for text, first, ids, at_edge in zip(texts, firsts, found, odd):
-            if at_edge or UNCUT in ids:
+        self._learn(set().union(*cuts).difference(self.cache))
+        ids, tail, out = self.cache.__getitem__, np.array([end], dtype="<u4").tobytes(), []
+        for text, cut, first, at_edge in zip(texts, cuts, firsts, odd):
+            found = [first, *map(ids, cut), tail]
+            if at_edge or (self.uncut and not self.uncut.isdisjoint(cut)):
                 whole = CUT.split(text)
-                ids = self.plain([whole[0], *[" " + p for p in whole[1:]]])
-                first = b""
-            out.append(np.frombuffer(b"".join((first, *ids, tail)), dtype="<u4"))
+                found = [*self.plain([whole[0], *[" " + p for p in whole[1:]]]), tail]
+            out.append(np.frombuffer(b"".join(found), dtype="<u4"))
         return out
 
     def _learn(self, new: set[str]) -> None:
         cache, bare, pieces, heads, later, other = self.cache, self.bare, {}, set(), set(), []
-        for part in new:
+        heads.update(p for p in new if p.isascii() and p.isalpha())
+        for part in new - heads:
             if not part or part[0].isspace() or part[-1].isspace():
-                cache[part] = UNCUT
-            elif PLAIN.fullmatch(part):
-                first, *rest = PIECE.findall(part)
-                heads.add(first)
-                if rest:
-                    later.update(rest)
-                    pieces[part] = first, rest
-            else:
+                cache[part] = b""
+                self.uncut.add(part)
+                continue
+            found = PIECE.findall(part)
+            if "\n\n" in part or "".join(found) != part:
                 other.append(part)
+                continue
+            heads.add(found[0])
+            if len(found) > 1:
+                later.update(found[1:])
+                pieces[part] = found
         cache.update(zip(other, self.plain([" " + p for p in other])))
         later = [p for p in later if p not in bare]
         bare.update(zip(later, self.plain(later)))
@@ -102,5 +95,5 @@ class Encoder:
                 cache.update(zip(group, [ids[a:b] for a, b in zip(at, at[1:])]))
             else:
                 cache.update(zip(group, self.plain([" " + h for h in group])))
-        for part, (first, rest) in pieces.items():
-            cache[part] = b"".join((cache[first], *[bare[p] for p in rest]))
+        for part, found in pieces.items():
+            cache[part] = cache[found[0]] + (bare[found[1]] if len(found) == 2 else b"".join([bare[p] for p in found[1:]]))
