@@ -2,12 +2,19 @@
 
 Base spans are the contract's four patterns (email, ip, card, phone).  The field's nodes are the
 words of a text that hold a digit or an @; every other word is no personal data.  Words in a base
-span are observed.  Chain edges join nodes that are neighbouring words; skip edges join each node to
-the next one in the document with the same digits (four or more) or the same address, however far
-apart.  So a number that is written once in a known form labels its other mentions.  Weights are
-learned by pseudo-likelihood from the base labels of a sample of at most ``sample_docs`` documents;
-marginals come from loopy message passing with damping.  An unobserved word whose best kind reaches
-``least`` becomes a span, neighbours of one kind together.
+span are observed.  Chain edges join nodes that are neighbouring words.  Skip edges join every mention
+of a token, however far apart, to one hub per token.  A token is an address, or a string of
+``suffix`` digits or more: those of a base span, of a word, or of up to ``MENTION_WORDS`` neighbouring
+words that together are a base span's digits or end like them.  So a number has one hub however it is
+split into words.  Each hub is joined to that of the longest other token that it ends with: a number
+shares potentials with its long suffixes, and the edges grow with the words alone.
+
+Unary and chain weights are learned by pseudo-likelihood from the base labels of a sample of at most
+``sample_docs`` documents; other mentions of an observed token are hidden: they teach nothing, and their
+own unary score is 0, so that their shapes, however many, do not outvote the observation.  The potential
+of a skip edge is a parameter (``AGREE``); other unary scores are held to ``UNARY_LIMIT``.  Marginals come from loopy message passing with damping until the messages settle
+(``ROUNDS`` rounds at most).  An unobserved word whose best kind reaches ``least`` becomes a span,
+neighbours of one kind together.
 
 All steps see whole texts and take time linear in them; a task holds the graphs of one Arrow batch.
 
@@ -33,8 +40,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4000
 LEAST = 0.95
 BITS = 12
-ROUNDS = 12
-AGREE = 2.0
+ROUNDS = 1000
+SETTLED = 1e-6
+AGREE = 9.0
+UNARY_LIMIT = 4.0
+SUFFIX = 7
+MENTION_WORDS = 6
 # The contract's patterns (the email's local part is read backwards from its @)
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,98 +129,157 @@ class Graph:
 
         self.features = [node_features(word(i), word(i - 1), word(i + 1)) for i in at]
         self.chain = [(a, a + 1) for a in range(len(at) - 1) if at[a + 1] == at[a] + 1]
-        self.skip, last = [], {}
+        self._tokens(text)
+
+    def _tokens(self, text: str) -> None:
+        """Hubs: ``links`` (hub, node), ``parents`` (hub, hub of its longest suffix), ``hidden`` nodes."""
+        mentions: dict[str, list[list[int]]] = {}
+        digits = [NOT_DIGIT.sub("", text[s:e]) for s, e in self.where]
+        inside, j = [], 0  # base span of each node
+        spans = sorted((s, e) for _, s, e in self.base)
+        for s, e in self.where:
+            while j < len(spans) and spans[j][1] <= s:
+                j += 1
+            inside.append(j if j < len(spans) and spans[j][0] < e else -1)
+        of_span: dict[int, list[int]] = {}
         for n, (s, e) in enumerate(self.where):
             core = text[s:e].strip(TRIM).lower()
-            key = core if "@" in core else NOT_DIGIT.sub("", core)
-            if len(key) >= 4:
-                if key in last:
-                    self.skip.append((last[key], n))
-                last[key] = n
+            if "@" in core:
+                mentions.setdefault(core, []).append([n])
+            elif inside[n] >= 0:
+                of_span.setdefault(inside[n], []).append(n)
+            elif len(digits[n]) >= SUFFIX:
+                mentions.setdefault(digits[n], []).append([n])
+        ends = set()
+        for i, nodes in of_span.items():
+            key = NOT_DIGIT.sub("", text[slice(*spans[i])])
+            if len(key) >= SUFFIX:
+                mentions.setdefault(key, []).append(nodes)
+                ends.update(key[k:] for k in range(len(key) - SUFFIX + 1))
+        if ends:
+            chained = {b for _, b in self.chain}
+            for n in range(len(digits)):
+                key, last = digits[n], n
+                while last + 1 in chained and last - n + 1 < MENTION_WORDS and inside[n] < 0 and inside[last + 1] < 0:
+                    last += 1
+                    key += digits[last]
+                    if key in ends:
+                        mentions.setdefault(key, []).append(list(range(n, last + 1)))
+        parent = {}
+        for key in mentions:
+            if "@" not in key:
+                parent[key] = next((key[k:] for k in range(1, len(key) - SUFFIX + 1) if key[k:] in mentions), None)
+        shared = {k for k, m in mentions.items() if len(m) > 1} | {k for pair in parent.items() if pair[1] for k in pair}
+        number = {k: i for i, k in enumerate(k for k in mentions if k in shared)}
+        self.hubs = len(number)
+        self.links = [(h, n) for k, h in number.items() for m in mentions[k] for n in m]
+        self.parents = [(number[k], number[up]) for k, up in parent.items() if up]
+        top = {}
+        for k in number:
+            at = k
+            while parent.get(at):
+                at = parent[at]
+            top[number[k]] = at
+        seen = {top[h] for h, n in self.links if self.label[n]}
+        self.hidden = sorted({n for h, n in self.links if self.label[n] == 0 and top[h] in seen})
 
 
 class Field:
-    """Weights: unary (features x labels), chain (left x right label), skip (label x label)."""
+    """Weights: unary (features x labels), chain (left x right label); ``agree`` on every skip edge."""
 
-    def __init__(self):
+    def __init__(self, agree: float = AGREE):
         k = len(KINDS) + 1
-        # distant mentions of one token agree, as far as the sample says nothing else
-        self.unary, self.chain, self.skip = np.zeros((1 << BITS, k)), np.zeros((k, k)), AGREE * np.eye(k)
+        self.unary, self.chain, self.skip = np.zeros((1 << BITS, k)), np.zeros((k, k)), agree * np.eye(k)
         self.known = False
 
-    def fit(self, features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 150) -> None:
-        """Pseudo-likelihood: each node's label given its features and its neighbours' labels (Adagrad, L2)."""
+    def fit(self, features: np.ndarray, label: np.ndarray, chain: np.ndarray, hidden: np.ndarray, steps: int = 150) -> None:
+        """Pseudo-likelihood: each node's label given its features and its neighbours' labels (Adagrad, L2);
+        ``hidden`` nodes teach nothing."""
         k = self.chain.shape[0]
         one = np.eye(k)[label]
         n = len(label)
-        # an unlabelled mention of a token that is labelled elsewhere in its document teaches nothing
-        unsure = np.zeros(n, dtype=bool)
-        for a, b in ((0, 1), (1, 0)):
-            unsure[skip[:, a][(label[skip[:, a]] == 0) & (label[skip[:, b]] > 0)]] = True
-        left, right, other = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
+        one[hidden] = 0.0
+        left, right = np.zeros((n, k)), np.zeros((n, k))
         if len(chain):
             np.add.at(left, chain[:, 1], one[chain[:, 0]])
             np.add.at(right, chain[:, 0], one[chain[:, 1]])
-        if len(skip):
-            np.add.at(other, skip[:, 1], one[skip[:, 0]])
-            np.add.at(other, skip[:, 0], one[skip[:, 1]])
-        grads = [np.full_like(w, 1e-8) for w in (self.unary, self.chain, self.skip)]
+        grads = [np.full_like(w, 1e-8) for w in (self.unary, self.chain)]
         flat = features.ravel()
         for _ in range(steps):
-            z = self.unary[features].sum(axis=1) + left @ self.chain + right @ self.chain.T + other @ self.skip
+            z = self.unary[features].sum(axis=1) + left @ self.chain + right @ self.chain.T
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d = (p - one) / n
-            d[unsure] = 0.0
+            d[hidden] = 0.0
             gu = np.stack([np.bincount(flat, np.repeat(d[:, j], features.shape[1]), minlength=1 << BITS) for j in range(k)], axis=1)
-            gs = other.T @ d
-            for w, g2, g in zip((self.unary, self.chain, self.skip), grads, (gu, left.T @ d + (right.T @ d).T, (gs + gs.T) / 2)):
-                g = g + 1e-5 * (w - (AGREE * np.eye(k) if w is self.skip else 0.0))
+            for w, g2, g in zip((self.unary, self.chain), grads, (gu, left.T @ d + (right.T @ d).T)):
+                g = g + 1e-5 * w
                 g2 += g * g
                 w -= 0.5 * g / np.sqrt(g2)
         self.known = True
 
-    def marginals(self, features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy message passing; nodes with a label above 0 are observed."""
-        k = self.chain.shape[0]
+    def scores(self, features: np.ndarray, label: np.ndarray, hidden: np.ndarray | None = None) -> np.ndarray:
+        """Unary scores against label 0, held to the limit; nodes with a label above 0 are observed, and
+        hidden ones, from which no weight was learned, score 0."""
         node = self.unary[features].sum(axis=1)
+        node = np.clip(node - node[:, :1], -UNARY_LIMIT, UNARY_LIMIT)
+        if hidden is not None:
+            node[hidden] = 0.0
         seen = label > 0
         node[seen] = -50.0
         node[seen, label[seen]] = 0.0
-        node -= node.max(axis=1, keepdims=True)
+        return node
+
+    def marginals(self, features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, hubs: int = 0,
+                  hidden: np.ndarray | None = None) -> np.ndarray:
+        """Loopy message passing; variables from ``len(label)`` on are the hubs."""
+        k = self.chain.shape[0]
+        n = len(label)
+        node = np.concatenate((self.scores(features, label, hidden), np.zeros((hubs, k))))
         edges = np.concatenate([chain.reshape(-1, 2), skip.reshape(-1, 2)]).astype(np.int64)
-        if not len(edges):
-            p = np.exp(node)
-            return p / p.sum(axis=1, keepdims=True)
-        kind = np.concatenate((np.zeros(len(chain), dtype=int), np.ones(len(skip), dtype=int)))
-        psi = np.stack([np.exp(self.chain), np.exp(self.skip)])[kind]
-        source = np.concatenate((edges[:, 0], edges[:, 1]))
-        target = np.concatenate((edges[:, 1], edges[:, 0]))
-        pot = np.concatenate((psi, psi.transpose(0, 2, 1)))
-        back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-        message = np.zeros((len(source), k))
-        for _ in range(ROUNDS):
-            belief = node.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", out, pot) + 1e-300)
-            new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
-        belief = node.copy()
-        np.add.at(belief, target, message)
-        p = np.exp(belief - belief.max(axis=1, keepdims=True))
+        belief = node
+        if len(edges):
+            kind = np.repeat([0, 1], [len(chain), len(skip)])
+            psi = np.stack([np.exp(self.chain), np.exp(self.skip)])[kind]
+            source = np.concatenate((edges[:, 0], edges[:, 1]))
+            target = np.concatenate((edges[:, 1], edges[:, 0]))
+            pot = np.concatenate((psi, psi.transpose(0, 2, 1)))
+            back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
+            message = np.zeros((len(source), k))
+
+            def beliefs() -> np.ndarray:
+                sums = [np.bincount(target, message[:, j], minlength=len(node)) for j in range(k)]
+                return node + np.stack(sums, axis=1)
+
+            for _ in range(ROUNDS):
+                out = beliefs()[source] - message[back]
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                new = np.log(np.einsum("ei,eij->ej", out, pot) + 1e-300)
+                new -= new.max(axis=1, keepdims=True)
+                moved = np.abs(new - message).max()
+                message = 0.5 * message + 0.5 * new
+                if moved < SETTLED:
+                    break
+            belief = beliefs()
+        p = np.exp(belief[:n] - belief[:n].max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
-def joined(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The disjoint union of graphs: features, labels, chain edges, skip edges."""
+def pairs(edges: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+
+
+def joined(graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """The disjoint union of graphs: features, labels, chain edges, skip edges, number of hubs, hidden nodes."""
     at = np.cumsum([0] + [len(g.label) for g in graphs])
+    hub = at[-1] + np.cumsum([0] + [g.hubs for g in graphs])
     features = np.array([f for g in graphs for f in g.features], dtype=np.int64).reshape(-1, 10)
     label = np.array([x for g in graphs for x in g.label], dtype=np.int64)
-    edges = [np.array([(a + o, b + o) for g, o in zip(graphs, at.tolist()) for a, b in e(g)], dtype=np.int64).reshape(-1, 2)
-             for e in (lambda g: g.chain, lambda g: g.skip)]
-    return features, label, edges[0], edges[1]
+    chain = np.concatenate([pairs([]), *[pairs(g.chain) + o for g, o in zip(graphs, at)]])
+    links = np.concatenate([pairs([]), *[pairs(g.links) + (h, o) for g, h, o in zip(graphs, hub, at)]])
+    parents = np.concatenate([pairs([]), *[pairs(g.parents) + h for g, h in zip(graphs, hub)]])
+    hidden = np.array([n + o for g, o in zip(graphs, at.tolist()) for n in g.hidden], dtype=np.int64)
+    return features, label, chain, np.concatenate((links, parents)), int(hub[-1] - at[-1]), hidden
 
 
 def added_spans(graph: Graph, text: str, p: np.ndarray, least: float) -> list[tuple[int, int, int]]:
@@ -249,17 +319,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 batch.column(0), pa.array([[x for f in g.features for x in f] for g in graphs], pa.list_(pa.int32())),
                 *[pa.array(c, pa.list_(pa.int32())) for c in (
                     [g.label for g in graphs], [[x for e in g.chain for x in e] for g in graphs],
-                    [[x for e in g.skip for x in e] for g in graphs])]], ["id", "features", "label", "chain", "skip"])
+                    [g.hidden for g in graphs])]], ["id", "features", "label", "chain", "hidden"])
 
     got = rows.selectExpr("cast(id as string) id", "text") \
-        .mapInArrow(nodes, "id string, features array<int>, label array<int>, chain array<int>, skip array<int>").collect()
+        .mapInArrow(nodes, "id string, features array<int>, label array<int>, chain array<int>, hidden array<int>").collect()
     field = Field()
     parts = sorted(got, key=lambda r: (str(r["id"]), r["label"]))
     at = np.cumsum([0] + [len(r["label"]) for r in parts])
     if at[-1]:
-        edges = [np.array([x + o for r, o in zip(parts, at.tolist()) for x in r[c]], dtype=np.int64).reshape(-1, 2) for c in ("chain", "skip")]
+        chain, hidden = [np.array([x + o for r, o in zip(parts, at.tolist()) for x in r[c]], dtype=np.int64) for c in ("chain", "hidden")]
         field.fit(np.array([x for r in parts for x in r["features"]], dtype=np.int64).reshape(-1, 10),
-                  np.array([x for r in parts for x in r["label"]], dtype=np.int64), *edges)
+                  np.array([x for r in parts for x in r["label"]], dtype=np.int64), chain.reshape(-1, 2), hidden)
     return field
 
 
