@@ -22,6 +22,7 @@ from ..sources.headers import read_by_header
 from ..sources.readers import read_splice_groups, write_csv
 from ..sources.yearly import scan_years, write_years
 from .catalog import REGISTRY, register, splice_groups
+from . import pipelines as L
 from .driver import customer_panel, supplier_panel, table
 from .physical import materialize
 
@@ -267,3 +268,52 @@ def merged_summaries(spark, sf_dir):
     s = materialize(summaries.summarise(supplier_panel(spark, sf_dir), "key", "day", ["temp_mean"]))
     x = summaries.figures(summaries.merge(s, "key", 1996, 1999), [])
     return x.select("key", "n_rows", "n_years", "first_date", "last_date", "n_temp_mean", "mean_temp_mean", "std_temp_mean", "min_temp_mean", "max_temp_mean")
+
+
+# --- the workflow's report and shortlist, with customers as stations -----------------------------
+SHORTLIST = {"threshold_years": 0.1, "threshold_date": "1995-02-01"}
+PREFIXES = ["Customer#0000000", "Customer#0000001", "Customer#00000102"]
+NOT_NAMED = ["Customer#000000100", "Customer#000000007"]
+
+
+def _customer_stations(spark, sf_dir):
+    """Rows: a customer's ship days with the largest quantity (NULL where it is under 10); stations: the customers
+    with their order dates as the nominal span (open where the last order is the customer's only one)."""
+    li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    key = {"usaf": F.col("o_custkey").cast("string"), "wban": F.lit("99999")}
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select("o_custkey", F.to_date("l_shipdate").alias("timestamp"), "l_quantity")
+    daily = rows.groupBy("o_custkey", "timestamp").agg(F.max("l_quantity").alias("q")) \
+        .select(*[v.alias(k) for k, v in key.items()], "timestamp", F.when(F.col("q") >= 10, F.col("q")).alias("temp_f_mean"))
+    spans = o.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("b"), F.max(F.to_date("o_orderdate")).alias("e"))
+    stations = spans.join(c, spans.o_custkey == c.c_custkey).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")) \
+        .select(*[v.alias(k) for k, v in key.items()], F.col("c_name").alias("name"), F.col("n_name").alias("nearest_city"),
+                F.col("b").alias("nominal_begin_date"), F.when(F.col("e") > F.col("b"), F.col("e")).alias("nominal_end_date"))
+    return daily, stations
+
+
+@register("nominal_agreement")
+def nominal_agreement(spark, sf_dir):
+    """Nominal against actual spans with repaired ends (A1, A3, P10, Q6)."""
+    x = L.nominal_agreement(*_customer_stations(spark, sf_dir), last_year=2001, cutoff="2001-06-01")
+    return x.select("usaf", "operating", "modified_end", "nominal_days", "actual_days", "begin_diff_days", "end_diff_days", "modified_diff_days")
+
+
+@register("agreement_shares")
+def agreement_shares(spark, sf_dir):
+    """Shares of stations whose dates are off by a week, a year, five years."""
+    return L.agreement_shares(L.nominal_agreement(*_customer_stations(spark, sf_dir), last_year=2001, cutoff="2001-06-01"))
+
+
+@register("shortlist")
+def shortlist(spark, sf_dir):
+    """Long or early stations with coverage, by name prefix, without false positives."""
+    x = L.shortlist(*_customer_stations(spark, sf_dir), **SHORTLIST, not_named=NOT_NAMED,
+                    prefixes=spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"))
+    return x.select("usaf", "name", "nearest_city", "first_date", "last_date", "record_count", "time_coverage")
+
+
+@register("shortlist_periods")
+def shortlist_periods(spark, sf_dir):
+    """Days with a reading per anchored 12-month period of the shortlisted stations."""
+    daily, stations = _customer_stations(spark, sf_dir)
+    return L.shortlist_periods(daily, L.shortlist(daily, stations, **SHORTLIST)).drop("wban")

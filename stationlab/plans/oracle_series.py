@@ -198,6 +198,58 @@ FROM ({SUPPLIER_PANEL}) WHERE year(day) BETWEEN 1996 AND 1999 GROUP BY key
 """
 
 
+_CUSTOMER_STATIONS = """
+d AS (SELECT CAST(o_custkey AS VARCHAR) AS usaf, CAST(l_shipdate AS DATE) AS day, CASE WHEN max(l_quantity) >= 10 THEN max(l_quantity) END AS q
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+n AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS b, max(CAST(o_orderdate AS DATE)) AS e FROM orders GROUP BY 1),
+s AS (SELECT CAST(o_custkey AS VARCHAR) AS usaf, c_name AS name, n_name AS nearest_city, b, CASE WHEN e > b THEN e END AS e
+      FROM n JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+x AS (SELECT usaf, min(day) AS first_date, max(day) AS last_date, count(*) AS record_count FROM d GROUP BY 1)"""
+
+_AGREEMENT = _CUSTOMER_STATIONS + """,
+g AS (SELECT usaf, year(last_date) = 2001 AS operating, first_date, last_date, b, e,
+             CASE WHEN coalesce(e < DATE '2001-06-01', false) THEN e ELSE (SELECT max(last_date) FROM x) END AS modified_end
+      FROM x JOIN s USING (usaf)),
+h AS (SELECT usaf, operating, modified_end, date_diff('day', b, e) AS nominal_days, date_diff('day', first_date, last_date) AS actual_days,
+             date_diff('day', b, first_date) AS begin_diff_days, date_diff('day', e, last_date) AS end_diff_days,
+             date_diff('day', b, modified_end) - date_diff('day', first_date, last_date) AS modified_diff_days FROM g)"""
+
+SERIES["nominal_agreement"] = f"WITH {_AGREEMENT} SELECT * REPLACE (CAST(modified_end AS VARCHAR) AS modified_end) FROM h"
+
+SERIES["agreement_shares"] = f"""
+WITH {_AGREEMENT},
+m AS (SELECT operating, median(end_diff_days) AS median_end_diff FROM h GROUP BY 1)
+SELECT operating, count(*) AS n_stations, round(max(median_end_diff), 4) AS median_end_diff,
+       round(avg(CAST(coalesce(abs(begin_diff_days) > 7, false) AS INTEGER)), 4) AS begin_off_7,
+       round(avg(CAST(coalesce(abs(end_diff_days) > 7, false) AS INTEGER)), 4) AS end_off_7,
+       round(avg(CAST(coalesce(abs(end_diff_days - median_end_diff) > 7, false) AS INTEGER)), 4) AS end_off_7_from_median,
+       round(avg(CAST(coalesce(abs(modified_diff_days) > 7, false) AS INTEGER)), 4) AS duration_off_7,
+       round(avg(CAST(coalesce(abs(modified_diff_days) > 365, false) AS INTEGER)), 4) AS duration_off_365,
+       round(avg(CAST(coalesce(abs(modified_diff_days) > 1825, false) AS INTEGER)), 4) AS duration_off_1825
+FROM h JOIN m USING (operating) GROUP BY 1
+"""
+
+_LISTED = "(record_count > 0.1 * 0.8 * 365.25 OR first_date < DATE '1995-02-01')"
+
+SERIES["shortlist"] = f"""
+WITH {_CUSTOMER_STATIONS}
+SELECT usaf, name, nearest_city, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, record_count,
+       round(record_count / (date_diff('day', first_date, last_date) + 1), 4) AS time_coverage
+FROM x LEFT JOIN s USING (usaf)
+WHERE {_LISTED} AND (starts_with(name, 'Customer#0000000') OR starts_with(name, 'Customer#0000001') OR starts_with(name, 'Customer#00000102'))
+  AND name NOT IN ('Customer#000000100', 'Customer#000000007')
+"""
+
+SERIES["shortlist_periods"] = f"""
+WITH {_CUSTOMER_STATIONS},
+k AS (SELECT usaf, date_trunc('month', first_date) AS anchor, name, nearest_city FROM x LEFT JOIN s USING (usaf) WHERE {_LISTED}),
+y AS (SELECT usaf, name, nearest_city, CAST(anchor + to_months(CAST(12 * floor(date_diff('month', anchor, date_trunc('month', day)) / 12) AS INTEGER)) AS DATE) AS p,
+             count(q) AS count_days FROM d JOIN k USING (usaf) GROUP BY 1, 2, 3, 4)
+SELECT usaf, name, nearest_city, CAST(p AS VARCHAR) AS period_start, CAST(CAST(p + INTERVAL 12 MONTH AS DATE) AS VARCHAR) AS period_end, count_days
+FROM y WHERE count_days > 0
+"""
+
+
 def series_sql(parts: dict[str, str]) -> dict[str, str]:
     out = {}
     for name, sql in SERIES.items():

@@ -88,14 +88,48 @@ def candidate_stations(stations: DataFrame, cities: DataFrame, max_km: float = 5
 
 
 # L7 --------------------------------------------------------------------------------------------
-def quality_report(daily: DataFrame, stations: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The data-quality tables: extents and coverage, nominal vs actual dates, null profile,
-    cross-field rules, pressure rule by flag, sample-count resolution, filtered coverage,
-    duplicates and indicator profile."""
+def nominal_agreement(daily: DataFrame, stations: DataFrame, last_year: int = 2022,
+                      cutoff: str = "2021-09-01") -> DataFrame:
+    """A1 + A3 + P10 + Q6: per station its nominal span beside its actual one.  ``operating``: the last row
+    falls in ``last_year``; ``modified_end``: a nominal end before ``cutoff`` stays, any other (NULL too) is
+    the last day of the whole table; ``modified_diff_days``: the nominal span so repaired minus the actual one.
+    Stations without rows have no actual span and are left out."""
+    ext = A.extent(daily, KEY, DATE)
+    x = A.nominal_vs_actual(ext.join(stations, KEY), "nominal_begin_date", "nominal_end_date")
+    last_of_all = ext.agg(F.max("last_date")).scalar()
+    x = x.withColumns({"operating": F.year("last_date") == F.lit(last_year),
+                       "modified_end": A.cap_end_date("nominal_end_date", cutoff, last_of_all)})
+    return x.withColumn("modified_diff_days", F.date_diff("modified_end", "nominal_begin_date") - F.col("actual_days"))
+
+
+def agreement_shares(agreement: DataFrame) -> DataFrame:
+    """A4 + A21, per ``operating``: the number of stations, the median end difference, and the shares whose dates
+    are off by more than a week, a year or five (a NULL difference is not off and stays in the denominator)."""
+    x = A.with_group_stats(agreement, ["operating"], {"median_end_diff": F.median("end_diff_days")})
+    off = {"begin_off_7": F.abs("begin_diff_days") > 7, "end_off_7": F.abs("end_diff_days") > 7,
+           "end_off_7_from_median": F.abs(F.col("end_diff_days") - F.col("median_end_diff")) > 7,
+           "duration_off_7": F.abs("modified_diff_days") > 7, "duration_off_365": F.abs("modified_diff_days") > 365,
+           "duration_off_1825": F.abs("modified_diff_days") > 5 * 365}
+    return A.group_stats(x, ["operating"], {"n_stations": F.count(F.lit(1)), "median_end_diff": F.max("median_end_diff"),
+                                            **{n: A.fraction(c) for n, c in off.items()}})
+
+
+def coverage_shares(coverage: DataFrame, cover_col: str, limits: Sequence[float] = (0.9, 0.8)) -> DataFrame:
+    """A4: the shares of stations whose coverage reaches each limit (NULL coverage does not), in one row."""
+    return A.fraction_by(coverage, None, {f"from_{round(100 * x)}_pct": F.col(cover_col) >= F.lit(x) for x in limits})
+
+
+def quality_report(daily: DataFrame, stations: DataFrame | None = None, last_year: int = 2022,
+                   cutoff: str = "2021-09-01") -> dict[str, DataFrame]:
+    """The data-quality tables: extents and coverage with their shares and histogram, nominal vs actual
+    dates with repaired ends, null profile, cross-field rules, pressure rule by flag, sample-count resolution,
+    filtered coverage, histograms of the readings, duplicates, indicator counts and profile."""
     value_cols = [c for c in S.MISSING_MARKERS if c in daily.columns]
     ext = A.extent_coverage(daily, KEY, DATE)
     out = {
         "extent": ext,
+        "coverage_shares": coverage_shares(ext, "time_coverage"),
+        "coverage_hist": A.histogram(ext, "time_coverage", 20, 0.0, 1.0),
         "null_profile": A.null_profile(daily, value_cols),
         "maxima": A.column_maxima(daily, value_cols),
         "duplicates": A.duplicate_count(daily, KEY + [DATE]),
@@ -112,27 +146,54 @@ def quality_report(daily: DataFrame, stations: DataFrame | None = None) -> dict[
             ["sea_below_station"], dropna=False)
     if "temp_count" in daily.columns:
         out["resolution"] = Q.resolution_profile(daily, KEY, "temp_count")
-        out["filtered_coverage"] = Q.filtered_coverage(daily, KEY, DATE, "temp_f_mean", "temp_count", 20)
+        kept = Q.filtered_coverage(daily, KEY, DATE, "temp_f_mean", "temp_count", 20)
+        share = kept.columns[-1]
+        out["filtered_coverage"] = kept
+        out["filtered_shares"] = coverage_shares(kept, share)
+        out["filtered_hist"] = A.histogram(kept, share, 20, 0.0, 1.0)
+    for c in ("temp_f_mean", "temp_f_min", "temp_f_max"):
+        if c in daily.columns:
+            out[f"{c}_hist"] = A.histogram(daily, c, 100)
+    if PRECIP in daily.columns:
+        out["precip_log_hist"] = A.histogram(daily, PRECIP, 50, log10=True, zero_to_null=True)
     flags = [c for c in ("had_rain", "had_snow_ice", "had_hail") if c in daily.columns]
     if flags and PRECIP in daily.columns:
+        out["indicator_counts"] = A.value_counts(daily, flags, dropna=False)
         out["precip_by_indicator"] = Q.indicator_profile(daily, Q.any_of(flags), PRECIP)
     if stations is not None:
-        out["nominal_vs_actual"] = A.nominal_vs_actual(ext.join(stations, KEY), "nominal_begin_date",
-                                                       "nominal_end_date")
-        out["operating"] = Q.last_year_is(daily, KEY, DATE, 2022)
+        agreement = nominal_agreement(daily, stations, last_year, cutoff)
+        out["nominal_vs_actual"] = agreement
+        out["agreement_shares"] = agreement_shares(agreement)
+        out["duration_diff_hist"] = A.histogram(agreement, "modified_diff_days", 30, -365, 365, by=["operating"])
+        out["operating"] = Q.last_year_is(daily, KEY, DATE, last_year)
     return out
 
 
 # L8 --------------------------------------------------------------------------------------------
 def shortlist(daily: DataFrame, station_meta: DataFrame, threshold_years: float = 3.0,
-              threshold_date: str = "1900-01-01") -> DataFrame:
+              threshold_date: str = "1900-01-01", prefixes: DataFrame | None = None,
+              not_named: Sequence[str] = ()) -> DataFrame:
     """Stations with more than threshold_years * 0.8 * 365.25 rows or data before the date,
-    with coverage and the station facts attached."""
+    with coverage and the station facts attached.  ``prefixes`` (column ``prefix``) keeps the stations whose
+    trimmed name starts with one of them; ``not_named`` drops false positives by their whole name."""
     ext = A.extent(daily, KEY, DATE)
     keep = (F.col("record_count") > F.lit(threshold_years * 0.8 * 365.25)) | \
         (F.col("first_date") < F.lit(threshold_date).cast("date"))
     ext = ext.where(keep).withColumn("time_coverage", A.coverage())
-    return ext.join(station_meta, KEY, "left")
+    out = ext.join(station_meta, KEY, "left")
+    if prefixes is not None:
+        out = ST.prefix_match(out, "name", prefixes)
+    return out.where(~C.true_or_false(F.col("name").isin(list(not_named)))) if not_named else out
+
+
+def shortlist_periods(daily: DataFrame, shortlisted: DataFrame, value_col: str = "temp_f_mean",
+                      months: int = 12) -> DataFrame:
+    """Days with a value per 12-month period of each shortlisted station, counted from the month of its
+    first row; periods without a value are left out."""
+    facts = shortlisted.select(*KEY, "name", "nearest_city")
+    binned = TS.anchored_month_bins(C.keep_keys(daily, shortlisted.select(*KEY), KEY), KEY, DATE, months)
+    counts = binned.groupBy(*KEY, "period_start", "period_end").agg(F.count(value_col).alias("count_days"))
+    return counts.where(F.col("count_days") > 0).join(facts, KEY)
 
 
 # L9 --------------------------------------------------------------------------------------------

@@ -84,6 +84,10 @@ def test_station_pipelines(spark, files):
     for name, df in rep.items():
         assert df.count() >= 0, name
     assert rep["duplicates"].first().duplicate_rows == 0
+    assert {"coverage_shares", "coverage_hist", "filtered_shares", "filtered_hist", "agreement_shares", "duration_diff_hist",
+            "indicator_counts", "temp_f_mean_hist", "precip_log_hist"} <= set(rep)
+    assert sum(r["count"] for r in rep["coverage_hist"].collect()) == 4
+    assert rep["agreement_shares"].agg({"n_stations": "sum"}).first()[0] == 4
 
     groups = R.read_splice_groups(spark, files["groups"])
     sr = L.splice_report(daily, groups, window_years=3, n_samples=100, seed=1)
