@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ COORDINATE_FROM = 0.75
 COORDINATES = 4
 
 
+def dealt(query_id: int, blocks: int) -> int:
+    """The block of a query, by a hash: the ids themselves may all be multiples of the number of blocks."""
+    return xxhash.xxh3_64_intdigest(str(query_id)) % blocks
+
+
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
     """id, dim, length and the integers (little-endian 64 bit) of every usable vector."""
     ship(rows.sparkSession)
@@ -156,7 +162,7 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "v
                     bound = float(s[-k]) if len(s) >= k else bound
                 for (d, b), p in parts.items():
                     if d == dim and bound <= lq * longest[d, b] * (1 + 1e-9):
-                        out += [(b, part, q % query_blocks, q, dim, lq, bound, ints) for part in range(p)]
+                        out += [(b, part, dealt(q, query_blocks), q, dim, lq, bound, ints) for part in range(p)]
             cols = list(zip(*out)) if out else [[]] * 8
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
