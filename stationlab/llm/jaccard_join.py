@@ -4,7 +4,11 @@ Documents with equal n-gram sets form a class.  Linked classes share a token (n-
 first |s| - ceil(t |s|) + 1 tokens of each set in any one global order: tokens found in the prefixes
 of many documents come last, else hashes decide.  Classes that share such a token form a block.
 
-A block is joined by a signature tree: leaves hold the sets' bitmaps, a node the OR of its children,
+A block first loses the sets that sizes and places part from all others: a set of s tokens that has the
+shared token at place p has at most s - p tokens in common with another from there on, which bounds the
+size of the sets that it can be linked with; two sets are compared only if each one's size is within the
+other's bound.  At the first token that linked sets share both are kept.  Only what is left of
+a block ships signatures.  The block is then joined by a signature tree: leaves hold the sets' bitmaps, a node the OR of its children,
 their range of set sizes, their largest number of tokens that share a bit and of tokens outside the
 bitmap.  A pair of nodes can hold linked sets only if (common bits + these allowances) reaches the
 overlap that their sizes need; the dual traversal drops other pairs, and pairs of nodes that lie in
@@ -28,6 +32,7 @@ never the smallest of a component unless all are null; an empty table gives an e
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +47,8 @@ from .features import shingle_hashes, utf8_texts
 N = 3
 PERCENT = 90
 BLOCK_SETS = 512
+# sets of a block that are compared by size and place at once, as a multiple of the above (thin rows, in one sweep)
+SWEEP = 16
 BITS_PER_TOKEN = 4
 # bitmap words compared at once in a traversal (8 MB)
 BATCH_WORDS = 1 << 20
@@ -233,6 +240,32 @@ def survivors(labels: list[int], sides: list[int], rows: list[tuple], c: int, pe
     return np.flatnonzero(kept).tolist()
 
 
+def within_reach(rows: list[tuple]) -> list[tuple]:
+    """The rows (class, component, size, most, ...) with a row of another component whose size is at most their ``most`` and
+    whose ``most`` is at least their size."""
+    rows = sorted(rows, key=lambda r: r[2])
+    sizes = [r[2] for r in rows]
+    # over the rows up to each: the largest bound, its component, and the largest bound of any other component
+    far: list[tuple] = []
+    top, top_of, other = -1, None, -1
+    for _, component, _, most, *_ in rows:
+        if component == top_of:
+            top = max(top, most)
+        elif most > top:
+            top, top_of, other = most, component, top
+        else:
+            other = max(other, most)
+        far.append((top, top_of, other))
+    kept = []
+    for row in rows:
+        upto = bisect_right(sizes, row[3])
+        if upto:
+            top, top_of, other = far[upto - 1]
+            if (other if top_of == row[1] else top) >= row[2]:
+                kept.append(row)
+    return kept
+
+
 def join_block(keys: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between sets of a block that join two components."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i], sets[i][0] if len(sets[i]) else 0))
@@ -289,7 +322,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
 
 
 def reordered(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """class_id and prefix of texts whose prefix holds common tokens: the first tokens with these last."""
+    """class_id, prefix and n_shingles of texts whose prefix holds common tokens: the first tokens with these last."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +330,10 @@ def reordered(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> Dat
             sets = [s for s in (shingle_hashes(t, n) for t in utf8_texts(batch.column(0))) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_hash(s) for s in sets], pa.int64()),
-                 pa.array([prefix_tokens(s, percent, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class_id", "prefix"])
+                 pa.array([prefix_tokens(s, percent, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([len(s) for s in sets], pa.int64())], ["class_id", "prefix", "n_shingles"])
 
-    return texts.mapInArrow(work, "class_id long, prefix array<long>")
+    return texts.mapInArrow(work, "class_id long, prefix array<long>, n_shingles long")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
@@ -322,20 +356,57 @@ def by_block(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
         yield key, held
 
 
+def in_chunks(rows: DataFrame, limit: int) -> DataFrame:
+    """Blocks above the limit: each set goes to the pairs of its chunk with every chunk.  Adds chunks, own and other."""
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n_sets") / F.lit(limit))).cast("int")
+    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+
+def reachable(blocks: DataFrame, limit: int) -> DataFrame:
+    """Of blocks (token, n_sets, class_id, component, size, most) the sets that sizes and places leave: token, n_sets, class_id,
+    component; of blocks with the same sets, one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for block, held in by_block(batches, 3):
+            if len(held) > 1:
+                out.extend((block[0], r[0], r[1], r[4]) for r in within_reach(held))
+            if len(out) >= 10_000:
+                yield as_batch(out)
+                out = []
+        yield as_batch(out)
+
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+                                          ["token", "class_id", "component", "several"])
+
+    key = ["token", "a", "b"]
+    rows = in_chunks(blocks, limit).select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                                           "class_id", "component", "size", "most", (F.col("chunks") > 1).alias("several"))
+    left = written(rows.repartition(*key).sortWithinPartitions(*key)
+                   .mapInArrow(work, "token long, class_id long, component long, several boolean"))
+    # a set may be left by several pairs of chunks
+    left = left.where("not several").unionByName(left.where("several").dropDuplicates(["token", "class_id"])).drop("several")
+    part = 1 << 40
+    digests = left.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets"), F.sum(F.pmod(F.xxhash64("class_id"), F.lit(part))).alias("x"),
+                                        F.sum(F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(part))).alias("y"))
+    chosen = written(digests.groupBy("n_sets", "x", "y").agg(F.min("token").alias("token")).select("token", "n_sets"))
+    return left.join(checked(chosen), "token")
+
+
 def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, blocks: DataFrame, one_each: DataFrame,
                 block_sets: int) -> DataFrame:
-    """Links (left, right) found in blocks: rows token, n_sets, class_id, component."""
+    """Links (left, right) found in blocks: rows token, n_sets, class_id, component, size, most."""
     key = ["token", "size_class", "a", "b"]
-    rows = blocks.join(one_each.select(F.col("class_id").alias("of_class"), "n_shingles", "size_class", "inside", "signature"),
+    rows = reachable(blocks, SWEEP * block_sets).join(one_each.select(F.col("class_id").alias("of_class"), "n_shingles", "size_class", "inside", "signature"),
                        F.col("class_id") == F.col("of_class")).drop("of_class")
     # sets that may be linked to sets of the next smaller size class are in its block too
     c = F.col("size_class")
     below = (c > 6) & (percent * F.col("n_shingles") <= 100 * F.expr("shiftleft(1L, size_class)"))
     rows = rows.withColumn("size_class", F.explode(F.when(below, F.array(c, c - 1)).otherwise(F.array(c))))
-    # blocks above the limit: each set goes to the pairs of its chunk with every chunk
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n_sets") / F.lit(block_sets))).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = in_chunks(rows, block_sets)
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     rows = rows.select("token", "size_class", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
                        "class_id", "component", side.alias("side"), F.col("n_shingles").cast("int").alias("size"), "inside", "signature")
@@ -441,20 +512,17 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     moved = checked(written(tokens.join(checked(common), "token", "left_semi").select("class_id").distinct()))
     again = texts_of(docs, id_col, text_col, one_each.join(moved, "class_id", "left_semi").select("one_id"))
     again = written(reordered(again, n, percent, values).join(moved, "class_id", "left_semi"))
-    same = known.join(moved, "class_id", "left_anti").select("class_id", "prefix")
-    prefixes = same.unionByName(again).select("class_id", F.posexplode("prefix").alias("place", "token"))
+    same = known.join(moved, "class_id", "left_anti").select("class_id", "prefix", "n_shingles")
+    # most: the largest set that can be linked if no earlier token is shared
+    prefixes = same.unionByName(again).select("class_id", F.col("n_shingles").cast("int").alias("size"), F.posexplode("prefix").alias("place", "token")) \
+        .withColumn("most", F.expr(f"cast({100 + percent}L * (size - place) div {percent} - size as int)"))
 
     def blocks(rows: DataFrame) -> DataFrame:
-        """Blocks that span components, one of those with the same members: token, n_sets, class_id, component."""
-        spans = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        shared = checked(written(spans.where("low <> high").select("token")))
-        shared = written(rows.join(shared, "token").select("token", "class_id", "component").dropDuplicates(["token", "class_id"]))
-        part = 1 << 40
-        digests = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets"),
-                                              F.sum(F.pmod(F.xxhash64("class_id"), F.lit(part))).alias("x"),
-                                              F.sum(F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(part))).alias("y"))
-        chosen = written(digests.groupBy("n_sets", "x", "y").agg(F.min("token").alias("token")).select("token", "n_sets"))
-        return shared.join(checked(chosen), "token")
+        """Blocks that span components and have a set that may be the smaller one of a link, each set of a block once."""
+        spans = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                          F.max(F.col("most") >= F.col("size")).alias("smaller"), F.count(F.lit(1)).alias("n_sets"))
+        shared = checked(written(spans.where("low <> high and smaller").select("token", "n_sets")))
+        return rows.join(shared, "token").dropDuplicates(["token", "class_id"])
 
     alone = prefixes.withColumn("component", F.col("class_id"))
     links1 = block_links(docs, id_col, text_col, n, percent, blocks(alone.where("place = 0")), one_each, block_sets)

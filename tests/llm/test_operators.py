@@ -161,7 +161,7 @@ def brute_sets(rows, n):
     return out
 
 
-def test_jaccard_components(spark, docs, nothing):
+def test_jaccard_components(spark, docs, nothing, monkeypatch):
     r = random.Random(4)
     rows = list(TEXTS)
     for g in range(6):
@@ -188,7 +188,8 @@ def test_jaccard_components(spark, docs, nothing):
     for k, (i, _, _) in enumerate(rows):
         low[find(k)].append(i)
     want = sorted((i or -1, len(sets[k]), min((x for x in low[find(k)] if x is not None), default=-1)) for k, (i, _, _) in enumerate(rows))
-    for limit in (512, 4):
+    for limit, sweep in ((512, jaccard_join.SWEEP), (4, 1)):
+        monkeypatch.setattr(jaccard_join, "SWEEP", sweep)
         got = jaccard_join.jaccard_components(df, block_sets=limit).collect()
         assert sorted((x["doc_id"] or -1, x["n_shingles"], x["component_id"] if x["component_id"] is not None else -1) for x in got) == want
     kept = jaccard_join.one_per_component(df)
@@ -351,3 +352,32 @@ def test_block_join_against_all_pairs():
                                       [jaccard_join.full_signature(sets[i]) for i in at], c, 90, jaccard_join.FULL_BITS)
         needed = {at[k] for i, j in links if labels[i] != labels[j] and i in at and j in at for k in (i, j)}
         assert needed <= set(kept)
+
+
+def test_size_and_place_sweep_against_all_pairs():
+    rng = random.Random(7)
+    for case in range(300):
+        rows = []
+        for i in range(rng.randint(0, 12)):
+            size = rng.choice([1, 9, 10, 11, 100, 105, rng.randint(1, 130)])
+            place = rng.randint(0, jaccard_join.prefix_length(size, 90) - 1)
+            rows.append((i, rng.randint(0, 3), size, 190 * (size - place) // 90 - size))
+        expected = {x[0] for x in rows for y in rows if x[1] != y[1] and y[2] <= x[3] and x[2] <= y[3]}
+        kept = {r[0] for r in jaccard_join.within_reach(rows)}
+        assert kept >= expected
+        # what is kept beyond has a row of another component that is small enough and reaches far enough
+        assert kept == {x[0] for x in rows if any(x[1] != y[1] and y[2] <= x[3] and y[3] >= x[2] for y in rows)}
+
+
+def test_linked_sets_are_kept_at_their_first_shared_token():
+    rng = random.Random(8)
+    for case in range(300):
+        percent = rng.choice([80, 90])
+        base = rng.sample(range(1000), rng.randint(1, 60))
+        a, b = ({t for t in base if rng.random() > 0.06} | {rng.randrange(1000) for _ in range(rng.randint(0, 2))} for _ in range(2))
+        if not a or not b or 100 * len(a & b) < percent * len(a | b):
+            continue
+        first = min(a & b)
+        rows = [(i, i, len(s), (100 + percent) * (len(s) - sorted(s).index(first)) // percent - len(s)) for i, s in enumerate((a, b))]
+        assert len(jaccard_join.within_reach(rows)) == 2
+        assert any(most >= size for _, _, size, most in rows)
