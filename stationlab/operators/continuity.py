@@ -4,22 +4,28 @@ All pairs run in one plan.  (pair, side) is a grouping key, the bootstrap's samp
 are exploded columns and every draw index comes from a hash of (seed, pair, side) mixed with
 (sample, draw) in integer rounds,
 so the result does not depend on partitioning, row order or task retries.  Tables after the
-first aggregation are small: pairs x 2 sides x window_years bins.
+first aggregation are small: pairs x 2 sides x window_years bins.  The samples are not: they are pairs x
+n_samples rows, so the number of tasks that make them grows with the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import as_date, hash_seed, mix_round, with_draw
+from ..functions.columns import MIX_FINAL_OFFSETS, MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET, as_date, hash_seed, mix_round, with_draw
 from ..plans.physical import attach, materialize
 
 PAIR = ["group_id", "pair_no"]
+# pairs sampled by one task: its aggregations hold pairs x samples groups (up to 128 pairs Spark takes the
+# quantiles without sorting), and an Arrow batch pairs x samples doubles a figure (2 MB at 2,000 samples)
+PAIRS_PER_TASK = 100
 
 
 def _k(keys) -> list[str]:
@@ -116,6 +122,13 @@ def splice_windows(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date
         .select(*PAIR, "side", "bin", "bin_end", "n_bins", *value_cols)
 
 
+def _spread(bins: DataFrame) -> DataFrame:
+    """The small bin table, written once and hash-partitioned by pair into as many parts as its pairs need."""
+    bins = materialize(bins)
+    parts = math.ceil(bins.select(*PAIR).distinct().count() / PAIRS_PER_TASK)
+    return bins.repartition(max(parts, 2 * bins.sparkSession.sparkContext.defaultParallelism, 1), *PAIR)
+
+
 def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int) -> DataFrame:
     """C5's draws: per (pair, side) and sample 1..n_samples, n_bins bins drawn with replacement;
     one row per draw with the drawn bin's means (NULL for an empty bin).
@@ -127,8 +140,7 @@ def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int
     the cluster (otherwise AQE coalesces it into one task), both sides of a pair land in the same
     task, and every aggregation downstream that groups by pair (plus sample) reuses that
     partitioning instead of shuffling the draws."""
-    sc = bins.sparkSession.sparkContext
-    per_side = bins.repartition(max(sc.defaultParallelism, 1) * 2, *PAIR).groupBy(*PAIR, "side").agg(
+    per_side = _spread(bins).groupBy(*PAIR, "side").agg(
         F.max("n_bins").alias("n_bins"),
         F.sort_array(F.collect_list(F.struct("bin", *value_cols))).alias("_arr"))
     # The md5 of (seed, pair, side) is taken once per side; a sample's state is one integer
@@ -143,13 +155,32 @@ def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int
     return draws.select(*PAIR, "side", "sample", *[picked[c].alias(c) for c in value_cols])
 
 
-STAT_FUNCS = {"mean": F.avg, "std": F.stddev_samp}
 Statistic = Callable[[Column], Column]
 
 
-def _statistics(stats: Sequence[str] | Mapping[str, Statistic]) -> dict[str, Statistic]:
+class MatrixStatistic:
+    """A statistic of many samples at once.  ``func`` gets a float matrix, one sample a column, of the samples'
+    non-NULL values (``least`` or more of them, equally many in every column) and returns one float per
+    column; a sample with fewer values gives NULL.
+
+    :func:`bootstrap_diffs` takes these without one row per draw; as a function of a column it is an
+    aggregate like any other."""
+
+    def __init__(self, func: Callable[[np.ndarray], np.ndarray], least: int = 1):
+        self.func, self.least = func, max(least, 1)
+
+    def __call__(self, c: Column) -> Column:
+        func, least = self.func, self.least
+        return arrow_statistic(lambda v: float(func(v[:, None])[0]) if len(v) >= least else None)(c)
+
+
+STAT_FUNCS = {"mean": F.avg, "std": F.stddev_samp}
+MATRIX_STATS = {"mean": MatrixStatistic(lambda v: v.mean(axis=0)), "std": MatrixStatistic(lambda v: v.std(axis=0, ddof=1), 2)}
+
+
+def _statistics(stats: Sequence[str] | Mapping[str, Statistic], known: Mapping[str, Statistic] = STAT_FUNCS) -> dict[str, Statistic]:
     """Names of built-in statistics, or names with functions from a column to an aggregate column."""
-    named = dict(stats) if isinstance(stats, Mapping) else {s: STAT_FUNCS[s] for s in stats}
+    named = dict(stats) if isinstance(stats, Mapping) else {s: known[s] for s in stats}
     if any("__" in s for s in named):
         raise ValueError("a statistic's name holds no double underscore")
     return named
@@ -167,6 +198,121 @@ def arrow_statistic(func: Callable[[np.ndarray], float | None]) -> Statistic:
     return stat
 
 
+def _pair_figures(names: Sequence[str], n_cols: int, stats: Sequence[MatrixStatistic], n_samples: int):
+    """The Arrow function of :func:`_matrix_diffs`: for rows of (per side number of bins, state and bin means of
+    each column) the samples' differences late - early, an array per figure.
+
+    Everything it calls is inside, so that it travels to the executors whole."""
+    m, mul, off, last, funcs, names = MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET, MIX_FINAL_OFFSETS, [(s.func, s.least) for s in stats], list(names)
+
+    def drawn(state: np.ndarray, n: int) -> np.ndarray:
+        """n x rows x samples places, by the rounds of functions.columns.with_draw."""
+        def square(h):
+            x = h * h                                       # m is 2**31 - 1: 2**31 counts as 1
+            x = (x & m) + (x >> 31)
+            return (x & m) + (x >> 31)
+
+        x = (square(state[:, None]) + off + np.arange(1, n_samples + 1) % m * mul) % m
+        x = (square(x)[None] + (off + np.arange(n) * mul)[:, None, None]) % m
+        for add in last:
+            x = square(x) + add
+            x = np.where(x >= m, x - m, x)
+            x = np.where(x >= m, x - m, x)
+        return x % n
+
+    def figures(picked: np.ndarray, there: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per statistic the values of the samples (columns) and where there is one."""
+        out = [(np.zeros(picked.shape[1]), np.zeros(picked.shape[1], bool)) for _ in funcs]
+        if there is None:
+            groups = [(len(picked), slice(None))]
+        else:
+            many = there.sum(axis=0)
+            picked = np.take_along_axis(picked, np.argsort(~there, axis=0, kind="stable"), axis=0)
+            groups = [(k, np.flatnonzero(many == k)) for k in np.unique(many[many > 0])]
+        for k, columns in groups:
+            v = picked[:k, columns]
+            for (func, least), (value, known) in zip(funcs, out):
+                if k >= least:
+                    value[columns], known[columns] = func(v), True
+        return out
+
+    def side(n: pa.Array, state: pa.Array, lists: Sequence[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
+        total = [(np.zeros((len(n), n_samples)), np.zeros((len(n), n_samples), bool)) for _ in range(n_cols * len(funcs))]
+        sizes = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        state = state.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, columns = np.concatenate([[0], np.cumsum(sizes)])[:-1], []
+        for a in lists:
+            if (a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) != sizes).any():
+                raise ValueError("a side has not one row for each of its n_bins bins")
+            flat = a.flatten()
+            columns.append((flat.to_numpy(zero_copy_only=False).astype(float), flat.is_valid().to_numpy(zero_copy_only=False)))
+        for k in np.unique(sizes[sizes > 0]):
+            same = np.flatnonzero(sizes == k)
+            for rows in np.array_split(same, -(-len(same) // 16)):      # about a MB at a time
+                at = (drawn(state[rows], int(k)) + starts[rows][:, None]).reshape(k, -1)
+                for c, (flat, valid) in enumerate(columns):
+                    whole = valid[starts[rows][:, None] + np.arange(k)].all()
+                    found = figures(flat[at], None if whole else valid[at])
+                    for (value, known), (v, ok) in zip(total[c * len(funcs):], found):
+                        value[rows], known[rows] = v.reshape(-1, n_samples), ok.reshape(-1, n_samples)
+        return total
+
+    def run(*sides: pa.Array) -> pa.Array:
+        half = len(sides) // 2
+        early, late = (side(x[0], x[1], x[2:]) for x in (sides[:half], sides[half:]))
+        ends = pa.array(np.arange(len(sides[0]) + 1) * n_samples, pa.int32())
+        diffs = [pa.ListArray.from_arrays(ends, pa.array((b - a).ravel(), pa.float64(), mask=~(known & also).ravel()))
+                 for (a, known), (b, also) in zip(early, late)]
+        return pa.StructArray.from_arrays(diffs, names)
+
+    return run
+
+
+def _matrix_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int, stats: Mapping[str, MatrixStatistic]) -> DataFrame:
+    """:func:`bootstrap_diffs` without a row per draw: a pair's bins stand in one row, its draws are a matrix
+    in Python, and only the samples' differences come back: one row per pair, with the struct ``_figures``
+    of an array per figure, in the samples' order.  Nothing is grouped by sample, so nothing can spill."""
+    def of(side: str) -> list[Column]:
+        here = F.col("side") == side
+        row = F.struct("bin", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(value_cols)])
+        return [F.max(F.when(here, F.col("n_bins"))).alias(f"_n_{side}"), F.sort_array(F.collect_list(F.when(here, row))).alias(f"_arr_{side}")]
+
+    x = _spread(bins).groupBy(*PAIR).agg(*of("early"), *of("late"))
+    asked = [v for side in ("early", "late") for v in
+             (F.col(f"_n_{side}"), hash_seed(F.lit(seed), "group_id", "pair_no", F.lit(side)), *[F.col(f"_arr_{side}")[f"_v{i}"] for i in range(len(value_cols))])]
+    names = [f"{c}__{s}" for c in value_cols for s in stats]
+    kind = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
+    return x.select(*PAIR, F.arrow_udf(_pair_figures(names, len(value_cols), list(stats.values()), n_samples), kind)(*asked).alias("_figures"))
+
+
+def _array_quantiles(names: Sequence[str], quantiles: Sequence[float]):
+    """The Arrow function from a struct of arrays to a struct of their quantiles (linear, NULLs ignored, NaN largest)."""
+    names, quantiles = list(names), [float(q) for q in quantiles]
+
+    def of(values: np.ndarray) -> list[float | None]:
+        if not len(values):
+            return [None] * len(quantiles)
+        values, out = np.sort(values), []
+        for q in quantiles:
+            at = (len(values) - 1) * q
+            low, high = math.floor(at), math.ceil(at)
+            a, b = float(values[low]), float(values[high])
+            out.append(a if low == high or a == b else (high - at) * a + (at - low) * b)
+        return out
+
+    def run(figures: pa.Array) -> pa.Array:
+        columns = []
+        for i in range(len(names)):
+            a = figures.field(i)
+            flat = a.flatten()
+            ends = np.concatenate([[0], np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+            v, ok = flat.to_numpy(zero_copy_only=False).astype(float), flat.is_valid().to_numpy(zero_copy_only=False)
+            columns.append(pa.array([of(v[s:e][ok[s:e]]) for s, e in zip(ends, ends[1:])], pa.list_(pa.float64())))
+        return pa.StructArray.from_arrays(columns, names)
+
+    return run
+
+
 def bootstrap_samples(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
                       stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std")) -> DataFrame:
     """Per (pair, side) and sample, each statistic of each column over the sample's draws
@@ -187,11 +333,25 @@ def bootstrap_diff(samples: DataFrame) -> DataFrame:
 
 
 def bootstrap_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int = 2000, seed: int = 0,
-                    stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std")) -> DataFrame:
+                    stats: Sequence[str] | Mapping[str, Statistic] = ("mean", "std"), per_pair: bool = False) -> DataFrame:
     """C5 + C6 in one aggregation: per (pair, sample), late - early of each statistic, computed
     from the draws with side-conditional aggregates.  Same result as
     ``bootstrap_diff(bootstrap_samples(...))``; grouping by (pair, sample) reuses the pair
-    partitioning of the draws, so the draws are never shuffled."""
+    partitioning of the draws, so the draws are never shuffled.
+
+    Where every statistic is a :class:`MatrixStatistic` (the named ones are) and every column a plain
+    number, the draws are not rows at all (:func:`_matrix_diffs`); with ``per_pair`` the samples are not
+    either, but arrays of one row per pair, which :func:`bootstrap_ci` takes as well."""
+    plain = all(isinstance(bins.schema[c].dataType, (T.IntegralType, T.FloatType, T.DoubleType)) for c in value_cols)
+    matrix = _statistics(stats, MATRIX_STATS)
+    if n_samples > 0 and plain and all(isinstance(f, MatrixStatistic) for f in matrix.values()):
+        x = _matrix_diffs(bins, value_cols, n_samples, seed, matrix)
+        if per_pair:
+            return x
+        names = x.schema["_figures"].dataType.names
+        zipped = F.arrays_zip(*[F.col("_figures")[n].alias(n) for n in names])
+        return x.select(*PAIR, F.posexplode(zipped).alias("_at", "_d")) \
+            .select(*PAIR, (F.col("_at") + 1).alias("sample"), *[F.col("_d")[n].alias(n) for n in names])
     late, early = F.col("side") == "late", F.col("side") == "early"
     aggs = [(f(F.when(late, F.col(c))) - f(F.when(early, F.col(c)))).alias(f"{c}__{s}")
             for c in value_cols for s, f in _statistics(stats).items()]
@@ -202,12 +362,18 @@ def bootstrap_ci(diff: DataFrame, quantiles: Sequence[float] = (0.025, 0.5, 0.97
     """Quantiles (linear, NULLs ignored) of each difference, in long form:
     group_id, pair_no, measure, statistic, q_<p> ...
 
-    One ``percentile`` over an array of quantiles per difference column (one value buffer per
+    From arrays per pair (:func:`bootstrap_diffs` with ``per_pair``) they are read row by row.  From rows:
+    one ``percentile`` over an array of quantiles per difference column (one value buffer per
     column, bounded by the number of samples), grouped by pair -- no shuffle when ``diff`` is
     still partitioned by pair -- then the small per-pair result is turned into long form."""
-    stat_cols = [c for c in diff.columns if "__" in c]
-    qs = F.array(*[F.lit(float(q)) for q in quantiles])
-    wide = diff.groupBy(*PAIR).agg(*[F.percentile(F.col(c), qs).alias(f"_q{i}") for i, c in enumerate(stat_cols)])
+    if "_figures" in diff.columns:
+        stat_cols = diff.schema["_figures"].dataType.names
+        wide = diff.select(*PAIR, F.arrow_udf(_array_quantiles(stat_cols, quantiles), diff.schema["_figures"].dataType)("_figures").alias("_q"))
+        wide = wide.select(*PAIR, *[F.col("_q")[c].alias(f"_q{i}") for i, c in enumerate(stat_cols)])
+    else:
+        stat_cols = [c for c in diff.columns if "__" in c]
+        qs = F.array(*[F.lit(float(q)) for q in quantiles])
+        wide = diff.groupBy(*PAIR).agg(*[F.percentile(F.col(c), qs).alias(f"_q{i}") for i, c in enumerate(stat_cols)])
     rows = []
     for i, c in enumerate(stat_cols):
         measure, statistic = c.split("__", 1)
@@ -229,7 +395,7 @@ def splice_report(daily: DataFrame, groups: DataFrame, keys: Sequence[str], date
     k = _k(keys)
     pairs = splice_pairs(groups, k, group_col, order_col)
     bins = splice_windows(daily, pairs, k, date_col, value_cols, window_years)
-    ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed, stats), quantiles)
+    ci = bootstrap_ci(bootstrap_diffs(bins, value_cols, n_samples, seed, stats, per_pair=True), quantiles)
     if name_col and name_col in groups.columns:
         # by group too: a station listed in several groups names each of its pairs once
         first = ["group_id", *[f"a_{c}" for c in k]]

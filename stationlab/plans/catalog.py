@@ -590,7 +590,7 @@ def splice_diff(spark, sf_dir):
 @register("splice_bootstrap")
 def splice_bootstrap(spark, sf_dir):
     """2.5/50/97.5 % quantiles of the bootstrapped differences, long form."""
-    diff = SP.bootstrap_diffs(_splice_bins(spark, sf_dir), ["value", "n_orders"], SPLICE_SAMPLES, SPLICE_SEED)
+    diff = SP.bootstrap_diffs(_splice_bins(spark, sf_dir), ["value", "n_orders"], SPLICE_SAMPLES, SPLICE_SEED, per_pair=True)
     return SP.bootstrap_ci(diff, (0.025, 0.5, 0.975))
 
 

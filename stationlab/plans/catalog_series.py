@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,7 +218,12 @@ def splice_medians(spark, sf_dir):
 
     pairs = SP.splice_pairs(splice_groups(spark, sf_dir), ["key"])
     bins = SP.splice_windows(splice_panel(spark, sf_dir), pairs, ["key"], "day", ["value"], window_years=SPLICE_YEARS)
-    diff = SP.bootstrap_diffs(bins, ["value"], SPLICE_SAMPLES, SPLICE_SEED, {"median": F.median, "spread": lambda c: F.max(c) - F.min(c)})
+    def median(v):
+        v = np.sort(v, axis=0)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    stats = {"median": SP.MatrixStatistic(median), "spread": SP.MatrixStatistic(lambda v: v.max(axis=0) - np.fmin.reduce(v, axis=0))}
+    diff = SP.bootstrap_diffs(bins, ["value"], SPLICE_SAMPLES, SPLICE_SEED, stats, per_pair=True)
     return SP.bootstrap_ci(diff, (0.025, 0.5, 0.975))
 
 
