@@ -17,6 +17,9 @@ from .carry import MAX, MIN, carried
 
 DAY_MICROS = 86_400_000_000
 METHODS = ("bfill", "ffill", "nearest")
+# an interval join uses every so many powers of two as bucket width: points are repeated once per width used,
+# and a bucket is at most 2^WIDTH_STEP times as long as its intervals
+WIDTH_STEP = 4
 
 
 def _k(keys: Sequence[str] | str) -> list[str]:
@@ -89,12 +92,14 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str] |
     """J10 in general: every (point, interval) of one key with low <= at <= high, as the point's columns
     and the interval's other columns.
 
-    An equi-join on (key, width, bucket).  An interval belongs to the smallest width base x 2^w that is
+    An equi-join on (key, width, bucket).  An interval belongs to the smallest width in use that is
     not shorter than itself, so it touches at most two buckets of that width, however long it is; a
     point lies in exactly one bucket of each width, so a pair meets once and nothing has to be
-    de-duplicated.  A hot key is spread over its buckets.  Points are repeated once per width that
-    occurs (found by one pass over the intervals, 64 at most); with ``one_width`` all intervals are
-    known to be at most ``base`` long and points are not repeated.
+    de-duplicated.  A hot key is spread over its buckets.  Widths in use are base x 2^w for every
+    ``WIDTH_STEP``-th w and for the largest w that an interval needs (found by one pass over the
+    intervals).  Points are repeated once per width in use that has an interval (17 at most), as their own
+    columns and the bucket; with ``one_width`` all intervals are known to be at most ``base`` long and
+    points are not repeated.
 
     NULL keys, bounds or times match nothing; intervals with low > high hold no point; repeated rows on
     either side each match."""
@@ -116,17 +121,25 @@ def interval_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str] |
         iv = iv.withColumn("_width", F.greatest(F.ceil(F.log2(length)).cast("int"), F.lit(0)))
         # log2 is rounded: a length just above a power of two may need one step more
         iv = iv.withColumn("_width", F.col("_width") + (F.pow(F.lit(2.0), "_width") < length).cast("int"))
-        widths = sorted(r[0] for r in iv.select("_width").distinct().collect())
+        needed = [r[0] for r in iv.select("_width").distinct().collect()]
+        used = lambda w: min(-(-max(w, 1) // WIDTH_STEP) * WIDTH_STEP, max(needed))
+        widths = sorted({used(w) for w in needed})
+        step = F.ceil(F.greatest("_width", F.lit(1)) / F.lit(WIDTH_STEP)).cast("int") * F.lit(WIDTH_STEP)
+        iv = iv.withColumn("_width", F.least(step, F.lit(max(needed, default=0))))
     span = F.lit(base) * F.pow(F.lit(2.0), "_width").cast("long")
     first, last = F.floor(F.col("_lo") / span).cast("long"), F.floor(F.col("_hi") / span).cast("long")
     iv = iv.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
-    pt = points.withColumns({i: F.col(f"`{c}`") for c, i in zip(k, inner)} | {"_at": _clock(points, at, grain)})
-    places = [F.struct(F.lit(w).alias("_width"), F.floor(F.col("_at") / F.lit(base << w)).cast("long").alias("_bucket")) for w in widths]
+    here = _clock(points, at, grain)
+    places = [F.struct(F.lit(w).alias("_width"), F.floor(here / F.lit(base << w)).cast("long").alias("_bucket")) for w in widths]
     if len(places) == 1:
-        pt = pt.withColumns({"_width": places[0]["_width"], "_bucket": places[0]["_bucket"]})
+        pt = points.withColumns({"_width": places[0]["_width"], "_bucket": places[0]["_bucket"]})
     else:
-        pt = pt.select("*", F.inline(F.array(*places) if places else F.expr("array_repeat(struct(0 AS _width, 0L AS _bucket), 0)")))
-    met = pt.join(iv, [*inner, "_width", "_bucket"]).where(F.col("_at").between(F.col("_lo"), F.col("_hi")))
+        pt = points.select("*", F.inline(F.array(*places) if places else F.expr("array_repeat(struct(0 AS _width, 0L AS _bucket), 0)")))
+    # a repeated point is as thin as it came: its key is not copied, its time is computed again where it meets
+    same = [F.col(f"`{c}`") == F.col(i) for c, i in zip(k, inner)]
+    iv = iv.withColumnsRenamed({"_width": "_iv_width", "_bucket": "_iv_bucket"})
+    met = pt.join(iv, _and([*same, F.col("_width") == F.col("_iv_width"), F.col("_bucket") == F.col("_iv_bucket")]))
+    met = met.where(_clock(points, at, grain).between(F.col("_lo"), F.col("_hi")))
     return met.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"`{c}`") for c in extra])
 
 
