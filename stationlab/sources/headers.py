@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +59,27 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return attach(lines, splits, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
 
 
+def _first_of_files():
+    """Keeps each file's first line of a task.  Every line would go into an aggregate of texts, which Spark sorts by
+    file in memory; here the lines pass by, and one per file stays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            # a task reads its files one after the other, so few names stand in a batch
+            names = batch.column("file").dictionary_encode()
+            new = [i for i, name in enumerate(names.dictionary.to_pylist()) if name not in seen]
+            seen.update(names.dictionary.to_pylist())
+            if new:
+                yield batch.take(pa.array([pc.index(names.indices, i).as_py() for i in new], pa.int64()))
+
+    return run
+
+
 def headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """The headers that occur, as column names in file order, with the files that have them.  One name per
     file comes to the driver, which has listed the files anyway."""
-    first = _split_lines(spark, path).where("block = 0").groupBy("file").agg(F.min_by("text", "id").alias("header"))
+    lines = _split_lines(spark, path).where("block = 0").select("file", "id", "text")
+    first = lines.mapInArrow(_first_of_files(), lines.schema).groupBy("file").agg(F.min_by("text", "id").alias("header"))
     found: dict[tuple[str, ...], list[str]] = {}
     for row in first.orderBy("file").collect():
         names = tuple(column_name(c) for c in next(csv.reader([row["header"].lstrip("﻿")]), []))
