@@ -2,23 +2,23 @@
 
 The sphere's longitude x latitude rectangle is split in four again and again; a cell with at most
 ``leaf`` reference points is a leaf, so cells are small where references are dense and wide where they
-are sparse.  All counts come from one aggregation.  Points walk down the tree level by level,
-nearest cells first by bounds: of the cells a point still holds, those whose least possible distance
-exceeds the distance to the best reference known so far are dropped, and only the rest are opened.
-The leaves that remain are joined to their references and the exact minimum is taken.
-
-Every cell has a representative reference, so the best distance so far is that of a real
-reference; the least distance to a cell is exact on the sphere (also over the poles and across
-+-180 degrees), and a slack far above rounding keeps ties.  A point holds a handful of cells at
-a time, whatever the number of references, and points are shuffled once: every later step of the walk
-keeps their partitioning.  A join on cells is a broadcast only while the tree's counted size allows it.
+are sparse.  All counts come from one aggregation.  A point first takes the distance to the nearest reference of its own
+leaf, or to a representative of a cell around it, so the bound is that of a real reference.  Then points
+walk down the tree level by level: of the cells a point holds, those whose middle is farther than the
+bound and the cell's own reach are dropped, and only the rest are opened.  The leaves that remain after a
+last look at their edges are joined to their references and the exact minimum is taken.
+
+The bounds hold on the sphere (also over the poles and across +-180 degrees), and a slack far above
+rounding keeps ties.  A point holds a handful of cells at a time, whatever the number of references; a
+level is a join and a filter, without a sort or a shuffle.  The points are dealt to as many tasks as their number asks for, because a
+point's few bytes tell nothing of its work.  A join on cells is a broadcast only while the tree's counted size allows it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, haversine_km
@@ -30,6 +30,8 @@ DEPTH = 16
 SLACK_KM = 0.001
 # levels walked between two checkpoints
 STRIDE = 8
+# places walked by one task
+PLACES = 4096
 
 
 def _valid(lat: Column, lon: Column) -> Column:
@@ -99,30 +101,55 @@ def build(refs: DataFrame, name: str, lat: str, lon: str, leaf: int = LEAF, dept
     return tree, materialize(held), height
 
 
+def _discs(tree: DataFrame) -> DataFrame:
+    """The cells with their middle (_clat, _clon) and ``_reach``: no place of a cell is farther from it.
+
+    Within half a cell's height and width of the middle, and not nearer to the equator than the cell is,
+    the haversine is largest with all three at their limits."""
+    n = F.pow(F.lit(2.0), "_level")
+    tree = tree.withColumns({"_clat": (F.col("_y") + 0.5) / n * 180.0 - 90.0, "_clon": (F.col("_x") + 0.5) / n * 360.0 - 180.0})
+    low = F.greatest(F.abs("_clat") - F.lit(90.0) / n, F.lit(0.0))
+    up, side = F.sin(F.radians(F.lit(45.0) / n)), F.sin(F.radians(F.lit(90.0) / n))
+    h = up * up + F.cos(F.radians("_clat")) * F.cos(F.radians(low)) * side * side
+    return tree.withColumn("_reach", F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
+
+
 def nearest(points: DataFrame, refs: DataFrame, lat: str, lon: str, ref_name: str, ref_lat: str, ref_lon: str,
             leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """The nearest reference of each distinct valid place of ``points``: _lat, _lon, _ref, _km.  Ties go to
     the smaller name."""
     tree, held, height = build(refs, ref_name, ref_lat, ref_lon, leaf, depth)
-    cells = small_side(tree, persist=False)
-    where = Window.partitionBy("_lat", "_lon")
-    front = points.select(F.col(f"`{lat}`").cast("double").alias("_lat"), F.col(f"`{lon}`").cast("double").alias("_lon")) \
-        .where(_valid(F.col("_lat"), F.col("_lon"))).distinct()
-    front = front.withColumns({"_level": F.lit(0), "_x": F.lit(0).cast("long"), "_y": F.lit(0).cast("long"), "_open": F.lit(height > 0)})
+    cell = ["_level", "_x", "_y"]
+    cells, held = small_side(_discs(tree), persist=False), small_side(held, persist=False)
+    place = points.select(F.col(f"`{lat}`").cast("double").alias("_lat"), F.col(f"`{lon}`").cast("double").alias("_lon"))
+    place = materialize(place.where(_valid(F.col("_lat"), F.col("_lon"))).distinct())
+    tasks = place.count() // PLACES + 1
+    # a first bound: the references of the place's own leaf, or the representatives of the cells around it
+    x, y = _cell(F.col("_lat"), F.col("_lon"), depth)
+    own = place.repartition(tasks, "_lat", "_lon").withColumns({"_fx": x, "_fy": y})
+    own = own.select("_lat", "_lon", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_level"), F.shiftright("_fx", depth - n).alias("_x"), F.shiftright("_fy", depth - n).alias("_y"))
+        for n in range(height + 1)]))).join(cells, cell)
+    km = haversine_km("_lat", "_lon", "_rlat", "_rlon")
+    best = own.select("_lat", "_lon", km.alias("_best")).unionByName(
+        own.where("not _open").select("_lat", "_lon", *cell).join(held, cell).select("_lat", "_lon", km.alias("_best")))
+    best = best.groupBy("_lat", "_lon").agg(F.min("_best").alias("_best"))
+    front = materialize(best.repartition(tasks, "_lat", "_lon")).withColumns(
+        {"_level": F.lit(0), "_x": F.lit(0).cast("long"), "_y": F.lit(0).cast("long"), "_open": F.lit(height > 0)})
     for step in range(height):
         def child(dx: int, dy: int) -> Column:
             return F.struct((F.col("_level") + 1).alias("_level"), (F.col("_x") * 2 + dx).alias("_x"), (F.col("_y") * 2 + dy).alias("_y"))
 
         four = F.array(*[child(dx, dy) for dx in (0, 1) for dy in (0, 1)])
-        stay = F.array(F.struct("_level", "_x", "_y"))
-        front = front.select("_lat", "_lon", F.inline(F.when(F.col("_open"), four).otherwise(stay))).join(cells, ["_level", "_x", "_y"])
-        front = least_km(front, "_least", "_lat", "_lon", "_level", "_x", "_y")
-        best = F.min(haversine_km("_lat", "_lon", "_rlat", "_rlon")).over(where)
-        front = front.withColumn("_best", best).where(F.col("_least") <= F.col("_best") + SLACK_KM) \
-            .select("_lat", "_lon", "_level", "_x", "_y", "_open")
+        stay = F.array(F.struct(*cell))
+        front = front.select("_lat", "_lon", "_best", F.inline(F.when(F.col("_open"), four).otherwise(stay))).join(cells, cell)
+        front = front.where(haversine_km("_lat", "_lon", "_clat", "_clon") <= F.col("_best") + F.col("_reach") + SLACK_KM) \
+            .select("_lat", "_lon", "_best", *cell, "_open")
         if step % STRIDE == STRIDE - 1:
             front = materialize(front)
-    last = front.select("_lat", "_lon", "_level", "_x", "_y").join(small_side(held, persist=False), ["_level", "_x", "_y"])
-    km = haversine_km("_lat", "_lon", "_rlat", "_rlon")
-    return last.groupBy("_lat", "_lon").agg(F.min(F.struct(km.alias("_km"), F.col("_name").alias("_ref"))).alias("_b")) \
+    # the cells' edges part what their middles did not
+    last = least_km(front.select("_lat", "_lon", "_best", *cell), "_least", "_lat", "_lon", "_level", "_x", "_y")
+    last = last.where(F.col("_least") <= F.col("_best") + SLACK_KM).drop("_least")
+    last = last.join(held, cell).withColumn("_km", km).where(F.col("_km") <= F.col("_best"))
+    return last.groupBy("_lat", "_lon").agg(F.min(F.struct("_km", F.col("_name").alias("_ref"))).alias("_b")) \
         .select("_lat", "_lon", F.col("_b._ref").alias("_ref"), F.col("_b._km").alias("_km"))
