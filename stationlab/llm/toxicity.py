@@ -41,8 +41,8 @@ QUERIES = 64
 CHUNK = 1024
 # texts scored at a time
 TEXTS = 512
-# blocks of like examples in the index
-BLOCKS = 4
+# blocks of like examples in the index: bounds of texts with some hundred known words skip next to nothing, see the README
+BLOCKS = 1
 CACHE_WORDS = 1 << 19
 NEIGHBOURS = 15
 MODEL_SEED = 11
@@ -94,6 +94,8 @@ def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int =
     """A cluster for each unit vector: k-means by cosine on the vectors folded to ``width`` signed places.  Where a
     vector goes only decides how much a query can skip, never a result."""
     m = len(starts) - 1
+    if count == 1:
+        return np.zeros(m, dtype=np.int64)
     folded = np.zeros((m, width), dtype=np.float32)
     for lo in range(0, m, CHUNK):
         hi = min(lo + CHUNK, m)
@@ -136,20 +138,21 @@ class Index:
         self.y = np.array([e[3] for e in examples], dtype=np.float64)
         self.starts = np.concatenate(([0], np.cumsum([len(e[1]) for e in examples]))).astype(np.int64)
         self.places = np.concatenate([np.empty(0, np.int32), *[e[1] for e in examples]]).astype(np.int32)
-        self.tf = np.concatenate([np.empty(0, np.int32), *[e[2] for e in examples]]).astype(np.int32)
+        self.tf = np.concatenate([np.empty(0, np.int32), *[e[2] for e in examples]])
+        self.tf = self.tf.astype(np.uint16 if len(self.tf) and self.tf.max() <= 0xFFFF else np.int32)
         self._vectors()
 
     def _vectors(self) -> None:
         m = len(self.ids)
-        self.x = (1 + np.log(self.tf)) * self.weights[self.places]
+        self.x = (1 + np.log(self.tf, dtype=np.float64)) * self.weights[self.places]
         size = np.diff(self.starts)
         self.x /= np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(m, dtype=np.int32), size), weights=self.x * self.x, minlength=m)), size)
 
     def _build(self) -> None:
         m, n = len(self.ids), len(self.blocks) - 1
         order = np.argsort(self.places, kind="stable")
-        self.post = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.starts))[order]
-        self.post_x = self.x.astype(np.float32)[order]
+        post = np.repeat(np.arange(m, dtype=np.uint16 if m <= 0x10000 else np.int32), np.diff(self.starts))[order]
+        post_x = self.x.astype(np.float32)[order]
         of_place = self.places[order]
         del order
         new = np.flatnonzero(np.concatenate(([True], of_place[1:] != of_place[:-1]))) if len(of_place) else np.empty(0, np.int64)
@@ -157,23 +160,28 @@ class Index:
         self.slot = np.full(PLACES, -1, dtype=np.int32)
         self.slot[used] = np.arange(len(used), dtype=np.int32)
         # segments of one place and block: where they start, and their largest weight
-        segment = self.slot[of_place] * np.int32(n) + np.repeat(np.arange(n, dtype=np.int32), np.diff(self.blocks))[self.post]
+        segment = self.slot[of_place] * np.int32(n) + np.repeat(np.arange(n, dtype=np.int32), np.diff(self.blocks))[post]
         size = np.bincount(segment, minlength=len(used) * n)
         del segment, of_place
-        self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         self.most = np.zeros((len(used), max(n, 1)), dtype=np.float32)
-        if len(self.post):
+        if len(post):
             there = np.flatnonzero(size)
             # rounded up, so that a bound in single precision stays one
-            self.most.reshape(-1)[there] = np.maximum.reduceat(self.post_x, self.first[:-1][there]) * np.float32(1.000001)
-        # postings of frequent words as full rows
+            self.most.reshape(-1)[there] = np.maximum.reduceat(post_x, first[:-1][there]) * np.float32(1.000001)
+        # postings of frequent words as full rows, those of the others as lists
         often = np.flatnonzero(df > max(m // 16, 1))
         self.dense_row = np.full(len(used) + 1, -1, dtype=np.int32)
         self.dense_row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), m), dtype=np.float32)
         for r, t in enumerate(often.tolist()):
-            at = slice(self.first[t * n], self.first[(t + 1) * n])
-            self.dense[r, self.post[at]] = self.post_x[at]
+            at = slice(first[t * n], first[(t + 1) * n])
+            self.dense[r, post[at]] = post_x[at]
+        rare = np.repeat(self.dense_row[:-1] < 0, df)
+        self.post, self.post_x = post[rare], post_x[rare]
+        del post, post_x, rare
+        size.reshape(-1, max(n, 1))[often] = 0
+        self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
         self.query = np.zeros(PLACES)
 
     def __getstate__(self) -> dict:
@@ -212,6 +220,7 @@ class Index:
         row = self.dense_row[slots]
         often[of[row >= 0], row[row >= 0]] = x[row >= 0]
         of, slots, x = of[row < 0], slots[row < 0].astype(np.int64) * n, x[row < 0]
+        ends = np.searchsorted(of, np.arange(q + 1))
         scores = np.zeros((q, len(self.ids)), dtype=np.float32)
         best = np.zeros((q, self.k), dtype=np.float32)
         turn = np.argsort(-bound.mean(axis=0)).tolist()
@@ -222,13 +231,15 @@ class Index:
                 continue
             lo, hi = int(self.blocks[c]), int(self.blocks[c + 1])
             part = often[some] @ self.dense[:, lo:hi]
-            start = self.first[slots + c]
-            size = self.first[slots + c + 1] - start
-            if size.any():
-                for i, (a, b) in enumerate(zip(*[np.searchsorted(of, some, side=side) for side in ("left", "right")])):
-                    n_at = size[a:b]
-                    at = np.arange(n_at.sum(), dtype=np.int32) + np.repeat(start[a:b] - np.cumsum(n_at, dtype=np.int32) + n_at, n_at)
-                    part[i] += np.bincount(self.post[at] - lo, weights=self.post_x[at] * np.repeat(x[a:b], n_at), minlength=hi - lo)
+            start, end = self.first[slots + c], self.first[slots + c + 1]
+            for i, r in enumerate(some.tolist()):
+                a, b = ends[r], ends[r + 1]
+                spans = [slice(*z) for z in zip(start[a:b].tolist(), end[a:b].tolist())]
+                if spans:
+                    at = np.concatenate([self.post[z] for z in spans])
+                    got = np.concatenate([self.post_x[z] for z in spans])
+                    got *= np.repeat(x[a:b], end[a:b] - start[a:b])
+                    part[i] += np.bincount(at, weights=got, minlength=hi)[lo:]
             for i, r in enumerate(some.tolist()):
                 if leave[r] is not None and lo <= leave[r] < hi:
                     part[i, leave[r] - lo] = 0
