@@ -28,9 +28,11 @@ def _combined(kind: str, a: Column, b: Column) -> Column:
 
 
 def carried(df: DataFrame, by: Sequence[str], slot: str, chunk: int, up: Mapping[str, tuple[str, Column]] | None = None,
-            down: Mapping[str, tuple[str, Column]] | None = None, strict: bool = False) -> DataFrame:
+            down: Mapping[str, tuple[str, Column]] | None = None, strict: bool = False,
+            tasks: int | None = None) -> DataFrame:
     """Adds running figures: ``up`` ({name: (kind, expression)}) over all rows of the group up to this
     slot, ``down`` over all rows from this slot on; with ``strict`` this row itself does not count.
+    ``tasks`` is the number of tasks for the windows inside chunks, if Spark is not to choose it.
 
     ``slot`` is an integer column.  Groups with NULL in a key are groups of their own; rows with a NULL
     slot come first."""
@@ -47,6 +49,8 @@ def carried(df: DataFrame, by: Sequence[str], slot: str, chunk: int, up: Mapping
     totals = x.groupBy(*by, "_chunk").agg(*[_AGG[kind](expr).alias(f"_t{i}") for i, (_, _, kind, expr) in enumerate(figures)])
     carry = totals.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate([*by, "_chunk"])],
                           *[_AGG[kind](f"_t{i}").over(chunks[way]).alias(f"_c{i}") for i, (way, _, kind, _) in enumerate(figures)])
+    if tasks:
+        x = x.repartition(tasks, *by, "_chunk")
     x = x.select("*", *[_AGG[kind](expr).over(frames[way]).alias(f"_w{i}") for i, (way, _, kind, expr) in enumerate(figures)])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate([*by, "_chunk"])])
     x = x.join(carry, same, "left")

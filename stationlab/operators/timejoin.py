@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.physical import materialize
@@ -20,6 +20,8 @@ METHODS = ("bfill", "ffill", "nearest")
 # an interval join uses every so many powers of two as bucket width: points are repeated once per width used,
 # and a bucket is at most 2^WIDTH_STEP times as long as its intervals
 WIDTH_STEP = 4
+# rows of both sides of an as-of lookup that one task sorts
+ROWS = 1_000_000
 
 
 def _k(keys: Sequence[str] | str) -> list[str]:
@@ -41,9 +43,16 @@ def _time(number: Column, grain: str) -> Column:
     return F.date_from_unix_date(number.cast("int")) if grain == "day" else F.timestamp_micros(number)
 
 
+def _tasks(spark: SparkSession, n: int) -> int | None:
+    """Tasks for ``n`` rows; None while Spark's own number keeps them small."""
+    if n <= ROWS * spark.sparkContext.defaultParallelism:
+        return None
+    return max(n // ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def asof_lookup(rows: DataFrame, targets: DataFrame, keys: Sequence[str] | str, time_col: str, target_col: str,
                 methods: Mapping[str, str], values: Sequence[str] = (), grain: str = "day",
-                chunk_days: int | None = None) -> DataFrame:
+                chunk_days: int | None = None, n_rows: int | None = None) -> DataFrame:
     """J14 for any number of targets per key: every row of ``targets`` with, per entry of ``methods``
     ({output column: 'bfill' | 'ffill' | 'nearest'}), the first time >= target, the last time <= target,
     or the nearest one (ties to the earlier) among ``rows`` of the same key.  With ``values``, that
@@ -52,7 +61,9 @@ def asof_lookup(rows: DataFrame, targets: DataFrame, keys: Sequence[str] | str,
     Both sides are reduced to one row per (key, time) and merged; the last and next row come from
     windows per (key, time chunk), carried over chunk borders by a window over one row per chunk, so
     rows x targets are never formed and no key sits in one task: a task sees at most ``chunk_days``
-    days of a key.  ``grain`` is 'day' (dates; times are cut to days) or 'micros' (timestamps, chunks
+    days of a key.  Many rows are dealt to as many tasks as keep each at about ``ROWS`` of them, since these rows
+    shrink to a few bytes when shuffled but are sorted in full; they are counted first unless ``n_rows`` says about
+    how many both sides have (it changes no result).  ``grain`` is 'day' (dates; times are cut to days) or 'micros' (timestamps, chunks
     of one day unless given).  Answers, one per (key, time), join back onto the targets.
 
     No match, a NULL key or a NULL time gives NULL; repeated targets are each answered."""
@@ -69,11 +80,16 @@ def asof_lookup(rows: DataFrame, targets: DataFrame, keys: Sequence[str] | str,
     at_type = left.schema["_at"].dataType
     right = targets.select(*own, _clock(targets, target_col, grain).alias("_t"), F.lit(None).cast(at_type).alias("_at"), F.lit(True).alias("_ask"))
     known = _and([F.col(c).isNotNull() for c in [*inner, "_t"]])
+    both, tasks = left.unionByName(right).where(known), _tasks(rows.sparkSession, rows.count() + targets.count() if n_rows is None else n_rows)
+    if tasks:
+        both = both.repartition(tasks, *inner, "_t")
     # thin (one row per key and time), read by both levels: written once
-    line = materialize(left.unionByName(right).where(known).groupBy(*inner, "_t").agg(F.min("_at").alias("_at"), F.max("_ask").alias("_ask")))
-    line = carried(line, inner, "_t", chunk, up={"_last": (MAX, F.col("_at"))}, down={"_next": (MIN, F.col("_at"))})
+    line = materialize(both.groupBy(*inner, "_t").agg(F.min("_at").alias("_at"), F.max("_ask").alias("_ask")))
+    line = carried(line, inner, "_t", chunk, up={"_last": (MAX, F.col("_at"))}, down={"_next": (MIN, F.col("_at"))}, tasks=tasks)
     answers = line.where("_ask").select(*[F.col(c).alias(f"_a{c}") for c in [*inner, "_t"]], "_last", "_next")
     asked = targets.withColumns({f"_q{i}": F.col(f"`{c}`") for i, c in zip(inner, k)} | {"_q_t": _clock(targets, target_col, grain)})
+    if tasks:
+        asked = asked.repartition(tasks, *[f"_q{c}" for c in [*inner, "_t"]])
     joined = asked.join(answers, _and([F.col(f"_q{c}") == F.col(f"_a{c}") for c in [*inner, "_t"]]), "left")
     clock = (lambda c: F.col(c)["_t"]) if values else F.col
     later = F.col("_last").isNull() | (clock("_next") - F.col("_q_t") < F.col("_q_t") - clock("_last"))

@@ -35,7 +35,8 @@ def asof_lookup(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     targets = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").alias("key"), F.to_date("o_orderdate").alias("target")).distinct()
     wet = supplier_panel(spark, sf_dir).where("precip is not null")
-    x = timejoin.asof_lookup(wet, targets, "key", "day", "target", {"next_day": "bfill", "last_day": "ffill", "near_day": "nearest"}, ["precip"])
+    x = timejoin.asof_lookup(wet, targets, "key", "day", "target", {"next_day": "bfill", "last_day": "ffill", "near_day": "nearest"}, ["precip"],
+                             n_rows=2 * li.count())
     return x.select("key", "target", "next_day", "last_day", "near_day", F.col("last_day_precip").alias("last_precip"))
 
 

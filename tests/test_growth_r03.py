@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from stationlab.functions.columns import haversine_km
-from stationlab.operators import quadtree
+from stationlab.operators import quadtree, timejoin
 
 
 def plan_of(df):
@@ -44,3 +44,22 @@ def test_reach_of_a_cell_holds_all_its_places(spark):
                 rows.append((level, x, y, (y + u) / (1 << level) * 180 - 90, (x + v) / (1 << level) * 360 - 180))
     df = quadtree._discs(spark.createDataFrame(rows, "_level int, _x long, _y long, a double, o double"))
     assert df.where(haversine_km("a", "o", "_clat", "_clon") > F.col("_reach") + quadtree.SLACK_KM).count() == 0
+
+
+def test_asof_deals_many_rows_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(r.randint(0, 5), r.randint(0, 900), r.choice([None, 1.5, 2.5])) for _ in range(400)]
+    targets = [(r.choice([0, 0, 1, 2, 7, None]), r.choice([None, *range(0, 900, 7)])) for _ in range(300)]
+    day = "date_add(date'2020-01-01', d)"
+    left = spark.createDataFrame(rows, "k long, d int, v double").selectExpr("k", f"{day} at", "v")
+    right = spark.createDataFrame(targets, "k long, d int").selectExpr("k", f"{day} want")
+    how = {"nxt": "bfill", "prev": "ffill", "near": "nearest"}
+    few = timejoin.asof_lookup(left, right, "k", "at", "want", how, ["v"])
+    monkeypatch.setattr(timejoin, "ROWS", 20)
+    many = timejoin.asof_lookup(left, right, "k", "at", "want", how, ["v"])
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    assert many.count() == 300
+    told = timejoin.asof_lookup(left, right, "k", "at", "want", how, ["v"], n_rows=800)
+    assert sorted(map(str, told.collect())) == sorted(map(str, few.collect())) and ", 41)" in told._jdf.queryExecution().sparkPlan().toString()
+    plan = many._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(", 36)") >= 2 and ", 36)" not in few._jdf.queryExecution().sparkPlan().toString()  # 700 rows
