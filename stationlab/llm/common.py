@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole(name: str, drop: Callable[[], None]) -> None:
+    """Says that this Python worker now works for ``name``, whose cache ``drop`` empties.  Workers serve one stage
+    after another; the caches of those before would stay beside the new ones."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = drop
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read again: cuts the lineage,
     is computed once however often it is read, and outlives any executor."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, held_out, own_columns, packed, ship, table, unpacked, written
+from .common import checked, held_out, own_columns, packed, ship, sole, table, unpacked, written
 
 TERM = re.compile(r"\w+")
+# other characters than letters, digits and underscores: beyond ASCII, and (as a table of bytes, which lower-cases too) in it
+MARK = re.compile(r"[^\x00-\x7f\w]")
+BYTES = bytes(ord(chr(b).lower()) if b > 127 or TERM.match(chr(b)) else 32 for b in range(128)) + bytes(range(128, 256))
 PLACES = 1 << 20
 # weight of a word that does not speak for toxicity, beside the log-odds of those that do
 FLOOR = 0.1
 INDEX_ROWS = 20_000
-QUERIES = 64
+QUERIES = 128
 # examples folded at a time
 CHUNK = 1024
 # texts scored at a time
@@ -45,6 +48,10 @@ TEXTS = 512
 BLOCKS = 1
 CACHE_WORDS = 1 << 19
 NEIGHBOURS = 15
+# scores of which the largest is looked at first when the best are sought
+COLUMN = 25
+# places are first compared folded, in a table that stays in a core's cache
+FOLDED = 1 << 16
 MODEL_SEED = 11
 
 
@@ -57,12 +64,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 class Places(dict):
-    """word -> place, computed on first use.  Bounded: emptied when full."""
+    """word (its UTF-8 bytes) -> place, computed on first use.  Bounded: emptied when full."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        at = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (PLACES - 1)
+        at = self[word] = xxhash.xxh3_64_intdigest(word) & (PLACES - 1)
         return at
 
 
@@ -71,7 +78,7 @@ _PLACES = Places()
 
 def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places of the words and their counts."""
-    places = np.fromiter(map(_PLACES.__getitem__, counts), dtype=np.int32, count=len(counts))
+    places = np.fromiter((_PLACES[w.encode("utf-8", "surrogatepass")] for w in counts), dtype=np.int32, count=len(counts))
     tf = np.fromiter(counts.values(), dtype=np.int32, count=len(counts))
     order = np.argsort(places)
     places, tf = places[order], tf[order]
@@ -83,16 +90,29 @@ def words_of(text: str | None) -> Counter:
     return Counter(TERM.findall((text or "").lower()))
 
 
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed(words_of(text))``, without the words as strings."""
+    text = text or ""
+    if not text.isascii():
+        text = MARK.sub(" ", text.lower())
+    words = text.encode("utf-8", "surrogatepass").translate(BYTES).split()
+    places = np.fromiter(map(_PLACES.__getitem__, words), dtype=np.int32, count=len(words))
+    places.sort()
+    new = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else np.empty(0, dtype=np.int64)
+    return places[new], np.diff(np.append(new, len(places))).astype(np.int32)
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("toxicity", _PLACES.clear)
     for batch in batches:
-        found = [hashed(words_of(t)) for t in batch.column(1).to_pylist()]
+        found = [terms_of(t) for t in batch.column(1).to_pylist()]
         words, tf = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), words, tf, batch.column(2)], ["id", "words", "tf", "y"])
 
 
-def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int = BLOCKS, width: int = 128, rounds: int = 8) -> np.ndarray:
-    """A cluster for each unit vector: k-means by cosine on the vectors folded to ``width`` signed places.  Where a
-    vector goes only decides how much a query can skip, never a result."""
+def clusters(starts: np.ndarray, places: np.ndarray, x: Callable[[int, int], np.ndarray], count: int = BLOCKS, width: int = 128, rounds: int = 8) -> np.ndarray:
+    """A cluster for each unit vector: k-means by cosine on the vectors folded to ``width`` signed places; ``x``
+    gives the components of some vectors.  Where a vector goes only decides how much a query can skip, never a result."""
     m = len(starts) - 1
     if count == 1:
         return np.zeros(m, dtype=np.int64)
@@ -103,7 +123,7 @@ def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int =
         mixed = places[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sign = np.where((mixed >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
         place = np.repeat(np.arange(hi - lo), np.diff(starts[lo: hi + 1])) * width + (mixed >> np.uint64(50)).astype(np.int64) % width
-        folded[lo:hi] = np.bincount(place, weights=x[at] * sign, minlength=(hi - lo) * width).reshape(hi - lo, width)
+        folded[lo:hi] = np.bincount(place, weights=x(lo, hi) * sign, minlength=(hi - lo) * width).reshape(hi - lo, width)
     center = folded[np.linspace(0, m - 1, min(count, m)).astype(int)]
     for _ in range(rounds):
         at = (folded @ center.T).argmax(axis=1)
@@ -112,6 +132,11 @@ def clusters(starts: np.ndarray, places: np.ndarray, x: np.ndarray, count: int =
     return (folded @ center.T).argmax(axis=1)
 
 
+# what an index builds from its counts
+BUILT = ("slot", "dense_row", "dense", "most", "post", "post_x", "first", "there", "numbers")
+_BUILT: list["Index"] = []
+
+
 class Index:
     """Block-max inverted index over unit vectors of labelled examples, given as (id, places, counts, label).
 
@@ -119,7 +144,8 @@ class Index:
     largest weight in it; the sum of these over a query's places, times the query's weights, bounds every
     cosine in the block.  Blocks are read from the largest bound down, and a block whose bound does not
     reach the query's k-th score so far is skipped with all its postings.
-    Only the counts are pickled; vectors and postings are made again where it is read."""
+    Only the counts are pickled; postings are built where they are first asked for, and a process holds those of one
+    index, the last one asked: Python workers outlive stages and keep the indexes that were sent to them."""
 
     def __init__(self, weights: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], base: float,
                  rates: tuple[float, float] = (1.0, 1.0), k: int = NEIGHBOURS):
@@ -127,11 +153,11 @@ class Index:
         self.blocks = np.zeros(1, dtype=np.int64)
         self._set(examples)
         if len(examples):
-            at = clusters(self.starts, self.places, self.x)
-            self._set([examples[i] for i in np.argsort(at, kind="stable").tolist()])
+            at = clusters(self.starts, self.places, self._unit)
+            if at.any():
+                self._set([examples[i] for i in np.argsort(at, kind="stable").tolist()])
             self.blocks = np.concatenate(([0], np.cumsum(np.bincount(at)[np.bincount(at) > 0]))).astype(np.int64)
         self.slope, self.shift = 1.0, 0.0
-        self._build()
 
     def _set(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]]) -> None:
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
@@ -140,57 +166,92 @@ class Index:
         self.places = np.concatenate([np.empty(0, np.int32), *[e[1] for e in examples]]).astype(np.int32)
         self.tf = np.concatenate([np.empty(0, np.int32), *[e[2] for e in examples]])
         self.tf = self.tf.astype(np.uint16 if len(self.tf) and self.tf.max() <= 0xFFFF else np.int32)
-        self._vectors()
-
-    def _vectors(self) -> None:
-        m = len(self.ids)
-        self.x = (1 + np.log(self.tf, dtype=np.float64)) * self.weights[self.places]
-        size = np.diff(self.starts)
-        self.x /= np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(m, dtype=np.int32), size), weights=self.x * self.x, minlength=m)), size)
+        self._norms()
+
+    def _norms(self) -> None:
+        self.norm = np.ones(len(self.ids))
+        for lo in range(0, len(self.ids), CHUNK):
+            hi = min(lo + CHUNK, len(self.ids))
+            x, of = self._unit(lo, hi), np.repeat(np.arange(hi - lo), np.diff(self.starts[lo: hi + 1]))
+            self.norm[lo:hi] = np.sqrt(np.bincount(of, weights=x * x, minlength=hi - lo))
+
+    def _unit(self, lo: int, hi: int) -> np.ndarray:
+        """The components of the unit vectors of some examples, beside their ``places``."""
+        at = slice(int(self.starts[lo]), int(self.starts[hi]))
+        x = (1 + np.log(self.tf[at], dtype=np.float64)) * self.weights[self.places[at]]
+        return x / np.repeat(self.norm[lo:hi], np.diff(self.starts[lo: hi + 1]))
+
+    @property
+    def x(self) -> np.ndarray:
+        """The components of all unit vectors: made when asked for, not held."""
+        return self._unit(0, len(self.ids))
 
     def _build(self) -> None:
+        """The postings, some examples at a time, so that building takes little more memory than they do."""
         m, n = len(self.ids), len(self.blocks) - 1
-        order = np.argsort(self.places, kind="stable")
-        post = np.repeat(np.arange(m, dtype=np.uint16 if m <= 0x10000 else np.int32), np.diff(self.starts))[order]
-        post_x = self.x.astype(np.float32)[order]
-        of_place = self.places[order]
-        del order
-        new = np.flatnonzero(np.concatenate(([True], of_place[1:] != of_place[:-1]))) if len(of_place) else np.empty(0, np.int64)
-        used, df = of_place[new], np.diff(np.append(new, len(of_place)))
+        df = np.bincount(self.places, minlength=PLACES)
+        used = np.flatnonzero(df)
+        df = df[used]
         self.slot = np.full(PLACES, -1, dtype=np.int32)
         self.slot[used] = np.arange(len(used), dtype=np.int32)
-        # segments of one place and block: where they start, and their largest weight
-        segment = self.slot[of_place] * np.int32(n) + np.repeat(np.arange(n, dtype=np.int32), np.diff(self.blocks))[post]
-        size = np.bincount(segment, minlength=len(used) * n)
-        del segment, of_place
-        first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        self.most = np.zeros((len(used), max(n, 1)), dtype=np.float32)
-        if len(post):
-            there = np.flatnonzero(size)
-            # rounded up, so that a bound in single precision stays one
-            self.most.reshape(-1)[there] = np.maximum.reduceat(post_x, first[:-1][there]) * np.float32(1.000001)
         # postings of frequent words as full rows, those of the others as lists
         often = np.flatnonzero(df > max(m // 16, 1))
         self.dense_row = np.full(len(used) + 1, -1, dtype=np.int32)
         self.dense_row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), m), dtype=np.float32)
-        for r, t in enumerate(often.tolist()):
-            at = slice(first[t * n], first[(t + 1) * n])
-            self.dense[r, post[at]] = post_x[at]
-        rare = np.repeat(self.dense_row[:-1] < 0, df)
-        self.post, self.post_x = post[rare], post_x[rare]
-        del post, post_x, rare
-        size.reshape(-1, max(n, 1))[often] = 0
+        self.dense = np.zeros((m, len(often)), dtype=np.float32)
+        # segments of one place and block: how many postings are in their lists, and their largest weight
+        size = np.zeros(len(used) * n, dtype=np.int32)
+        self.most = np.zeros((len(used), max(n, 1)), dtype=np.float32)
+        df[often] = 0
+        free = np.cumsum(df) - df
+        self.post = np.empty(int(df.sum()), dtype=np.uint16 if m <= 0x10000 else np.int32)
+        self.post_x = np.empty(len(self.post), dtype=np.float32)
+        for block in range(n):
+            for lo in range(int(self.blocks[block]), int(self.blocks[block + 1]), CHUNK):
+                hi = min(lo + CHUNK, int(self.blocks[block + 1]))
+                at = slice(int(self.starts[lo]), int(self.starts[hi]))
+                of = np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(self.starts[lo: hi + 1]))
+                slots = self.slot[self.places[at]]
+                x = self._unit(lo, hi).astype(np.float32)
+                order = np.argsort(slots, kind="stable")
+                slots, of, x = slots[order], of[order], x[order]
+                first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1]))) if len(slots) else np.empty(0, np.int64)
+                here, count = slots[first], np.diff(np.append(first, len(slots)))
+                if len(first):
+                    # rounded up, so that a bound in single precision stays one
+                    self.most[here, block] = np.maximum(self.most[here, block], np.maximum.reduceat(x, first) * np.float32(1.000001))
+                row = self.dense_row[slots]
+                full = row >= 0
+                self.dense[of[full], row[full]] = x[full]
+                listed = self.dense_row[here] < 0
+                to = (np.repeat(free[here] - first, count) + np.arange(len(slots)))[~full]
+                self.post[to], self.post_x[to] = of[~full], x[~full]
+                here, count = here[listed], count[listed]
+                free[here] += count
+                size[here.astype(np.int64) * n + block] += count.astype(np.int32)
         self.first = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        self.query = np.zeros(PLACES)
+        self.there, self.numbers = np.zeros(FOLDED, dtype=bool), np.arange(1)
+
+    def __getattr__(self, name: str):
+        if name not in BUILT:
+            raise AttributeError(name)
+        for other in _BUILT:
+            other.release()
+        _BUILT[:] = [self]
+        self._build()
+        return self.__dict__[name]
+
+    def release(self) -> None:
+        """Lets go of the postings; they are built again when they are asked for."""
+        for name in BUILT:
+            self.__dict__.pop(name, None)
+        _BUILT[:] = [x for x in _BUILT if x is not self]
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("weights", "base", "rates", "k", "ids", "y", "starts", "places", "tf", "blocks", "slope", "shift")}
+        return {k: getattr(self, k) for k in ("weights", "base", "rates", "k", "ids", "y", "starts", "places", "tf", "norm", "blocks", "slope", "shift")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._vectors()
-        self._build()
 
     def unit(self, places: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(tf)) * self.weights[places]
@@ -201,6 +262,12 @@ class Index:
         places, x = self.unit(*hashed(counts))
         return dict(zip(places.tolist(), x.tolist()))
 
+    def counter(self, n: int) -> np.ndarray:
+        """0 to ``n`` - 1."""
+        if len(self.numbers) < n:
+            self.numbers = np.arange(2 * n)
+        return self.numbers[:n]
+
     def _bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """The queries over the index's own places, and a bound of their cosines per block (queries x blocks)."""
         known, bound = [], np.zeros((len(queries), len(self.blocks) - 1), dtype=np.float32)
@@ -215,13 +282,13 @@ class Index:
     def _scores(self, known: list[tuple[np.ndarray, np.ndarray]], bound: np.ndarray, leave: list[int | None]) -> np.ndarray:
         """Cosines in single precision (queries x examples); 0 in blocks that a query skips."""
         q, n = len(known), len(self.blocks) - 1
-        often = np.zeros((q, len(self.dense)), dtype=np.float32)
+        often = np.zeros((q, self.dense.shape[1]), dtype=np.float32)
         of, slots, x = np.repeat(np.arange(q), [len(s) for s, _ in known]), *[np.concatenate(z) for z in zip(*known)]
         row = self.dense_row[slots]
         often[of[row >= 0], row[row >= 0]] = x[row >= 0]
         of, slots, x = of[row < 0], slots[row < 0].astype(np.int64) * n, x[row < 0]
         ends = np.searchsorted(of, np.arange(q + 1))
-        scores = np.zeros((q, len(self.ids)), dtype=np.float32)
+        scores = np.zeros((q, len(self.ids)), dtype=np.float32) if n > 1 else None
         best = np.zeros((q, self.k), dtype=np.float32)
         turn = np.argsort(-bound.mean(axis=0)).tolist()
         for c in turn:
@@ -230,19 +297,23 @@ class Index:
             if not len(some):
                 continue
             lo, hi = int(self.blocks[c]), int(self.blocks[c + 1])
-            part = often[some] @ self.dense[:, lo:hi]
-            start, end = self.first[slots + c], self.first[slots + c + 1]
+            part = often[some] @ self.dense[lo:hi].T
+            start, end = self.first[slots + c].astype(np.int64), self.first[slots + c + 1].astype(np.int64)
+            count = end - start
+            shift = start - (np.cumsum(count) - count)
             for i, r in enumerate(some.tolist()):
                 a, b = ends[r], ends[r + 1]
-                spans = [slice(*z) for z in zip(start[a:b].tolist(), end[a:b].tolist())]
-                if spans:
-                    at = np.concatenate([self.post[z] for z in spans])
-                    got = np.concatenate([self.post_x[z] for z in spans])
-                    got *= np.repeat(x[a:b], end[a:b] - start[a:b])
-                    part[i] += np.bincount(at, weights=got, minlength=hi)[lo:]
+                if a < b:
+                    posting = np.repeat(shift[a:b] - shift[a] + start[a], count[a:b])
+                    posting += self.counter(len(posting))
+                    got = self.post_x.take(posting)
+                    got *= np.repeat(x[a:b], count[a:b])
+                    part[i] += np.bincount(self.post.take(posting), weights=got, minlength=hi)[lo:]
             for i, r in enumerate(some.tolist()):
                 if leave[r] is not None and lo <= leave[r] < hi:
                     part[i, leave[r] - lo] = 0
+            if n == 1:
+                return part
             scores[some, lo:hi] = part
             if c == turn[-1]:
                 break
@@ -251,17 +322,32 @@ class Index:
         return scores
 
     def _best(self, query: tuple[np.ndarray, np.ndarray], scores: np.ndarray) -> list[tuple[float, int, float]]:
-        k = min(self.k, len(scores))
+        """The k best of ``query`` (its places ascending), from its scores in single precision."""
+        # k examples reach the k-th largest of the columns' maxima, so the k-th score does
+        width = len(scores) // COLUMN
+        least = np.partition(scores[: COLUMN * width].reshape(COLUMN, width).max(axis=0), width - self.k)[width - self.k] \
+            if width >= self.k else np.float32(0)
         # single precision leaves at most 1e-5: what can be among the k is compared exactly
-        at = np.flatnonzero((scores > 0) & (scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2e-5))
+        at = np.flatnonzero(scores >= least - 2e-5 if least > 3e-5 else scores > 0)
+        if len(at) > self.k:
+            near = scores[at]
+            at = at[near >= np.partition(near, len(near) - self.k)[len(near) - self.k] - 2e-5]
         if not len(at):
             return []
-        self.query[query[0]] = query[1]
-        lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        entry = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
-        exact = np.add.reduceat(self.query[self.places[entry]] * self.x[entry], np.cumsum(size) - size).round(9)
-        self.query[query[0]] = 0
-        top = np.lexsort((self.ids[at], -exact))[:k]
+        spans = [slice(*z) for z in zip(self.starts[at].tolist(), self.starts[at + 1].tolist())]
+        places, tf = np.concatenate([self.places[z] for z in spans]), np.concatenate([self.tf[z] for z in spans])
+        size = np.array([z.stop - z.start for z in spans])
+        own, x = query
+        self.there[own & (FOLDED - 1)] = True
+        both = np.flatnonzero(self.there[places & (FOLDED - 1)])
+        self.there[own & (FOLDED - 1)] = False
+        # of these a few only share the folded place
+        place = np.minimum(np.searchsorted(own, places[both]), len(own) - 1)
+        both, place = (z[own[place] == places[both]] for z in (both, place))
+        product = np.zeros(len(tf))
+        product[both] = x[place] * ((1 + np.log(tf[both], dtype=np.float64)) * self.weights[own][place] / np.repeat(self.norm[at], size)[both])
+        exact = np.add.reduceat(product, np.cumsum(size) - size).round(9)
+        top = np.lexsort((self.ids[at], -exact))[:self.k]
         return [(float(exact[i]), int(self.ids[at[i]]), float(self.y[at[i]])) for i in top]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> list[list[tuple[float, int, float]]]:
@@ -280,7 +366,7 @@ class Index:
         return out
 
     def nearest(self, v: dict[int, float]) -> list[tuple[float, int, float]]:
-        return self.nearest_of([(np.array(list(v), dtype=np.int32), np.array(list(v.values())))])[0]
+        return self.nearest_of([(np.array(sorted(v), dtype=np.int32), np.array([v[p] for p in sorted(v)]))])[0]
 
     def share(self, near: list[tuple[float, int, float]]) -> float:
         """Distance-weighted toxic share of the votes, drawn to the base rate by one far vote."""
@@ -290,7 +376,7 @@ class Index:
     def calibrate(self, most: int = 1000) -> None:
         """Logistic fit of the leave-one-out shares of evenly spaced examples (at most ``most``)."""
         at = np.unique(np.linspace(0, len(self.ids) - 1, min(most, len(self.ids))).astype(int)).tolist() if len(self.ids) else []
-        queries = [(self.places[a:b], self.x[a:b]) for a, b in ((self.starts[i], self.starts[i + 1]) for i in at)]
+        queries = [(self.places[self.starts[i]: self.starts[i + 1]], self._unit(i, i + 1)) for i in at]
         x = np.array([logit(self.share(near)) for near in self.nearest_of(queries, at)])
         y = self.y[at]
         if len(x) >= 20 and 0 < y.mean() < 1:
@@ -299,7 +385,7 @@ class Index:
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int, float]]]]:
         once = {t: i for i, t in enumerate(dict.fromkeys(texts))}
         found = []
-        for near in self.nearest_of([self.unit(*hashed(words_of(t))) for t in once]):
+        for near in self.nearest_of([self.unit(*terms_of(t)) for t in once]):
             p = 1 / (1 + np.exp(-(self.slope * logit(self.share(near)) + self.shift))) if near else self.base
             found.append((float(p), near))
         return [found[once[t]] for t in texts]
@@ -361,6 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
     del found
     index = Index(weights, sorted(examples, key=lambda e: (e[0], len(e[1]))), (n1 - m1 + n1 / n) / (n - m + 1), rates)
     index.calibrate()
+    index.release()
     return index
 
 
@@ -370,6 +457,7 @@ def scorer(spark: SparkSession, index: Index, evidence: bool = True):
     shared = spark.sparkContext.broadcast(index)
 
     def slices(text: pa.Array) -> Iterator[tuple[float, list[tuple[float, int, float]]]]:
+        sole("toxicity", _PLACES.clear)
         for i in range(0, len(text), TEXTS):
             yield from shared.value.scores(text.slice(i, TEXTS).to_pylist())
 
