@@ -48,6 +48,8 @@ NULL_ID = -(1 << 63)
 HASH = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BITS = 19
 NONE = 1 << BUCKET_BITS
+# symbols paired and hashed at a time: their arrays stay in a core's cache
+STEP = 1 << 15
 BLOCK_SCHEMA = "shard long, block long, first_id long, shard_start long, n_docs long, n_ids long, payload binary"
 
 
@@ -68,11 +70,19 @@ def grammar(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_per_r
     for _ in range(rounds):
         if len(sym) < 2:
             break
-        pair = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
+        pair, bucket = np.empty(len(sym) - 1, dtype=np.uint64), np.empty(len(sym) - 1, dtype=np.intp)
+        steps = [slice(lo, min(lo + STEP, len(pair))) for lo in range(0, len(pair), STEP)]
         # counts by hash bucket; a bucket counts only the pair that holds it
-        bucket = ((pair * HASH) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-        holder[bucket] = pair
-        bucket[(holder[bucket] != pair) | is_end[:-1]] = NONE
+        for at in steps:
+            code, hashed = pair[at], bucket[at].view(np.uint64)
+            code[:] = sym[at]
+            code <<= np.uint64(32)
+            code |= sym[at.start + 1: at.stop + 1]
+            np.multiply(code, HASH, out=hashed)
+            hashed >>= np.uint64(64 - BUCKET_BITS)
+            holder[bucket[at]] = code
+        for at in steps:
+            np.putmask(bucket[at], (np.take(holder, bucket[at], mode="clip") != pair[at]) | is_end[at], NONE)
         counts = np.bincount(bucket, minlength=NONE + 1)
         counts[NONE] = 0
         chosen = np.flatnonzero(counts >= least_count)
@@ -85,8 +95,8 @@ def grammar(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_per_r
         ranks = np.zeros(NONE + 1, dtype=np.int32)
         ranks[chosen] = np.arange(1, len(chosen) + 1)
         r = np.zeros(len(pair) + 2, dtype=np.int32)
-        r[1:-1] = ranks[bucket]
         before, own, after = r[:-2], r[1:-1], r[2:]
+        np.take(ranks, bucket, out=own, mode="clip")
         take = (own > before) & (own >= after)
         # a run of one repeated pair (x x x x): every second place from its start
         flat = np.flatnonzero((own > 0) & (own == before))
@@ -98,14 +108,16 @@ def grammar(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_per_r
         where = np.flatnonzero(take)
         if not len(where):
             break
-        used, new = np.unique(own[where], return_inverse=True)
+        rank = own[where] - 1
+        used = np.flatnonzero(np.bincount(rank))
+        new = np.zeros(len(chosen), dtype=np.uint32)
+        new[used] = np.arange(n_symbols, n_symbols + len(used), dtype=np.uint32)
         codes = holder[chosen]
-        used = used - 1
         left, right = (codes[used] >> np.uint64(32)).astype(np.uint32), codes[used].astype(np.uint32)
         rules.append(np.stack([left, right], axis=1))
         so_far = np.concatenate([np.ones(len(literals), dtype=np.uint32), *lengths])
         lengths.append(so_far[left] + so_far[right])
-        sym[where] = (n_symbols + new).astype(np.uint32)
+        sym[where] = new[rank]
         keep = np.ones(len(sym), dtype=bool)
         keep[where + 1] = False
         is_end[where] = is_end[where + 1]
