@@ -46,8 +46,8 @@ def ship(spark: SparkSession) -> None:
 _CACHES: dict[str, Callable[[], None]] = {}
 
 
-def sole(name: str, drop: Callable[[], None]) -> None:
-    """Says that this Python worker now works for ``name``, whose cache ``drop`` empties.  Workers serve one stage
+def sole(name: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Says that this Python worker now works for ``name``, whose caches, if any, ``drop`` empties.  Workers serve one stage
     after another; the caches of those before would stay beside the new ones."""
     for other in [k for k in _CACHES if k != name]:
         _CACHES.pop(other)()

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, own_columns, packed, ship, table, text_key, unpacked, written
+from .common import checked, own_columns, packed, ship, sole, table, text_key, unpacked, written
 from .features import shingle_hashes, utf8_texts
 
 N = 3
@@ -302,6 +302,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("jaccard_join")
         for batch in batches:
             sizes, classes, prefixes, signatures = [], [], [], []
             for text in utf8_texts(batch.column(1)):
@@ -326,6 +327,7 @@ def reordered(texts: DataFrame, n: int, percent: int, common: np.ndarray) -> Dat
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("jaccard_join")
         for batch in batches:
             sets = [s for s in (shingle_hashes(t, n) for t in utf8_texts(batch.column(0))) if len(s)]
             yield pa.RecordBatch.from_arrays(
@@ -368,6 +370,7 @@ def reachable(blocks: DataFrame, limit: int) -> DataFrame:
     component; of blocks with the same sets, one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("jaccard_join")
         out: list[tuple] = []
         for block, held in by_block(batches, 3):
             if len(held) > 1:
@@ -415,6 +418,7 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
         """The members that their blocks' signature trees cannot part; of blocks with the same ones, one."""
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole("jaccard_join")
             out: list[tuple] = []
             for block, held in by_block(batches, 4):
                 # repeated rows of one document bring the set twice
@@ -466,6 +470,7 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
                                              ["set_id", "tokens"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("jaccard_join")
         for _, held in by_block(batches, 4):
             # repeated rows of one document bring the set twice
             classes, labels, sides, raw = zip(*{(r[0], r[2]): r for r in held}.values())

@@ -102,8 +102,15 @@ def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return places[new], np.diff(np.append(new, len(places))).astype(np.int32)
 
 
+def forget() -> None:
+    """Empties what this process keeps for scoring."""
+    _PLACES.clear()
+    for index in list(_BUILT):
+        index.release()
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sole("toxicity", _PLACES.clear)
+    sole("toxicity", forget)
     for batch in batches:
         found = [terms_of(t) for t in batch.column(1).to_pylist()]
         words, tf = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
@@ -457,7 +464,7 @@ def scorer(spark: SparkSession, index: Index, evidence: bool = True):
     shared = spark.sparkContext.broadcast(index)
 
     def slices(text: pa.Array) -> Iterator[tuple[float, list[tuple[float, int, float]]]]:
-        sole("toxicity", _PLACES.clear)
+        sole("toxicity", forget)
         for i in range(0, len(text), TEXTS):
             yield from shared.value.scores(text.slice(i, TEXTS).to_pylist())
 

@@ -14,11 +14,12 @@ ODD = list("abXY_09 .,\n\t\x1c\x85 é ßÖİ—“日²٣́\ud800ſK")
 def test_a_worker_holds_one_operators_caches():
     list(encoder(vocabulary_path(token_files.VOCABULARY)).encode(["some words"], 0))
     assert _ENCODERS
-    common.sole("toxicity", toxicity._PLACES.clear)
+    common.sole("toxicity", toxicity.forget)
     assert not _ENCODERS
-    toxicity.terms_of("some words")
+    index = toxicity.Index(np.ones(toxicity.PLACES), [(1, *toxicity.terms_of("some words"), 1)], 0.5)
+    index.nearest(index.vector({"some": 1}))
     encoder(vocabulary_path(token_files.VOCABULARY))
-    assert not toxicity._PLACES
+    assert not toxicity._PLACES and "post" not in index.__dict__
 
 
 def test_a_process_holds_the_postings_of_one_index():
