@@ -188,11 +188,6 @@ class Index:
         x = (1 + np.log(self.tf[at], dtype=np.float64)) * self.weights[self.places[at]]
         return x / np.repeat(self.norm[lo:hi], np.diff(self.starts[lo: hi + 1]))
 
-    @property
-    def x(self) -> np.ndarray:
-        """The components of all unit vectors: made when asked for, not held."""
-        return self._unit(0, len(self.ids))
-
     def _build(self) -> None:
         """The postings, some examples at a time, so that building takes little more memory than they do."""
         m, n = len(self.ids), len(self.blocks) - 1
@@ -240,6 +235,9 @@ class Index:
         self.there, self.numbers = np.zeros(FOLDED, dtype=bool), np.arange(1)
 
     def __getattr__(self, name: str):
+        if name == "x":  # the components of all unit vectors: made when asked for, which no score does
+            self.x = self._unit(0, len(self.ids))
+            return self.x
         if name not in BUILT:
             raise AttributeError(name)
         for other in _BUILT:
