@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,11 +55,21 @@ def sole(name: str, drop: Callable[[], None] = lambda: None) -> None:
     _CACHES[name] = drop
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system.  The C library keeps what lies below a block in use:
+    in a driver most of what a fit on collected examples took, beside everything that later stages need."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not this C library
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read again: cuts the lineage,
     is computed once however often it is read, and outlives any executor."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    give_back()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

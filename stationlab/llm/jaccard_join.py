@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, own_columns, packed, ship, sole, table, text_key, unpacked, written
+from .common import BROADCAST_ROWS, checked, own_columns, packed, ship, sole, table, text_key, unpacked, written
 from .features import shingle_hashes, utf8_texts
 
 N = 3
@@ -61,6 +61,8 @@ FULL_BITS = 8
 # a token is common if more than one in so many documents has it in its prefix; hence at most
 # COMMON_ONE_IN * (mean prefix length) tokens are common, whatever the number of documents
 COMMON_ONE_IN = 500
+# members of blocks have seven columns: broadcast up to as many cells as a table of two columns has (without it a broadcast took 42 MB)
+BROADCAST_MEMBERS = 2 * BROADCAST_ROWS // 7
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -450,7 +452,7 @@ def block_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
         needed = checked(written(left.select("class_id").distinct()))
         texts = texts_of(docs, id_col, text_col, one_each.join(needed, "class_id", "left_semi").select("one_id"))
         made = texts.mapInArrow(work, f"set_id long, {columns}")
-        return made.join(checked(left), F.col("class_id") == F.col("set_id"))
+        return made.join(checked(left, BROADCAST_MEMBERS), F.col("class_id") == F.col("set_id"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

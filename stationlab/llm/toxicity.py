@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, held_out, own_columns, packed, ship, sole, table, unpacked, written
+from .common import checked, give_back, held_out, own_columns, packed, ship, sole, table, unpacked, written
 
 TERM = re.compile(r"\w+")
 # other characters than letters, digits and underscores: beyond ASCII, and (as a table of bytes, which lower-cases too) in it
@@ -451,8 +451,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", index_rows: in
         examples += zip(batch.column(0).to_pylist(), words, tf, batch.column(3).to_pylist())
     del found
     index = Index(weights, sorted(examples, key=lambda e: (e[0], len(e[1]))), (n1 - m1 + n1 / n) / (n - m + 1), rates)
+    del examples
     index.calibrate()
     index.release()
+    give_back()
     return index
 
 
