@@ -23,9 +23,12 @@ from ..functions.columns import MIX_FINAL_OFFSETS, MIX_MODULUS, MIX_MULTIPLIER,
 from ..plans.physical import attach, materialize
 
 PAIR = ["group_id", "pair_no"]
-# pairs sampled by one task: its aggregations hold pairs x samples groups (up to 128 pairs Spark takes the
+# pairs whose samples one task returns as rows made a few at a time (about two million at 2,000 samples, 6 MB of Parquet)
+PAIRS_PER_TASK = 1000
+# pairs of a task that holds them together: its aggregations have pairs x samples groups (up to 128 pairs Spark takes the
 # quantiles without sorting), and an Arrow batch pairs x samples doubles a figure (2 MB at 2,000 samples)
-PAIRS_PER_TASK = 100
+PAIRS_HELD = 100
+ROWS_PER_BATCH = 1 << 16
 
 
 def _k(keys) -> list[str]:
@@ -122,10 +125,10 @@ def splice_windows(daily: DataFrame, pairs: DataFrame, keys: Sequence[str], date
         .select(*PAIR, "side", "bin", "bin_end", "n_bins", *value_cols)
 
 
-def _spread(bins: DataFrame) -> DataFrame:
-    """The small bin table, written once and hash-partitioned by pair into as many parts as its pairs need."""
+def _spread(bins: DataFrame, pairs: int) -> DataFrame:
+    """The small bin table, written once and hash-partitioned by pair into parts of about ``pairs`` pairs."""
     bins = materialize(bins)
-    parts = math.ceil(bins.select(*PAIR).distinct().count() / PAIRS_PER_TASK)
+    parts = math.ceil(bins.select(*PAIR).distinct().count() / pairs)
     return bins.repartition(max(parts, 2 * bins.sparkSession.sparkContext.defaultParallelism, 1), *PAIR)
 
 
@@ -140,7 +143,7 @@ def _draws(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int
     the cluster (otherwise AQE coalesces it into one task), both sides of a pair land in the same
     task, and every aggregation downstream that groups by pair (plus sample) reuses that
     partitioning instead of shuffling the draws."""
-    per_side = _spread(bins).groupBy(*PAIR, "side").agg(
+    per_side = _spread(bins, PAIRS_HELD).groupBy(*PAIR, "side").agg(
         F.max("n_bins").alias("n_bins"),
         F.sort_array(F.collect_list(F.struct("bin", *value_cols))).alias("_arr"))
     # The md5 of (seed, pair, side) is taken once per side; a sample's state is one integer
@@ -163,11 +166,16 @@ class MatrixStatistic:
     non-NULL values (``least`` or more of them, equally many in every column) and returns one float per
     column; a sample with fewer values gives NULL.
 
+    ``masked``, if given, is the same statistic of samples that hold NULLs: it gets the matrix with 0 for a
+    NULL, a matrix with 1 where there is a value and 0 elsewhere, and the number of values per column.  Without it
+    the samples are grouped by their number of values, which takes several times as long.
+
     :func:`bootstrap_diffs` takes these without one row per draw; as a function of a column it is an
     aggregate like any other."""
 
-    def __init__(self, func: Callable[[np.ndarray], np.ndarray], least: int = 1):
-        self.func, self.least = func, max(least, 1)
+    def __init__(self, func: Callable[[np.ndarray], np.ndarray], least: int = 1,
+                 masked: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None):
+        self.func, self.least, self.masked = func, max(least, 1), masked
 
     def __call__(self, c: Column) -> Column:
         func, least = self.func, self.least
@@ -175,7 +183,9 @@ class MatrixStatistic:
 
 
 STAT_FUNCS = {"mean": F.avg, "std": F.stddev_samp}
-MATRIX_STATS = {"mean": MatrixStatistic(lambda v: v.mean(axis=0)), "std": MatrixStatistic(lambda v: v.std(axis=0, ddof=1), 2)}
+MATRIX_STATS = {"mean": MatrixStatistic(lambda v: v.mean(axis=0), 1, lambda v, there, many: v.sum(axis=0) / many),
+                "std": MatrixStatistic(lambda v: v.std(axis=0, ddof=1), 2, lambda v, there, many:
+                                       np.sqrt(np.square((v - v.sum(axis=0) / many) * there).sum(axis=0) / (many - 1)))}
 
 
 def _statistics(stats: Sequence[str] | Mapping[str, Statistic], known: Mapping[str, Statistic] = STAT_FUNCS) -> dict[str, Statistic]:
@@ -203,35 +213,64 @@ def _pair_figures(names: Sequence[str], n_cols: int, stats: Sequence[MatrixStati
     each column) the samples' differences late - early, an array per figure.
 
     Everything it calls is inside, so that it travels to the executors whole."""
-    m, mul, off, last, funcs, names = MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET, MIX_FINAL_OFFSETS, [(s.func, s.least) for s in stats], list(names)
-
-    def drawn(state: np.ndarray, n: int) -> np.ndarray:
-        """n x rows x samples places, by the rounds of functions.columns.with_draw."""
-        def square(h):
-            x = h * h                                       # m is 2**31 - 1: 2**31 counts as 1
-            x = (x & m) + (x >> 31)
-            return (x & m) + (x >> 31)
-
-        x = (square(state[:, None]) + off + np.arange(1, n_samples + 1) % m * mul) % m
-        x = (square(x)[None] + (off + np.arange(n) * mul)[:, None, None]) % m
-        for add in last:
-            x = square(x) + add
-            x = np.where(x >= m, x - m, x)
-            x = np.where(x >= m, x - m, x)
-        return x % n
+    m, mul, off, last, names = MIX_MODULUS, MIX_MULTIPLIER, MIX_OFFSET, MIX_FINAL_OFFSETS, list(names)
+    funcs = [(s.func, s.least, s.masked) for s in stats]
+    samples = (off + np.arange(1, n_samples + 1) % m * mul) % m
+    samples = samples.astype(np.uint64)
+    at_once = 1 << 15                                       # draws: their matrices stay in a core's cache
+
+    def square(x: np.ndarray, spare: np.ndarray, folds: int = 2) -> np.ndarray:
+        """x * x in place, m less often than it could be (m is 2**31 - 1: 2**31 counts as 1): x under 2**32
+        gives less than m + 5 after two folds."""
+        np.multiply(x, x, out=x)
+        for _ in range(folds):
+            np.right_shift(x, 31, out=spare)
+            np.bitwise_and(x, m, out=x)
+            np.add(x, spare, out=x)
+        return x
+
+    def less(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        """m less where x is m or more: below 0 unsigned numbers are large."""
+        np.subtract(x, x.dtype.type(m), out=spare)
+        return np.minimum(x, spare, out=x)
+
+    def drawn(state: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+        """n x rows x samples places from ``starts`` on, by the rounds of functions.columns.with_draw."""
+        first = state.astype(np.uint64)[:, None]
+        first = square(first, np.empty_like(first)) + samples
+        spare = np.empty_like(first)
+        first = less(square(less(first, spare), spare), spare)
+        x = first[None] + ((off + np.arange(n) * mul) % m).astype(np.uint64)[:, None, None]
+        spare = np.empty_like(x)
+        square(x, spare)
+        for add in last[:-1]:
+            x += np.uint64(add)
+            square(x, spare, 2 if add != last[-2] else 1)
+        x = less(x, spare).astype(np.uint32)                # one fold: under 2 * m + 2**18 before
+        x += np.uint32(last[-1])
+        spare = np.empty_like(x)
+        less(x, spare)
+        np.floor_divide(x, np.uint32(n), out=spare)
+        spare *= np.uint32(n)
+        x -= spare
+        return x + starts[:, None]
 
     def figures(picked: np.ndarray, there: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per statistic the values of the samples (columns) and where there is one."""
-        out = [(np.zeros(picked.shape[1]), np.zeros(picked.shape[1], bool)) for _ in funcs]
         if there is None:
-            groups = [(len(picked), slice(None))]
-        else:
-            many = there.sum(axis=0)
-            picked = np.take_along_axis(picked, np.argsort(~there, axis=0, kind="stable"), axis=0)
-            groups = [(k, np.flatnonzero(many == k)) for k in np.unique(many[many > 0])]
-        for k, columns in groups:
+            k, n = picked.shape
+            return [(func(picked), np.ones(n, bool)) if k >= least else (np.zeros(n), np.zeros(n, bool)) for func, least, _ in funcs]
+        out = [(np.zeros(picked.shape[1]), np.zeros(picked.shape[1], bool)) for _ in funcs]
+        many = there.sum(axis=0)
+        if all(masked for _, _, masked in funcs):
+            with np.errstate(all="ignore"):                 # what has no value is not looked at
+                return [(masked(picked, there, many), many >= least) for _, least, masked in funcs]
+        there = there > 0
+        picked = np.take_along_axis(picked, np.argsort(~there, axis=0, kind="stable"), axis=0)
+        for k in np.unique(many[many > 0]).astype(int):
+            columns = np.flatnonzero(many == k)
             v = picked[:k, columns]
-            for (func, least), (value, known) in zip(funcs, out):
+            for (func, least, _), (value, known) in zip(funcs, out):
                 if k >= least:
                     value[columns], known[columns] = func(v), True
         return out
@@ -245,16 +284,24 @@ def _pair_figures(names: Sequence[str], n_cols: int, stats: Sequence[MatrixStati
             if (a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) != sizes).any():
                 raise ValueError("a side has not one row for each of its n_bins bins")
             flat = a.flatten()
-            columns.append((flat.to_numpy(zero_copy_only=False).astype(float), flat.is_valid().to_numpy(zero_copy_only=False)))
+            valid = flat.is_valid().to_numpy(zero_copy_only=False)
+            gaps = np.concatenate([[0], np.cumsum(~valid)])
+            whole = gaps[starts] == gaps[starts + sizes]
+            columns.append((np.where(valid, flat.to_numpy(zero_copy_only=False).astype(float), 0.0), valid.astype(float), whole))
         for k in np.unique(sizes[sizes > 0]):
-            same = np.flatnonzero(sizes == k)
-            for rows in np.array_split(same, -(-len(same) // 16)):      # about a MB at a time
-                at = (drawn(state[rows], int(k)) + starts[rows][:, None]).reshape(k, -1)
-                for c, (flat, valid) in enumerate(columns):
-                    whole = valid[starts[rows][:, None] + np.arange(k)].all()
-                    found = figures(flat[at], None if whole else valid[at])
-                    for (value, known), (v, ok) in zip(total[c * len(funcs):], found):
-                        value[rows], known[rows] = v.reshape(-1, n_samples), ok.reshape(-1, n_samples)
+            k = int(k)
+            # a single bin is drawn by every sample: one sample stands for all
+            width = n_samples if k > 1 else 1
+            full = np.all([whole for _, _, whole in columns], axis=0)
+            for same in (np.flatnonzero((sizes == k) & full), np.flatnonzero((sizes == k) & ~full)):
+                for i in range(0, len(same), step := max(1, at_once // (k * width))):
+                    rows = same[i:i + step]
+                    at = (drawn(state[rows], k, starts[rows]) if k > 1 else starts[rows][None]).reshape(k, -1)
+                    for c, (flat, valid, whole) in enumerate(columns):
+                        there = None if whole[rows].all() else valid.take(at)
+                        found = figures(flat.take(at), there)
+                        for (value, known), (v, ok) in zip(total[c * len(funcs):], found):
+                            value[rows], known[rows] = v.reshape(-1, width), ok.reshape(-1, width)
         return total
 
     def run(*sides: pa.Array) -> pa.Array:
@@ -268,23 +315,59 @@ def _pair_figures(names: Sequence[str], n_cols: int, stats: Sequence[MatrixStati
     return run
 
 
-def _matrix_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int, stats: Mapping[str, MatrixStatistic]) -> DataFrame:
-    """:func:`bootstrap_diffs` without a row per draw: a pair's bins stand in one row, its draws are a matrix
-    in Python, and only the samples' differences come back: one row per pair, with the struct ``_figures``
-    of an array per figure, in the samples' order.  Nothing is grouped by sample, so nothing can spill."""
+def _matrix_sides(bins: DataFrame, value_cols: Sequence[str], seed: int, pairs: int) -> tuple[DataFrame, list[Column]]:
+    """A row per pair, in tasks of ``pairs`` pairs, and the columns that :func:`_pair_figures` takes of it."""
     def of(side: str) -> list[Column]:
         here = F.col("side") == side
         row = F.struct("bin", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(value_cols)])
         return [F.max(F.when(here, F.col("n_bins"))).alias(f"_n_{side}"), F.sort_array(F.collect_list(F.when(here, row))).alias(f"_arr_{side}")]
 
-    x = _spread(bins).groupBy(*PAIR).agg(*of("early"), *of("late"))
-    asked = [v for side in ("early", "late") for v in
-             (F.col(f"_n_{side}"), hash_seed(F.lit(seed), "group_id", "pair_no", F.lit(side)), *[F.col(f"_arr_{side}")[f"_v{i}"] for i in range(len(value_cols))])]
-    names = [f"{c}__{s}" for c in value_cols for s in stats]
+    x = _spread(bins, pairs).groupBy(*PAIR).agg(*of("early"), *of("late"))
+    return x, [v for side in ("early", "late") for v in
+               (F.col(f"_n_{side}"), hash_seed(F.lit(seed), "group_id", "pair_no", F.lit(side)), *[F.col(f"_arr_{side}")[f"_v{i}"] for i in range(len(value_cols))])]
+
+
+def _figure_names(value_cols: Sequence[str], stats: Mapping[str, MatrixStatistic]) -> list[str]:
+    return [f"{c}__{s}" for c in value_cols for s in stats]
+
+
+def _matrix_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int, stats: Mapping[str, MatrixStatistic]) -> DataFrame:
+    """:func:`bootstrap_diffs` without a row per draw: a pair's bins stand in one row, its draws are a matrix
+    in Python, and only the samples' differences come back: one row per pair, with the struct ``_figures``
+    of an array per figure, in the samples' order.  Nothing is grouped by sample, so nothing can spill."""
+    x, asked = _matrix_sides(bins, value_cols, seed, PAIRS_HELD)
+    names = _figure_names(value_cols, stats)
     kind = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
     return x.select(*PAIR, F.arrow_udf(_pair_figures(names, len(value_cols), list(stats.values()), n_samples), kind)(*asked).alias("_figures"))
 
 
+def _sample_rows(figures, keys: Sequence[str], names: Sequence[str], n_samples: int, most: int):
+    """The Arrow function of :func:`_matrix_rows`: a pair's samples as rows, ``most`` rows (or one pair) at a time."""
+    keys, names, pairs = list(keys), list(names), max(1, most // n_samples)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, pairs):
+                part = batch.slice(i, pairs)
+                diffs = figures(*part.columns[len(keys):])
+                pair = pa.array(np.repeat(np.arange(part.num_rows), n_samples))
+                sample = np.tile(np.arange(1, n_samples + 1, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*[k.take(pair) for k in part.columns[:len(keys)]], pa.array(sample), *[diffs.field(j).flatten() for j in range(len(names))]],
+                                                 names=[*keys, "sample", *names])
+
+    return run
+
+
+def _matrix_rows(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int, stats: Mapping[str, MatrixStatistic]) -> DataFrame:
+    """:func:`_matrix_diffs` with a row per sample: they leave Python as rows, some pairs at a time, so a task can have
+    many pairs, of which it holds a few."""
+    x, asked = _matrix_sides(bins, value_cols, seed, PAIRS_PER_TASK)
+    names = _figure_names(value_cols, stats)
+    kind = T.StructType([*[x.schema[k] for k in PAIR], T.StructField("sample", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    figures = _pair_figures(names, len(value_cols), list(stats.values()), n_samples)
+    return x.select(*PAIR, *[v.alias(f"_asked{i}") for i, v in enumerate(asked)]).mapInArrow(_sample_rows(figures, PAIR, names, n_samples, ROWS_PER_BATCH), kind)
+
+
 def _array_quantiles(names: Sequence[str], quantiles: Sequence[float]):
     """The Arrow function from a struct of arrays to a struct of their quantiles (linear, NULLs ignored, NaN largest)."""
     names, quantiles = list(names), [float(q) for q in quantiles]
@@ -345,13 +428,7 @@ def bootstrap_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int =
     plain = all(isinstance(bins.schema[c].dataType, (T.IntegralType, T.FloatType, T.DoubleType)) for c in value_cols)
     matrix = _statistics(stats, MATRIX_STATS)
     if n_samples > 0 and plain and all(isinstance(f, MatrixStatistic) for f in matrix.values()):
-        x = _matrix_diffs(bins, value_cols, n_samples, seed, matrix)
-        if per_pair:
-            return x
-        names = x.schema["_figures"].dataType.names
-        zipped = F.arrays_zip(*[F.col("_figures")[n].alias(n) for n in names])
-        return x.select(*PAIR, F.posexplode(zipped).alias("_at", "_d")) \
-            .select(*PAIR, (F.col("_at") + 1).alias("sample"), *[F.col("_d")[n].alias(n) for n in names])
+        return (_matrix_diffs if per_pair else _matrix_rows)(bins, value_cols, n_samples, seed, matrix)
     late, early = F.col("side") == "late", F.col("side") == "early"
     aggs = [(f(F.when(late, F.col(c))) - f(F.when(early, F.col(c)))).alias(f"{c}__{s}")
             for c in value_cols for s, f in _statistics(stats).items()]
