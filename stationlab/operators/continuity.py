@@ -23,12 +23,12 @@ from ..functions.columns import MIX_FINAL_OFFSETS, MIX_MODULUS, MIX_MULTIPLIER,
 from ..plans.physical import attach, materialize
 
 PAIR = ["group_id", "pair_no"]
-# pairs whose samples one task returns as rows made a few at a time (about two million at 2,000 samples, 6 MB of Parquet)
+# pairs whose samples one task returns as rows, made a few pairs at a time (two million rows at 2,000 samples, 5 MB of Parquet)
 PAIRS_PER_TASK = 1000
 # pairs of a task that holds them together: its aggregations have pairs x samples groups (up to 128 pairs Spark takes the
 # quantiles without sorting), and an Arrow batch pairs x samples doubles a figure (2 MB at 2,000 samples)
 PAIRS_HELD = 100
-ROWS_PER_BATCH = 1 << 16
+SAMPLES_PER_BATCH = 1 << 16
 
 
 def _k(keys) -> list[str]:
@@ -341,31 +341,31 @@ def _matrix_diffs(bins: DataFrame, value_cols: Sequence[str], n_samples: int, se
     return x.select(*PAIR, F.arrow_udf(_pair_figures(names, len(value_cols), list(stats.values()), n_samples), kind)(*asked).alias("_figures"))
 
 
-def _sample_rows(figures, keys: Sequence[str], names: Sequence[str], n_samples: int, most: int):
-    """The Arrow function of :func:`_matrix_rows`: a pair's samples as rows, ``most`` rows (or one pair) at a time."""
-    keys, names, pairs = list(keys), list(names), max(1, most // n_samples)
+def _figure_batches(figures, keys: Sequence[str], names: Sequence[str], pairs: int):
+    """The Arrow function of :func:`_matrix_rows`: the figures' arrays, of ``pairs`` pairs at a time."""
+    keys, names = list(keys), list(names)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, pairs):
                 part = batch.slice(i, pairs)
                 diffs = figures(*part.columns[len(keys):])
-                pair = pa.array(np.repeat(np.arange(part.num_rows), n_samples))
-                sample = np.tile(np.arange(1, n_samples + 1, dtype=np.int32), part.num_rows)
-                yield pa.RecordBatch.from_arrays([*[k.take(pair) for k in part.columns[:len(keys)]], pa.array(sample), *[diffs.field(j).flatten() for j in range(len(names))]],
-                                                 names=[*keys, "sample", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keys)], *[diffs.field(j) for j in range(len(names))]], names=[*keys, *names])
 
     return run
 
 
 def _matrix_rows(bins: DataFrame, value_cols: Sequence[str], n_samples: int, seed: int, stats: Mapping[str, MatrixStatistic]) -> DataFrame:
-    """:func:`_matrix_diffs` with a row per sample: they leave Python as rows, some pairs at a time, so a task can have
-    many pairs, of which it holds a few."""
+    """:func:`_matrix_diffs` with a row per sample.  The arrays leave Python some pairs at a time, so a task can have many
+    pairs, of which it holds a few; one of them is exploded and the others are read by place, in generated code."""
     x, asked = _matrix_sides(bins, value_cols, seed, PAIRS_PER_TASK)
     names = _figure_names(value_cols, stats)
-    kind = T.StructType([*[x.schema[k] for k in PAIR], T.StructField("sample", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    kind = T.StructType([*[x.schema[k] for k in PAIR], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
     figures = _pair_figures(names, len(value_cols), list(stats.values()), n_samples)
-    return x.select(*PAIR, *[v.alias(f"_asked{i}") for i, v in enumerate(asked)]).mapInArrow(_sample_rows(figures, PAIR, names, n_samples, ROWS_PER_BATCH), kind)
+    x = x.select(*PAIR, *[v.alias(f"_asked{i}") for i, v in enumerate(asked)]) \
+        .mapInArrow(_figure_batches(figures, PAIR, names, max(1, SAMPLES_PER_BATCH // n_samples)), kind)
+    return x.select(*PAIR, *names, F.posexplode(names[0]).alias("_at", "_first")) \
+        .select(*PAIR, (F.col("_at") + 1).alias("sample"), F.col("_first").alias(names[0]), *[F.get(F.col(n), F.col("_at")).alias(n) for n in names[1:]])
 
 
 def _array_quantiles(names: Sequence[str], quantiles: Sequence[float]):
